@@ -21,6 +21,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "full", "part")
 
 
+def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import compare_edited
+
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -34,6 +40,12 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(table(spark, sf_dir, "documents")).select("doc_id", "n_pii", "text")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
