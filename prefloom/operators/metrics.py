@@ -121,6 +121,12 @@ def pcm_probabilities(theta: Column, betas: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
+def likeliest(probs: Column) -> Column:
+    """Score of the largest probability; the least of those that tie to 12 places."""
+    p = F.transform(probs, lambda v: F.round(v, 12))
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
 def level_arrays(difficulties: DataFrame) -> DataFrame:
     """([component,] item_id, betas) from (.., level, beta)."""
     keys = [c for c in ("component", "item_id") if c in difficulties.columns]
@@ -130,7 +136,7 @@ def level_arrays(difficulties: DataFrame) -> DataFrame:
 def heldout_ratings(abilities: DataFrame, difficulties: DataFrame, heldout: DataFrame) -> DataFrame:
     """(user_id, item_id, score, predicted, p): the likeliest score and the probability of the actual one."""
     j = heldout.join(abilities, "user_id").join(level_arrays(difficulties), "item_id").withColumn("probs", pcm_probabilities(F.col("theta"), F.col("betas")))
-    return j.select("user_id", "item_id", "score", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("predicted"), F.get("probs", F.col("score")).alias("p"))
+    return j.select("user_id", "item_id", "score", likeliest(F.col("probs")).alias("predicted"), F.get("probs", F.col("score")).alias("p"))
 
 
 def evaluate_mixture(abilities: DataFrame, difficulties: DataFrame, q: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -138,6 +144,6 @@ def evaluate_mixture(abilities: DataFrame, difficulties: DataFrame, q: DataFrame
     best = Window.partitionBy("user_id", "item_id")
     j = ratings.join(q, "user_id").join(abilities, ["user_id", "component"]).join(level_arrays(difficulties), ["component", "item_id"])
     j = j.withColumn("probs", pcm_probabilities(F.col("theta"), F.col("betas"))).withColumn("first", F.row_number().over(best.orderBy(F.desc("q"), "component")))
-    miss = (F.array_position("probs", F.array_max("probs")) - 1 != F.col("score")).cast("double")
+    miss = (likeliest(F.col("probs")) != F.col("score")).cast("double")
     g = j.groupBy("user_id", "item_id").agg(F.sum(F.when(F.col("first") == 1, miss)).alias("miss"), F.sum(F.col("q") * F.get("probs", F.col("score"))).alias("p"))
     return g.agg(F.avg("miss").alias("error"), F.sum(F.log("p")).alias("loglik"))
