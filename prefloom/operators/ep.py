@@ -1,90 +1,91 @@
-"""Expectation propagation for pairwise comparisons: a Gaussian posterior over utilities (driver, item-sized)."""
+"""Expectation propagation for pairwise comparisons: a Gaussian posterior over utilities (driver, item-sized).
+
+All comparisons of a pair are one site, F(x)^a F(-x)^b of the utility difference x, whose moments against the
+cavity are found by quadrature around its mode; so cost depends on pairs, not on comparisons.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-
-
-def log_phi(z: float) -> tuple[float, float]:
-    """log of the normal cdf and its derivative, stable in both tails."""
-    if z < -8:
-        # continued fraction of the Mills ratio
-        f = 0.0
-        for k in range(60, 0, -1):
-            f = k / (-z + f)
-        ratio = -z + f
-        return -0.5 * z * z - 0.5 * math.log(2 * math.pi) - math.log(ratio), ratio
-    p = 0.5 * math.erfc(-z / math.sqrt(2))
-    return math.log(p), math.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / p
-
-
-def match_probit(mean: float, var: float) -> tuple[float, float, float]:
-    """log Z, d log Z / d mean and its second derivative of E[Phi(x)], x ~ N(mean, var)."""
-    s = math.sqrt(1 + var)
-    lz, r = log_phi(mean / s)
-    return lz, r / s, -r / (1 + var) * (mean / s + r)
-
-
-_NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(48)
-_WEIGHTS = _WEIGHTS / _WEIGHTS.sum()
-
-
-def match_logit(mean: float, var: float) -> tuple[float, float, float]:
-    """The same for E[1 / (1 + exp(-x))], by Gauss-Hermite quadrature in the log domain."""
-    sd = math.sqrt(var)
-    x = mean + sd * _NODES
-    ls = -np.logaddexp(0, -x)
-    top = ls.max()
-    w = _WEIGHTS * np.exp(ls - top)
-    z = w.sum()
-    d1 = (w * (1 - np.exp(ls))).sum() / z
-    s = np.exp(ls)
-    d2 = (w * (1 - s) * (1 - 2 * s)).sum() / z
-    return top + math.log(z), d1, d2 - d1 * d1
-
-
-def ep_pairwise(n: int, comparisons: list[tuple[int, int, float]], alpha: float, model: str = "logit", max_iter: int = 100, tol: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, covariance) for (winner, loser, weight) sites under a N(0, 1/alpha) prior; raises if not converged."""
+_NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(40)
+_ERFC = np.vectorize(math.erfc, otypes=[float])
+
+
+def log_cdf(x: np.ndarray, model: str) -> np.ndarray:
+    """log F(x) of the logistic or the normal distribution, stable in the lower tail."""
+    x = np.asarray(x, float)
+    if model == "logit":
+        return -np.logaddexp(0, -x)
+    tail = np.minimum(x, -8.0)
+    ratio = np.zeros_like(tail)
+    for k in range(60, 0, -1):  # continued fraction of the Mills ratio
+        ratio = k / (-tail + ratio)
+    low = -0.5 * tail * tail - 0.5 * math.log(2 * math.pi) - np.log(-tail + ratio)
+    return np.where(x < -8, low, np.log(np.maximum(0.5 * _ERFC(-np.maximum(x, -8.0) / math.sqrt(2)), 1e-300)))
+
+
+def tilted(mean: float, var: float, a: float, b: float, model: str) -> tuple[float, float]:
+    """Mean and variance of N(x; mean, var) F(x)^a F(-x)^b, normalised; its logarithm is concave."""
+
+    def g(x):
+        return -((x - mean) ** 2) / (2 * var) + a * log_cdf(x, model) + b * log_cdf(-x, model)
+
+    x, h = mean, 1e-4
+    for _ in range(100):
+        lo, mid, hi = g(np.array([x - h, x, x + h]))
+        d1, d2 = (hi - lo) / (2 * h), min((hi - 2 * mid + lo) / (h * h), -1 / var)
+        step = max(-2.0, min(2.0, -d1 / d2))
+        x += step
+        if abs(step) < 1e-7:
+            break
+    sd = math.sqrt(-1 / d2)
+    t = x + sd * _NODES
+    e = g(t) + _NODES**2 / 2
+    w = _WEIGHTS * np.exp(e - e.max())
+    w = w / w.sum()
+    m = float((w * t).sum())
+    return m, max(float((w * (t - m) ** 2).sum()), 1e-12)
+
+
+def ep_pairwise(n: int, comparisons: Iterable[tuple[int, int, float]], alpha: float, model: str = "logit", max_iter: int = 100, tol: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) for (winner, loser, count) under a N(0, 1/alpha) prior; raises if it does not converge."""
     if model not in ("logit", "probit"):
         raise ValueError("model must be logit or probit")
-    match = match_logit if model == "logit" else match_probit
-    m = len(comparisons)
-    tau, nu = np.zeros(m), np.zeros(m)
+    sites: dict[tuple[int, int], list[float]] = {}
+    for w, l, c in comparisons:
+        sites.setdefault((min(w, l), max(w, l)), [0.0, 0.0])[int(w > l)] += c
+    pairs = sorted(sites)
+    tau, nu = np.zeros(len(pairs)), np.zeros(len(pairs))
     cov, mean = np.eye(n) / alpha, np.zeros(n)
     rng = np.random.default_rng(seed)
     for _ in range(max_iter):
         old = mean.copy()
-        for k in rng.permutation(m):
-            w, l, weight = comparisons[k]
-            mu, var = mean[w] - mean[l], cov[w, w] + cov[l, l] - 2 * cov[w, l]
-            t, v = tau[k], nu[k]
-            cav_tau, cav_nu = 1 / var - t, mu / var - v
+        for k in rng.permutation(len(pairs)):
+            i, j = pairs[k]
+            mu, var = mean[i] - mean[j], cov[i, i] + cov[j, j] - 2 * cov[i, j]
+            cav_tau, cav_nu = 1 / var - tau[k], mu / var - nu[k]
             if cav_tau <= 0:
                 continue
-            _, d1, d2 = match(cav_nu / cav_tau, 1 / cav_tau)
-            d1, d2 = weight * d1, weight * d2
-            new_t = -d2 / (1 + d2 / cav_tau)
-            new_v = (d1 - cav_nu / cav_tau * d2) / (1 + d2 / cav_tau)
-            dt, dv = new_t - t, new_v - v
-            col = cov[:, w] - cov[:, l]
-            cov = cov - np.outer(col, col) * (dt / (1 + dt * var))
-            tau[k], nu[k] = new_t, new_v
+            m, v = tilted(cav_nu / cav_tau, 1 / cav_tau, *sites[i, j], model)
+            dt, dv = 1 / v - cav_tau - tau[k], m / v - cav_nu - nu[k]
+            tau[k], nu[k] = tau[k] + dt, nu[k] + dv
+            col = cov[:, i] - cov[:, j]
             mean = mean + col * ((dv - dt * mu) / (1 + dt * var))
+            cov = cov - np.outer(col, col) * (dt / (1 + dt * var))
         # refresh from the sites, so that rank-one updates do not drift
         prec, rhs = alpha * np.eye(n), np.zeros(n)
-        for k, (w, l, _) in enumerate(comparisons):
-            prec[w, w] += tau[k]
-            prec[l, l] += tau[k]
-            prec[w, l] -= tau[k]
-            prec[l, w] -= tau[k]
-            rhs[w] += nu[k]
-            rhs[l] -= nu[k]
-        chol = np.linalg.inv(np.linalg.cholesky(prec))
-        cov = chol.T @ chol
+        for (i, j), t, v in zip(pairs, tau, nu, strict=True):
+            prec[[i, j], [i, j]] += t
+            prec[[i, j], [j, i]] -= t
+            rhs[i] += v
+            rhs[j] -= v
+        half = np.linalg.inv(np.linalg.cholesky(prec))
+        cov = half.T @ half
         mean = cov @ rhs
         if np.abs(mean - old).max() < tol:
             return mean, cov
@@ -92,12 +93,5 @@ def ep_pairwise(n: int, comparisons: list[tuple[int, int, float]], alpha: float,
 
 
 def fit(counts: DataFrame, n: int, alpha: float = 1.0, model: str = "logit", **options) -> tuple[np.ndarray, np.ndarray]:
-    """From (winner, loser, cnt): each ordered pair is repeated as often as it was seen, up to what the driver holds.
-
-    Sites are per comparison; pairs above 50 comparisons are tempered sites of equal weight, 50 of them.
-    """
-    sites = []
-    for r in counts.select("winner", "loser", "cnt").orderBy("winner", "loser").collect():  # items x items
-        k = int(min(50, max(1, round(r.cnt))))
-        sites += [(r.winner, r.loser, r.cnt / k)] * k
-    return ep_pairwise(n, sites, alpha, model, **options)
+    """From (winner, loser, cnt): at most items x items rows are collected."""
+    return ep_pairwise(n, [tuple(r) for r in counts.select("winner", "loser", "cnt").orderBy("winner", "loser").collect()], alpha, model, **options)
