@@ -184,7 +184,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
     """Paragraphs come from up to negatives / 4 documents, at most 20 of each."""
-    some = docs.select("doc_id", "text").where("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, negatives // 4))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, negatives // 4)).collect()
+    some = docs.where(F.col("doc_id").isin([r.doc_id for r in ids]))
     rows = some.select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("p")).orderBy("p").limit(negatives)
     return Model([r.p for r in rows.collect()])
 

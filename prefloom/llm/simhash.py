@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut
+from .common import WordHash, connected, cut, rolling
 
 SHINGLE = 4
 RADIUS = 4
@@ -134,8 +134,45 @@ def shard_links(x: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def wide_links(x: np.ndarray, radius: int, near: int = RADIUS) -> list[tuple[int, int]]:
+    """Pairs more than ``near`` and at most ``radius`` apart, nearest first, that join parts not joined before.
+
+    Pairs within ``near`` count as joined.  So a shard gives fewer pairs than it has fingerprints, however dense it is.
+    """
+    n = len(x)
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return int(i)
+
+    for i, j in shard_links(x, near):
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    by_distance: list[list[np.ndarray]] = [[] for _ in range(radius + 1)]
+    for a in range(0, n, 512):
+        d = np.bitwise_count(x[a : a + 512, None] ^ x[None, a:])
+        at = np.argwhere((d <= radius) & (d > near))
+        at = at[at[:, 1] > at[:, 0]]
+        if len(at):
+            own = d[at[:, 0], at[:, 1]]
+            for r in np.unique(own):
+                by_distance[r].append(at[own == r] + a)
+    out = []
+    for pairs in by_distance:
+        for block in pairs:
+            for i, j in block.tolist():
+                p, q = find(i), find(j)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((i, j))
+    return out
+
+
+def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, solver=None) -> DataFrame:
     """(u, v) links among the distinct ``fp`` of ``points`` that keep every component whole."""
+    solver = solver or shard_links
     count = points.count()
     masks = trees_for(count, radius, shard)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -144,7 +181,7 @@ def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(key: tuple, fps: np.ndarray) -> list[tuple[int, int]]:
-            return [(int(fps[i]), int(fps[j])) for i, j in shard_links(fps.view(np.uint64), radius)] if len(fps) > 1 else []
+            return [(int(fps[i]), int(fps[j])) for i, j in solver(fps.view(np.uint64), radius)] if len(fps) > 1 else []
 
         key, held = None, []
         for frame in frames:
@@ -176,3 +213,53 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, see
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDE = 10
+SIMILARITY = 0.8
+STAGE_SHINGLE = 5
+WIDE_SHARD = 8192
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return np.unique(rolling(WordHash().array(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def groups(docs: DataFrame, near: int = RADIUS, wide: int = WIDE, similarity: float = SIMILARITY, n: int = STAGE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) for deduplication.
+
+    Fingerprints ``near`` bits apart or fewer are linked as they are.  Between those and ``wide`` bits apart,
+    where unlike texts begin to occur, a link must be confirmed by its texts: the Jaccard likeness of their
+    shingles is at least ``similarity``.  Each shard proposes the nearest pairs that join what is apart.
+    """
+    fps = cut(fingerprints(docs, n))
+    points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    close = links(points.select("fp"), near)
+    pairs = cut(links(points.select("fp"), wide, WIDE_SHARD, lambda x, r: wide_links(x, r, near)).distinct())
+    named = points.select("fp", F.col("least").alias("doc_id"))
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(named, "fp")
+
+    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"fp": frame["fp"], "s": [shingle_set(t, n).tobytes() for t in frame["text"]]})
+
+    texts = asked.join(docs.select("doc_id", "text"), "doc_id").select("fp", "text").mapInPandas(shingles, "fp long, s binary")
+    # an id that repeats may name another text as well: all that are asked for are compared
+    texts = cut(texts.distinct())
+    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("fp").alias("v"), F.col("s").alias("sv")), "v")
+
+    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = []
+            for a, b in zip(frame["su"], frame["sv"], strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) and common > 0)
+            yield frame.loc[keep, ["u", "v"]]
+
+    comps = connected(close.union(both.mapInPandas(confirm, "u long, v long"))).withColumnRenamed("node", "fp")
+    rooted = points.join(comps, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
