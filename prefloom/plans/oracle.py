@@ -144,3 +144,42 @@ SQL: dict[str, str] = {
         recursive=True,
     ) + "SELECT s::INTEGER AS node, min(d)::INTEGER AS root FROM re GROUP BY 1",
 }
+
+_SHIFT = "v AS (SELECT component, item, u + component + item / 10.0::DOUBLE AS u FROM uu)"
+SQL |= {
+    "centred_utilities": _with(_U, _SHIFT) + f"SELECT component, item AS item_id, {_r('u - avg(u) OVER (PARTITION BY component)')} AS u FROM v",
+    "normalised_alpha": f"SELECT component, {_r('a / sum(a) OVER ()')} AS a FROM (VALUES (0, 3.0::DOUBLE), (1, 1.0), (2, 4.0)) t(component, a)",
+    "pl_posterior_hard": _with(_ORDERS, _U, _A, _LL, "h AS (SELECT component, row_number() OVER (PARTITION BY rid ORDER BY q DESC, component) AS rn FROM q)") + "SELECT component, count(*) AS n FROM h WHERE rn = 1 GROUP BY 1",
+    "pl_posterior_trimmed": _with(_ORDERS, _U, _A, _LL, "h AS (SELECT rid, component, CASE WHEN q < 0.25 THEN 0 ELSE q END AS q FROM q)")
+    + f"SELECT rid AS ranking_id, component, {_r('q / sum(q) OVER (PARTITION BY rid)')} AS q FROM h",
+    "ell2_mixture": _with(
+        _U, "a AS (SELECT component, item, u - avg(u) OVER (PARTITION BY component) AS u FROM uu)",
+        "b AS (SELECT 1 - component AS component, item, u + item / 10.0::DOUBLE AS u FROM uu)", "c AS (SELECT component, item, u - avg(u) OVER (PARTITION BY component) AS u FROM b)",
+        "d AS (SELECT a.component AS i, c.component AS j, sum((a.u - c.u) * (a.u - c.u)) AS s FROM a JOIN c ON a.item = c.item GROUP BY 1, 2)",
+    ) + f"SELECT {_r('sqrt(least(sum(CASE WHEN i = j THEN s ELSE 0 END), sum(CASE WHEN i <> j THEN s ELSE 0 END)))')} AS ell2 FROM d",
+    "frobenius_difference": _with(
+        _B, "cc(c) AS (VALUES (0), (1))", "a AS (SELECT c, item, level, beta + c AS v FROM bb, cc)", "b AS (SELECT 1 - c AS c, item, level, beta + c + 0.1 AS v FROM bb, cc)",
+        "d AS (SELECT a.c AS i, b.c AS j, sum((a.v - b.v) * (a.v - b.v)) AS s FROM a JOIN b ON a.item = b.item AND a.level = b.level GROUP BY 1, 2)",
+    ) + f"SELECT {_r('least(sum(CASE WHEN i = j THEN s ELSE 0 END), sum(CASE WHEN i <> j THEN s ELSE 0 END))')} AS difference FROM d",
+    "mixture_evaluation": _with(
+        _GRADED, _B, "cc(c) AS (VALUES (0), (1))", "cs AS (SELECT c, item, level, sum(beta + c * 0.5) OVER (PARTITION BY c, item ORDER BY level) AS run FROM bb, cc)",
+        "lv AS (SELECT c, item, level, run FROM cs UNION ALL SELECT DISTINCT c, item, 0, 0.0 FROM bb, cc)",
+        "e AS (SELECT g.u, g.item, g.s, c, level, exp(level * ((g.u % 7 - 3) / 2.0::DOUBLE + c / 2.0) - run) AS e FROM g JOIN lv ON g.item = lv.item)",
+        "p AS (SELECT u, item, s, c, level, e / sum(e) OVER (PARTITION BY u, item, c) AS p FROM e)", "k AS (SELECT *, row_number() OVER (PARTITION BY u, item, c ORDER BY round(p, 12) DESC, level) AS rn FROM p)",
+        "m AS (SELECT u, item, max(CASE WHEN c = 0 AND rn = 1 AND level <> s THEN 1.0 ELSE 0.0 END) AS miss, sum(CASE WHEN level = s THEN p * CASE WHEN c = 0 THEN 0.7 ELSE 0.3 END END) AS p FROM k GROUP BY 1, 2)",
+    ) + f"SELECT {_r('avg(miss)')} AS error, {_r('sum(ln(p))', 3)} AS loglik FROM m",
+    "mean_pairwise_link": _with(_U, "x AS (SELECT a.item AS i, b.item AS j, a.u - b.u AS d FROM uu a JOIN uu b ON a.item < b.item WHERE a.component = 0 AND b.component = 0)")
+    + f"SELECT {_K} AS k, {_r('1 / (1 + exp(-d)) / 2 - 1 / (1 + exp(d)) / 2')} AS x FROM x",
+    "composite_loglik_weighted": _with(
+        _ORDERS, "c AS (SELECT a.rid, a.item AS winner, b.item AS loser, a.pos AS pa, b.pos AS pb FROM r a JOIN r b ON a.rid = b.rid AND a.pos < b.pos)", _U,
+        "w AS (SELECT *, CASE WHEN (winner + loser) % 2 = 1 THEN 0.5 + 0.1 * (winner + loser) ELSE 1 END * CASE WHEN pa = 0 AND pb = 1 THEN 2 WHEN pa = 0 AND pb = 2 THEN 0.5 WHEN pa = 1 AND pb = 2 THEN 1.5 ELSE 1 END AS w FROM c)",
+    ) + f"SELECT rid AS ranking_id, a.component, {_r('sum(-w * ln(1 + exp(b.u - a.u)))')} AS loglik FROM w JOIN uu a ON a.item = winner JOIN uu b ON b.item = loser AND a.component = b.component GROUP BY 1, 2",
+    "antisymmetric_pairs": _with(_ORDERS, _PAIRS) + "SELECT rid AS ranking_id, winner AS i, loser AS j, 0.5::DOUBLE AS x FROM c UNION ALL SELECT rid, loser, winner, -0.5 FROM c",
+    "responses_unpivoted": _with(_BINARY) + "SELECT u AS user_id, item AS item_id, s AS score FROM g",
+    "split_users": _with(_BINARY, "n AS (SELECT count(DISTINCT u) AS n FROM g)") + "SELECT 'train' AS split, floor(n * 0.7)::BIGINT AS users FROM n UNION ALL SELECT 'test', floor(n * 0.2)::BIGINT FROM n",
+    "masked_cells": _with(_EVENTS, _PAIRS, _COUNTS, _BOTH) + f"SELECT loser AS i, winner AS j, {_r('(w + 1) / (w + l + 2)::DOUBLE')} AS p FROM b WHERE (loser + winner) % 2 = 1",
+    "weekly_pairwise_counts": """
+WITH e AS (SELECT user_id, (day(ts) - 1) // 7 AS t, event_type AS lab, min(ts) AS k FROM events GROUP BY 1, 2, 3),
+r AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id, t ORDER BY k, lab) AS pos, dense_rank() OVER (ORDER BY lab) - 1 AS item FROM e)
+SELECT a.t::INTEGER AS t, a.item AS winner, b.item AS loser, count(*) AS n FROM r a JOIN r b ON a.user_id = b.user_id AND a.t = b.t AND a.pos < b.pos GROUP BY 1, 2, 3""",
+}

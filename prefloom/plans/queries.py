@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import ExtremeValue, GeneralNormal, Logistic, Normal
@@ -537,3 +537,162 @@ def svt_reconstruction(spark, d):
     p = R.dense(R.pairwise_matrix(R.comparisons(_events(spark, d)), "all"), ITEMS)
     m = solvers.nuclear(p, 0.1)
     return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(ITEMS) for j in range(ITEMS)], "i int, j int, x double")
+
+
+# -- further operators, one query each ------------------------------------------------------------------------------------------------------
+
+
+@query
+def centred_utilities(spark, d):
+    return R.centre(_u(spark).withColumn("u", F.col("u") + F.col("component") + F.col("item_id") / 10)).select("component", "item_id", r6(F.col("u")).alias("u"))
+
+
+@query
+def normalised_alpha(spark, d):
+    return R.normalise_alpha(mixtures.alpha_frame(spark, np.array([3.0, 1.0, 4.0]))).select("component", r6(F.col("a")).alias("a"))
+
+
+@query
+def pl_posterior_hard(spark, d):
+    q = R.posterior(R.pl_log_likelihood(_orders(spark, d), _u(spark)), _alpha(spark), hard=True)
+    return q.where("q = 1").groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query
+def pl_posterior_trimmed(spark, d):
+    q = R.posterior(R.pl_log_likelihood(_orders(spark, d), _u(spark)), _alpha(spark), trim=0.25)
+    return q.select("ranking_id", "component", r6(F.col("q")).alias("q"))
+
+
+@query
+def ell2_mixture(spark, d):
+    u = _u(spark)
+    swapped = u.select((1 - F.col("component")).alias("component"), "item_id", (F.col("u") + F.col("item_id") / 10).alias("u"))
+    return spark.createDataFrame([(round(float(metrics.ell2_mixture(u, swapped)), 6),)], "ell2 double")
+
+
+@query
+def frobenius_difference(spark, d):
+    a = np.array([BETAS, BETAS]) + np.array([0.0, 1.0])[:, None, None]
+    x, y = irt.levels_frame(spark, a), irt.levels_frame(spark, a[::-1] + 0.1)
+    return spark.createDataFrame([(round(float(metrics.frobenius_difference(x, y)), 6),)], "difference double")
+
+
+@query
+def mixture_evaluation(spark, d):
+    r = tables.graded_responses(spark, d)
+    users = r.select("user_id").distinct()
+    theta = users.select("user_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("component")).withColumn("theta", (F.col("user_id") % 7 - 3) / 2.0 + F.col("component") / 2.0)
+    q = theta.select("user_id", "component", F.when(F.col("component") == 0, 0.7).otherwise(0.3).alias("q"))
+    betas = irt.levels_frame(spark, np.array([BETAS, BETAS]) + np.array([0.0, 0.5])[:, None, None])
+    return metrics.evaluate_mixture(theta, betas, q, r).select(r6(F.col("error")).alias("error"), r6(F.col("loglik"), 3).alias("loglik"))
+
+
+@query
+def mean_pairwise_link(spark, d):
+    x = generators.mean_pairwise(_u(spark).where("component = 0").select("item_id", "u"), Logistic(), ITEMS)
+    return x.select("k", r6(F.col("x")).alias("x"))
+
+
+@query
+def composite_loglik_weighted(spark, d):
+    pairs = spark.createDataFrame([(i, j, 0.5 + 0.1 * (i + j)) for i in range(ITEMS) for j in range(i + 1, ITEMS) if (i + j) % 2], "i int, j int, w double")
+    places = spark.createDataFrame([(0, 1, 2.0), (0, 2, 0.5), (1, 2, 1.5)], "pos_a int, pos_b int, w double")
+    ll = mixtures.pair_log_likelihood(_orders(spark, d), _u(spark), Logistic(), pairs, places)
+    return ll.select("ranking_id", "component", r6(F.col("loglik")).alias("loglik"))
+
+
+@query
+def antisymmetric_pairs(spark, d):
+    return embeddings.all_pairs(embeddings.pairwise(_orders(spark, d), ITEMS), ITEMS).select("ranking_id", "i", "j", "x")
+
+
+@query
+def responses_unpivoted(spark, d):
+    wide = reshape.pivot(tables.binary_responses(spark, d), ITEMS)
+    return reshape.unpivot(wide)
+
+
+@query
+def split_users(spark, d):
+    train, test = reshape.split_users(tables.binary_responses(spark, d), 0.7, 0.2)
+    return train.select(F.lit("train").alias("split"), "user_id").union(test.select(F.lit("test"), "user_id")).groupBy("split").agg(F.countDistinct("user_id").alias("users"))
+
+
+@query
+def masked_cells(spark, d):
+    p = R.pairwise_matrix(R.comparisons(_events(spark, d)), "all").select(F.col("loser").alias("i"), F.col("winner").alias("j"), r6(F.col("p")).alias("p"))
+    return reshape.mask(p, p.where("(i + j) % 2 = 0"), complement=True)
+
+
+@query
+def random_pairs(spark, d):
+    return reshape.random_pairs(spark, 30, 0.3, 1, symmetric=True)
+
+
+@query
+def timed_rankings(spark, d):
+    return generators.timed_rankings(generators.time_varying_utilities(spark, ITEMS, 4), m=20)
+
+
+@query
+def timed_partial_rankings(spark, d):
+    timed = generators.time_varying_utilities(spark, ITEMS, 4)
+    return generators.timed_partial_rankings(timed, timed.where("item_id < 3").select("t", F.lit(0).alias("menu_id"), "item_id"), m=20)
+
+
+@query
+def timed_comparisons(spark, d):
+    return generators.time_varying_comparisons(generators.time_varying_utilities(spark, ITEMS, 4), ITEMS, draws=10, p0=0.5)
+
+
+@query
+def menu_rankings(spark, d):
+    menus = generators.menus(spark, ITEMS, [2, 3, 3, 4], 1)
+    return generators.partial_rankings(_u(spark).where("component = 0").select("item_id", "u"), menus, "normal", 50)
+
+
+@query
+def generated_comparisons(spark, d):
+    p = 0.5 + 0.1 * np.subtract.outer(np.arange(ITEMS), np.arange(ITEMS))
+    return generators.comparisons_from_p(np.clip(p, 0, 1), reshape.random_pairs(spark, ITEMS, 1.0), 100)
+
+
+@query
+def generated_binary(spark, d):
+    theta = spark.range(300).select(F.col("id").alias("user_id"), ((F.col("id") % 7 - 3) / 2).alias("theta"))
+    return generators.rasch(theta, _beta(spark), 0.8)
+
+
+@query
+def connectivity(spark, d):
+    g = graph.comparison_graph(R.pairwise_matrix(R.comparisons(tables.brand_rankings(spark, d)), "none"))
+    return spark.createDataFrame([(bool(graph.connected(g, range(BRANDS))),)], "connected boolean")
+
+
+@query
+def disjoint_pair_clusters(spark, d):
+    labels = clustering.disjoint_pair_clustering(embeddings.pairwise(_orders(spark, d), ITEMS), ITEMS, 2)
+    return labels.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def random_projection(spark, d):
+    z = clustering.low_rank(embeddings.pairwise(_events(spark, d), ITEMS), 10, 2, "gaussian")
+    return z.select("ranking_id", F.size("z").alias("dimensions"))
+
+
+@query
+def weekly_pairwise_counts(spark, d):
+    """Comparisons of event types within weeks: each user and week is a ranking of its own."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("t", F.floor((F.dayofmonth("ts") - 1) / 7).cast("int"))
+    f = estimators.dense_ids(e.groupBy("user_id", "t", F.col("event_type").alias("label")).agg(F.min("ts").alias("ts")), "label")
+    by = Window.partitionBy("user_id", "t").orderBy("ts", "label")
+    r = f.select((F.col("user_id") * 8 + F.col("t")).cast("long").alias("ranking_id"), (F.row_number().over(by) - 1).cast("int").alias("pos"), "item_id")
+    c = R.comparisons(r)
+    return c.groupBy((F.col("ranking_id") % 8).cast("int").alias("t"), "winner", "loser").agg(F.count("*").alias("n"))
+
+
+@query
+def privacy_budgets(spark, d):
+    return spark.createDataFrame([("gauss", round(privacy.epsilon_gauss(1.0, 1e-5), 6)), ("shuffle", round(privacy.epsilon_shuffle(1.0, 1e-6, 100_000), 6))], "mechanism string, epsilon double")
