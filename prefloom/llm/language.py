@@ -68,15 +68,18 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """A linear SVM (squared hinge, classes weighted alike) by accelerated gradient; y is +1 or -1."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    rate = 1.0 / (1.0 + 2.0 * float((weight * (x1 * x1).sum(axis=1)).sum()))
-    w = v = np.zeros(x1.shape[1])
+    # all products stay in single precision, as the features are, so that the driver never holds a copy of them
+    weight = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c).astype(np.float32)
+    y = y.astype(np.float32)
+    rate = np.float32(1.0 / (1.0 + 2.0 * float((weight * (1.0 + np.einsum("ij,ij->i", x, x))).sum())))
+    w = v = np.zeros(x.shape[1], np.float32)
+    b = u = np.float32(0)
     for t in range(1, steps + 1):
-        slack = np.maximum(0.0, 1.0 - y * (x1 @ v))
-        new = v - rate * (v - 2.0 * ((weight * y * slack) @ x1))
-        w, v = new, new + (t - 1) / (t + 2) * (new - w)
-    return w[:-1].astype(np.float32), float(w[-1])
+        g = 2 * weight * y * np.maximum(0, 1 - y * (x @ v + u))
+        new, bias = v - rate * (v - g @ x), u - rate * (u - g.sum())
+        m = np.float32((t - 1) / (t + 2))
+        w, v, b, u = new, new + m * (new - w), bias, bias + m * (bias - b)
+    return w, float(b)
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -170,7 +173,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     x = np.zeros((len(rows), 1 << BITS), np.float32)
     for i, (at, v) in enumerate(zip(rows["at"], rows["x"], strict=True)):
         x[i, np.asarray(at, np.int64)] = v
-    return Model(x, list(rows["lang"]))
+    labels = list(rows["lang"])
+    del rows
+    return Model(x, labels)
 
 
 def identify(docs: DataFrame, model: Model | None = None, mod: int = 3) -> DataFrame:
