@@ -151,8 +151,9 @@ def wide_links(x: np.ndarray, radius: int, near: int = RADIUS) -> list[tuple[int
     for i, j in shard_links(x, near):
         root[max(find(i), find(j))] = min(find(i), find(j))
     by_distance: list[list[np.ndarray]] = [[] for _ in range(radius + 1)]
-    for a in range(0, n, 512):
-        d = np.bitwise_count(x[a : a + 512, None] ^ x[None, a:])
+    step = max(1, min(512, (1 << 22) // max(1, n)))  # bounds the memory of a crowded shard
+    for a in range(0, n, step):
+        d = np.bitwise_count(x[a : a + step, None] ^ x[None, a:])
         at = np.argwhere((d <= radius) & (d > near))
         at = at[at[:, 1] > at[:, 0]]
         if len(at):
