@@ -114,6 +114,13 @@ def check_mix(df):
     assert again == sorted((str(r["doc_id"]), r["taken"]) for r in got)
 
 
+def test_word_count(spark):
+    texts = [None, "", " ", "\r\n \x0b\x0c", "a", " a", "a\n", "a\tb  c ", "\u00a0 x\u3000y", "\u00e9\n\t\u00e9", "$1 \\x x$", "w " * 50_000, "\n" * 50_000, "z" * 50_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r.i: r.n for r in rows.select("i", mixing.size_of(F.col("t")).alias("n")).collect()}
+    assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
 def test_mix(documents, odd, nothing):
     check_mix(documents)
     check_mix(odd)
