@@ -134,46 +134,8 @@ def shard_links(x: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def wide_links(x: np.ndarray, radius: int, near: int = RADIUS) -> list[tuple[int, int]]:
-    """Pairs more than ``near`` and at most ``radius`` apart, nearest first, that join parts not joined before.
-
-    Pairs within ``near`` count as joined.  So a shard gives fewer pairs than it has fingerprints, however dense it is.
-    """
-    n = len(x)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
-
-    for i, j in shard_links(x, near):
-        root[max(find(i), find(j))] = min(find(i), find(j))
-    by_distance: list[list[np.ndarray]] = [[] for _ in range(radius + 1)]
-    step = max(1, min(512, (1 << 22) // max(1, n)))  # bounds the memory of a crowded shard
-    for a in range(0, n, step):
-        d = np.bitwise_count(x[a : a + step, None] ^ x[None, a:])
-        at = np.argwhere((d <= radius) & (d > near))
-        at = at[at[:, 1] > at[:, 0]]
-        if len(at):
-            own = d[at[:, 0], at[:, 1]]
-            for r in np.unique(own):
-                by_distance[r].append(at[own == r] + a)
-    out = []
-    for pairs in by_distance:
-        for block in pairs:
-            for i, j in block.tolist():
-                p, q = find(i), find(j)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    out.append((i, j))
-    return out
-
-
-def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, solver=None) -> DataFrame:
+def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(u, v) links among the distinct ``fp`` of ``points`` that keep every component whole."""
-    solver = solver or shard_links
     count = points.count()
     masks = trees_for(count, radius, shard)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -182,7 +144,7 @@ def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, solver=No
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(key: tuple, fps: np.ndarray) -> list[tuple[int, int]]:
-            return [(int(fps[i]), int(fps[j])) for i, j in solver(fps.view(np.uint64), radius)] if len(fps) > 1 else []
+            return [(int(fps[i]), int(fps[j])) for i, j in shard_links(fps.view(np.uint64), radius)] if len(fps) > 1 else []
 
         key, held = None, []
         for frame in frames:
@@ -216,51 +178,251 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, see
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: bits within which most pairs of the stage's likeness lie; the stage itself does not search by bits
 WIDE = 10
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
-WIDE_SHARD = 8192
+#: documents from which common shingles are told, and in how many of them a common one is
+SAMPLE, COMMON = 8192, 8
+#: lists of up to so many sets are compared pair by pair, longer ones with pivots for so many rounds first
+CROWD, ROUNDS = 32, 1
+#: least and most bits of a set's parities (powers of two); pairs or ids that are handed to tasks rather than shuffled
+PARITY, PARITY_MOST = 512, 1 << 15
+SMALL = 1 << 20
+#: each Python worker's memory of words
+WORDS = WordHash()
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Distinct hashes of a text's shingles, ascending."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.unique(rolling(WordHash().array(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
+    return np.unique(rolling(WORDS.array(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def groups(docs: DataFrame, near: int = RADIUS, wide: int = WIDE, similarity: float = SIMILARITY, n: int = STAGE_SHINGLE) -> DataFrame:
-    """(doc_id, component_id) for deduplication.
+def set_key(s: np.ndarray) -> int:
+    """A shingle set's name: 64 bits as a signed number; zero for the empty set."""
+    import xxhash
 
-    Fingerprints ``near`` bits apart or fewer are linked as they are.  Between those and ``wide`` bits apart,
-    where unlike texts begin to occur, a link must be confirmed by its texts: the Jaccard likeness of their
-    shingles is at least ``similarity``.  Each shard proposes the nearest pairs that join what is apart.
-    """
-    fps = cut(fingerprints(docs, n))
-    points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    close = links(points.select("fp"), near)
-    pairs = cut(links(points.select("fp"), wide, WIDE_SHARD, lambda x, r: wide_links(x, r, near)).distinct())
-    named = points.select("fp", F.col("least").alias("doc_id"))
-    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(named, "fp")
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
 
-    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in one order for all sets (common ones last): two sets alike enough share one of these."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.argsort(common[at] == s, kind="stable")]
+    return s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Whether each class of shingles has an odd number in the set: two sets differ in as many shingles at least as in bits."""
+    size = min(PARITY_MOST, max(PARITY, 1 << len(s).bit_length()))
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1).tobytes()
+
+
+def fold(bits: bytes, size: int) -> np.ndarray:
+    """Parities over fewer classes (``size`` bytes)."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size))
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
+
+
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Hashes (sorted) of shingles that many texts hold, from a bounded sample; they set the order, not the result."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"h": np.concatenate([shingle_set(t, n) for t in frame["text"]] or [np.empty(0, np.uint64)]).view(np.int64)})
+
+    some = docs.select("text").where("text is not null").sample(min(1.0, SAMPLE / max(1, docs.count())), seed=SEED).distinct()
+    rows = some.mapInPandas(work, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toPandas()
+    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def candidates(points: DataFrame, similarity: float) -> DataFrame:
+    """(h, u, v) of (key, size, prefix): pairs of sets that share a prefix shingle, with h null; a crowded shingle h's sets as u, with v null."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = [np.frombuffer(x, np.int64) for x in frame["prefix"]]
+            n = [len(x) for x in parts]
+            yield pd.DataFrame({"h": np.concatenate([*parts, np.empty(0, np.int64)]), "key": np.repeat(frame["key"].to_numpy(np.int64), n), "size": np.repeat(frame["size"].to_numpy(np.int32), n)})
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(h: np.ndarray, key: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            length = np.diff(np.append(start, len(h)))
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for c in np.unique(length[(length > 1) & (length <= CROWD)]):
+                i, j = np.triu_indices(c, 1)
+                i, j = ((start[length == c][:, None] + x).ravel() for x in (i, j))
+                ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+                us.append(key[i[ok]])
+                vs.append(key[j[ok]])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            crowd = np.repeat(length > CROWD, length)
+            alone = np.arange(len(u) + crowd.sum()) >= len(u)
+            return pd.DataFrame(
+                {
+                    "h": pd.Series(np.append(u, h[crowd]), dtype="Int64").mask(~alone),
+                    "u": np.append(np.minimum(u, v), key[crowd]),
+                    "v": pd.Series(np.append(np.maximum(u, v), h[crowd]), dtype="Int64").mask(alone),
+                }
+            )
+
+        held: list[tuple[np.ndarray, ...]] = []
         for frame in frames:
-            yield pd.DataFrame({"fp": frame["fp"], "s": [shingle_set(t, n).tobytes() for t in frame["text"]]})
+            if not len(frame):
+                continue
+            now = tuple(frame[c].to_numpy() for c in ("h", "key", "size"))
+            first = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next frame
+            if first or (held and held[-1][0][-1] != now[0][0]):
+                yield solve(*(np.concatenate(x) for x in zip(*held, tuple(x[:first] for x in now), strict=True)))
+                held = []
+            held.append(tuple(x[first:] for x in now))
+        if held:
+            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    texts = asked.join(docs.select("doc_id", "text"), "doc_id").select("fp", "text").mapInPandas(shingles, "fp long, s binary")
-    # an id that repeats may name another text as well: all that are asked for are compared
-    texts = cut(texts.distinct())
-    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("fp").alias("v"), F.col("s").alias("sv")), "v")
+    dealt = points.select("key", "size", "prefix").mapInPandas(spread, "h long, key long, size int").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInPandas(work, "h long, u long, v long").distinct()
 
-    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) whose parities (key, size, bits) don't rule out that the sets are alike enough."""
+    both = pairs.join(bits.toDF("u", "nu", "bu"), "u").join(bits.toDF("v", "nv", "bv"), "v")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = []
+            differ = np.fromiter(map(least_difference, frame["bu"], frame["bv"]), np.int64, len(frame))
+            most = (1 - similarity) / (1 + similarity) * (frame["nu"].to_numpy(np.int64) + frame["nv"].to_numpy(np.int64))
+            yield frame.loc[differ <= most + 1e-6, ["u", "v"]]
+
+    return both.select("u", "v", "nu", "nv", "bu", "bv").mapInPandas(work, "u long, v long")
+
+
+def likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, like): the exact Jaccard likeness of pairs of sets."""
+    pairs = cut(pairs)
+    hand = F.broadcast if pairs.count() <= SMALL else lambda x: x
+    left = sets.select(F.col("key").alias("u"), F.col("s").alias("su")).join(hand(pairs), "u")
+    right = sets.select(F.col("key").alias("v"), F.col("s").alias("sv")).join(hand(pairs.select("v").distinct()), "v", "left_semi")
+    both = left.join(right, "v")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            like = []
             for a, b in zip(frame["su"], frame["sv"], strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common) and common > 0)
-            yield frame.loc[keep, ["u", "v"]]
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                like.append(same / (len(a) + len(b) - same))
+            yield pd.DataFrame({"u": frame["u"], "v": frame["v"], "like": np.array(like, np.float64)})
 
-    comps = connected(close.union(both.mapInPandas(confirm, "u long, v long"))).withColumnRenamed("node", "fp")
-    rooted = points.join(comps, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return both.select("u", "v", "su", "sv").mapInPandas(work, "u long, v long, like double")
+
+
+def crowd_links(crowd: DataFrame, sets: DataFrame, bits: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Confirmed (u, v) within the lists (h, key) that, with ``links``, connect all that is alike enough.
+
+    A list's pivot is compared with all its sets.  Those alike are linked and form its group; by the triangle bound
+    (1 - Jaccard is a metric) only members as near to a set outside as the bound allows stay in the list.  What is left after
+    ``ROUNDS`` pivots is compared pair by pair by parities, except within a component, and then by sets.
+    """
+    reach = 1 - similarity + 1e-9
+    rows = cut(crowd.withColumn("grp", F.lit(None).cast("long")))
+    for _ in range(ROUNDS):
+        pivots = cut(rows.where("grp is null").groupBy("h").agg(F.min("key").alias("u")))
+        if pivots.isEmpty():
+            break
+        asked = rows.join(pivots, "h").where("key <> u")
+        like = cut(likeness(asked.select("u", F.col("key").alias("v")).distinct(), sets))
+        links = links.union(like.where(F.col("like") >= similarity - 1e-9).select("u", "v"))
+        known = cut(asked.join(like.withColumnRenamed("v", "key"), ["u", "key"]).withColumn("d", 1 - F.col("like")))
+        outside = known.where(F.col("d") > reach).groupBy("h").agg(F.min("d").alias("nearest"))
+        left = known.join(outside, "h").where((F.col("d") > reach) | (F.col("d") + reach >= F.col("nearest")))
+        # a list without an ungrouped set had no pivot and waits as it is
+        idle = rows.join(pivots.select("h"), "h", "left_anti")
+        rows = cut(left.select("h", "key", F.when(F.col("d") <= reach, F.col("u")).otherwise(F.col("grp")).alias("grp")).union(idle.select("h", "key", "grp")))
+    if rows.isEmpty():
+        return links
+    links = cut(links)
+    roots = connected(links).withColumnRenamed("node", "key")
+    rooted = rows.select("h", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+    listed = rooted.join(apart, "h").join(bits, "key").select("h", "key", "root", "size", "bits").repartition("h").sortWithinPartitions("h", "key")
+
+    def solve(key: np.ndarray, root: np.ndarray, size: np.ndarray, b: np.ndarray) -> Iterator[pd.DataFrame]:
+        n, share = len(key), (1 - similarity) / (1 + similarity)
+        step = max(1, (1 << 20) // n)  # bounds the memory of a long list
+        for i in range(0, n, step):
+            differ = sum(np.bitwise_count(b[i : i + step, None, k] ^ b[None, i:, k]).astype(np.int32) for k in range(b.shape[1]))
+            ok = (differ <= share * (size[i : i + step, None] + size[None, i:]) + 1e-6) & (root[i : i + step, None] != root[None, i:])
+            u, v = np.nonzero(ok & (np.arange(n - i) > np.arange(len(ok))[:, None]))
+            yield pd.DataFrame({"u": key[i + u], "v": key[i + v]})
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            for h, part in frame.groupby("h", sort=False):
+                if held and held[0]["h"].iat[0] != h:
+                    yield from solve(*unfold(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from solve(*unfold(held))
+
+    def unfold(held: list[pd.DataFrame]) -> tuple[np.ndarray, ...]:
+        one = pd.concat(held)
+        return *(one[c].to_numpy(np.int64) for c in ("key", "root", "size")), np.stack([fold(x, PARITY // 8) for x in one["bits"]]).view(np.uint64)
+
+    pairs = possible(listed.mapInPandas(work, "u long, v long").distinct(), bits, similarity)
+    return links.union(likeness(pairs, sets).where(F.col("like") >= similarity - 1e-9).select("u", "v"))
+
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = STAGE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) for deduplication: components of all pairs of texts whose ``n``-word shingles are ``similarity`` alike.
+
+    Texts of one shingle set (also those without a word) are one point.  Candidates share a shingle of their prefixes,
+    so no pair that is alike enough is missed, and every link is confirmed by its sets.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [shingle_set(t, n) for t in frame["text"]]
+            yield pd.DataFrame(
+                {
+                    "doc_id": frame["doc_id"].astype("Int64"),
+                    "key": np.fromiter(map(set_key, sets), np.int64, len(sets)),
+                    "size": np.fromiter(map(len, sets), np.int32, len(sets)),
+                    "prefix": [prefix(s, common.value, similarity).tobytes() for s in sets],
+                    "bits": [parities(s) for s in sets],
+                }
+            )
+
+    named = cut(docs.select("doc_id", "text").mapInPandas(prefixes, "doc_id long, key long, size int, prefix binary, bits binary"))
+    points = named.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    found = cut(candidates(points, similarity))
+    bits = named.select("key", "size", "bits").dropDuplicates(["key"])
+    pairs = cut(possible(found.where("v is not null").select("u", "v"), bits, similarity))
+    crowd = found.where("v is null").select("h", F.col("u").alias("key"))
+    asked = cut(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).union(crowd.select("key")).distinct())
+    ids = named.select("key", "doc_id").join(asked, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    if asked.count() <= SMALL:
+        ids = F.broadcast(ids)
+
+    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [shingle_set(t, n) for t in frame["text"]]
+            yield pd.DataFrame({"key": np.fromiter(map(set_key, sets), np.int64, len(sets)), "s": [s.tobytes() for s in sets]})
+
+    # an id that repeats may name other texts as well: the key tells them
+    texts = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInPandas(shingles, "key long, s binary")
+    sets = cut(texts.join(asked, "key", "left_semi").dropDuplicates(["key"]))
+    sure = cut(likeness(pairs, sets).where(F.col("like") >= similarity - 1e-9).select("u", "v"))
+    comps = connected(crowd_links(crowd, sets, bits, sure, similarity)).withColumnRenamed("node", "key")
+    rooted = named.groupBy("key").agg(F.min("doc_id").alias("least")).join(comps, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return named.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
