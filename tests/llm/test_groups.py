@@ -55,3 +55,12 @@ def test_alike_texts_meet_at_any_distance_in_bits(spark):
         if bits(a, b) > simhash.WIDE and likeness(a, b) >= 0.8:
             texts += [a, b]
     assert found(spark, texts) == brute(texts) == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]
+
+
+def test_unlike_texts_of_near_fingerprints_stay_apart(spark):
+    said = "one phrase that is said once more " * 90
+    tails = [" ".join(f"t{k}x{i}" for i in range(20)) for k in range(4)]
+    texts = [said + t for t in tails]
+    assert all(likeness(a, b) < 0.8 and bits(a, b) <= simhash.RADIUS for a in texts for b in texts if a != b)
+    texts += [texts[0], "", " "]
+    assert found(spark, texts) == [0, 1, 2, 3, 0, 5, 5]
