@@ -64,3 +64,16 @@ def test_unlike_texts_of_near_fingerprints_stay_apart(spark):
     assert all(likeness(a, b) < 0.8 and bits(a, b) <= simhash.RADIUS for a in texts for b in texts if a != b)
     texts += [texts[0], "", " "]
     assert found(spark, texts) == [0, 1, 2, 3, 0, 5, 5]
+
+
+def test_dense_lists_join_only_what_is_confirmed(spark):
+    rng, texts = np.random.default_rng(12), []
+    line = [f"line{i}" for i in range(30)]
+    for words in ([f"a{i}" for i in range(150)], [f"b{i}" for i in range(150)]):
+        for _ in range(60):  # from copies to texts that are alike only over others
+            texts.append(variant(rng, words, int(rng.integers(0, 8))))
+    for k in range(80):  # unlike texts that are mostly one line
+        texts.append(" ".join(line + [f"k{k}x{i}" for i in range(int(rng.integers(5, 20)))]))
+    want = brute(texts)
+    assert 80 < len(set(want)) < len(texts) - 30
+    assert found(spark, texts) == want
