@@ -92,8 +92,9 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) ->
     """Connected components of an undirected edge list by alternating large-star and small-star steps.
 
     Returns (node, root) for every node that has an edge to another node; root is the smallest node of
-    its component.  Nulls and loops are ignored; repeated edges do no harm; no edges give no rows.  A hub
-    is only ever met as a join key (never gathered), so that skewed joins can split it.
+    its component.  Nulls and loops are ignored; repeated edges do no harm; no edges give no rows.  A hub is
+    only ever met as a join key: least neighbours are written before they are joined, so that both sides of the
+    join come from shuffles of their own and adaptive execution can split the hub's rows.
     """
     spark = edges.sparkSession
     e = cut(
@@ -105,9 +106,9 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) ->
         return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         e = cut(
             small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
@@ -122,3 +123,16 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) ->
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def component_ids(points: DataFrame, edges: DataFrame, node: str, least: str) -> DataFrame:
+    """(node, component_id): the least value of ``least`` in the component of each point (points are distinct by ``node``).
+
+    Only linked points meet by root, and what they meet there is written first, so that a component that holds a
+    large share of all points is split rather than met in one task; nor does one node's row share its stage.
+    """
+    linked = cut(connected(edges).withColumnRenamed("node", node).join(points.select(node, F.col(least).alias("component_id")), node))
+    low = cut(linked.groupBy("root").agg(F.min("component_id").alias("component_id")))
+    named = cut(linked.select(node, "root").join(low, "root").select(node, "component_id", F.lit(True).alias("linked")))
+    rest = points.select(node, F.col(least).alias("own")).join(named, node, "left")
+    return cut(rest.select(node, F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("own")).alias("component_id")))

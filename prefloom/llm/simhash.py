@@ -1,46 +1,51 @@
-"""Operator 10, SimHash near-duplicates by vantage-point partitions.
+"""Operator 10, SimHash near-duplicates by vantage-point trees.
 
 A document's fingerprint has the bits that are set in over half of its shingles' XXH64 hashes.  Two
 fingerprints are linked when at most R bits differ.  Equal fingerprints are one point; the distinct ones are
-searched exactly:
+searched exactly by a forest of vantage-point trees:
 
-*Partition.*  The 64 bits are cut into B blocks; a tree stands for every choice of C = B - R blocks.  A tree
-knows only the Hamming distance on its blocks.  Two fingerprints R or fewer bits apart agree on all of some
-tree's blocks, where the triangle bound |d(x, v) - d(y, v)| <= d(x, y) = 0 puts them at equal distance of
-every vantage point v: they meet in the same shard, and shards of one tree don't overlap.  The vantage
-points of a tree are the corners of its blocks, so a shard is one value of the blocks' bits.  B grows with
-the number of distinct fingerprints, so that shards stay small.
+*Trees.*  The 64 bits are cut into ``BLOCKS`` runs; a tree measures the Hamming distance on its own run.  Two
+fingerprints within R bits differ by at most b = R // BLOCKS bits on one of the runs, and there the triangle
+bound |d(x, v) - d(y, v)| <= d(x, y) <= b holds for every vantage point v.  A node has a vantage point and a
+radius, both chosen on a bounded sample of fingerprints (``SAMPLE``): what lies within the radius goes to one
+side, the rest to the other, and what lies within b of the radius goes to a boundary shard as well, which is
+asked for the pairs that the split parts.  No other branch can hold a partner.
 
-*Within a shard*, pivots (vantage points) are chosen so that every fingerprint is within R of one, to which
-it is linked directly.  Sets of two pivots are compared only if the triangle bound allows a link,
-d(p, q) <= r_p + r_q + R, and only by the members on the facing boundary, d(x, q) <= r_q + R; sets that are
-linked already are not compared.  So a dense group gives a spanning tree, never all pairs.
+*Shards.*  Leaves are dealt to tasks, which carry the same tree on in memory, down to buckets that are compared
+pair by pair.  Points that no split tells apart (a dense group) are compared with pivots and the triangle bound
+on all 64 bits; a dense leaf is dealt in pieces, two of which meet in each task.  Each shard returns a spanning
+forest of its links, never all pairs; components come from distributed star contraction.
 
-Components over all shards' links come from distributed star contraction.  A plain vantage-point tree on
-whole fingerprints finds the same pairs, but 64-bit fingerprints of unlike texts lie 32 +- 4 bits apart from
-any vantage point: some 70 % of them would fall within the overlap of any split, and the tree cannot prune.
+One tree on all 64 bits (BLOCKS = 1, b = 4) finds the same pairs, but unlike texts lie 32 +- 4 bits from any
+vantage point, so that some 70 % of the points fall into the boundary of each split.  With three runs it is a
+third: see ``visited`` and the README for measured shares.
 
 Defined results: null, empty and word-free texts have fingerprint zero; repeated rows are linked to each
-other; an empty table gives none; other columns are ignored.
+other; ties cannot arise, as links and least ids are unique; texts of any length are read whole; an empty table
+gives none; other columns are ignored; ids pass through untouched, and a component of null ids only has none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, connected, cut, rolling
+from .common import WordHash, component_ids, connected, cut, mix64, rolling
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: aim of a shard's mean number of fingerprints
-SHARD = 64
+BITS = 64
+BLOCKS = 3
+#: fingerprints that choose vantage points and radii; fingerprints a shard should hold; least sampled ones of a leaf
+SAMPLE, SHARD, LEAST = 16384, 8192, 16
+#: points of a bucket that are compared pair by pair, vantage points tried for a split, and points dealt at a time
+BUCKET, TRIES, CHUNK = 128, 6, 1 << 16
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -57,38 +62,112 @@ def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
     digest = xxhash.xxh64_intdigest
     last = ends[n - 1 :] if len(words) >= n else ends[-1:]
     h = np.fromiter([digest(whole[a:b], seed) for a, b in zip(starts[:m].tolist(), last.tolist(), strict=True)], np.uint64, m)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, m, 1 << 16):
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > m, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fp = np.fromiter((fingerprint(t, n, seed) for t in frame["text"]), np.uint64, len(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
-
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, fp long")
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, n, seed) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+
+
+# -- vantage-point trees ---------------------------------------------------------------------------------------------
+
+
+def runs(blocks: int) -> list[int]:
+    """Masks of ``blocks`` runs of bits."""
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+
+
+def distance(x: np.ndarray, v: int, mask: int) -> np.ndarray:
+    return np.bitwise_count((x ^ np.uint64(v)) & np.uint64(mask)).astype(np.int16)
+
+
+def split(x: np.ndarray, mask: int, bound: int, seed: int = 0) -> tuple[int, int] | None:
+    """The vantage point and radius, of some tried, that leave the fewest pairs; none if no split saves a tenth of them."""
+    tried = x[(mix64(np.arange(TRIES, dtype=np.uint64) + np.uint64(seed)) % np.uint64(len(x))).astype(np.int64)]
+    best = (0.9 * len(x) ** 2, None)
+    for v in np.unique(tried).tolist():
+        n = np.cumsum(np.bincount(distance(x, v, mask), minlength=BITS + 1)).astype(np.float64)  # points up to a distance
+        r = np.arange(BITS)
+        edge = n[np.minimum(r + bound, BITS)] - np.where(r >= bound, n[np.maximum(r - bound, 0)], 0)
+        cost = n[r] ** 2 + (len(x) - n[r]) ** 2 + (edge**2 if bound else 0)
+        k = int(cost.argmin())
+        if cost[k] < best[0]:
+            best = (cost[k], (v, k))
+    return best[1]
+
+
+def sides(d: np.ndarray, radius: int, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which points lie within the radius, beyond it, and within the bound of it on either side."""
+    inside = d <= radius
+    return inside, ~inside, (d > radius - bound) & (d <= radius + bound)
+
+
+class Tree:
+    """Nodes in arrays: vantage point, radius and three children; a negative child -1 - k is leaf k."""
+
+    def __init__(self, sample: np.ndarray, mask: int, bound: int, scale: float, shard: int):
+        """``scale`` points stand behind each sampled one."""
+        self.mask, self.bound = mask, bound
+        self.vantage, self.radius, self.children, self.pieces = [], [], [], []
+        least = max(LEAST, shard / max(scale, 1e-9))
+        self.top = self.grow(sample, least, scale, shard)
+
+    def grow(self, x: np.ndarray, least: float, scale: float, shard: int) -> int:
+        cut = split(x, self.mask, self.bound, len(self.vantage)) if len(x) > least else None
+        if cut is None:
+            self.pieces.append(max(1, int(np.ceil(len(x) * scale / (4 * shard)))) if len(x) > least else 1)
+            return -len(self.pieces)
+        node = len(self.vantage)
+        self.vantage.append(cut[0])
+        self.radius.append(cut[1])
+        self.children.append(None)
+        parts = sides(distance(x, cut[0], self.mask), cut[1], self.bound)
+        self.children[node] = tuple(self.grow(x[p], least, scale, shard) for p in parts[: 3 if self.bound else 2])
+        return node
+
+    def deal(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, places of the points that go there); a leaf of k pieces is k (k + 1) / 2 shards."""
+        first = np.cumsum([0, *(k * (k + 1) // 2 for k in self.pieces)])
+        todo = [(self.top, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            if node >= 0:
+                parts = sides(distance(x[at], self.vantage[node], self.mask), self.radius[node], self.bound)
+                todo += [(c, at[p]) for c, p in zip(self.children[node], parts) if p.any()]
+                continue
+            k, base = self.pieces[-1 - node], int(first[-1 - node])
+            piece = (mix64(x[at]) % np.uint64(k)).astype(np.int64)
+            for i in range(k):
+                for j in range(i, k):
+                    some = at[(piece == i) | (piece == j)]
+                    if len(some):
+                        yield base + j * (j + 1) // 2 + i, some
 
-def trees_for(count: int, radius: int = RADIUS, shard: int = SHARD, bits: int = 64) -> list[int]:
-    """Masks of the trees: the fewest blocks whose kept bits make shards of ``shard`` fingerprints or fewer on average."""
-    for kept in range(1, 9):
-        blocks = radius + kept
-        edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-        masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-        if count <= shard << (bits * kept // blocks) or kept == 8:
-            return [sum(c) for c in combinations(masks, kept)]
-    raise AssertionError
 
+def shard_links(x: np.ndarray, mask: int = -1, bound: int = RADIUS, radius: int = RADIUS, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (as pairs of places) that connect what is connected within ``radius`` and ``bound`` on the mask's bits.
 
-def shard_links(x: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (as pairs of places) that connect just what is connected within ``radius`` among distinct fingerprints."""
-    n, out = len(x), []
-    root = np.arange(n)
+    The tree goes on until buckets are small.  ``seen`` gathers the number of comparisons.
+    """
+    mask &= (1 << BITS) - 1
+    out: list[tuple[int, int]] = []
+    root = np.arange(len(x))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -102,101 +181,162 @@ def shard_links(x: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
             root[max(a, b)] = min(a, b)
             out.append((int(i), int(j)))
 
-    if n <= 256:
-        for i, j in np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius, 1)):
-            join(i, j)
-        return out
-    pivots, members, reach, free = [], [], [], np.arange(n)
+    def count(n: int) -> None:
+        if seen is not None:
+            seen.append(n)
+
+    todo = [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) < 2:
+            continue
+        if len(at) <= BUCKET:
+            count(len(at) * (len(at) - 1) // 2)
+            i, j = np.nonzero(np.triu(np.bitwise_count(x[at][:, None] ^ x[at][None, :]) <= radius, 1))
+            for a, b in zip(at[i].tolist(), at[j].tolist()):
+                join(a, b)
+            continue
+        cut = split(x[at], mask, bound, len(todo))
+        if cut is None:
+            dense(x, at, radius, find, join, count)
+            continue
+        count(len(at))
+        todo += [at[p] for p in sides(distance(x[at], cut[0], mask), cut[1], bound)[: 3 if bound else 2]]
+    return out
+
+
+def dense(x: np.ndarray, at: np.ndarray, radius: int, find, join, count) -> None:
+    """A group that no split tells apart: pivots, whose neighbours are linked to them at once.
+
+    Two pivots' sets are compared only where the triangle bound allows a link, d(p, q) <= r_p + r_q + R, only by
+    the members on the facing boundary, and not if they are linked already.
+    """
+    pivots, members, reach, free = [], [], [], at
     while len(free):
         d = np.bitwise_count(x[free] ^ x[free[0]])
+        count(len(free))
         near = d <= radius
         pivots.append(int(free[0]))
         members.append(free[near])
         reach.append(int(d[near].max()))
-        for j in free[near][1:]:
+        for j in free[near][1:].tolist():
             join(pivots[-1], j)
         free = free[~near]
     p, r = x[np.array(pivots)], np.array(reach)
     for a in range(len(pivots) - 1):
         between = np.bitwise_count(p[a + 1 :] ^ p[a]).astype(np.int64)
-        for b in a + 1 + np.flatnonzero(between <= r[a] + r[a + 1 :] + radius):
+        count(len(between))
+        for b in (a + 1 + np.flatnonzero(between <= r[a] + r[a + 1 :] + radius)).tolist():
             if find(pivots[a]) == find(pivots[b]):
                 continue
             u = members[a][np.bitwise_count(x[members[a]] ^ p[b]) <= r[b] + radius]
             v = members[b][np.bitwise_count(x[members[b]] ^ p[a]) <= r[a] + radius]
+            count(len(members[a]) + len(members[b]))
             if len(u) > len(v):
                 u, v = v, u
-            for i in u if len(v) else ():
+            for i in u.tolist() if len(v) else ():
+                count(len(v))
                 hit = np.flatnonzero(np.bitwise_count(x[v] ^ x[i]) <= radius)
                 if len(hit):
-                    join(i, v[hit[0]])
+                    join(i, int(v[hit[0]]))
                     break
-    return out
 
 
-def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(u, v) links among the distinct ``fp`` of ``points`` that keep every component whole."""
-    count = points.count()
-    masks = trees_for(count, radius, shard)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("tree", "part"))
-    by_shard = keyed.repartition("tree", "part").sortWithinPartitions("tree", "part", "fp")
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(key: tuple, fps: np.ndarray) -> list[tuple[int, int]]:
-            return [(int(fps[i]), int(fps[j])) for i, j in shard_links(fps.view(np.uint64), radius)] if len(fps) > 1 else []
-
-        key, held = None, []
-        for frame in frames:
-            if not len(frame):
-                continue
-            t, s, f = (frame[c].to_numpy() for c in ("tree", "part", "fp"))
-            cuts = np.concatenate(([0], np.flatnonzero((t[1:] != t[:-1]) | (s[1:] != s[:-1])) + 1, [len(f)]))
-            rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                now = (t[a], s[a])
-                if now != key:
-                    if held:
-                        rows += solve(key, np.concatenate(held) if len(held) > 1 else held[0])
-                    key, held = now, []
-                held.append(f[a:b])
-            yield pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
-        if held:
-            yield pd.DataFrame(solve(key, np.concatenate(held)), columns=["u", "v"], dtype="int64")
+def forest(points: DataFrame, count: int, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> list[Tree]:
+    """The trees, from a sample of the distinct ``fp``; about ``SAMPLE`` of them reach the driver, however many there are."""
+    share = min(1.0, SAMPLE / max(1, count))
+    some = points.select("fp").where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    sample = np.sort(np.array([r.fp for r in some.collect()], np.int64).view(np.uint64))
+    return [Tree(sample, m, radius // blocks, count / max(1, len(sample)), shard) for m in runs(blocks)]
 
-    return by_shard.mapInPandas(work, "u long, v long")
+
+def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
+    """(u, v) links among the distinct ``fp`` of ``points`` that keep every component whole."""
+    shared = points.sparkSession.sparkContext.broadcast(forest(points, points.count(), radius, blocks, shard))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for no, tree in enumerate(shared.value):
+                some = list(tree.deal(x))
+                ids = np.repeat(np.array([no << 48 | s for s, _ in some], np.int64), [len(at) for _, at in some])
+                fps = x[np.concatenate([at for _, at in some])].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fps)], ["shard", "fp"])
+
+        held, size = [], 0
+        for b in batches:
+            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(x), CHUNK):
+                held.append(x[i : i + CHUNK])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield from dealt(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield from dealt(np.concatenate(held))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(one: int, fps: np.ndarray) -> pa.RecordBatch:
+            tree = shared.value[one >> 48]
+            found = np.array(shard_links(fps.view(np.uint64), tree.mask, tree.bound, radius), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(fps[found[:, 0]]), pa.array(fps[found[:, 1]])], ["u", "v"])
+
+        for one, (fps,) in lists(batches):
+            if len(fps) > 1:
+                yield solve(one, fps)
+
+    keyed = points.select("fp").mapInArrow(deal, "shard long, fp long").repartition("shard").sortWithinPartitions("shard", "fp")
+    return keyed.mapInArrow(work, "u long, v long")
+
+
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(key, its rows' other columns) one after another, from batches that are sorted by their first column."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        at = np.concatenate(([0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1, [len(cols[0])]))
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            if held and held[0][0][0] != cols[0][i]:
+                yield int(held[0][0][0]), tuple(np.concatenate(x) for x in zip(*held))[1:]
+                held = []
+            held.append(tuple(c[i:j] for c in cols))
+    if held:
+        yield int(held[0][0][0]), tuple(np.concatenate(x) for x in zip(*held))[1:]
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the least doc_id that links reach."""
     fps = cut(fingerprints(docs, n, seed))
     points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comps = connected(links(points.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = points.join(comps, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = component_ids(points, links(points, radius), "fp", "least")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: bits within which most pairs of the stage's likeness lie; the stage itself does not search by bits
-WIDE = 10
+# -- the pipeline's stage: SimHash links and shingle prefixes propose, shingle sets confirm ------------------------------
+
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
 #: documents from which common shingles are told, and in how many of them a common one is
-SAMPLE, COMMON = 8192, 8
-#: lists of up to so many sets are compared pair by pair, longer ones with pivots for so many rounds first
-CROWD, ROUNDS = 32, 1
-#: least and most bits of a set's parities (powers of two); pairs or ids that are handed to tasks rather than shuffled
-PARITY, PARITY_MOST = 512, 1 << 15
+COMMON_SAMPLE, COMMON = 8192, 8
+#: lists of up to so many sets are compared pair by pair, longer ones with a pivot and then in pieces of so many sets
+CROWD, PIECE = 32, 4096
+#: bits of a set's parities for each shingle, and least and most of them (powers of two)
+PARITY_EACH, PARITY, PARITY_MOST = 4, 2048, 1 << 18
+#: pairs or ids that are handed to tasks rather than shuffled
 SMALL = 1 << 20
 #: each Python worker's memory of words
 WORDS = WordHash()
 
 
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return rolling(WORDS.array(words), min(n, len(words))) if words else np.empty(0, np.uint64)
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Distinct hashes of a text's shingles, ascending."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.unique(rolling(WORDS.array(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
+    return np.unique(shingle_hashes(text, n))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -206,17 +346,19 @@ def set_key(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
 
 
+def is_in(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+
+
 def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles in one order for all sets (common ones last): two sets alike enough share one of these."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        s = s[np.argsort(common[at] == s, kind="stable")]
-    return s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+    s = s[np.argsort(is_in(s, common), kind="stable")]
+    return s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1] if len(s) else s
 
 
 def parities(s: np.ndarray) -> bytes:
     """Whether each class of shingles has an odd number in the set: two sets differ in as many shingles at least as in bits."""
-    size = min(PARITY_MOST, max(PARITY, 1 << len(s).bit_length()))
+    size = min(PARITY_MOST, max(PARITY, PARITY_EACH << len(s).bit_length()))
     return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1).tobytes()
 
 
@@ -230,199 +372,277 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
 
 
+def pack_bits(bits: bytes) -> bytes:
+    """Parities are sparse: a text of few shingles sets few of the least number of bits."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(bits)
+
+
+def unpack_bits(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Hashes (sorted) of shingles that many texts hold, from a bounded sample; they set the order, not the result."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"h": np.concatenate([shingle_set(t, n) for t in frame["text"]] or [np.empty(0, np.uint64)]).view(np.int64)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.concatenate([shingle_set(t, n) for t in b.column(0).to_pylist()] or [np.empty(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    some = docs.select("text").where("text is not null").sample(min(1.0, SAMPLE / max(1, docs.count())), seed=SEED).distinct()
-    rows = some.mapInPandas(work, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toPandas()
+    some = docs.select("text").where("text is not null").sample(min(1.0, COMMON_SAMPLE / max(1, docs.count())), seed=SEED).distinct()
+    rows = some.mapInArrow(work, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def candidates(points: DataFrame, similarity: float) -> DataFrame:
-    """(h, u, v) of (key, size, prefix): pairs of sets that share a prefix shingle, with h null; a crowded shingle h's sets as u, with v null."""
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = [np.frombuffer(x, np.int64) for x in frame["prefix"]]
-            n = [len(x) for x in parts]
-            yield pd.DataFrame({"h": np.concatenate([*parts, np.empty(0, np.int64)]), "key": np.repeat(frame["key"].to_numpy(np.int64), n), "size": np.repeat(frame["size"].to_numpy(np.int32), n)})
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(h: np.ndarray, key: np.ndarray, size: np.ndarray) -> pd.DataFrame:
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            length = np.diff(np.append(start, len(h)))
-            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for c in np.unique(length[(length > 1) & (length <= CROWD)]):
-                i, j = np.triu_indices(c, 1)
-                i, j = ((start[length == c][:, None] + x).ravel() for x in (i, j))
-                ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
-                us.append(key[i[ok]])
-                vs.append(key[j[ok]])
-            u, v = np.concatenate(us), np.concatenate(vs)
-            crowd = np.repeat(length > CROWD, length)
-            alone = np.arange(len(u) + crowd.sum()) >= len(u)
-            return pd.DataFrame(
-                {
-                    "h": pd.Series(np.append(u, h[crowd]), dtype="Int64").mask(~alone),
-                    "u": np.append(np.minimum(u, v), key[crowd]),
-                    "v": pd.Series(np.append(np.maximum(u, v), h[crowd]), dtype="Int64").mask(alone),
-                }
-            )
-
-        held: list[tuple[np.ndarray, ...]] = []
-        for frame in frames:
-            if not len(frame):
+def named_sets(docs: DataFrame, n: int) -> DataFrame:
+    """A row for each document: doc_id, a hash of its text, and its shingle set's key, size, parities and fingerprint."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(t, n) for t in b.column(2).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
+            cols = [
+                pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([pack_bits(parities(s)) for s in sets], pa.binary()),
+                pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "text_hash", "key", "size", "bits", "fp"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, "doc_id long, text_hash long, key long, size int, bits binary, fp long")
+
+
+def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -> DataFrame:
+    """(h, u, v): pairs of sets that share a prefix shingle, with h null; a crowded shingle h's sets as u, with v null.
+
+    A task posts a set once, whatever the number of its copies.  Common shingles are crowded without a count: their
+    postings are dealt by set, so that no shingle gathers a large share of the sets in one task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    kind = "part long, h long, key long, size int"
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            h, key, size = [], [], []
+            for text in b.column(0).to_pylist():
+                s = shingle_set(text, n)
+                k = set_key(s)
+                if len(s) and k not in seen:
+                    seen.add(k)
+                    h.append(prefix(s, shared.value, similarity))
+                    key.append(k)
+                    size.append(len(s))
+            if not h:
+                continue
+            many = np.array([len(x) for x in h])
+            h = np.concatenate(h)
+            key, size = np.repeat(np.array(key, np.int64), many), np.repeat(np.array(size, np.int32), many)
+            crowd = is_in(h, shared.value)
+            part = np.where(crowd, mix64(key.view(np.uint64)) | np.uint64(1), h & ~np.uint64(1))  # even parts are lists
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.view(np.int64), h.view(np.int64), key, size)], ["part", "h", "key", "size"])
+
+    def record(u: np.ndarray, v: np.ndarray, h: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        """Pairs (u, v), then crowded postings (h, key)."""
+        empty = lambda n: pa.nulls(n, pa.int64())
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        cols = [pa.concat_arrays([empty(len(u)), pa.array(h)]), pa.concat_arrays([pa.array(low), pa.array(key)]), pa.concat_arrays([pa.array(high), empty(len(h))])]
+        return pa.RecordBatch.from_arrays(cols, ["h", "u", "v"])
+
+    def solve(h: np.ndarray, key: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        """Lists of one batch, sorted by (h, key)."""
+        one = np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]))  # tasks may have posted copies of a set
+        h, key, size = h[one], key[one], size[one]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        length = np.diff(np.append(start, len(h)))
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for c in np.unique(length[(length > 1) & (length <= CROWD)]):
+            i, j = np.triu_indices(c, 1)
+            i, j = ((start[length == c][:, None] + x).ravel() for x in (i, j))
+            ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            us.append(key[i[ok]])
+            vs.append(key[j[ok]])
+        crowd = np.repeat(length > CROWD, length)
+        return record(np.concatenate(us), np.concatenate(vs), h[crowd], key[crowd])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []  # the end of what was read: its last list may go on
+        crowded = None  # a long list that was passed on in part
+        for b in batches:
+            part, h, key, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            lone = (part & 1) == 1
+            if lone.any():
+                yield record(none, none, h[lone], key[lone])
+            h, key, size = h[~lone], key[~lone], size[~lone]
+            if crowded is not None:
+                more = h == crowded
+                yield record(none, none, h[more], key[more])
+                h, key, size = h[~more], key[~more], size[~more]
+            if not len(h):
                 continue
-            now = tuple(frame[c].to_numpy() for c in ("h", "key", "size"))
-            first = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next frame
-            if first or (held and held[-1][0][-1] != now[0][0]):
-                yield solve(*(np.concatenate(x) for x in zip(*held, tuple(x[:first] for x in now), strict=True)))
+            crowded = None
+            held.append((h, key, size))
+            now = tuple(np.concatenate(x) for x in zip(*held))
+            first = len(now[0]) - int(np.argmax((now[0] != now[0][-1])[::-1])) if (now[0] != now[0][-1]).any() else 0
+            if first:
+                yield solve(*(x[:first] for x in now))
+            held = [tuple(x[first:] for x in now)]
+            if len(held[0][0]) > 1 << 16:
+                crowded = int(held[0][0][0])
+                yield record(none, none, *held[0][:2])
                 held = []
-            held.append(tuple(x[first:] for x in now))
         if held:
-            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield solve(*(np.concatenate(x) for x in zip(*held)))
 
-    dealt = points.select("key", "size", "prefix").mapInPandas(spread, "h long, key long, size int").repartition("h").sortWithinPartitions("h")
-    return dealt.mapInPandas(work, "h long, u long, v long").distinct()
+    dealt = docs.select("text").mapInArrow(spread, kind).repartition("part").sortWithinPartitions("part", "h", "key")
+    return dealt.mapInArrow(work, "h long, u long, v long").distinct()
 
 
-def possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+def possible(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
     """The (u, v) whose parities (key, size, bits) don't rule out that the sets are alike enough."""
+    bits = points.select("key", "size", "bits")
     both = pairs.join(bits.toDF("u", "nu", "bu"), "u").join(bits.toDF("v", "nv", "bv"), "v")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            differ = np.fromiter(map(least_difference, frame["bu"], frame["bv"]), np.int64, len(frame))
-            most = (1 - similarity) / (1 + similarity) * (frame["nu"].to_numpy(np.int64) + frame["nv"].to_numpy(np.int64))
-            yield frame.loc[differ <= most + 1e-6, ["u", "v"]]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, nu, nv = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            differ = np.fromiter((least_difference(unpack_bits(x), unpack_bits(y)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())), np.int64, len(u))
+            ok = differ <= (1 - similarity) / (1 + similarity) * (nu.astype(np.int64) + nv) + 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
-    return both.select("u", "v", "nu", "nv", "bu", "bv").mapInPandas(work, "u long, v long")
+    return both.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(work, "u long, v long")
 
 
-def likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, like): the exact Jaccard likeness of pairs of sets."""
-    pairs = cut(pairs)
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` (written, distinct) whose sets' exact Jaccard likeness is high enough."""
     hand = F.broadcast if pairs.count() <= SMALL else lambda x: x
     left = sets.select(F.col("key").alias("u"), F.col("s").alias("su")).join(hand(pairs), "u")
     right = sets.select(F.col("key").alias("v"), F.col("s").alias("sv")).join(hand(pairs.select("v").distinct()), "v", "left_semi")
-    both = left.join(right, "v")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            like = []
-            for a, b in zip(frame["su"], frame["sv"], strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                like.append(same / (len(a) + len(b) - same))
-            yield pd.DataFrame({"u": frame["u"], "v": frame["v"], "like": np.array(like, np.float64)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("u", "v", "su", "sv").mapInPandas(work, "u long, v long, like double")
+    return left.join(right, "v").select("u", "v", "su", "sv").mapInArrow(work, "u long, v long")
 
 
-def crowd_links(crowd: DataFrame, sets: DataFrame, bits: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Confirmed (u, v) within the lists (h, key) that, with ``links``, connect all that is alike enough.
+def crowd_pairs(crowd: DataFrame, points: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) within the lists (h, key) of sets of different components whose folded parities don't rule out a link.
 
-    A list's pivot is compared with all its sets.  Those alike are linked and form its group; by the triangle bound
-    (1 - Jaccard is a metric) only members as near to a set outside as the bound allows stay in the list.  What is left after
-    ``ROUNDS`` pivots is compared pair by pair by parities, except within a component, and then by sets.
+    A list is met in pieces of about ``PIECE`` sets, two pieces in a task; within a task, components are compared whole
+    with what comes after them.
     """
-    reach = 1 - similarity + 1e-9
-    rows = cut(crowd.withColumn("grp", F.lit(None).cast("long")))
-    for _ in range(ROUNDS):
-        pivots = cut(rows.where("grp is null").groupBy("h").agg(F.min("key").alias("u")))
-        if pivots.isEmpty():
-            break
-        asked = rows.join(pivots, "h").where("key <> u")
-        like = cut(likeness(asked.select("u", F.col("key").alias("v")).distinct(), sets))
-        links = links.union(like.where(F.col("like") >= similarity - 1e-9).select("u", "v"))
-        known = cut(asked.join(like.withColumnRenamed("v", "key"), ["u", "key"]).withColumn("d", 1 - F.col("like")))
-        outside = known.where(F.col("d") > reach).groupBy("h").agg(F.min("d").alias("nearest"))
-        left = known.join(outside, "h").where((F.col("d") > reach) | (F.col("d") + reach >= F.col("nearest")))
-        # a list without an ungrouped set had no pivot and waits as it is
-        idle = rows.join(pivots.select("h"), "h", "left_anti")
-        rows = cut(left.select("h", "key", F.when(F.col("d") <= reach, F.col("u")).otherwise(F.col("grp")).alias("grp")).union(idle.select("h", "key", "grp")))
-    if rows.isEmpty():
-        return links
-    links = cut(links)
-    roots = connected(links).withColumnRenamed("node", "key")
-    rooted = rows.select("h", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    apart = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-    listed = rooted.join(apart, "h").join(bits, "key").select("h", "key", "root", "size", "bits").repartition("h").sortWithinPartitions("h", "key")
-
-    def solve(key: np.ndarray, root: np.ndarray, size: np.ndarray, b: np.ndarray) -> Iterator[pd.DataFrame]:
-        n, share = len(key), (1 - similarity) / (1 + similarity)
-        step = max(1, (1 << 20) // n)  # bounds the memory of a long list
-        for i in range(0, n, step):
-            differ = sum(np.bitwise_count(b[i : i + step, None, k] ^ b[None, i:, k]).astype(np.int32) for k in range(b.shape[1]))
-            ok = (differ <= share * (size[i : i + step, None] + size[None, i:]) + 1e-6) & (root[i : i + step, None] != root[None, i:])
-            u, v = np.nonzero(ok & (np.arange(n - i) > np.arange(len(ok))[:, None]))
-            yield pd.DataFrame({"u": key[i + u], "v": key[i + v]})
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            for h, part in frame.groupby("h", sort=False):
-                if held and held[0]["h"].iat[0] != h:
-                    yield from solve(*unfold(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from solve(*unfold(held))
+    rooted = crowd.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lists_ = rooted.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    k = F.ceil(F.col("n") / PIECE).cast("int")
+    apart = cut(rooted.join(cut(lists_.select("h", k.alias("k"))), "h").select("h", "k", "key", "root"))
+    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = apart.withColumn("pair", F.explode(other)).withColumn("list", F.xxhash64("h", "pair.i", "pair.j"))
+    listed = dealt.select("list", "key", "root").join(points.select("key", "size", "bits"), "key").select("list", "root", "key", "size", "bits")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = (1 - similarity) / (1 + similarity)
+        for _, (root, key, size, blobs) in lists(batches):
+            order = np.argsort(root, kind="stable")
+            root, key, size = root[order], key[order], size[order].astype(np.int32)
+            bits = np.stack([fold(unpack_bits(blobs[i]), PARITY // 8) for i in order]).view(np.uint64)
+            start = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+            end, step = np.append(start[1:], len(root)), max(1, (1 << 20) // len(root))  # bounds the memory of a long list
+            for a, b in zip(start.tolist(), end.tolist()):
+                for i in range(a, b, step):
+                    j = min(b, i + step)
+                    differ = np.zeros((j - i, len(root) - b), np.int32)
+                    for w in range(bits.shape[1]):
+                        differ += np.bitwise_count(bits[i:j, None, w] ^ bits[None, b:, w])
+                    x, y = np.nonzero(differ <= share * (size[i:j, None] + size[None, b:]) + 1e-6)
+                    if len(x):
+                        u, v = key[i + x], key[b + y]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return listed.repartition("list").sortWithinPartitions("list", "key").mapInArrow(work, "u long, v long").distinct()
+
+
+def sets_of(docs: DataFrame, keys: DataFrame, named: DataFrame, n: int) -> DataFrame:
+    """(key, s): the shingle sets of some keys, each from one of the documents that have it."""
+    at = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    ids = named.select("key", "doc_id", "text_hash").join(keys, "key").groupBy("key").agg(F.min(at).alias("at")).select("at.doc_id", "at.text_hash").distinct()
+    if keys.count() <= SMALL:
+        ids = F.broadcast(ids)
 
-    def unfold(held: list[pd.DataFrame]) -> tuple[np.ndarray, ...]:
-        one = pd.concat(held)
-        return *(one[c].to_numpy(np.int64) for c in ("key", "root", "size")), np.stack([fold(x, PARITY // 8) for x in one["bits"]]).view(np.uint64)
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, n) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "s"])
 
-    pairs = possible(listed.mapInPandas(work, "u long, v long").distinct(), bits, similarity)
-    return links.union(likeness(pairs, sets).where(F.col("like") >= similarity - 1e-9).select("u", "v"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = d.join(ids, d["doc_id"].eqNullSafe(ids["doc_id"]) & (d["text_hash"] == ids["text_hash"]), "left_semi")
+    return cut(texts.select("text").mapInArrow(shingles, "key long, s binary").dropDuplicates(["key"]))
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = STAGE_SHINGLE) -> DataFrame:
-    """(doc_id, component_id) for deduplication: components of all pairs of texts whose ``n``-word shingles are ``similarity`` alike.
+def set_links(docs: DataFrame, named: DataFrame, points: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Confirmed (u, v) among keys that connect all that is alike enough.
 
-    Texts of one shingle set (also those without a word) are one point.  Candidates share a shingle of their prefixes,
-    so no pair that is alike enough is missed, and every link is confirmed by its sets.
+    Fingerprints within ``RADIUS`` bits and sets that share a prefix shingle are candidates.  First each set meets one
+    partner of each kind and a crowded list its pivot; only what lies in different components then is compared further.
     """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
-
-    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_set(t, n) for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"].astype("Int64"),
-                    "key": np.fromiter(map(set_key, sets), np.int64, len(sets)),
-                    "size": np.fromiter(map(len, sets), np.int32, len(sets)),
-                    "prefix": [prefix(s, common.value, similarity).tobytes() for s in sets],
-                    "bits": [parities(s) for s in sets],
-                }
-            )
-
-    named = cut(docs.select("doc_id", "text").mapInPandas(prefixes, "doc_id long, key long, size int, prefix binary, bits binary"))
-    points = named.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    found = cut(candidates(points, similarity))
-    bits = named.select("key", "size", "bits").dropDuplicates(["key"])
-    pairs = cut(possible(found.where("v is not null").select("u", "v"), bits, similarity))
+    least = cut(points.groupBy("fp").agg(F.min("key").alias("key")))
+    near = links(least.select("fp")).join(least.toDF("u", "ku"), "u").join(least.toDF("v", "kv"), "v").select(F.least("ku", "kv").alias("u"), F.greatest("ku", "kv").alias("v"))
+    same = points.join(least.toDF("fp", "u"), "fp").where("key <> u").select("u", F.col("key").alias("v"))
+    found = cut(candidates(docs, n, common_shingles(docs, n), similarity))
+    pairs = cut(possible(found.where("v is not null").select("u", "v"), points, similarity))
     crowd = found.where("v is null").select("h", F.col("u").alias("key"))
-    asked = cut(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).union(crowd.select("key")).distinct())
-    ids = named.select("key", "doc_id").join(asked, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    if asked.count() <= SMALL:
-        ids = F.broadcast(ids)
+    pivots = cut(crowd.groupBy("h").agg(F.min("key").alias("u")))
+    by_pivot = crowd.join(pivots, "h").where("key <> u").select("u", F.col("key").alias("v"))
+    first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    first = cut(first.union(possible(near.union(same).union(by_pivot).distinct(), points, similarity)).distinct())
+    keys = lambda p: p.select(F.col("u").alias("key")).union(p.select("v")).distinct()
+    sure = cut(confirmed(first, sets_of(docs, cut(keys(first)), named, n), similarity))
+    roots = cut(connected(sure).withColumnRenamed("node", "key"))
+    of = lambda k: roots.select(F.col("key").alias(k), F.col("root").alias(f"r{k}"))
+    left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    rest = cut(left.union(possible(crowd_pairs(crowd, points, roots, similarity), points, similarity)).exceptAll(first.select("u", "v")).distinct())
+    if rest.isEmpty():
+        return sure
+    return sure.union(confirmed(rest, sets_of(docs, cut(keys(rest)), named, n), similarity))
+
+
+def _grouped(docs: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(doc_id, text_hash, root): the component of each document, by its shingle set."""
+    named = cut(named_sets(docs, n))
+    points = cut(named.groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fp").alias("fp")))
+    roots = component_ids(points.select("key"), set_links(docs, named, points, similarity, n), "key", "key").withColumnRenamed("component_id", "root")
+    return cut(named.select("doc_id", "text_hash", "key").join(roots, "key").select("doc_id", "text_hash", "root"))
+
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = STAGE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) for deduplication: components of all pairs of texts whose ``n``-word shingles are ``similarity`` alike.
 
-    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_set(t, n) for t in frame["text"]]
-            yield pd.DataFrame({"key": np.fromiter(map(set_key, sets), np.int64, len(sets)), "s": [s.tobytes() for s in sets]})
-
-    # an id that repeats may name other texts as well: the key tells them
-    texts = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInPandas(shingles, "key long, s binary")
-    sets = cut(texts.join(asked, "key", "left_semi").dropDuplicates(["key"]))
-    sure = cut(likeness(pairs, sets).where(F.col("like") >= similarity - 1e-9).select("u", "v"))
-    comps = connected(crowd_links(crowd, sets, bits, sure, similarity)).withColumnRenamed("node", "key")
-    rooted = named.groupBy("key").agg(F.min("doc_id").alias("least")).join(comps, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    Texts of one shingle set (also those without a word) are one point.  Prefixes miss no pair that is alike enough,
+    and every link is confirmed by its sets.
+    """
+    rows = _grouped(docs, similarity, n)
+    low = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return rows.join(low, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, n: int = STAGE_SHINGLE) -> DataFrame:
+    """The one row of ``docs`` of each group that has the least doc_id (then text hash); null ids come last, equal rows leave one."""
+    rows = _grouped(docs, similarity, n)
+    at = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_hash")
+    best = rows.groupBy("root").agg(F.min(at).alias("at")).select("at.doc_id", "at.text_hash")
+    times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    keep = cut(best.join(times, best["doc_id"].eqNullSafe(times["doc_id"]) & (best["text_hash"] == times["text_hash"])).select(best["doc_id"].alias("__id"), best["text_hash"].alias("__hash"), "times"))
+    pick = lambda k: docs.join(k, docs["doc_id"].eqNullSafe(k["__id"]) & (F.xxhash64(docs["text"]) == k["__hash"]), "left_semi")
+    once, more = keep.where("times = 1"), keep.where("times > 1")
+    return pick(once).unionByName(pick(more).dropDuplicates(["doc_id", "text"]))

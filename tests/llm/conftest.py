@@ -15,6 +15,10 @@ ROWS = [
     (None, "ein kurzer Text mit wenigen Wörtern 😀 über Straßen", "de", "c", None),
     (7, "x", None, "c", 1),
     (8, "12345 678 !!", "fr", "c", 12),
+    (1 << 53, "ids that no double holds", "en", "c", 24),
+    ((1 << 53) + 1, "ids that no double holds either", "en", "c", 31),
+    ((1 << 63) - 1, "the greatest id of all", "en", "d", 22),
+    (-(1 << 63), "the least id of all", "en", "d", 19),
 ]
 
 

@@ -55,7 +55,7 @@ def random_points(rng, n, dense):
     base = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
     for _ in range(dense):  # near copies of near copies
         i, j = rng.integers(0, n, 2)
-        base[i] = base[j] ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(1, 6))))
+        base[i] = base[j] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
     return np.unique(base)
 
 
@@ -84,20 +84,61 @@ def test_shards_keep_components_whole():
         assert components(len(x), got) == components(len(x), near)
 
 
+def near_pairs(x):
+    return np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4, 1))
+
+
 def test_trees_meet_every_near_pair():
     rng = np.random.default_rng(6)
-    for count in (100, 1 << 20, 1 << 28, 1 << 36):
-        masks = S.trees_for(count)
-        for _ in range(200):
-            d = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-            assert any(d & m == 0 for m in masks)
+    x = random_points(rng, 3000, 3000)
+    for blocks in (1, 2, 3, 5):
+        trees = [S.Tree(x[::7], m, 4 // blocks, 7.0, 256) for m in S.runs(blocks)]
+        assert blocks == 1 or all(len(t.pieces) > 8 for t in trees)
+        met = set()
+        for no, tree in enumerate(trees):
+            for leaf, at in tree.deal(x):
+                met |= {(no, leaf, int(p)) for p in at}
+        where = {}
+        for no, leaf, p in met:
+            where.setdefault(p, set()).add((no, leaf))
+        assert all(where[i] & where[j] for i, j in near_pairs(x).tolist())
+
+
+def test_pruned_shards_keep_components_whole():
+    x = random_points(np.random.default_rng(8), 4000, 1000)
+    want = components(len(x), near_pairs(x).tolist())
+    for blocks in (2, 3, 5):
+        pairs, seen = [], []
+        for m in S.runs(blocks):
+            pairs += S.shard_links(x, m, 4 // blocks, 4, seen)
+        assert components(len(x), pairs) == want
+        assert sum(seen) < 0.6 * len(x) ** 2 / 2  # the triangle bound prunes
+
+
+def test_dense_leaves_are_dealt_in_pieces():
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 1 << 63, dtype=np.uint64)
+    x = np.unique(one ^ np.array([sum(1 << int(b) for b in rng.choice(60, 3, replace=False)) for _ in range(2000)], np.uint64))
+    tree = S.Tree(x, 0, 0, 1.0, 64)  # no bit tells them apart
+    assert tree.pieces[0] > 4
+    met = [set(at.tolist()) for _, at in tree.deal(x)]
+    assert max(map(len, met)) < len(x)
+    assert all(any(i in m and j in m for m in met) for i, j in rng.integers(0, len(x), (200, 2)).tolist())
 
 
 def test_distributed_links(spark):
     x = random_points(np.random.default_rng(7), 800, 900)
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
     place = {int(v): i for i, v in enumerate(x.view(np.int64))}
-    near = np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4, 1))
-    for shard in (64, 1):  # one and more kept blocks
+    for shard in (8192, 64):  # one leaf and many
         pairs = [(place[r.u], place[r.v]) for r in S.links(df, shard=shard).collect()]
-        assert components(len(x), pairs) == components(len(x), near)
+        assert components(len(x), pairs) == components(len(x), near_pairs(x).tolist())
+
+
+def test_star_and_chain_components(spark):
+    from prefloom.llm.common import component_ids
+
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 700)]
+    points = spark.range(800).selectExpr("id as node", "id + 5 as least")
+    got = {r.node: r.component_id for r in component_ids(points, spark.createDataFrame(edges, "u long, v long"), "node", "least").collect()}
+    assert got == {i: 5 if i < 400 else 505 if 500 <= i <= 700 else i + 5 for i in range(800)}
