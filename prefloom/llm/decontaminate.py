@@ -1,35 +1,38 @@
 """Operator 5, benchmark decontamination by winnowing.
 
 Benchmark items and documents are reduced to winnowed fingerprints: of the K-gram hashes in each window of
-W consecutive ones, the least is kept.  With K + W - 1 <= SPAN, two texts that share SPAN consecutive words
-share a fingerprint, so that joining fingerprints misses no span; each shared fingerprint is then extended,
-word by word, to the longest run that both texts hold.  Runs of SPAN words or more are hits.  An item of
-fewer words than SPAN is one window: its whole word sequence is looked up at every place.
+K + W - 1 = SPAN words, the least is kept.  Two texts that share SPAN consecutive words share the fingerprint
+of that window, so that looking up a document's fingerprints among the benchmark's misses no span.  Where a
+fingerprint meets, the windows it stands for are compared, and windows that follow each other are one longer
+run: a hit is extended window by window, in time linear in the document, however often words repeat.  An item
+of fewer words than SPAN is one window: its whole word sequence is looked up at every place.
 
-The benchmark's index is handed to all tasks only while its text is below ``INDEX_BYTES``; a larger
-benchmark is matched by a shuffled join on fingerprints, and candidates are extended pair by pair.
+The benchmark's index is handed to all tasks in blocks of at most ``INDEX_BYTES`` of text (or one item); a
+benchmark of several blocks is matched block by block, and what the blocks find in a document is added up.
+Documents are read where they lie: no text and no fingerprint is shuffled, so no common passage is a hot key.
+Items that hold the same window share one list of owners.
 
 Defined results: null and empty texts have no words; an item without words never occurs; items that repeat
 an id count once; a null item_id is written as an empty string; repeated documents each get their result;
-an empty table of either kind gives the documents there are, uncontaminated.
+texts of any length are read whole; ids pass through untouched; an empty table of either kind gives the
+documents there are, uncontaminated; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, rolling
+from .common import WordHash, cut, rolling
 
 SPAN = 10
 K = 5
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
 #: lower-cases A-Z and turns every other ASCII character that is no letter or digit into a space
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<int>"
@@ -39,169 +42,142 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TO_WORDS).split() if text else []
 
 
-def winnow(h: np.ndarray, span: int = SPAN, k: int = K) -> np.ndarray:
-    """Places of the kept hashes among the K-gram hashes of a text that has at least ``span`` words."""
+def least_places(g: np.ndarray, span: int = SPAN, k: int = K) -> np.ndarray:
+    """For each window of ``span`` words, the place of the least of its K-gram hashes (the first one of equal ones)."""
     w = span - k + 1
-    if len(h) < w:
+    if len(g) < w:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, w)
-    return np.unique(np.arange(len(view)) + view.argmin(axis=1))
+    view = np.lib.stride_tricks.sliding_window_view(g, w)
+    return np.arange(len(view)) + view.argmin(axis=1)
 
 
 class Index:
-    """Benchmark items' word hashes and fingerprints, sorted for lookup."""
+    """Benchmark items' fingerprints and windows, sorted for lookup; windows point to the list of items that hold them."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], span: int = SPAN, k: int = K):
         self.span, self.k = span, k
-        memo, f, at, item = WordHash(), [], [], []
-        self.ids, self.words = [], []
-        self.short: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for name, words in sorted(set((n, tuple(w)) for n, w in items)):
-            no = len(self.ids)
+        memo, prints = WordHash(), []
+        grams: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        self.ids = sorted({name for name, words in items if words})
+        place = {name: i for i, name in enumerate(self.ids)}
+        for name, words in items:
             if not words:
                 continue
-            h = memo.array(list(words))
-            self.ids.append(name)
-            self.words.append(h)
-            if len(words) < span:
-                self.short[len(words)][h.tobytes()].add(no)
+            h, n = memo.array(words), min(len(words), span)
+            if n == span:
+                g = rolling(h, k)
+                prints.append(np.unique(g[least_places(g, span, k)]))
+            windows = np.unique(rolling(h, n))
+            some = grams.setdefault(n, ([], []))
+            some[0].append(windows)
+            some[1].append(np.full(len(windows), place[name]))
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
+        #: by length: the windows' hashes, and for each its list of owners
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.owners: list[list[int]] = []
+        known: dict[bytes, int] = {}
+        for n, (hashes, of) in grams.items():
+            h, item = np.concatenate(hashes), np.concatenate(of)
+            order = np.lexsort((item, h))
+            h, item = h[order], item[order]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            own = []
+            for a, b in zip(start.tolist(), np.append(start[1:], len(h)).tolist()):
+                some = np.unique(item[a:b])
+                no = known.setdefault(some.tobytes(), len(self.owners))
+                if no == len(self.owners):
+                    self.owners.append(some.tolist())
+                own.append(no)
+            self.windows[n] = (h[start], np.array(own, np.int64))
+
+    def hits(self, h: np.ndarray) -> tuple[set[int], list[int]]:
+        """(numbers of the items with occurring windows, merged runs as first words and ends in turn) in a document's word hashes."""
+        lists: set[int] = set()
+        cover = None
+        for n, (windows, own) in self.windows.items():
+            if len(h) < n:
                 continue
-            g = rolling(h, k)
-            keep = winnow(g, span, k)
-            f.append(g[keep])
-            at.append(keep)
-            item.append(np.full(len(keep), no))
-        f = np.concatenate(f) if f else np.empty(0, np.uint64)
-        order = np.argsort(f, kind="stable")
-        self.f = f[order]
-        self.at = (np.concatenate(at) if at else np.empty(0, np.int64))[order]
-        self.item = (np.concatenate(item) if item else np.empty(0, np.int64))[order]
-        self.distinct = np.unique(self.f)
-        self.short = {n: (np.array(sorted(rolling(np.frombuffer(b, np.uint64), n)[0] for b in d), np.uint64), dict(d)) for n, d in self.short.items()}
-
-    def hits(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item number, first word, end) of all runs in a document's word hashes; runs may overlap."""
-        out: set[tuple[int, int, int]] = set()
-        if len(h) >= self.span and len(self.f):
-            g = rolling(h, self.k)
-            near = self.distinct[np.minimum(np.searchsorted(self.distinct, g), len(self.distinct) - 1)] == g
-            if near.any():
-                keep = winnow(g, self.span, self.k)
-                done: dict[tuple[int, int], int] = {}  # (item, shift): end of the run that was extended last
-                for p in keep[near[keep]]:
-                    lo, hi = np.searchsorted(self.f, g[p]), np.searchsorted(self.f, g[p], side="right")
-                    for x in range(lo, hi):
-                        no, q = int(self.item[x]), int(self.at[x])
-                        if done.get((no, p - q), -1) > p:
-                            continue
-                        a, b = extend(h, int(p), self.words[no], q)
-                        done[no, p - q] = b
-                        if b - a >= self.span:
-                            out.add((no, a, b))
-        for n, (grams, by) in self.short.items():
-            g = rolling(h, n)
-            if len(g):
-                for p in np.flatnonzero(np.isin(g, grams)):
-                    for no in by.get(h[p : p + n].tobytes(), ()):
-                        out.add((no, int(p), int(p) + n))
-        return sorted(out)
-
-
-def extend(a: np.ndarray, p: int, b: np.ndarray, q: int) -> tuple[int, int]:
-    """The longest run of equal words around a[p] and b[q], as first word and end in ``a``; empty if these differ."""
-    if a[p] != b[q]:
-        return p, p
-    n = min(p, q)
-    left = np.flatnonzero(a[p - n : p][::-1] != b[q - n : q][::-1])
-    start = p - (int(left[0]) if len(left) else n)
-    n = min(len(a) - p, len(b) - q)
-    right = np.flatnonzero(a[p : p + n] != b[q : q + n])
-    return start, p + (int(right[0]) if len(right) else n)
-
-
-def _row(doc_id, n_words: int, names: set[str], spans: list[tuple[int, int]]) -> tuple:
-    merged: list[int] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1]:
-            merged[-1] = max(merged[-1], b)
+            start = np.arange(len(h) - n + 1)
+            if n == self.span:
+                g = rolling(h, self.k)
+                meets = is_in(g, self.prints)
+                if not meets.any():
+                    continue
+                start = start[meets[least_places(g, self.span, self.k)]]
+            found = rolling(h, n)[start]
+            at = np.minimum(np.searchsorted(windows, found), len(windows) - 1)
+            ok = windows[at] == found
+            if ok.any():
+                lists.update(np.unique(own[at[ok]]).tolist())
+                cover = np.zeros(len(h) + 1, np.int64) if cover is None else cover
+                np.add.at(cover, start[ok], 1)
+                np.add.at(cover, start[ok] + n, -1)
+        if cover is None:
+            return set(), []
+        inside = np.concatenate(([False], np.cumsum(cover)[:-1] > 0, [False]))
+        return set().union(*(self.owners[i] for i in lists)), np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+
+
+def is_in(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
+
+
+def merged(spans: list[int]) -> list[int]:
+    """Runs in any order, with those that touch made one."""
+    out: list[int] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2])):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
         else:
-            merged += [a, b]
-    n_hit = sum(merged[1::2]) - sum(merged[::2])
-    found = sorted(names)
-    return doc_id, n_words, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), n_hit > 0, found, merged
+            out += [a, b]
+    return out
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"doc_id": "Int64"})
+def records(doc_id: pa.Array, n_words: list[int], names: list[list[str]], spans: list[list[int]]) -> pa.RecordBatch:
+    n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+    cols = [doc_id, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha, pa.string())]
+    cols += [pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in OUT.split(", ")])
 
 
 def _by_index(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx, memo = shared.value, WordHash()
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+        for b in batches:
+            n, names, spans = [], [], []
+            for text in b.column(1).to_pylist():
                 words = words_of(text)
-                hits = idx.hits(memo.array(words)) if words else []
-                rows.append(_row(doc_id, len(words), {idx.ids[i] for i, _, _ in hits}, [x[1:] for x in hits]))
-            yield _frame(rows)
-
-    return docs.select("doc_id", "text").mapInPandas(work, OUT)
+                found, runs = idx.hits(memo.array(words)) if words else ((), [])
+                n.append(len(words))
+                names.append(sorted(idx.ids[i] for i in found))
+                spans.append(runs)
+            yield records(b.column(0), n, names, spans)
 
+    return docs.select("doc_id", "text").mapInArrow(work, OUT)
 
-def _by_join(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
-    """For benchmarks of any size: fingerprints of both sides meet in a shuffled join."""
-    from .common import cut
 
-    def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHash()
-        for frame in frames:
-            rows = []
-            for row, text, n in zip(frame["row"], frame["text"], frame["short"], strict=True):
-                h = memo.array(words_of(text))
-                g = rolling(h, k)
-                rows += [(row, int(x.astype(np.int64))) for x in np.unique(g[winnow(g, span, k)])] if len(h) >= span else []
-                for m in n:  # lengths below span, offset so that they never meet other lengths
-                    rows += [(row, int(x.astype(np.int64))) for x in np.unique(rolling(h, int(m)) + np.uint64(m))]
-            yield pd.DataFrame(rows, columns=["row", "f"]).astype({"row": "int64", "f": "int64"})
+def _by_blocks(docs: DataFrame, items: DataFrame, blocks: int, span: int, k: int) -> DataFrame:
+    """For benchmarks of any size: block after block, each handed to the tasks; rows are told by a number that is written first."""
+    d = cut(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    one, found = None, None
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        part = _by_index(d.select(F.col("row").alias("doc_id"), "text"), Index([(r[0], words_of(r[1])) for r in rows], span, k))
+        one = part if one is None else one
+        part = cut(part.where("n_hit > 0").select(F.col("doc_id").alias("row"), "items", "spans"))
+        found = part if found is None else found.union(part)
+    base = one.select(F.col("doc_id").alias("row"), "n_words").join(d.select("row", "doc_id"), "row")
+    found = found.groupBy("row").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[["row"]].assign(n=[len(words_of(t)) for t in frame["text"]])
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, names, spans = (b.column(i).to_pylist() for i in (1, 2, 3))
+            yield records(b.column(0), n, [sorted(set().union(*(x or []))) for x in names], [merged([y for x in s or [] for y in x]) for s in spans])
 
-    d = cut(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-    b = cut(items.withColumn("row", F.monotonically_increasing_id()))
-    lengths = [r[0] for r in b.mapInPandas(count, "row long, n long").where(f"n between 1 and {span - 1}").select("n").distinct().collect()]  # below span
-    none, some = F.array().cast("array<int>"), F.array(*[F.lit(int(x)) for x in lengths]).cast("array<int>")
-    n_b = b.join(b.mapInPandas(count, "row long, n long"), "row")
-    fb = n_b.withColumn("short", F.when(F.col("n").between(1, span - 1), F.array(F.col("n").cast("int"))).otherwise(none)).select("row", "text", "short").mapInPandas(prints, "row long, f long")
-    fd = d.withColumn("short", some).select("row", "text", "short").mapInPandas(prints, "row long, f long")
-    pairs = fd.join(fb.withColumnRenamed("row", "item"), "f").select("row", "item").distinct()
-    full = pairs.join(b.select(F.col("row").alias("item"), "item_id", F.col("text").alias("item_text")), "item").join(d.select("row", "text"), "row")
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHash()
-        for frame in frames:
-            rows = []
-            for row, name, item, text in zip(frame["row"], frame["item_id"], frame["item_text"], frame["text"], strict=True):
-                got = Index([(name, words_of(item))], span, k).hits(memo.array(words_of(text)))
-                rows += [(row, name, a, e) for _, a, e in got]
-            yield pd.DataFrame(rows, columns=["row", "name", "a", "e"]).astype({"row": "int64", "a": "int32", "e": "int32"})
-
-    found = full.mapInPandas(check, "row long, name string, a int, e int").groupBy("row").agg(F.collect_set("name").alias("names"), F.collect_set(F.struct("a", "e")).alias("spans"))
-
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield _frame(
-                [
-                    _row(i, len(words_of(t)), set() if n is None else set(n), [] if s is None else [(x["a"], x["e"]) for x in s])
-                    for i, t, n, s in zip(frame["doc_id"], frame["text"], frame["names"], frame["spans"], strict=True)
-                ]
-            )
-
-    return d.join(found, "row", "left").select("doc_id", "text", "names", "spans").mapInPandas(finish, OUT)
+    return base.join(found, "row", "left").select("doc_id", "n_words", "items", "spans").mapInArrow(finish, OUT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -211,5 +187,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if size > index_bytes:
-        return _by_join(docs, items, span, k)
+        return _by_blocks(docs, items, int(2 * size // max(1, index_bytes)) + 1, span, k)
     return _by_index(docs, Index([(r[0], words_of(r[1])) for r in items.collect()], span, k))

@@ -50,14 +50,14 @@ ITEMS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 400])
 def test_equals_brute_force(spark, odd, limit):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = rows(D.decontaminate(odd, bench, index_bytes=limit))
     assert got == brute([(r.doc_id, r.text) for r in odd.collect()], ITEMS)
 
 
-@pytest.mark.parametrize("limit", [1 << 24, 0])
+@pytest.mark.parametrize("limit", [1 << 24, 40000])
 def test_documents(spark, documents, limit):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     got = rows(D.decontaminate(documents, bench, index_bytes=limit))
@@ -78,5 +78,15 @@ def test_every_long_shared_span_is_found():
         item = [b"w%d" % x for x in rng.integers(0, 30, 40)]
         at = int(rng.integers(0, 30))
         doc = [b"d%d" % x for x in rng.integers(0, 30, 15)] + item[at : at + 10] + [b"z"] * 5
-        hits = D.Index([("i", item)]).hits(D.WordHash().array(doc))
-        assert any(a <= 15 and b >= 25 for _, a, b in hits)
+        items, runs = D.Index([("i", item)]).hits(D.WordHash().array(doc))
+        assert items == {0} and any(a <= 15 and b >= 25 for a, b in zip(runs[::2], runs[1::2]))
+
+
+def test_repeated_words_take_linear_time():
+    import time
+
+    index = D.Index([("i", [b"w"] * 2000), ("j", [b"w"] * 1500)])
+    h = D.WordHash().array([b"x"] + [b"w"] * 20000)
+    began = time.perf_counter()
+    assert index.hits(h) == ({0, 1}, [1, 20001])
+    assert time.perf_counter() - began < 0.5
