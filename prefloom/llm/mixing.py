@@ -7,8 +7,9 @@ source is), with prefix sums in two levels: over the ranges of a source, then in
 document is cut at the exact word.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a source of
-size 0, or an empty table, takes nothing; rows that share a doc_id are separate documents.  No document is
-taken more than twice its size, as no target is above two times its source.
+size 0, or an empty table, takes nothing; rows that share a doc_id are separate documents, equal keys are taken by
+doc_id, size and text hash; texts of any length are counted whole; other columns are ignored by ``mix`` and pass
+through ``materialise``.  No document is taken more than twice its size, as no target is above two times its source.
 """
 
 from __future__ import annotations
@@ -54,17 +55,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     """doc_id, source, size, source_size, target, taken, and ``full`` and ``part``: whole epochs and words of the last."""
     from .common import cut
 
-    d = docs.select("doc_id", "source", size_of(F.col("text")).alias("size")).withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    d = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")).withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
     d = cut(d.withColumn("part_no", F.substring("key", 1, RANGE_DIGITS)))
     ranges = d.groupBy("source", "part_no").agg(F.sum("size").alias("words"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     earlier = Window.partitionBy("source").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("source", "part_no", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
     plan = ranges.join(targets, ranges["source"].eqNullSafe(targets["source"])).select(ranges["source"], "part_no", "start", "source_size", "target")
-    inside = Window.partitionBy("source", "part_no").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part_no").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     j = d.join(plan, d["source"].eqNullSafe(plan["source"]) & (d["part_no"] == plan["part_no"])).select(
-        "doc_id", d["source"], "size", "source_size", "target", "key", (F.col("start") + F.col("before")).alias("start")
+        "doc_id", d["source"], "size", "source_size", "target", "key", "text_hash", (F.col("start") + F.col("before")).alias("start")
     )
     budget = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -73,12 +74,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def materialise(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mix itself: each document once an epoch with ``epoch``; the last epoch's text is cut at ``part`` words.
+    """The mix itself: each document once an epoch with ``epoch`` (1 and up); the last epoch's text is cut at ``part`` words.
 
-    ``plan`` is ``mix(docs)``; doc_id must be unique here, as it joins the two.
+    ``plan`` is ``mix(docs)``.  Rows that are equal in doc_id, source and text are written as often as all of them are
+    taken.  A cut text's words are joined by spaces; other texts stay as they are.
     """
-    p = plan.where("taken > 0").select("doc_id", "size", "full", "part")
-    j = docs.join(p, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), (F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int"))))
-    short = (F.col("epoch") > F.col("full")) & (F.col("part") < F.col("size"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int"))
-    return j.withColumn("text", F.when(short, F.array_join(words, " ")).otherwise(F.col("text"))).drop("size", "full", "part")
+    same = ("doc_id", "source", "text_hash")
+    whole = F.sum(F.col("full") + F.when((F.col("part") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0))
+    p = plan.groupBy(*same).agg(F.count("*").alias("times"), whole.alias("whole"), F.max(F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))).alias("short"))
+    p = p.where("whole > 0 or short is not null").select(F.struct(*same).alias("of"), "times", "whole", "short")
+    cols = [c for c in docs.columns if c != "epoch"]
+    d = docs.select(F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("at"), F.struct(*cols).alias("d"))
+    agrees = lambda x: F.col("at").eqNullSafe(x["of"])
+    once, more = p.where("times = 1"), p.where("times > 1")
+    j = d.join(once, agrees(once)).unionByName(d.join(more, agrees(more), "left_semi").dropDuplicates(["at"]).join(more, agrees(more)))
+    n = (F.col("whole") + F.when(F.col("short").isNotNull(), 1).otherwise(0)).cast("int")
+    j = j.select("d", "whole", "short", F.explode(F.sequence(F.lit(1), n)).alias("epoch"))
+    words = F.slice(F.regexp_extract_all("d.text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.coalesce("short", F.lit(1)).cast("int"))
+    j = j.select("d", F.when(F.col("epoch") > F.col("whole"), F.array_join(words, " ")).otherwise(F.col("d.text")).alias("text"), "epoch")
+    return j.select(*[(F.col("text") if c == "text" else F.col("d").getField(c)).alias(c) for c in cols], "epoch")

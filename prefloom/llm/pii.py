@@ -1,13 +1,18 @@
 """Operator 6 (native), personal data replaced by surrogates.
 
-Detected entities are replaced by keyed surrogates of the same type: an e-mail address keeps its shape, an
-IP address is a valid one, a phone number keeps its layout and country code, a card number keeps its length,
-issuer digit and a valid check digit, and a titled person keeps title, gender and script.  The same entity
-gets the same surrogate in every document (coreference, also over different layouts of one number), and a
-distributed collision check redraws until surrogates are distinct and none equals an entity of the corpus.
-
-Defined results: null and empty texts stay as they are; repeated rows are each rewritten; an empty table
-gives none; other columns pass through.  Card-like numbers that fail the check digit are left alone.
+Detected entities are replaced by keyed surrogates of the same type: an e-mail address keeps its shape, its top
+domain and its case; an IP address is a valid one of its version; a phone number keeps its layout and, after a
+plus, its country code; a card number keeps its length, issuer digit and a valid check digit; an IBAN keeps its
+country and has valid check digits; a titled person keeps title, gender, script and which names are given.  The
+same entity gets the same surrogate in every document, whatever its layout or case.  Given and family names are
+entities of their own, so that a full and a short form of one name stay one person.  A distributed collision
+check redraws until surrogates are distinct and none equals an entity of the corpus.
+
+Defined results: null and empty texts stay as they are; texts of any length are rewritten whole; at one place the
+first kind of ``KINDS`` that fits is taken; repeated rows are each rewritten; an empty table gives none; other
+columns pass through, and an ``n_pii`` of the input is replaced.  Card-like numbers that fail the check digit and
+names without a title are left alone; different spellings of one IPv6 address are different entities; titles are
+known in some languages, names in Latin, Cyrillic and Greek.
 """
 
 from __future__ import annotations
@@ -18,27 +23,38 @@ from pyspark.sql import functions as F
 #: Patterns, tried in this order at each place of the text
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
+_H = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|:(?::{_H}){{1,7}}|(?:{_H}:){{1,7}}:)(?![\w:])"
+PHONE = r"(?<![\w+])(?:\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 #: Titles by gender; a person is a title and one or two capitalised names
-MALE = ("Mr", "Herr", "Señor", "Monsieur", "господин", "г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "госпожа", "г-жа")
-PERSON = rf"(?<!\w)(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])"
-KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "iban": IBAN, "phone": PHONE, "card": CARD, "person": PERSON}
+MALE = ("Mr", "Herr", "Señor", "Monsieur", "господин", "г-н", "κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "госпожа", "г-жа", "κυρία")
+_TITLE = rf"(?<!\w)(?:{'|'.join(MALE + FEMALE)})\.? "
+_SCRIPT = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]"
+_NAME = rf"[\p{{Lu}}&&{_SCRIPT}][\p{{Ll}}&&{_SCRIPT}]+"
+PERSON = rf"{_TITLE}{_NAME}(?: {_NAME})?(?![\p{{L}}])"
+KINDS = {"email": EMAIL, "ip": IP, "ip6": IP6, "ssn": SSN, "iban": IBAN, "phone": PHONE, "card": CARD, "person": PERSON}
 ANY = "|".join(KINDS.values())
-#: Given names by gender and script, and syllables of family names
+#: Country calling codes; those of three digits are what is left
+CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Given names by gender and script, and syllables of names
 GIVEN = {
     ("m", "latin"): ("Adam", "Bruno", "Carl", "Daniel", "Erik", "Felix", "Georg", "Hugo", "Ivo", "Jonas", "Karl", "Leon", "Martin", "Noel", "Oscar", "Paul"),
     ("f", "latin"): ("Anna", "Bella", "Clara", "Dora", "Emma", "Flora", "Greta", "Helena", "Irma", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Тимур"),
     ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья"),
+    ("m", "greek"): ("Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Μάριος", "Νίκος", "Πέτρος", "Σπύρος"),
+    ("f", "greek"): ("Άννα", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Νίκη", "Σοφία", "Χαρά"),
 }
 SYLLABLES = {
     "latin": ("ba", "ber", "da", "del", "fa", "gar", "ha", "kel", "la", "man", "na", "ran", "sa", "tor", "va", "wen"),
     "cyrillic": ("ба", "бер", "да", "дел", "ва", "гар", "ха", "кел", "ла", "ман", "на", "ран", "са", "тор", "за", "вен"),
+    "greek": ("βα", "γα", "δα", "ζε", "θα", "κα", "λα", "μα", "να", "ξε", "πα", "ρα", "σα", "τα", "φα", "χα"),
 }
+HASHES, GROUPS = 5, 320
 ROUNDS = 32
 
 
@@ -74,79 +90,93 @@ def kind_of(mention: Column) -> Column:
     return out
 
 
-def entity_of(kind: Column, mention: Column) -> Column:
-    """What a mention refers to: case, layout and titles set aside."""
-    name = F.regexp_replace(mention, rf"^(?:{'|'.join(MALE + FEMALE)})\.? ", "")
+def parts_of(kind: Column, mention: Column) -> Column:
+    """The entities that a mention refers to, as (slot, kind, entity): case, layout and titles set aside; a person has names."""
+    names = F.split(F.regexp_replace(mention, f"^{_TITLE}", ""), " ")
     gender = F.when(mention.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "m").otherwise("f")
-    return (
-        F.when(kind == "email", F.lower(mention))
-        .when(kind == "person", F.concat_ws(":", gender, name))
-        .when(kind.isin("phone", "card", "ssn"), _digits(mention))
+    part = lambda slot, k, e: F.struct(F.lit(slot).alias("slot"), k.alias("kind"), e.alias("entity"))
+    given, family = part(0, F.concat(F.lit("given-"), gender), F.element_at(names, 1)), part(1, F.lit("family"), F.element_at(names, -1))
+    entity = (
+        F.when(kind.isin("email", "ip6"), F.lower(mention))
+        .when(kind.isin("card", "ssn"), _digits(mention))
+        .when(kind == "phone", F.concat(F.when(mention.startswith("+"), "+").otherwise(""), _digits(mention)))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .otherwise(mention)
     )
+    return F.when(kind != "person", F.array(part(0, kind, entity))).when(F.size(names) == 1, F.array(family)).otherwise(F.array(given, family))
+
+
+def iban_check(iban: Column) -> Column:
+    """The two check digits of an IBAN, whatever stands in their place."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 2), F.lit("00"))
+    rest = F.aggregate(_chars(turned), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
 
 
 def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
     """A surrogate entity; what it is depends on key, kind, entity and attempt alone."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string"))
-    h = F.concat(*[F.sha2(F.concat_ws("\x1f", seed, F.lit(str(i))), 512) for i in range(5)])
+    h = F.concat(*[F.sha2(F.concat_ws("\x1f", seed, F.lit(str(i))), 512) for i in range(HASHES)])
     shape = lambda c, v: (
         F.when(c.rlike("[0-9]"), F.char((v % 10 + 48).cast("int")))
         .when(c.rlike("[a-z]"), F.char((v % 26 + 97).cast("int")))
         .when(c.rlike("[A-Z]"), F.char((v % 26 + 65).cast("int")))
         .otherwise(c)
     )
-    same_shape = lambda s: F.array_join(F.transform(_chars(s), lambda c, i: shape(c, _hex(h, i))), "")
+    same_shape = lambda s: F.array_join(F.transform(_chars(s), lambda c, i: shape(c, _hex(h, i % GROUPS))), "")
     tld = F.regexp_extract(entity, r"(\.[A-Za-z]+)$", 1)
     email = F.concat(same_shape(F.regexp_replace(entity, r"\.[A-Za-z]+$", "")), tld)
     ip = F.concat_ws(".", (_hex(h, 0) % 223 + 1).cast("string"), _hex(h, 1).cast("string"), _hex(h, 2).cast("string"), (_hex(h, 3) % 254 + 1).cast("string"))
+    ip6 = F.array_join(F.transform(_chars(entity), lambda c, i: F.when(c == ":", c).otherwise(F.substring(h, i + 1, F.lit(1)))), "")
     n = F.length(entity)
-    tail = same_shape(F.substring(entity, F.lit(2), F.greatest(n - 1, F.lit(1))))
-    phone = F.concat(F.substring(entity, 1, 1), tail)
+    rest = lambda k: F.substring(entity, F.lit(k + 1), F.greatest(n - k, F.lit(1)))
+    code = F.regexp_extract(entity, CALLING, 0)
+    phone = F.when(code != "", F.concat(code, same_shape(F.substring(entity, F.length(code) + 1, n)))).otherwise(F.concat(F.substring(entity, 1, 1), same_shape(rest(1))))
     body = F.concat(F.substring(entity, 1, 1), same_shape(F.substring(entity, F.lit(2), F.greatest(n - 2, F.lit(1)))))
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    iban = F.concat(F.substring(entity, 1, 2), same_shape(F.substring(entity, F.lit(3), F.greatest(n - 2, F.lit(1)))))
-    gender, name = F.substring_index(entity, ":", 1), F.substring_index(entity, ":", -1)
+    account = F.concat(F.substring(entity, 1, 2), F.lit("00"), same_shape(rest(4)))
+    iban = F.concat(F.substring(account, 1, 2), iban_check(account), F.substring(account, F.lit(5), n))
     pick = lambda a, v: F.element_at(F.array(*[F.lit(x) for x in a]), (v % len(a) + 1).cast("int"))
 
-    def person(script: str) -> Column:
-        given = F.when(gender == "m", pick(GIVEN["m", script], _hex(h, 0))).otherwise(pick(GIVEN["f", script], _hex(h, 0)))
+    def name(script: str) -> Column:
         # a redraw adds syllables, so that there are always names left
-        parts = F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), lambda i: pick(SYLLABLES[script], _hex(h, i)))
-        family = F.initcap(F.array_join(parts, ""))
-        return F.concat_ws(":", gender, F.when(F.contains(name, F.lit(" ")), F.concat_ws(" ", given, family)).otherwise(family))
+        syllables = lambda n: F.array_join(F.transform(F.slice(F.sequence(F.lit(1), n + 1), F.lit(2), n), lambda i: pick(SYLLABLES[script], _hex(h, i))), "")
+        given = F.when(kind == "given-m", pick(GIVEN["m", script], _hex(h, 0))).otherwise(pick(GIVEN["f", script], _hex(h, 0)))
+        return F.when(kind == "family", F.initcap(syllables(attempt + 3))).otherwise(F.concat(given, syllables(attempt)))
 
-    name_sur = F.when(name.rlike(r"\p{IsCyrillic}"), person("cyrillic")).otherwise(person("latin"))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "person", name_sur).otherwise(phone)
+    named = F.when(entity.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(entity.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", card).when(kind == "iban", iban)
+    return out.when(kind == "phone", phone).when(kind == "ssn", F.concat(F.substring(entity, 1, 1), same_shape(rest(1)))).otherwise(named)
 
 
-def lay_out(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's layout: separators, case and title stay."""
+def lay_out(kind: Column, mention: Column, surrogates: Column) -> Column:
+    """The surrogates (a map from slots) in the mention's layout: separators, case and title stay."""
+    one = F.element_at(surrogates, 0)
     nth = lambda keep, i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), keep, "")).cast("int")
-    numbers = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, nth("[^0-9]", i), F.lit(1))).otherwise(c)), "")
-    ibans = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c != " ", F.substring(surrogate, nth(" ", i), F.lit(1))).otherwise(c)), "")
-    title = F.regexp_extract(mention, rf"^((?:{'|'.join(MALE + FEMALE)})\.? )", 1)
-    emails = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(surrogate)
+    digits = _digits(one)
+    numbers = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, nth("[^0-9]", i), F.lit(1))).otherwise(c)), "")
+    ibans = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c != " ", F.substring(one, nth(" ", i), F.lit(1))).otherwise(c)), "")
+    cased = F.array_join(F.transform(_chars(one), lambda c, i: F.when(F.substring(mention, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    title = F.regexp_extract(mention, f"^({_TITLE})", 1)
     return (
-        F.when(kind == "email", emails)
-        .when(kind == "person", F.concat(title, F.substring_index(surrogate, ":", -1)))
+        F.when(kind.isin("email", "ip6"), cased)
+        .when(kind == "person", F.concat(title, F.concat_ws(" ", one, F.element_at(surrogates, 1))))
         .when(kind == "iban", ibans)
-        .when(kind == "ip", surrogate)
+        .when(kind == "ip", one)
         .otherwise(numbers)
     )
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate) with distinct surrogates that are no entities; entities must be distinct."""
+    """(kind, entity, surrogate) with distinct surrogates that are no entities of any kind; entities must be distinct."""
     from .common import cut
 
-    known = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-    a = entities.withColumn("attempt", F.lit(0))
-    first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity")
+    known = cut(entities.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real")).distinct())
+    a = entities.select("kind", "entity", F.lit(0).alias("attempt"))
+    first = Window.partitionBy("surrogate").orderBy("attempt", "kind", "entity")
     for _ in range(ROUNDS):
         a = a.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), F.col("attempt"), key))
-        a = a.withColumn("place", F.row_number().over(first)).join(known, ["kind", "surrogate"], "left")
+        a = a.withColumn("place", F.row_number().over(first)).join(known, "surrogate", "left")
         a = cut(a.select("kind", "entity", "attempt", "surrogate", ((F.col("place") > 1) | F.col("real").isNotNull()).alias("clash")))
         if a.where("clash").isEmpty():
             return a.select("kind", "entity", "surrogate")
@@ -154,27 +184,34 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def replace(docs: DataFrame, key: str = "prefloom") -> DataFrame:
-    """``docs`` with surrogates in ``text``, and ``n_pii``: the number of mentions replaced."""
+def replace(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with surrogates in ``text``, and ``n_pii``: the number of mentions replaced.
+
+    Whoever knows ``key`` can tell which surrogate an entity gets: keep it as secret as the texts.
+    """
     from .common import cut
 
-    cols = docs.columns
-    may = F.contains("text", F.lit("@")) | F.col("text").rlike(r"\d[ .()-]*\d[ .()-]*\d|" + rf"(?<!\w)(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}")
+    if not key:
+        raise ValueError("a key is needed")
+    cols = [c for c in docs.columns if c != "n_pii"]
+    hint = r"\d[ .()-]*\d[ .()-]*\d|::|(?:[0-9A-Fa-f]{1,4}:){3}|" + rf"{_TITLE}\p{{Lu}}"
+    may = F.contains("text", F.lit("@")) | F.col("text").rlike(hint)
     has = F.coalesce(F.when(may, F.col("text").rlike(ANY)), F.lit(False))
     rest = docs.where(~has).select(*[docs[c] for c in cols], F.lit(0).alias("n_pii"))
     # the rows with matches are written once, so that their row numbers hold whatever is computed again
-    hits = cut(docs.where(has).withColumn("__row", F.monotonically_increasing_id()))
-    seen = hits.select("__row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("mention"))
-    mentions = cut(
-        seen.select("mention").distinct().withColumn("kind", kind_of(F.col("mention"))).where("kind is not null").withColumn("entity", entity_of(F.col("kind"), F.col("mention")))
-    )
-    chosen = mentions.join(assign(mentions.select("kind", "entity").distinct(), key), ["kind", "entity"])
-    swap = cut(chosen.select("mention", lay_out(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("to")))
-    by_row = seen.join(swap, "mention").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("__swap"))
-    j = hits.join(by_row, "__row", "left")
+    hits = cut(docs.where(has).select(F.struct(*[docs[c] for c in cols]).alias("d"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row")))
+    seen = hits.select("row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("mention"))
+    mentions = cut(seen.select("mention").distinct().withColumn("kind", kind_of(F.col("mention"))).where("kind is not null"))
+    parts = cut(mentions.select("mention", F.col("kind").alias("of"), F.explode(parts_of(F.col("kind"), F.col("mention"))).alias("p")).select("mention", "of", "p.*"))
+    chosen = parts.join(assign(parts.select("kind", "entity").distinct(), key), ["kind", "entity"])
+    slots = chosen.groupBy("mention", "of").agg(F.map_from_entries(F.collect_list(F.struct("slot", "surrogate"))).alias("s"))
+    swap = cut(slots.select("mention", lay_out(F.col("of"), F.col("mention"), F.col("s")).alias("to")))
+    by_row = seen.join(swap, "mention").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("swap"))
+    j = hits.join(by_row, "row", "left")
     gaps, found = F.split("text", ANY, -1), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    new = F.transform(found, lambda m: F.coalesce(F.element_at("__swap", m), m))
-    text = F.concat(F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("r")), lambda x: F.array(x["g"], F.coalesce(x["r"], F.lit(""))))), ""))
-    n = F.coalesce(F.size(F.filter(found, lambda m: F.element_at("__swap", m).isNotNull())), F.lit(0))
-    j = j.withColumn("n_pii", F.when(F.col("__swap").isNull(), 0).otherwise(n)).withColumn("text", F.when(F.col("__swap").isNull(), F.col("text")).otherwise(text))
-    return j.select(*cols, "n_pii").unionByName(rest)
+    new = F.transform(found, lambda m: F.coalesce(F.element_at("swap", m), m))
+    text = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("r")), lambda x: F.array(x["g"], F.coalesce(x["r"], F.lit(""))))), "")
+    n = F.when(F.col("swap").isNull(), 0).otherwise(F.coalesce(F.size(F.filter(found, lambda m: F.element_at("swap", m).isNotNull())), F.lit(0)))
+    text = F.when(F.col("swap").isNull(), F.col("text")).otherwise(text)
+    j = j.select("d", text.alias("text"), n.alias("n"))  # apart, so that no name of the input is met in a lambda
+    return j.select(*[(F.col("text") if c == "text" else F.col("d").getField(c)).alias(c) for c in cols], F.col("n").alias("n_pii")).unionByName(rest)

@@ -3,21 +3,25 @@
 Every version of a text is content-addressed (SHA-256).  The ledger lists blob and rule-version pairs that
 were scanned, with their findings; only pairs it lacks are scanned, one copy each, and findings are joined
 back to all paths (doc_ids) that hold the blob.  Texts travel by doc_id, so that a blob with very many
-copies is never gathered in one place.
+copies is never gathered in one place, and only if the ledger lacks any blob.  The rule version is a digest of
+the rules themselves, so that changed rules always scan again.
 
 Spans are code points, end exclusive.  They are found without Python: ``split`` and ``regexp_extract_all``
 walk the same matches, and the lengths of what lies between and within them add up to the offsets.
 
-Defined results: a null text is the empty blob; an empty text has no finding; repeated rows each get their
-blob's findings; an empty table gives no rows; other columns are ignored.
+Defined results: a null text is the empty blob; an empty text has no finding; texts of any length are scanned
+whole; findings at one start are listed in the order of the rules; repeated rows each get their blob's findings;
+an empty table gives no rows; a ledger row that repeats counts once; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RULE_VERSION = "1"
 #: kind: (pattern, group whose length counts, least length, what a match must contain), base kinds first
 RULES = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, (":", "=")),
@@ -31,6 +35,11 @@ RULES = {
 BASE = ("assign", "access", "hex")
 
 
+def version_of(rules=RULES) -> str:
+    """Names a set of rules by what they say."""
+    return hashlib.sha256(json.dumps([[kind, *rule] for kind, rule in rules.items()]).encode()).hexdigest()[:16]
+
+
 def _blob(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
@@ -76,26 +85,29 @@ def findings_of(spans: DataFrame, base=BASE) -> DataFrame:
 EMPTY_LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, rules=RULES) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
     """(findings by path, new ledger rows).  Append the rows to the ledger to skip these blobs next time."""
     from .common import cut
 
+    version = version_of(rules)
     ledger = docs.sparkSession.createDataFrame([], EMPTY_LEDGER) if ledger is None else ledger
-    known = ledger.where(F.col("rule_version") == rule_version)
+    known = ledger.where(F.col("rule_version") == version).dropDuplicates(["blob"])
     d = docs.select("doc_id", F.col("text"), _blob(F.col("text")).alias("blob"))
     paths = cut(d.select("doc_id", "blob"))
     one = paths.groupBy("blob").agg(F.min(_path(F.col("doc_id"))).alias("at"))
-    unseen = one.join(known.select("blob"), "blob", "left_anti")
-    text = d.select(_path(F.col("doc_id")).alias("at"), "blob", "text").join(unseen.hint("shuffle_hash"), ["at", "blob"]).select("blob", "text")
-    spans = find_spans(text, rules).dropDuplicates(["blob", "kind_no", "start"])  # a path may list one blob twice
-    found = cut(findings_of(spans))
-    fresh = (
-        unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE], F.coalesce("base_spans", F.lit("")).alias("base_spans"), F.coalesce("spans", F.lit("")).alias("spans"))
-    )
-    held = found.unionByName(known.where("spans <> ''").select(*found.columns))
+    unseen = cut(one.join(known.select("blob"), "blob", "left_anti"))
+    n = [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE]
+    if unseen.isEmpty():
+        fresh = docs.sparkSession.createDataFrame([], EMPTY_LEDGER)
+    else:
+        text = d.select(_path(F.col("doc_id")).alias("at"), "blob", "text").join(unseen, ["at", "blob"]).select("blob", "text")
+        spans = find_spans(text, rules).dropDuplicates(["blob", "kind_no", "start"])  # a path may list one blob twice
+        found = cut(findings_of(spans))
+        fresh = unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), *n, F.coalesce("base_spans", F.lit("")).alias("base_spans"), F.coalesce("spans", F.lit("")).alias("spans"))
+    held = cut(fresh.where("spans <> ''").unionByName(known.where("spans <> ''")).drop("rule_version"))
     by_path = paths.join(held, "blob", "left").select(
         "doc_id",
-        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
+        *n,
         F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
         "blob",

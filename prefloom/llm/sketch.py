@@ -10,8 +10,9 @@ document of each range also goes to the end of the range before it, so texts tra
 more than its range.
 
 Defined results: a null text is empty; an empty text has an empty sketch, and two of those are alike (1),
-while an empty and another one are not (0); a null doc_id comes before all others; rows that share a doc_id
-are ordered by text; a lone document is its own next; an empty table gives none; other columns are ignored.
+while an empty and another one are not (0); a null doc_id comes before all others (with the least long, before
+it); rows that share a doc_id are ordered by text; a lone document is its own next; texts of any length are read
+whole; ids pass through untouched; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from .common import WordHash, rolling
 
@@ -83,21 +86,49 @@ def unpack(s: str) -> np.ndarray:
 def fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, n_distinct) of whole texts; no shuffle."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for frame in frames:
-            s = [sketch(t, memo, k, shingle) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fingerprint": [pack(x) for x in s], "n_distinct": [distinct(x, k) for x in s]})
+        for b in batches:
+            s = [sketch(t, memo, k, shingle) for t in b.column(1).to_pylist()]
+            cols = [b.column(0), pa.array([pack(x) for x in s], pa.string()), pa.array([distinct(x, k) for x in s], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fingerprint", "n_distinct"])
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, fingerprint string, n_distinct double")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fingerprint string, n_distinct double")
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def merged(parts: DataFrame, by: list[str], k: int = K) -> DataFrame:
+    """``by`` columns, with the sketch (and distinct count) of all parts of a group, from (by, fingerprint) rows.
+
+    The least k distinct hashes of a group are found by a partial aggregation of hashes and a ranking of what is
+    left, both of which Spark spreads: first within salts of a group, then over the salts, so that no task meets
+    more than k hashes of each salt of a large group.
+    """
+    hashes = parts.withColumn("h", F.explode(_hashes_of("fingerprint"))).withColumn("salt", F.pmod(F.hash("h"), F.lit(64)))
+    for keys in ([*by, "salt"], by):
+        least = Window.partitionBy(*keys).orderBy("h")
+        hashes = hashes.select(*by, "salt", "h").distinct().withColumn("place", F.row_number().over(least)).where(F.col("place") <= k)
+    packed = hashes.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias("h"))
+    return parts.select(*by).distinct().join(packed, by, "left").select(*by, _packed("h").alias("fingerprint"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _hashes_of(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unpack(x or "").astype(np.int64))
+
+
+@F.pandas_udf(StringType())
+def _packed(h: pd.Series) -> pd.Series:
+    return h.map(lambda x: pack(np.asarray([] if x is None else x, np.uint32)))
+
+
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, within_edited double"
 
 
 def compare_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
+    """A row a document: its sketch, that of its edited text, their likeness, that to the next document's, the estimated
+    number of distinct shingles, and the estimated share of them that the edited text holds."""
     spark = docs.sparkSession
-    d = docs.select(F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), "text")
+    d = docs.select(F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), "text", F.col("doc_id").isNotNull().alias("named"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = [float(x) for x in np.arange(1, RANGES * n) / (RANGES * n)] or [0.5]
     low, cuts = d.agg(F.min("id"), F.percentile_approx("id", F.array(*[F.lit(x) for x in at]), F.lit(100 * RANGES * n))).first()
@@ -115,14 +146,14 @@ def compare_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataF
             out[i] = [0, 2 * len(starts) + 1]
         return pd.Series(out)
 
-    dealt = d.withColumn("p", F.explode(places("id"))).withColumn("part", F.shiftright("p", 1)).repartition(n, "part").sortWithinPartitions("p", "id", "text")
+    dealt = d.withColumn("p", F.explode(places("id"))).withColumn("part", F.shiftright("p", 1)).repartition(n, "part").sortWithinPartitions("p", "id", "named", "text")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
         held = None  # (part, id, text, sketch) of the row that waits for its next one
-        for frame in frames:
+        for b in batches:
             rows = []
-            for p, i, text in zip(frame["p"], frame["id"], frame["text"], strict=True):
+            for p, i, named, text in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 extra, part, text = p & 1, p >> 1, text or ""
                 if extra and (held is None or held[0] != part):
                     continue
@@ -132,8 +163,11 @@ def compare_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataF
                     m = len(own) // 2
                     edited = own[: len(own) - m] + text[:m]
                     e = sketch(edited, memo, k, shingle)
-                    rows.append((None if j == FIRST else j, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), pack(fp), pack(e), resemblance(fp, e, k), resemblance(fp, s, k)))
-                held = None if extra else (part, i, text, s)
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"doc_id": "Int64"})
-
-    return dealt.select("p", "id", "text").mapInPandas(work, OUT)
+                    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                    rows.append((j, len(own), sha, pack(fp), pack(e), resemblance(fp, e, k), resemblance(fp, s, k), distinct(fp, k), containment(fp, e, k)))
+                held = None if extra else (part, i if named else None, text, s)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in OUT.split(", ")])
+
+    return dealt.select("p", "id", "named", "text").mapInArrow(work, OUT)

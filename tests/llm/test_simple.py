@@ -135,6 +135,16 @@ def test_mix_text(spark, documents):
     assert {r.doc_id: r.n for r in out.collect()} == {k: v for k, v in want.items() if v}
 
 
+def test_sketches_merge(spark):
+    words = [f"w{i % 700}x{i % 11}" for i in range(4000)]
+    texts = [" ".join(words[:2600]), " ".join(words[2596:]), "", " ".join(words)]
+    rows = [(1, "a", texts[0]), (2, "a", texts[1]), (3, "b", texts[2]), (4, "c", texts[3])]
+    one = spark.createDataFrame(rows, "doc_id long, part string, text string")
+    prints = sketch.fingerprints(one).join(one.select("doc_id", "part"), "doc_id")
+    got = {r.part: sketch.unpack(r.fingerprint).tolist() for r in sketch.merged(prints, ["part"]).collect()}
+    assert got["a"] == got["c"] == sketch.sketch(texts[3]).tolist() and got["b"] == []
+
+
 # -- secrets --------------------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -179,7 +189,8 @@ def test_ledger_skips_known_blobs(spark):
     again, fresh = secrets.scan(both, ledger)
     assert fresh.count() == 1  # one blob is new
     assert {r.doc_id: r.spans for r in again.collect()} == {r.doc_id: r.spans for r in secrets.scan(both)[0].collect()}
-    assert secrets.scan(both, ledger, rule_version="2")[1].count() == 3
+    assert secrets.scan(both, ledger, rules=secrets.RULES | {"word": (r"zzz[0-9]+", 0, 1, ())})[1].count() == 3  # changed rules scan again
+    assert secrets.scan(both, ledger.union(fresh))[1].count() == 0
 
 
 # -- sketches ------------------------------------------------------------------------------------------------------------------------
