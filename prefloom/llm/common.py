@@ -90,13 +90,17 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def connected(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
+#: edges from which a hub's rows are worth splitting
+MANY = 1 << 20
+
+
+def connected(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60, many: int = MANY) -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star steps.
 
     Returns (node, root) for every node that has an edge to another node; root is the smallest node of
     its component.  Nulls and loops are ignored; repeated edges do no harm; no edges give no rows.  A hub is
-    only ever met as a join key: least neighbours are written before they are joined, so that both sides of the
-    join come from shuffles of their own and adaptive execution can split the hub's rows.
+    only ever met as a join key: with ``many`` edges or more, least neighbours are written before they are joined, so
+    that both sides of the join come from shuffles of their own and adaptive execution can split the hub's rows.
     """
     spark = edges.sparkSession
     e = cut(
@@ -107,10 +111,11 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) ->
     if state[0] == 0:
         return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
     for _ in range(rounds):
+        hold = cut if state[0] >= many else lambda df: df
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = hold(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = hold(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = hold(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         e = cut(
             small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))

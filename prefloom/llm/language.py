@@ -72,9 +72,9 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """A linear SVM (squared hinge, classes weighted alike) by accelerated gradient; y is +1 or -1."""
-    # all products stay in single precision, as the features are, so that the driver never holds a copy of them
-    weight = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c).astype(np.float32)
+    """A linear SVM (squared hinge, classes weighted alike) by accelerated gradient; y is +1 or -1, or 0 for rows left out."""
+    # all products stay in single precision, as the features are, and no rows are picked out, so that the driver never holds a copy
+    weight = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c * (y != 0)).astype(np.float32)
     y = y.astype(np.float32)
     rate = np.float32(1.0 / (1.0 + 2.0 * float((weight * (1.0 + np.einsum("ij,ij->i", x, x))).sum())))
     w = v = np.zeros(x.shape[1], np.float32)
@@ -117,8 +117,7 @@ class Model:
         self.pairs = {}
         for f in self.families:
             for a, b in combinations(self.within[f], 2):
-                rows = (labels == a) | (labels == b)
-                self.pairs[a, b] = self.fit(x[rows], np.where(labels[rows] == a, 1, -1))
+                self.pairs[a, b] = self.fit(x, np.where(labels == a, 1, np.where(labels == b, -1, 0)))
         planes = [*self.family_planes, *self.pairs.values()]
         self.w = np.stack([p[0] for p in planes]) if planes else None
         self.rest = np.array([p[1:] for p in planes]) if planes else None
@@ -128,12 +127,13 @@ class Model:
         place = np.zeros(len(y), np.int64)
         for side in (1, -1):
             place[y == side] = np.arange((y == side).sum())
-        own = place % CALIBRATE == CALIBRATE - 1
+        own = (place % CALIBRATE == CALIBRATE - 1) & (y != 0)
         if min((own & (y > 0)).sum(), (own & (y < 0)).sum()) < 5:  # too few to spare
             w, b = svm(x, y)
-            return w, b, *calibrate(x @ w + b, y)
-        w, b = svm(x[~own], y[~own])
-        return w, b, *calibrate(x[own] @ w + b, y[own])
+            own = y != 0
+        else:
+            w, b = svm(x, np.where(own, 0, y))
+        return w, b, *calibrate((x @ w + b)[own], y[own])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not has_letter(text):

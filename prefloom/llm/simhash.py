@@ -321,8 +321,8 @@ STAGE_SHINGLE = 5
 COMMON_SAMPLE, COMMON = 8192, 8
 #: lists of up to so many sets are compared pair by pair, longer ones with a pivot and then in pieces of so many sets
 CROWD, PIECE = 32, 4096
-#: bits of a set's parities for each shingle, and least and most of them (powers of two)
-PARITY_EACH, PARITY, PARITY_MOST = 4, 2048, 1 << 18
+#: bits of a set's parities for each shingle, and least and most of them (powers of two); how many of these are one coarse bit
+PARITY_EACH, PARITY, PARITY_MOST, COARSE = 4, 2048, 1 << 18, 4
 #: pairs or ids that are handed to tasks rather than shuffled
 SMALL = 1 << 20
 #: each Python worker's memory of words
@@ -405,15 +405,17 @@ def named_sets(docs: DataFrame, n: int) -> DataFrame:
         for b in batches:
             hashes = [shingle_hashes(t, n) for t in b.column(2).to_pylist()]
             sets = [np.unique(h) for h in hashes]
+            bits = [parities(s) for s in sets]
             cols = [
                 pa.array([set_key(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([pack_bits(parities(s)) for s in sets], pa.binary()),
+                pa.array([pack_bits(x) for x in bits], pa.binary()),
+                pa.array([fold(x, len(x) // COARSE).tobytes() for x in bits], pa.binary()),
                 pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "text_hash", "key", "size", "bits", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "text_hash", "key", "size", "bits", "coarse", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, "doc_id long, text_hash long, key long, size int, bits binary, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, "doc_id long, text_hash long, key long, size int, bits binary, coarse binary, fp long")
 
 
 def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -> DataFrame:
@@ -423,7 +425,7 @@ def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -
     postings are dealt by set, so that no shingle gathers a large share of the sets in one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    kind = "part long, h long, key long, size int"
+    kind = "part long, h long, key long, size int, place int"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -442,9 +444,10 @@ def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -
             many = np.array([len(x) for x in h])
             h = np.concatenate(h)
             key, size = np.repeat(np.array(key, np.int64), many), np.repeat(np.array(size, np.int32), many)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in many])
             crowd = is_in(h, shared.value)
             part = np.where(crowd, mix64(key.view(np.uint64)) | np.uint64(1), h & ~np.uint64(1))  # even parts are lists
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.view(np.int64), h.view(np.int64), key, size)], ["part", "h", "key", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.view(np.int64), h.view(np.int64), key, size, place)], ["part", "h", "key", "size", "place"])
 
     def record(u: np.ndarray, v: np.ndarray, h: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         """Pairs (u, v), then crowded postings (h, key)."""
@@ -453,10 +456,14 @@ def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -
         cols = [pa.concat_arrays([empty(len(u)), pa.array(h)]), pa.concat_arrays([pa.array(low), pa.array(key)]), pa.concat_arrays([pa.array(high), empty(len(h))])]
         return pa.RecordBatch.from_arrays(cols, ["h", "u", "v"])
 
-    def solve(h: np.ndarray, key: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        """Lists of one batch, sorted by (h, key)."""
+    def solve(h: np.ndarray, key: np.ndarray, size: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        """Lists of one batch, sorted by (h, key).
+
+        A pair's first shared shingle, in the order of all sets, has all that they share at its place and after it; if
+        less is left there than alike sets share, the pair goes.  It need not pass at its later shared shingles.
+        """
         one = np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]))  # tasks may have posted copies of a set
-        h, key, size = h[one], key[one], size[one]
+        h, key, size, place = h[one], key[one], size[one].astype(np.int64), place[one]
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         length = np.diff(np.append(start, len(h)))
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -464,6 +471,8 @@ def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -
             i, j = np.triu_indices(c, 1)
             i, j = ((start[length == c][:, None] + x).ravel() for x in (i, j))
             ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            most = np.minimum(size[i] - place[i], size[j] - place[j])
+            ok &= most * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
             us.append(key[i[ok]])
             vs.append(key[j[ok]])
         crowd = np.repeat(length > CROWD, length)
@@ -474,19 +483,19 @@ def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -
         held: list[tuple[np.ndarray, ...]] = []  # the end of what was read: its last list may go on
         crowded = None  # a long list that was passed on in part
         for b in batches:
-            part, h, key, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            part, h, key, size, place = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             lone = (part & 1) == 1
             if lone.any():
                 yield record(none, none, h[lone], key[lone])
-            h, key, size = h[~lone], key[~lone], size[~lone]
+            h, key, size, place = h[~lone], key[~lone], size[~lone], place[~lone]
             if crowded is not None:
                 more = h == crowded
                 yield record(none, none, h[more], key[more])
-                h, key, size = h[~more], key[~more], size[~more]
+                h, key, size, place = h[~more], key[~more], size[~more], place[~more]
             if not len(h):
                 continue
             crowded = None
-            held.append((h, key, size))
+            held.append((h, key, size, place))
             now = tuple(np.concatenate(x) for x in zip(*held))
             first = len(now[0]) - int(np.argmax((now[0] != now[0][-1])[::-1])) if (now[0] != now[0][-1]).any() else 0
             if first:
@@ -504,18 +513,23 @@ def candidates(docs: DataFrame, n: int, common: np.ndarray, similarity: float) -
 
 
 def possible(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """The (u, v) whose parities (key, size, bits) don't rule out that the sets are alike enough."""
-    bits = points.select("key", "size", "bits")
-    both = pairs.join(bits.toDF("u", "nu", "bu"), "u").join(bits.toDF("v", "nv", "bv"), "v")
+    """The (u, v) whose parities (key, size, bits, coarse) don't rule out that the sets are alike enough: coarse ones first."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v, nu, nv = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            differ = np.fromiter((least_difference(unpack_bits(x), unpack_bits(y)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())), np.int64, len(u))
-            ok = differ <= (1 - similarity) / (1 + similarity) * (nu.astype(np.int64) + nv) + 1e-6
-            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
+    def check(read):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, v, nu, nv = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                differ = np.fromiter((least_difference(read(x), read(y)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())), np.int64, len(u))
+                ok = differ <= (1 - similarity) / (1 + similarity) * (nu.astype(np.int64) + nv) + 1e-6
+                yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
+
+        return work
 
-    return both.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(work, "u long, v long")
+    for column, read in (("coarse", bytes), ("bits", unpack_bits)):
+        bits = points.select("key", "size", column)
+        both = pairs.join(bits.toDF("u", "nu", "bu"), "u").join(bits.toDF("v", "nv", "bv"), "v")
+        pairs = both.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(check(read), "u long, v long")
+    return pairs
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -539,27 +553,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def crowd_pairs(crowd: DataFrame, points: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(u, v) within the lists (h, key) of sets of different components whose folded parities don't rule out a link.
 
-    A list is met in pieces of about ``PIECE`` sets, two pieces in a task; within a task, components are compared whole
-    with what comes after them.
+    A list's largest component is met by all other sets, and these meet each other.  Both are dealt in pieces of about
+    ``PIECE`` sets, two of which meet in a task, so that a list that is one component and a few others costs no more
+    than its length.
     """
-    rooted = crowd.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lists_ = rooted.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    k = F.ceil(F.col("n") / PIECE).cast("int")
-    apart = cut(rooted.join(cut(lists_.select("h", k.alias("k"))), "h").select("h", "k", "key", "root"))
-    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = apart.withColumn("pair", F.explode(other)).withColumn("list", F.xxhash64("h", "pair.i", "pair.j"))
-    listed = dealt.select("list", "key", "root").join(points.select("key", "size", "bits"), "key").select("list", "root", "key", "size", "bits")
+    rooted = cut(crowd.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    parts = rooted.groupBy("h", "root").agg(F.count("*").alias("n"))
+    most = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("of")).where("of > 1")
+    pieces = lambda n: F.greatest(F.ceil(n / PIECE), F.lit(1)).cast("int")
+    held = cut(most.select("h", F.col("top.root").alias("top"), pieces(F.col("top.n")).alias("k"), pieces(F.col("n") - F.col("top.n")).alias("l")))
+    d = rooted.join(held, "h").withColumn("large", F.col("root") == F.col("top"))
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("large"), F.col("k")).otherwise(F.col("l"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j: F.xxhash64("h", F.lit(kind), i, j)
+    across = F.when(F.col("large"), F.transform(upto(F.col("l")), lambda j: cell("across", own, j))).otherwise(F.transform(upto(F.col("k")), lambda i: cell("across", i, own)))
+    among = F.when(~F.col("large"), F.transform(upto(F.col("l")), lambda j: cell("among", F.least(own, j), F.greatest(own, j)))).otherwise(F.array().cast("array<bigint>"))
+    dealt = d.select("key", "root", "large", F.explode(F.concat(across, among)).alias("list"))
+    listed = dealt.join(points.select("key", "size", "coarse"), "key").select("list", "large", "root", "key", "size", "coarse")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = (1 - similarity) / (1 + similarity)
-        for _, (root, key, size, blobs) in lists(batches):
-            order = np.argsort(root, kind="stable")
+        for _, (large, root, key, size, blobs) in lists(batches):
+            large = large.astype(bool)
+            order = np.lexsort((root, ~large))  # the largest component first, if it is here
             root, key, size = root[order], key[order], size[order].astype(np.int32)
-            bits = np.stack([fold(unpack_bits(blobs[i]), PARITY // 8) for i in order]).view(np.uint64)
+            bits = np.stack([fold(blobs[i], PARITY // COARSE // 8) for i in order]).view(np.uint64)
             start = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
             end, step = np.append(start[1:], len(root)), max(1, (1 << 20) // len(root))  # bounds the memory of a long list
-            for a, b in zip(start.tolist(), end.tolist()):
+            for a, b in list(zip(start.tolist(), end.tolist()))[: 1 if large.any() else None]:
                 for i in range(a, b, step):
                     j = min(b, i + step)
                     differ = np.zeros((j - i, len(root) - b), np.int32)
@@ -620,7 +641,7 @@ def set_links(docs: DataFrame, named: DataFrame, points: DataFrame, similarity:
 def _grouped(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     """(doc_id, text_hash, root): the component of each document, by its shingle set."""
     named = cut(named_sets(docs, n))
-    points = cut(named.groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fp").alias("fp")))
+    points = cut(named.groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("coarse").alias("coarse"), F.first("fp").alias("fp")))
     roots = component_ids(points.select("key"), set_links(docs, named, points, similarity, n), "key", "key").withColumnRenamed("component_id", "root")
     return cut(named.select("doc_id", "text_hash", "key").join(roots, "key").select("doc_id", "text_hash", "root"))
 

@@ -136,9 +136,11 @@ def test_distributed_links(spark):
 
 
 def test_star_and_chain_components(spark):
-    from prefloom.llm.common import component_ids
+    from prefloom.llm.common import component_ids, connected
 
     edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 700)]
     points = spark.range(800).selectExpr("id as node", "id + 5 as least")
-    got = {r.node: r.component_id for r in component_ids(points, spark.createDataFrame(edges, "u long, v long"), "node", "least").collect()}
+    edges = spark.createDataFrame(edges, "u long, v long")
+    assert sorted(map(tuple, connected(edges, many=0).collect())) == sorted(map(tuple, connected(edges).collect()))
+    got = {r.node: r.component_id for r in component_ids(points, edges, "node", "least").collect()}
     assert got == {i: 5 if i < 400 else 505 if 500 <= i <= 700 else i + 5 for i in range(800)}
