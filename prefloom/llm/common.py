@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,32 +92,55 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-#: edges from which a hub's rows are worth splitting
+#: edges that one task contracts in memory
 MANY = 1 << 20
 
 
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components of all the edges that a task is given; a root is the least node it knows of."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    kind = held[0].schema.field(0).type
+    u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(2))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[root], kind)], ["node", "root"])
+
+
 def connected(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60, many: int = MANY) -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star steps.
 
-    Returns (node, root) for every node that has an edge to another node; root is the smallest node of
-    its component.  Nulls and loops are ignored; repeated edges do no harm; no edges give no rows.  A hub is
-    only ever met as a join key: with ``many`` edges or more, least neighbours are written before they are joined, so
-    that both sides of the join come from shuffles of their own and adaptive execution can split the hub's rows.
+    Tasks first contract the edges they hold, ``many`` of them at most, to one edge a node; where one task holds all
+    edges, that is the result.  Returns (node, root) for every node that has an edge to another node; root is the
+    smallest node of its component.  Nulls and loops are ignored; repeated edges do no harm; no edges give no rows.  A
+    hub is only ever met as a join key: least neighbours are written before they are joined, so that both sides of the
+    join come from shuffles of their own and adaptive execution can split the hub's rows.
     """
     spark = edges.sparkSession
     e = cut(
         edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     )
     kind = e.schema["u"].dataType
+    out = f"node {kind.simpleString()}, root {kind.simpleString()}"
+    n = e.count()
+    if n == 0:
+        return spark.createDataFrame([], out)
+    if n <= many:
+        return e.coalesce(1).mapInArrow(contract, out)
+    e = cut(e.repartition(n // max(1, many) + 1).mapInArrow(contract, out).where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct())
     state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    if state[0] == 0:
-        return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
     for _ in range(rounds):
-        hold = cut if state[0] >= many else lambda df: df
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = hold(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = hold(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = hold(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         e = cut(
             small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))

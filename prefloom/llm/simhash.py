@@ -553,22 +553,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def crowd_pairs(crowd: DataFrame, points: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(u, v) within the lists (h, key) of sets of different components whose folded parities don't rule out a link.
 
-    A list's largest component is met by all other sets, and these meet each other.  Both are dealt in pieces of about
-    ``PIECE`` sets, two of which meet in a task, so that a list that is one component and a few others costs no more
-    than its length.
+    A list's largest component is met by all other sets, once for all lists that have the same largest component; the
+    others meet each other list by list.  Both are dealt in pieces of about ``PIECE`` sets, two of which meet in a task,
+    so that lists that are one component and a few others cost no more than that component's length.
     """
     rooted = cut(crowd.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     parts = rooted.groupBy("h", "root").agg(F.count("*").alias("n"))
     most = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("of")).where("of > 1")
     pieces = lambda n: F.greatest(F.ceil(n / PIECE), F.lit(1)).cast("int")
-    held = cut(most.select("h", F.col("top.root").alias("top"), pieces(F.col("top.n")).alias("k"), pieces(F.col("n") - F.col("top.n")).alias("l")))
-    d = rooted.join(held, "h").withColumn("large", F.col("root") == F.col("top"))
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("large"), F.col("k")).otherwise(F.col("l"))).cast("int")
+    held = cut(most.select("h", F.col("top.root").alias("top"), pieces(F.col("n") - F.col("top.n")).alias("l"), "of"))
+    met = rooted.join(held, "h")
+    own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    cell = lambda kind, i, j: F.xxhash64("h", F.lit(kind), i, j)
-    across = F.when(F.col("large"), F.transform(upto(F.col("l")), lambda j: cell("across", own, j))).otherwise(F.transform(upto(F.col("k")), lambda i: cell("across", i, own)))
-    among = F.when(~F.col("large"), F.transform(upto(F.col("l")), lambda j: cell("among", F.least(own, j), F.greatest(own, j)))).otherwise(F.array().cast("array<bigint>"))
-    dealt = d.select("key", "root", "large", F.explode(F.concat(across, among)).alias("list"))
+    cell = lambda of, i, j: F.xxhash64(F.lit(of), F.col(of), i, j)
+    sides = cut(met.select("top", "key", "root").distinct().withColumn("large", F.col("root") == F.col("top")))
+    wide = cut(sides.groupBy("top").agg(pieces(F.count(F.when(F.col("large"), 1))).alias("k"), pieces(F.count(F.when(~F.col("large"), 1))).alias("l")))
+    k, n = F.col("k"), F.col("l")
+    across = F.when(F.col("large"), F.transform(upto(n), lambda j: cell("top", own(k), j))).otherwise(F.transform(upto(k), lambda i: cell("top", i, own(n))))
+    among = F.transform(upto(n), lambda j: cell("h", F.least(own(n), j), F.greatest(own(n), j)))
+    rest = met.where("root <> top and of > 2").withColumn("large", F.lit(False))
+    dealt = sides.join(wide, "top").select("key", "root", "large", F.explode(across).alias("list")).union(rest.select("key", "root", "large", F.explode(among)))
     listed = dealt.join(points.select("key", "size", "coarse"), "key").select("list", "large", "root", "key", "size", "coarse")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,6 +141,7 @@ def test_star_and_chain_components(spark):
     edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 700)]
     points = spark.range(800).selectExpr("id as node", "id + 5 as least")
     edges = spark.createDataFrame(edges, "u long, v long")
-    assert sorted(map(tuple, connected(edges, many=0).collect())) == sorted(map(tuple, connected(edges).collect()))
+    for e in (edges, edges.selectExpr("concat('é', u) as u", "concat('é', v) as v")):
+        assert sorted(map(tuple, connected(e, many=200).collect())) == sorted(map(tuple, connected(e).collect()))
     got = {r.node: r.component_id for r in component_ids(points, edges, "node", "least").collect()}
     assert got == {i: 5 if i < 400 else 505 if 500 <= i <= 700 else i + 5 for i in range(800)}
