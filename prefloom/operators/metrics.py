@@ -12,18 +12,26 @@ from ..plans import solvers
 from . import rankings as R
 
 
-def top_k_accuracy(truth: DataFrame, estimate: DataFrame, k: int) -> DataFrame:
-    """Overlap of the first k of two rankings (item_id, pos), over k."""
-    t, e = truth.where(F.col("pos") < k).select("item_id"), estimate.where(F.col("pos") < k).select("item_id")
-    return t.join(e, "item_id").agg((F.count("*") / k).alias("accuracy"))
-
-
-def kendall_distance(truth: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Discordant pairs over all pairs of two rankings (item_id, pos) of the same items."""
-    j = truth.select("item_id", F.col("pos").alias("t")).join(estimate.select("item_id", F.col("pos").alias("e")), "item_id")
-    a, b = j.select(F.col("t").alias("t1"), F.col("e").alias("e1")), j.select(F.col("t").alias("t2"), F.col("e").alias("e2"))
-    pairs = a.join(b, F.col("t1") < F.col("t2"))
-    return pairs.agg((F.sum((F.col("e1") > F.col("e2")).cast("double")) / F.count("*")).alias("distance"))
+def top_k_accuracy(truth: DataFrame, estimate: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """Overlap of the first k of two rankings (item_id, pos), over k; with ``by``, of each ranking of ``truth``."""
+    keys = [by] if by else []
+    e = estimate.where(F.col("pos") < k).select("item_id", F.lit(1).alias("in_both"))
+    hits = truth.where(F.col("pos") < k).select(*keys, "item_id").join(e, "item_id", "left")
+    return hits.groupBy(*keys).agg((F.count("in_both") / k).alias("accuracy"))
+
+
+def kendall_distance(truth: DataFrame, estimate: DataFrame, by: str | None = None) -> DataFrame:
+    """Discordant pairs over all pairs of two rankings (item_id, pos) of the same items; with ``by``, of each ranking of ``truth``.
+
+    A ranking's pairs are counted within its row, so that nothing but the rankings is shuffled.
+    """
+    keys = [by] if by else []
+    j = truth.select(*keys, "item_id", F.col("pos").alias("t")).join(estimate.select("item_id", F.col("pos").alias("e")), "item_id")
+    e = F.transform(F.array_sort(F.collect_list(F.struct("t", "e"))), lambda x: x["e"])
+    n = F.size("order")
+    later = lambda x, i: F.size(F.filter(F.slice("order", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: y < x))
+    swaps = F.aggregate(F.transform("order", later), F.lit(0), lambda a, x: a + x)
+    return j.groupBy(*keys).agg(e.alias("order")).select(*keys, F.when(n > 1, swaps / (n * (n - 1) / 2)).alias("distance"))
 
 
 def ell2(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -24,6 +24,9 @@ _A = "aa(component, a) AS (VALUES " + ", ".join(f"({k}, {v}::DOUBLE)" for k, v i
 _B = "bb(item, level, beta) AS (VALUES " + ", ".join(f"({i}, {k + 1}, {v}::DOUBLE)" for i, row in enumerate(BETAS) for k, v in enumerate(row)) + ")"
 
 
+_MEAN = "es AS (SELECT item, row_number() OVER (ORDER BY avg(pos), item) - 1 AS pos FROM r GROUP BY item)"
+
+
 def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n ".join(parts) + "\n"
 
@@ -107,9 +110,9 @@ SQL: dict[str, str] = {
     "heldout_loglik": _with(_BINARY) + f"SELECT {_r('avg(CASE WHEN s = 1 THEN ln(0.2 + 0.1 * item) ELSE ln(1 - (0.2 + 0.1 * item)) END)')} AS loglik FROM g",
     "auc": _with(_BINARY, "v AS (SELECT (u * 7 + item * 3) % 11 AS p, s FROM g)", "w AS (SELECT p, sum(s) AS pos, sum(1 - s) AS neg FROM v GROUP BY 1)", "x AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w)")
     + f"SELECT {_r('sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg))')} AS auc FROM x",
-    "top_k_accuracy": _with(_EVENTS) + f"SELECT {_r('count(*) / 3.0::DOUBLE')} AS accuracy FROM r a JOIN r b ON a.item = b.item WHERE a.rid = 0 AND b.rid = 1 AND a.pos < 3 AND b.pos < 3",
-    "kendall_distance": _with(_EVENTS, "j AS (SELECT a.pos AS t, b.pos AS e FROM r a JOIN r b ON a.item = b.item WHERE a.rid = 0 AND b.rid = 1)")
-    + f"SELECT {_r('sum(CASE WHEN a.e > b.e THEN 1 ELSE 0 END) / count(*)::DOUBLE')} AS distance FROM j a JOIN j b ON a.t < b.t",
+    "top_k_accuracy": _with(_EVENTS, _MEAN) + f"SELECT a.rid AS ranking_id, {_r('count(b.item) / 3.0::DOUBLE')} AS accuracy FROM r a LEFT JOIN es b ON a.item = b.item AND b.pos < 3 WHERE a.pos < 3 GROUP BY 1",
+    "kendall_distance": _with(_EVENTS, _MEAN, "j AS (SELECT a.rid, a.pos AS t, b.pos AS e FROM r a JOIN es b ON a.item = b.item)")
+    + f"SELECT a.rid AS ranking_id, {_r('sum(CASE WHEN a.e > b.e THEN 1 ELSE 0 END) / count(*)::DOUBLE')} AS distance FROM j a JOIN j b ON a.rid = b.rid AND a.t < b.t GROUP BY 1",
     "ell2": _with(_U, "j AS (SELECT a.u - b.u AS d FROM uu a JOIN uu b ON a.item = b.item WHERE a.component = 0 AND b.component = 1)") + f"SELECT {_r('sqrt(sum(d * d) - sum(d) * sum(d) / count(*))')} AS ell2 FROM j",
     "pairwise_loglik": _with(_EVENTS, _PAIRS, _COUNTS, _BOTH, _U)
     + f"SELECT {_r('sum((w + 1.0) / (w + l + 2.0) * -ln(1 + exp(y.u - x.u)))')} AS loglik FROM b JOIN uu x ON x.item = b.winner AND x.component = 0 JOIN uu y ON y.item = b.loser AND y.component = 0",
@@ -137,7 +140,7 @@ SQL: dict[str, str] = {
     "score_pairs": _with(_GRADED) + "SELECT a.u AS user_id, a.item AS i, b.item AS j FROM g a JOIN g b ON a.u = b.u WHERE a.s = 1 AND b.s = 0",
     "graded_to_binary": _with(_GRADED) + "SELECT u AS user_id, item AS item_id, CASE WHEN s >= 2 THEN 1 ELSE 0 END AS score FROM g",
     "menu_components": _with(
-        "me AS (SELECT DISTINCT o_custkey % 60 AS m FROM orders WHERE o_custkey % 16 < 12)",
+        "me AS (SELECT DISTINCT o_custkey % 60 AS m FROM orders)",
         "it AS (SELECT m, m AS x FROM me UNION ALL SELECT m, m + CASE WHEN m % 5 = 0 THEN 60 ELSE 1 END FROM me)",
         "ed AS (SELECT a.x AS s, b.x AS d FROM it a JOIN it b ON a.m = b.m AND a.x <> b.x)",
         "re(s, d) AS (SELECT s, s FROM ed UNION SELECT re.s, ed.d FROM re JOIN ed ON re.d = ed.s)",
@@ -183,3 +186,19 @@ WITH e AS (SELECT user_id, (day(ts) - 1) // 7 AS t, event_type AS lab, min(ts) A
 r AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id, t ORDER BY k, lab) AS pos, dense_rank() OVER (ORDER BY lab) - 1 AS item FROM e)
 SELECT a.t::INTEGER AS t, a.item AS winner, b.item AS loser, count(*) AS n FROM r a JOIN r b ON a.user_id = b.user_id AND a.t = b.t AND a.pos < b.pos GROUP BY 1, 2, 3""",
 }
+
+#: stationary mass by power steps that leave no change in the digits shown, over d, as centred logarithms
+_STEPS = "it(step, item, pi) AS (SELECT 0, src, 1.0::DOUBLE / 5 FROM rs UNION ALL SELECT step + 1, dst, sum(pi * p) FROM it JOIN ch ON it.item = ch.src WHERE step < 400 GROUP BY step, dst)"
+_RATES = "rs AS (SELECT i AS src, sum(p) AS row, greatest(sum(p), 1.0) AS d FROM k GROUP BY 1), ch AS (SELECT k.i AS src, k.j AS dst, p / d AS p FROM k JOIN rs ON k.i = rs.src UNION ALL SELECT src, src, 1 - row / d FROM rs)"
+#: the best assignment of ten predicted labels to ten true ones, one true label at a time, by the set of those taken
+_ASSIGN = ["w AS (SELECT label::INTEGER AS t, ((label * 3 + vec_id % 4) % 10)::INTEGER AS p, count(*) AS n FROM embeddings GROUP BY 1, 2)", "p AS (SELECT i AS p FROM range(0, 10) x(i))", "s0 AS (SELECT 0 AS taken, 0 AS n)"] + [
+    f"s{t + 1} AS (SELECT taken + (1 << p.p) AS taken, max(s{t}.n + coalesce(w.n, 0)) AS n FROM s{t} JOIN p ON (taken >> p.p) % 2 = 0 LEFT JOIN w ON w.t = {t} AND w.p = p.p GROUP BY 1)" for t in range(10)
+]
+SQL |= {
+    "rank_centrality": _with(_EVENTS, _PAIRS, _COUNTS, _BOTH, _CHAIN, _STEPS, recursive=True) + f"SELECT item AS item_id, {_r('ln(pi) - avg(ln(pi)) OVER ()', 4)} AS u FROM it WHERE step = 400",
+    "rasch_beta": _with(_BINARY, _RASCH, _RATES, _STEPS, "z AS (SELECT item, ln(pi / d) AS u FROM it JOIN rs ON item = src WHERE step = 400)", recursive=True) + f"SELECT item AS item_id, {_r('u - avg(u) OVER ()', 4)} AS beta FROM z",
+    "connectivity": _with(
+        _BRANDS, _PAIRS, _COUNTS, "ed AS (SELECT a.winner AS s, a.loser AS d FROM n a JOIN n b ON a.winner = b.loser AND a.loser = b.winner)", "re(d) AS (SELECT 0::BIGINT UNION SELECT ed.d FROM re JOIN ed ON re.d = ed.s)", recursive=True
+    ) + "SELECT count(DISTINCT d) = 25 AS connected FROM re",
+    "clustering_accuracy": _with(*_ASSIGN) + f"SELECT {_r('s10.n / (SELECT sum(n) FROM w)::DOUBLE')} AS accuracy FROM s10",
+}
