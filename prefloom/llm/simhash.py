@@ -321,6 +321,8 @@ STAGE_SHINGLE = 5
 COMMON_SAMPLE, COMMON = 8192, 8
 #: lists of up to so many sets are compared pair by pair, longer ones with a pivot and then in pieces of so many sets
 CROWD, PIECE = 32, 4096
+#: sets, and bytes of sets, of a piece of pairs that are confirmed together
+CELL_SETS, CELL_BYTES = 1024, 1 << 24
 #: bits of a set's parities for each shingle, and least and most of them (powers of two); how many of these are one coarse bit
 PARITY_EACH, PARITY, PARITY_MOST, COARSE = 4, 2048, 1 << 18, 4
 #: pairs or ids that are handed to tasks rather than shuffled
@@ -532,22 +534,50 @@ def possible(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFram
     return pairs
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (u, v) of ``pairs`` (written, distinct) whose sets' exact Jaccard likeness is high enough."""
-    hand = F.broadcast if pairs.count() <= SMALL else lambda x: x
-    left = sets.select(F.col("key").alias("u"), F.col("s").alias("su")).join(hand(pairs), "u")
-    right = sets.select(F.col("key").alias("v"), F.col("s").alias("sv")).join(hand(pairs.select("v").distinct()), "v", "left_semi")
+def confirmed(pairs: DataFrame, docs: DataFrame, named: DataFrame, points: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Links (u, v) that connect what the ``pairs`` (written, distinct) of enough exact Jaccard likeness connect.
+
+    Pairs that hang together meet in cells of two pieces, each of a bounded number and size of sets.  A set goes to a
+    cell once, however many pairs it has there; what links have joined in a cell is not compared again.
+    """
+    parts = cut(connected(pairs).join(points.select(F.col("key").alias("node"), "size"), "node"))
+    pieces = F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("size") * 8 / CELL_BYTES)).cast("int")
+    wide = cut(parts.groupBy("root").agg(pieces.alias("k")))
+    placed = cut(parts.join(wide, "root").select("node", "root", F.pmod(F.xxhash64("node"), "k").alias("piece")))
+    both = pairs.join(placed.toDF("u", "root", "pu"), "u").join(placed.select(F.col("node").alias("v"), F.col("piece").alias("pv")), "v")
+    cells = cut(both.select(F.xxhash64("root", F.least("pu", "pv"), F.greatest("pu", "pv")).alias("cell"), "u", "v"))
+    wanted = cut(cells.select("cell", F.col("u").alias("key")).union(cells.select("cell", "v")).distinct())
+    hand = F.broadcast if wanted.count() <= SMALL else lambda x: x
+    sets = sets_of(docs, placed.select(F.col("node").alias("key")), named, n).join(hand(wanted), "key")
+    dealt = sets.select("cell", F.lit(0).alias("pair"), F.col("key").alias("u"), F.lit(0).cast("long").alias("v"), "s")
+    asked = cells.select("cell", F.lit(1).alias("pair"), "u", "v", F.lit(b"").alias("s"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for _, (pair, u, v, s) in lists(batches):
+            first = int(np.searchsorted(pair, 1))
+            held = {k: np.frombuffer(x, np.uint64) if x else np.empty(0, np.uint64) for k, x in zip(u[:first].tolist(), s[:first])}
+            root = {k: k for k in held}
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            found = []
+            for i, j in zip(u[first:].tolist(), v[first:].tolist()):
+                a, b = find(i), find(j)
+                if a == b:
+                    continue
+                x, y = held[i], held[j]
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+                if same >= similarity * (len(x) + len(y) - same) - 1e-9:
+                    root[max(a, b)] = min(a, b)
+                    found.append((i, j))
+            links = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
 
-    return left.join(right, "v").select("u", "v", "su", "sv").mapInArrow(work, "u long, v long")
+    return dealt.union(asked).repartition("cell").sortWithinPartitions("cell", "pair", "u", "v").mapInArrow(work, "u long, v long")
 
 
 def crowd_pairs(crowd: DataFrame, points: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -599,20 +629,26 @@ def crowd_pairs(crowd: DataFrame, points: DataFrame, roots: DataFrame, similarit
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, named: DataFrame, n: int) -> DataFrame:
-    """(key, s): the shingle sets of some keys, each from one of the documents that have it."""
+    """(key, s): the shingle sets of some keys (written, distinct), each from one of the documents that have it.
+
+    Where rows repeat, each task that holds some gives the set once.
+    """
     at = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     ids = named.select("key", "doc_id", "text_hash").join(keys, "key").groupBy("key").agg(F.min(at).alias("at")).select("at.doc_id", "at.text_hash").distinct()
     if keys.count() <= SMALL:
         ids = F.broadcast(ids)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            sets = [shingle_set(t, n) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "s"])
+            sets = {set_key(s): s for s in (shingle_set(t, n) for t in b.column(0).to_pylist())}
+            new = [k for k in sets if k not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["key", "s"])
 
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     texts = d.join(ids, d["doc_id"].eqNullSafe(ids["doc_id"]) & (d["text_hash"] == ids["text_hash"]), "left_semi")
-    return cut(texts.select("text").mapInArrow(shingles, "key long, s binary").dropDuplicates(["key"]))
+    return texts.select("text").mapInArrow(shingles, "key long, s binary")
 
 
 def set_links(docs: DataFrame, named: DataFrame, points: DataFrame, similarity: float, n: int) -> DataFrame:
@@ -631,15 +667,14 @@ def set_links(docs: DataFrame, named: DataFrame, points: DataFrame, similarity:
     by_pivot = crowd.join(pivots, "h").where("key <> u").select("u", F.col("key").alias("v"))
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     first = cut(first.union(possible(near.union(same).union(by_pivot).distinct(), points, similarity)).distinct())
-    keys = lambda p: p.select(F.col("u").alias("key")).union(p.select("v")).distinct()
-    sure = cut(confirmed(first, sets_of(docs, cut(keys(first)), named, n), similarity))
+    sure = cut(confirmed(first, docs, named, points, similarity, n))
     roots = cut(connected(sure).withColumnRenamed("node", "key"))
     of = lambda k: roots.select(F.col("key").alias(k), F.col("root").alias(f"r{k}"))
     left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
     rest = cut(left.union(possible(crowd_pairs(crowd, points, roots, similarity), points, similarity)).exceptAll(first.select("u", "v")).distinct())
     if rest.isEmpty():
         return sure
-    return sure.union(confirmed(rest, sets_of(docs, cut(keys(rest)), named, n), similarity))
+    return sure.union(confirmed(rest, docs, named, points, similarity, n))
 
 
 def _grouped(docs: DataFrame, similarity: float, n: int) -> DataFrame:

@@ -94,3 +94,11 @@ def test_one_row_of_each_group_stays(spark, odd, nothing):
 def test_crowds_meet_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PIECE", 16)
     test_dense_lists_join_only_what_is_confirmed(spark)
+
+
+def test_pairs_meet_in_cells_of_few_sets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_SETS", 3)
+    rng = np.random.default_rng(29)
+    words = [f"w{x}" for x in rng.integers(1 << 30, size=80)]
+    texts = [variant(rng, words, int(k)) for k in rng.integers(1, 4, size=40)] + [" ".join(words)] * 3
+    assert found(spark, texts) == brute(texts)
