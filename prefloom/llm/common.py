@@ -38,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect, so that Spark deletes the shuffle files of plans that nothing refers to any more.
+
+    Spark deletes them only when its references are collected, which on a quiet driver may be long after; a job of
+    many steps would then hold the files of all of them at once.
+    """
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)

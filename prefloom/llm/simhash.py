@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, component_ids, connected, cut, mix64, rolling
+from .common import WordHash, component_ids, connected, cut, mix64, release, rolling
 
 SHINGLE = 4
 RADIUS = 4
@@ -661,6 +661,7 @@ def set_links(docs: DataFrame, named: DataFrame, points: DataFrame, similarity:
     near = links(least.select("fp")).join(least.toDF("u", "ku"), "u").join(least.toDF("v", "kv"), "v").select(F.least("ku", "kv").alias("u"), F.greatest("ku", "kv").alias("v"))
     same = points.join(least.toDF("fp", "u"), "fp").where("key <> u").select("u", F.col("key").alias("v"))
     found = cut(candidates(docs, n, common_shingles(docs, n), similarity))
+    release(docs.sparkSession)  # postings are by far the most that this stage shuffles
     pairs = cut(possible(found.where("v is not null").select("u", "v"), points, similarity))
     crowd = found.where("v is null").select("h", F.col("u").alias("key"))
     pivots = cut(crowd.groupBy("h").agg(F.min("key").alias("u")))
@@ -668,10 +669,12 @@ def set_links(docs: DataFrame, named: DataFrame, points: DataFrame, similarity:
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     first = cut(first.union(possible(near.union(same).union(by_pivot).distinct(), points, similarity)).distinct())
     sure = cut(confirmed(first, docs, named, points, similarity, n))
+    release(docs.sparkSession)
     roots = cut(connected(sure).withColumnRenamed("node", "key"))
     of = lambda k: roots.select(F.col("key").alias(k), F.col("root").alias(f"r{k}"))
     left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
     rest = cut(left.union(possible(crowd_pairs(crowd, points, roots, similarity), points, similarity)).exceptAll(first.select("u", "v")).distinct())
+    release(docs.sparkSession)
     if rest.isEmpty():
         return sure
     return sure.union(confirmed(rest, docs, named, points, similarity, n))
