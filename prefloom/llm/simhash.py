@@ -28,6 +28,7 @@ gives none; other columns are ignored; ids pass through untouched, and a compone
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -581,11 +582,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, named: DataFrame, points: DataF
 
 
 def crowd_pairs(crowd: DataFrame, points: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) within the lists (h, key) of sets of different components whose folded parities don't rule out a link.
+    """(u, v) within the lists (h, key) of sets of different components whose parities don't rule out a link.
 
     A list's largest component is met by all other sets, once for all lists that have the same largest component; the
     others meet each other list by list.  Both are dealt in pieces of about ``PIECE`` sets, two of which meet in a task,
-    so that lists that are one component and a few others cost no more than that component's length.
+    so that lists that are one component and a few others cost no more than that component's length.  A set brings all
+    its parities to a task, so that no pair travels before it has passed them: coarse ones, those all sets have, then
+    all that both sets have.
     """
     rooted = cut(crowd.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     parts = rooted.groupBy("h", "root").agg(F.count("*").alias("n"))
@@ -603,26 +606,36 @@ def crowd_pairs(crowd: DataFrame, points: DataFrame, roots: DataFrame, similarit
     among = F.transform(upto(n), lambda j: cell("h", F.least(own(n), j), F.greatest(own(n), j)))
     rest = met.where("root <> top and of > 2").withColumn("large", F.lit(False))
     dealt = sides.join(wide, "top").select("key", "root", "large", F.explode(across).alias("list")).union(rest.select("key", "root", "large", F.explode(among)))
-    listed = dealt.join(points.select("key", "size", "coarse"), "key").select("list", "large", "root", "key", "size", "coarse")
+    listed = dealt.join(points.select("key", "size", "bits"), "key").select("list", "large", "root", "key", "size", "bits")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = (1 - similarity) / (1 + similarity)
         for _, (large, root, key, size, blobs) in lists(batches):
             large = large.astype(bool)
             order = np.lexsort((root, ~large))  # the largest component first, if it is here
-            root, key, size = root[order], key[order], size[order].astype(np.int32)
-            bits = np.stack([fold(blobs[i], PARITY // COARSE // 8) for i in order]).view(np.uint64)
+            root, key, size, blobs = root[order], key[order], size[order].astype(np.int32), blobs[order]
+            fine = np.stack([fold(unpack_bits(x), PARITY // 8) for x in blobs]).view(np.uint64)
+            coarse = np.bitwise_xor.reduce(fine.reshape(len(key), COARSE, -1), axis=1)
+            wide = lru_cache(maxsize=1024)(lambda i, blobs=blobs: unpack_bits(blobs[i]))
             start = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
-            end, step = np.append(start[1:], len(root)), max(1, (1 << 20) // len(root))  # bounds the memory of a long list
+            end, step = np.append(start[1:], len(root)), max(1, (1 << 18) // len(root))  # bounds the memory of a long list
             for a, b in list(zip(start.tolist(), end.tolist()))[: 1 if large.any() else None]:
                 for i in range(a, b, step):
                     j = min(b, i + step)
+                    most = share * (size[i:j, None] + size[None, b:]) + 1e-6
                     differ = np.zeros((j - i, len(root) - b), np.int32)
-                    for w in range(bits.shape[1]):
-                        differ += np.bitwise_count(bits[i:j, None, w] ^ bits[None, b:, w])
-                    x, y = np.nonzero(differ <= share * (size[i:j, None] + size[None, b:]) + 1e-6)
-                    if len(x):
-                        u, v = key[i + x], key[b + y]
+                    for w in range(coarse.shape[1]):
+                        differ += np.bitwise_count(coarse[i:j, None, w] ^ coarse[None, b:, w])
+                    x, y = np.nonzero(differ <= most)
+                    most, x, y = most[x, y], x + i, y + b
+                    differ = np.zeros(len(x), np.int32)
+                    for w in range(fine.shape[1]):
+                        differ += np.bitwise_count(fine[x, w] ^ fine[y, w])
+                    ok = differ <= most
+                    for k in np.flatnonzero(ok & (np.minimum(size[x], size[y]) >= PARITY // PARITY_EACH)):
+                        ok[k] = least_difference(wide(int(x[k])), wide(int(y[k]))) <= most[k]
+                    if ok.any():
+                        u, v = key[x[ok]], key[y[ok]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return listed.repartition("list").sortWithinPartitions("list", "key").mapInArrow(work, "u long, v long").distinct()
@@ -673,7 +686,7 @@ def set_links(docs: DataFrame, named: DataFrame, points: DataFrame, similarity:
     roots = cut(connected(sure).withColumnRenamed("node", "key"))
     of = lambda k: roots.select(F.col("key").alias(k), F.col("root").alias(f"r{k}"))
     left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    rest = cut(left.union(possible(crowd_pairs(crowd, points, roots, similarity), points, similarity)).exceptAll(first.select("u", "v")).distinct())
+    rest = cut(left.union(crowd_pairs(crowd, points, roots, similarity)).exceptAll(first.select("u", "v")).distinct())
     release(docs.sparkSession)
     if rest.isEmpty():
         return sure
@@ -706,6 +719,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, n: int = STAGE_SHI
     best = rows.groupBy("root").agg(F.min(at).alias("at")).select("at.doc_id", "at.text_hash")
     times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
     keep = cut(best.join(times, best["doc_id"].eqNullSafe(times["doc_id"]) & (best["text_hash"] == times["text_hash"])).select(best["doc_id"].alias("__id"), best["text_hash"].alias("__hash"), "times"))
-    pick = lambda k: docs.join(k, docs["doc_id"].eqNullSafe(k["__id"]) & (F.xxhash64(docs["text"]) == k["__hash"]), "left_semi")
+    release(docs.sparkSession)
+    hand = F.broadcast if keep.count() <= SMALL else lambda x: x  # so that texts need not be shuffled
+    pick = lambda k: docs.join(hand(k), docs["doc_id"].eqNullSafe(k["__id"]) & (F.xxhash64(docs["text"]) == k["__hash"]), "left_semi")
     once, more = keep.where("times = 1"), keep.where("times > 1")
     return pick(once).unionByName(pick(more).dropDuplicates(["doc_id", "text"]))
