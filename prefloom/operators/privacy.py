@@ -103,11 +103,15 @@ def epsilon_gauss(epsilon: float, delta: float) -> float:
 
 
 def epsilon_shuffle(epsilon: float, delta: float, n: int, tol: float = 1e-9) -> float:
-    """Largest local epsilon whose amplification by shuffling n reports stays within (epsilon, delta), by bisection."""
+    """Largest local epsilon whose amplification by shuffling n reports stays within (epsilon, delta), by bisection.
+
+    The closed bound of amplification by shuffling ("hiding among the clones", theorem for local epsilons up to
+    log(n / (16 log(2 / delta)))); with too few reports for it, ``epsilon`` itself.
+    """
 
     def amplified(e0: float) -> float:
         e = math.exp(e0)
-        return math.log1p((e - 1) * (4 * math.sqrt(2 * math.log(4 / delta)) / math.sqrt((e + 1) * n) + 4 / n))
+        return math.log1p((e - 1) / (e + 1) * (8 * math.sqrt(e * math.log(4 / delta) / n) + 8 * e / n))
 
     limit = math.log(n / (16 * math.log(2 / delta))) if n > 16 * math.log(2 / delta) else 0.0
     if limit <= 0:
@@ -116,4 +120,4 @@ def epsilon_shuffle(epsilon: float, delta: float, n: int, tol: float = 1e-9) ->
     while high - low > tol:
         mid = (low + high) / 2
         low, high = (mid, high) if amplified(mid) <= epsilon else (low, mid)
-    return max(low, min(epsilon, limit))
+    return low

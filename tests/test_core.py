@@ -239,7 +239,9 @@ def test_privacy():
     t = np.array([privacy.two_sided_geometric(0.5, rng) for _ in range(3000)])
     assert abs(t.mean()) < 0.15 and abs((t == 0).mean() - 1 / 3) < 0.04
     assert abs(np.mean([privacy.bernoulli_exp(1.5, rng) for _ in range(3000)]) - math.exp(-1.5)) < 0.03
-    assert privacy.epsilon_shuffle(1.0, 1e-6, 100_000) > 1.0
+    assert privacy.epsilon_shuffle(1.0, 1e-6, 100_000) == pytest.approx(5.700792, abs=1e-6)
+    assert privacy.epsilon_shuffle(0.1, 1e-6, 100_000) == pytest.approx(1.274315, abs=1e-6)
+    assert privacy.epsilon_shuffle(1.0, 1e-6, 100) == 1.0  # too few reports
     assert privacy.epsilon_gauss(1.0, 1e-5) == pytest.approx(1 / math.sqrt(2 * math.log(1e5)))
     a = privacy.random_graph(30, 0.5)
     assert (a == a.T).all() and not a.diagonal().any()
