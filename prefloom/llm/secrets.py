@@ -49,7 +49,7 @@ def _path(doc_id: Column) -> Column:
 
 
 def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, kind_no, kind, start, end) of all findings in (blob, text) rows with distinct blobs."""
+    """(blob, kind_no, kind, start, end) of all findings in (blob, text) rows; rows that repeat count once."""
     tries = []
     for no, (kind, (pattern, group, least, within)) in enumerate(rules.items()):
         p = F.lit(pattern)
@@ -69,9 +69,10 @@ def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
         tries.append(F.when(may, found))
     hits = blobs.select("blob", F.explode(F.array_compact(F.array(*tries))).alias("f")).select("blob", "f.*")
     rows = hits.select("blob", "kind_no", "kind", "least", F.posexplode(F.arrays_zip("gaps", "lens", "parts")).alias("i", "m")).where("m.lens is not null")
-    so_far = Window.partitionBy("blob", "kind_no").orderBy("i")
-    end = F.sum(F.col("m.gaps") + F.col("m.lens")).over(so_far)
-    return rows.select("blob", "kind_no", "kind", (end - F.col("m.lens")).alias("start"), end.alias("end"), (F.col("m.parts") >= F.col("least")).alias("ok")).where("ok").drop("ok")
+    rows = rows.select("blob", "kind_no", "kind", "least", "i", "m.*").distinct()  # a blob may come more than once: its rows are the same each time
+    so_far = Window.partitionBy("blob", "kind_no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gaps") + F.col("lens")).over(so_far)
+    return rows.select("blob", "kind_no", "kind", (end - F.col("lens")).alias("start"), end.alias("end"), (F.col("parts") >= F.col("least")).alias("ok")).where("ok").drop("ok")
 
 
 def findings_of(spans: DataFrame, base=BASE) -> DataFrame:
@@ -101,8 +102,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple
         fresh = docs.sparkSession.createDataFrame([], EMPTY_LEDGER)
     else:
         text = d.select(_path(F.col("doc_id")).alias("at"), "blob", "text").join(unseen, ["at", "blob"]).select("blob", "text")
-        spans = find_spans(text, rules).dropDuplicates(["blob", "kind_no", "start"])  # a path may list one blob twice
-        found = cut(findings_of(spans))
+        found = cut(findings_of(find_spans(text, rules)))  # a path may list one blob twice
         fresh = unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), *n, F.coalesce("base_spans", F.lit("")).alias("base_spans"), F.coalesce("spans", F.lit("")).alias("spans"))
     held = cut(fresh.where("spans <> ''").unionByName(known.where("spans <> ''")).drop("rule_version"))
     by_path = paths.join(held, "blob", "left").select(
