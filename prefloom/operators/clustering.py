@@ -1,7 +1,7 @@
 """Low-rank approximation and clustering of embedded rankings.
 
-Right singular vectors come from the features' Gram matrix (feature-sized, on the driver); rows are projected
-where they are.  Clustering is MLlib's k-means over the projected rows.
+Leading directions come from ``lowrank``; rows are projected where they are.  Clustering is MLlib's k-means over the
+projected rows.
 """
 
 from __future__ import annotations
@@ -13,47 +13,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import solvers
-from . import embeddings as E
-
-
-def right_vectors(embedding: DataFrame, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(singular values, right vectors as columns), the k largest."""
-    w, v = np.linalg.eigh(E.gram(embedding, size))
-    order = np.argsort(-w)[:k]
-    return np.sqrt(np.maximum(w[order], 0)), v[:, order]
-
-
-def project(embedding: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """(ranking_id, z): embedding times a feature x k matrix, summed by ranking; the matrix is feature-sized."""
-    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(matrix)]
-    m = embedding.sparkSession.createDataFrame(rows, "k int, row array<double>")
-    k = matrix.shape[1]
-    j = embedding.join(m, "k").select("ranking_id", *[(F.col("x") * F.get("row", F.lit(i))).alias(f"z{i}") for i in range(k)])
-    return j.groupBy("ranking_id").agg(F.array(*[F.sum(f"z{i}") for i in range(k)]).alias("z"))
+from ..sources.shared import cut
+from . import lowrank
 
 
 def low_rank(embedding: DataFrame, size: int, k: int, method: str = "pca", lam: float = 1.0, seed: int = 0) -> DataFrame:
     """(ranking_id, z): left vectors (``pca``), scaled ones (``pca-scaled``), random projections (``gaussian``,
     ``sparse``), soft-thresholded values (``nuclear``) or the rank-k reconstruction (``alternating``)."""
+    rows = lowrank.Rows(embedding, size)
     if method in ("gaussian", "sparse"):
-        m = embedding.select("ranking_id").distinct().count()
-        dims = max(1, int(8 * math.log(max(m, 2))))
-        rng = np.random.default_rng(seed)
-        if method == "gaussian":
-            p = rng.normal(size=(size, dims)) / math.sqrt(dims)
-        else:
-            density = 1 / math.sqrt(size)
-            p = rng.choice([-1.0, 0.0, 1.0], p=[density / 2, 1 - density, density / 2], size=(size, dims)) / math.sqrt(density * dims)
-        return project(embedding, p)
-    s, v = right_vectors(embedding, size, size if method == "nuclear" else k)
+        m = rows.table.select("ranking_id").distinct().count()
+        return rows.project(rows.random(max(1, int(8 * math.log(max(m, 2)))), seed, method == "sparse"))
+    s, v = lowrank.right_vectors(rows, k, seed)
     if method == "pca":
-        return project(embedding, v / np.maximum(s, 1e-12))
+        return rows.project(v / np.maximum(s, 1e-12))
     if method == "pca-scaled":
-        return project(embedding, v)
+        return rows.project(v)
     if method == "nuclear":
-        return project(embedding, (v * (solvers.shrink(s, lam) / np.maximum(s, 1e-12))) @ v.T)
+        while s[-1] > lam and len(s) < size:  # all directions above the threshold, and no others
+            s, v = lowrank.right_vectors(rows, 2 * len(s), seed)
+        return rows.project(v * (solvers.shrink(s, lam) / np.maximum(s, 1e-12)), v.T)
     if method == "alternating":
-        return project(embedding, v @ v.T)
+        return rows.project(v, v.T)
     raise ValueError("unknown method")
 
 
@@ -62,7 +43,7 @@ def kmeans(points: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, np.ndar
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = points.select("ranking_id", array_to_vector("z").alias("features")).cache()
+    x = cut(points.select("ranking_id", array_to_vector("z").alias("features")))
     model = KMeans(k=k, seed=seed, maxIter=100).fit(x)
     out = model.transform(x).select("ranking_id", F.col("prediction").alias("label"))
     return out, np.array(model.clusterCenters())
@@ -109,14 +90,10 @@ def centres(embedding: DataFrame, labels: DataFrame, size: int, k: int) -> tuple
 
 def heuristic_pair_weight(embedding: DataFrame, size: int, m: int, degree: int = 1, most: float = 1.0) -> np.ndarray:
     """Weight of each pair: |loadings| of the first ``degree`` principal components times explained variance, scaled."""
-    g = E.gram(embedding, size)
-    mean = np.zeros(size)
-    for r in embedding.groupBy("k").agg(F.sum("x").alias("s")).collect():
-        mean[r.k] = r.s / m
-    w, v = np.linalg.eigh(g / m - np.outer(mean, mean))
-    order = np.argsort(-w)
-    ratio = np.maximum(w[order], 0) / max(w.clip(0).sum(), 1e-300)
-    out = (np.abs(v[:, order[:degree]]) * ratio[:degree]).sum(axis=1)
+    rows = lowrank.Rows(embedding, size)
+    mean, total = rows.moments(m)
+    w, v = lowrank.leading(lambda x: rows.normal(x) / m - np.outer(mean, mean @ x), size, degree)
+    out = (np.abs(v) * (np.maximum(w, 0) / max(total, 1e-300))).sum(axis=1)
     return out / out.max() * most if out.max() > 0 else out
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
 from . import rankings as R
 
 
@@ -50,10 +54,17 @@ def partial_pairwise(rankings: DataFrame, n: int) -> DataFrame:
 
 
 def lehmer(rankings: DataFrame) -> DataFrame:
-    """For the item at place k: how many items of larger id come before it."""
-    a = R.to_arrays(rankings).select("ranking_id", "items")
-    code = F.transform("items", lambda x, k: F.size(F.filter(F.slice("items", F.lit(1), k), lambda y: y > x)))
-    return a.select("ranking_id", F.posexplode(code).alias("k", "x")).withColumn("x", F.col("x").cast("double"))
+    """For the item at place k: how many items of larger id come before it; n log n steps a ranking."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, item in ordering.whole_groups(batches):
+            start = np.searchsorted(row, np.arange(len(ids)))
+            place = np.arange(len(row)) - start[row]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place, pa.int32()), pa.array(ordering.earlier_larger(row, item).astype(np.float64))], ["ranking_id", "k", "x"])
+
+    r = rankings.select("ranking_id", "item_id", "pos").repartition("ranking_id").sortWithinPartitions("ranking_id", "pos", "item_id")
+    kind = rankings.schema["ranking_id"].dataType.simpleString()
+    return r.select("ranking_id", "item_id").mapInArrow(work, f"ranking_id {kind}, k int, x double")
 
 
 def positional(rankings: DataFrame) -> DataFrame:
@@ -79,17 +90,8 @@ def square(rankings: DataFrame, n: int) -> DataFrame:
     return b.select("ranking_id", F.explode(F.array(F.struct((l * n + w).alias("k"), F.lit(1.0).alias("x")), F.struct((w * n + l).alias("k"), F.lit(-1.0).alias("x")))).alias("e")).select("ranking_id", "e.k", "e.x")
 
 
-def vectors(embedding: DataFrame, size: int) -> DataFrame:
-    """(ranking_id, features): MLlib sparse vectors; entries of a ranking are bounded by ``size``."""
-    from pyspark.ml.functions import array_to_vector
-
-    g = embedding.groupBy("ranking_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
-    return g.select("ranking_id", array_to_vector(dense).alias("features"))
-
-
 def gram(embedding: DataFrame, size: int) -> np.ndarray:
-    """X'X of the embedding: features x features on the driver, rows never collected."""
+    """X'X of the embedding, for few features: features x features on the driver (``lowrank`` does without it)."""
     g = embedding.groupBy("ranking_id").agg(F.collect_list(F.struct("k", "x")).alias("a"))
     pairs = g.select(F.explode("a").alias("u"), "a").select("u", F.explode("a").alias("v"))
     out = np.zeros((size, size))

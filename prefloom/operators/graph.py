@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def preference_graph(pairs: DataFrame) -> DataFrame:
     """(src, dst) for each pair i < j of (loser, winner, p): j -> i if P[i, j] < 1/2, else i -> j."""
@@ -29,32 +31,40 @@ def menu_graph(menus: DataFrame) -> DataFrame:
     return g.select(F.explode("a").alias("src"), "a").select("src", F.explode("a").alias("dst")).where("src <> dst")
 
 
+def menu_stars(menus: DataFrame) -> DataFrame:
+    """An edge (src, dst) from each item of a menu to the menu's least item: the components of ``menu_graph``, by as many edges as items."""
+    least = menus.groupBy("menu_id").agg(F.min("item_id").alias("dst"))
+    return menus.join(least, "menu_id").select(F.col("item_id").alias("src"), "dst").where("src <> dst").distinct()
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): least reachable node, by min-label rounds with pointer jumping; for item graphs.
+    """(node, root): least reachable node of each node that has an edge, a loop too; nodes of any type that has an order.
 
-    Labels only fall, so the sum of labels tells when a round changed nothing.
+    Alternating large stars (a node's greater neighbours move to its least one) and small stars (the rest do), each a
+    partial aggregation and a join, until no edge changes; what is joined is written first, so that a hub's rows can
+    be split.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().cache()
-    label = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
-    total = None
-    cut = bool(both.sparkSession.sparkContext.getCheckpointDir())
+    ends = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("src is not null and dst is not null").distinct())
+    e = ends.where("u <> v")
+    state = None
     for _ in range(rounds):
-        near = both.join(label, both["dst"] == label["node"]).groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
-        label = label.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        up = label.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        label = label.join(up, "root", "left").select("node", F.least("root", "up").alias("root"))
-        label = label.checkpoint() if cut else label.cache()
-        now = label.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            break
-        total = now
-    both.unpersist()
-    return label
+        both = e.union(e.select(F.col("v"), F.col("u")))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        e = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            nodes = ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct()
+            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        state = now
+    raise RuntimeError("components did not settle")
 
 
 def menu_components(menus: DataFrame) -> DataFrame:
     """(component, items): sorted items of each connected component; items of lone menus only do not appear."""
-    c = components(menu_graph(menus))
+    c = components(menu_stars(menus))
     return c.groupBy(F.col("root").alias("component")).agg(F.sort_array(F.collect_list("node")).alias("items"))
 
 

@@ -9,8 +9,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import solvers
@@ -23,36 +22,54 @@ def rasch(responses: DataFrame, n: int, lam: float = 1.0, accelerated: bool = Tr
     return to_frame(responses.sparkSession, chains.scores(*chains.responses(responses, lam, accelerated), n, method, log=log), "beta")
 
 
-def abilities(responses: DataFrame, difficulties: DataFrame, bound: float = 6.0, steps: int = 50) -> DataFrame:
+def response_patterns(responses: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """(user_id, items, total, p1, p2): a user's items, sorted, the sum of their scores, and 128 bits that name the two."""
+    g = responses.groupBy(*keys).agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.sum(F.col("score").cast("double")).alias("total"))
+    return g.select(*keys, "items", "total", F.xxhash64("items", "total").alias("p1"), F.xxhash64(F.lit(1), "total", "items").alias("p2"))
+
+
+def ability(total: Column, betas: Column, bound: float = 6.0, steps: int = 80) -> Column:
+    """The ability at which items of these betas are expected to give this total, within +-bound.
+
+    Newton steps, halving the bracket where one would leave it; a pattern that has settled is left as it is.
+    """
+    low, high = F.lit(-bound), F.lit(bound)
+    start = F.struct(low.alias("low"), high.alias("high"), F.lit(0.0).alias("x"), F.lit(False).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        def move(m: Column) -> Column:
+            short = m["mean"] < total
+            low, high = F.when(short, s["x"]).otherwise(s["low"]), F.when(short, s["high"]).otherwise(s["x"])
+            newton = s["x"] - (m["mean"] - total) / F.greatest(m["var"], F.lit(1e-300))
+            return metrics.let(
+                F.struct(low.alias("low"), high.alias("high"), newton.alias("to")),
+                lambda b: metrics.let(
+                    F.when((b["to"] > b["low"]) & (b["to"] < b["high"]), b["to"]).otherwise((b["low"] + b["high"]) / 2),
+                    lambda x: F.struct(b["low"].alias("low"), b["high"].alias("high"), x.alias("x"), (F.abs(x - s["x"]) < 1e-13).alias("done")),
+                ),
+            )
+
+        return F.when(s["done"], s).otherwise(metrics.let(metrics.pcm_moments(s["x"], betas), move))
+
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["x"])
+    return F.when(metrics.pcm_moments(low, betas)["mean"] >= total, low).when(metrics.pcm_moments(high, betas)["mean"] <= total, high).otherwise(root)
+
+
+def abilities(responses: DataFrame, difficulties: DataFrame, bound: float = 6.0) -> DataFrame:
     """([component,] user_id, theta): ability whose expected total score is the observed one, within +-bound.
 
-    Works for binary difficulties (item_id, beta) and graded ones (item_id, level, beta).  A user's items are
-    gathered into a row, and the bisection runs for a batch of users at once.
+    Works for binary difficulties (item_id, beta) and graded ones (item_id, level, beta); items without one are left
+    out.  Users with the same items and total share an ability: each such pattern is solved once, by column
+    expressions, and joined back.
     """
     d = difficulties if "level" in difficulties.columns else difficulties.withColumn("level", F.lit(1))
     keys = [c for c in ("component",) if c in d.columns]
-    j = responses.join(metrics.level_arrays(d), "item_id").groupBy(*keys, "user_id").agg(F.collect_list("betas").alias("betas"), F.sum("score").alias("total"))
-
-    def solve(betas: pd.Series, total: pd.Series) -> pd.Series:
-        n = np.array([len(b) for b in betas])
-        levels = max((len(x) for b in betas for x in b), default=1)
-        flat = np.full((int(n.sum()), levels), np.inf)
-        for i, x in enumerate(x for b in betas for x in b):
-            flat[i, : len(x)] = x
-        user = np.repeat(np.arange(len(n)), n)
-        steps_z = np.cumsum(flat, axis=1)
-        k = np.arange(1, levels + 1)
-        low, high = np.full(len(n), -bound), np.full(len(n), bound)
-        for _ in range(steps):
-            mid = (low + high) / 2
-            z = np.hstack([np.zeros((len(flat), 1)), mid[user][:, None] * k - steps_z])
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            mean = (e * np.arange(levels + 1)).sum(axis=1) / e.sum(axis=1)
-            below = np.bincount(user, weights=mean, minlength=len(n)) < total.to_numpy(float)
-            low, high = np.where(below, mid, low), np.where(below, high, mid)
-        return pd.Series((low + high) / 2)
-
-    return j.select(*keys, "user_id", F.pandas_udf(solve, "double")("betas", "total").alias("theta"))
+    users = response_patterns(responses.join(d.select("item_id").distinct(), "item_id"))
+    patterns = users.groupBy("p1", "p2").agg(F.first("items").alias("items"), F.first("total").alias("total"))
+    rows = patterns.select("p1", "p2", "total", F.explode("items").alias("item_id")).join(metrics.level_arrays(d), "item_id")
+    gathered = rows.groupBy(*keys, "p1", "p2").agg(F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("item_id", "betas"))).alias("b"))
+    solved = gathered.select(*keys, "p1", "p2", ability(F.col("total"), F.transform("b", lambda x: x["betas"]), bound).alias("theta"))
+    return users.select("user_id", "p1", "p2").join(solved, ["p1", "p2"]).select(*keys, "user_id", "theta")
 
 
 def rasch_joint(responses: DataFrame, n: int, lam: float = 1.0) -> tuple[DataFrame, DataFrame]:

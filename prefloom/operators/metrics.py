@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import solvers
+from . import ordering
 from . import rankings as R
 
 
@@ -23,15 +26,21 @@ def top_k_accuracy(truth: DataFrame, estimate: DataFrame, k: int, by: str | None
 def kendall_distance(truth: DataFrame, estimate: DataFrame, by: str | None = None) -> DataFrame:
     """Discordant pairs over all pairs of two rankings (item_id, pos) of the same items; with ``by``, of each ranking of ``truth``.
 
-    A ranking's pairs are counted within its row, so that nothing but the rankings is shuffled.
+    Rankings are dealt and sorted once, and a batch's discordant pairs counted together in n log n steps; a ranking
+    of one item has a null distance.
     """
-    keys = [by] if by else []
-    j = truth.select(*keys, "item_id", F.col("pos").alias("t")).join(estimate.select("item_id", F.col("pos").alias("e")), "item_id")
-    e = F.transform(F.array_sort(F.collect_list(F.struct("t", "e"))), lambda x: x["e"])
-    n = F.size("order")
-    later = lambda x, i: F.size(F.filter(F.slice("order", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: y < x))
-    swaps = F.aggregate(F.transform("order", later), F.lit(0), lambda a, x: a + x)
-    return j.groupBy(*keys).agg(e.alias("order")).select(*keys, F.when(n > 1, swaps / (n * (n - 1) / 2)).alias("distance"))
+    key = F.col(by) if by else F.lit(0)
+    j = truth.select(key.alias("by"), "item_id", F.col("pos").alias("t")).join(estimate.select("item_id", F.col("pos").alias("e")), "item_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, e in ordering.whole_groups(batches):
+            swaps, n = np.bincount(row, weights=ordering.earlier_larger(row, e), minlength=len(ids)), np.bincount(row, minlength=len(ids))
+            pairs = n * (n - 1) / 2
+            yield pa.RecordBatch.from_arrays([ids, pa.array(swaps / np.maximum(pairs, 1), mask=pairs == 0)], ["by", "distance"])
+
+    kind = j.schema["by"].dataType.simpleString()
+    out = j.select("by", "e", "t").repartition("by").sortWithinPartitions("by", "t").select("by", "e").mapInArrow(work, f"by {kind}, distance double")
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
 
 
 def ell2(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -92,9 +101,27 @@ def clustering_accuracy(labels: DataFrame) -> float:
 
 
 def cramer_rao(difficulties: DataFrame, abilities: DataFrame, p: float = 1.0) -> DataFrame:
-    """(item_id, bound): 1 / sum over users of p s (1 - s), s = sigmoid(theta - beta)."""
-    s = 1 / (1 + F.exp(F.col("beta") - F.col("theta")))
-    return abilities.select("theta").join(difficulties.select("item_id", "beta")).groupBy("item_id").agg((1 / F.sum(p * s * (1 - s))).alias("bound"))
+    """(item_id, bound): 1 / sum over users of p s (1 - s), s = sigmoid(theta - beta).
+
+    Equal abilities are counted first; each task then sums its own over all items, so that users and items are never
+    joined: what is shuffled is a row an item and task.
+    """
+    items = difficulties.select("item_id", F.col("beta").cast("double").alias("beta")).toArrow()  # item-sized
+    ids, beta = items.column("item_id").combine_chunks(), items.column("beta").to_numpy()
+    kind = difficulties.schema["item_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(beta))
+        for b in batches:
+            theta, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for at in range(0, len(theta), step := max(1, (1 << 20) // max(1, len(beta)))):
+                s = 1 / (1 + np.exp(beta[None, :] - theta[at : at + step, None]))
+                total += n[at : at + step] @ (p * s * (1 - s))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(total)], ["item_id", "information"])
+
+    counted = abilities.where("theta is not null").groupBy(F.col("theta").cast("double").alias("theta")).agg(F.count("*").alias("n"))
+    sums = counted.mapInArrow(work, f"item_id {kind}, information double").groupBy("item_id").agg(F.sum("information").alias("s"))
+    return sums.where("s > 0").select("item_id", (1 / F.col("s")).alias("bound"))
 
 
 def marginal_response(difficulties: DataFrame, sigma: float = 1.0, mean: float = 0.0, kappa: float = 10.0, steps: int = 2000) -> DataFrame:
@@ -114,25 +141,52 @@ def heldout_log_likelihood(probabilities: DataFrame, test: DataFrame) -> DataFra
 def auc(scored: DataFrame, score: str = "p", label: str = "score") -> DataFrame:
     """Area under the ROC curve.  Ties count half.
 
-    Scores are first counted by value, so that the ordered pass is over distinct values.
+    Scores are counted by value, the values dealt to ranges, and negatives below a value found by prefix sums of
+    ranges and within them, so that no task meets all values.
     """
     g = scored.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("double")).alias("pos"), F.sum((F.col(label) != 1).cast("double")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return g.withColumn("below", below).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return ordering.sums_before(g, ["s"], "neg", "below").agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def pcm_probabilities(theta: Column, betas: Column) -> Column:
     """Array of P(score = 0 .. L) of the partial-credit model: softmax of k theta - (beta_1 + .. + beta_k)."""
-    start = F.struct(F.lit(0.0).alias("run"), F.array(F.lit(0.0)).alias("z"))
-    z = F.aggregate(betas, start, lambda a, b: F.struct((a["run"] + theta - b).alias("run"), F.concat(a["z"], F.array(a["run"] + theta - b)).alias("z")))["z"]
-    e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    steps = F.aggregate(betas, F.array(F.lit(0.0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + theta - b)))
+    weights = let(steps, lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top))))
+    return let(weights, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda v: v / total)))
+
+
+def pcm_moments(theta: Column, betas: Column) -> Column:
+    """(mean, var) of the total score over items, from an array of the items' betas; each level is met once.
+
+    An item's weights are summed against the greatest so far, so that none overflows.
+    """
+    start = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("z"), F.lit(0.0).alias("top"), F.lit(1.0).alias("s0"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+
+    def level(a: Column, b: Column) -> Column:
+        def add(z: Column) -> Column:
+            def scaled(w: Column) -> Column:
+                old, new = F.when(z <= a["top"], F.lit(1.0)).otherwise(w), F.when(z <= a["top"], w).otherwise(F.lit(1.0))
+                k = a["k"] + 1.0
+                return F.struct(k.alias("k"), z.alias("z"), F.greatest(z, a["top"]).alias("top"), (a["s0"] * old + new).alias("s0"), (a["s1"] * old + k * new).alias("s1"), (a["s2"] * old + k * k * new).alias("s2"))
+
+            return let(F.exp(-F.abs(z - a["top"])), scaled)
+
+        return let(a["z"] + theta - b, add)
+
+    def item(total: Column, b: Column) -> Column:
+        return let(F.aggregate(b, start, level), lambda m: let(m["s1"] / m["s0"], lambda mean: F.struct((total["mean"] + mean).alias("mean"), (total["var"] + m["s2"] / m["s0"] - mean * mean).alias("var"))))
+
+    return F.aggregate(betas, F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("var")), item)
 
 
 def likeliest(probs: Column) -> Column:
     """Score of the largest probability; the least of those that tie to 12 places."""
-    p = F.transform(probs, lambda v: F.round(v, 12))
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(F.transform(probs, lambda v: F.round(v, 12)), lambda p: (F.array_position(p, F.array_max(p)) - 1).cast("int"))
 
 
 def level_arrays(difficulties: DataFrame) -> DataFrame:

@@ -4,32 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MISSING = -99999
-
+from ..sources.shared import cut
+from . import ordering
 
-def _order(seed: int, *keys: str) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+MISSING = -99999
 
 
 def split_responses(responses: DataFrame, p: float = 0.8, seed: int = 0) -> DataFrame:
-    """Adds ``split``: in each item, floor(p x count) responses (by hash) are train, the rest test."""
-    by = Window.partitionBy("item_id")
-    rank = F.row_number().over(by.orderBy(_order(seed, "user_id", "item_id"), "user_id"))
-    return responses.withColumn("split", F.when(rank <= F.floor(p * F.count("*").over(by)), "train").otherwise("test"))
+    """Adds ``split``: in each item, floor(p x count) responses (by hash of user and item) are train, the rest test.
+
+    The last train response of an item is found by selection, so that an item with most of the responses is never
+    gathered.
+    """
+    keyed = cut(responses.withColumn("_key", ordering.key_of(seed, "user_id", "item_id")))
+    want = keyed.groupBy("item_id").agg(F.floor(F.lit(p) * F.count("*")).alias("k"))
+    taken = ordering.least(keyed, ["item_id"], "_key", ["user_id"], want)
+    return taken.withColumn("split", F.when(F.col("taken"), "train").otherwise("test")).drop("_key", "taken")
 
 
 def split_users(responses: DataFrame, p_train: float = 0.8, p_test: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(train, test): the first int(n p_train) and the last int(n p_test) users in hash order."""
-    users = responses.select("user_id").distinct()
+    """(train, test): responses of the first int(n p_train) and the last int(n p_test) users in hash order."""
+    users = cut(responses.select("user_id").distinct().withColumn("_key", ordering.key_of(seed, "user_id")).withColumn("_all", F.lit(0)))
     n = users.count()
-    cut = int(n * p_train)
-    last = int(n * p_test)
-    ordered = users.withColumn("h", _order(seed, "user_id")).orderBy("h", "user_id")
-    train = ordered.limit(cut).select("user_id")
-    test = users.withColumn("h", _order(seed, "user_id")).orderBy(F.desc("h"), F.desc("user_id")).limit(last).select("user_id")
+
+    def first(k: int) -> DataFrame:
+        want = users.sparkSession.createDataFrame([(0, k)], "_all int, k long")
+        return ordering.least(users, ["_all"], "_key", ["user_id"], want)
+
+    train = first(int(n * p_train)).where("taken").select("user_id")
+    test = first(n - int(n * p_test)).where("not taken").select("user_id")
     return responses.join(train, "user_id", "left_semi"), responses.join(test, "user_id", "left_semi")
 
 

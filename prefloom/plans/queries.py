@@ -396,7 +396,7 @@ def _menus(spark, d):
 
 @query
 def menu_components(spark, d):
-    return graph.components(graph.menu_graph(_menus(spark, d))).select(F.col("node").cast("int"), F.col("root").cast("int"))
+    return graph.components(graph.menu_stars(_menus(spark, d))).select(F.col("node").cast("int"), F.col("root").cast("int"))
 
 
 @query
