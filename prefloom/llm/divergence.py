@@ -34,8 +34,8 @@ RANKS = 200
 CHUNK, SOURCES, HELD = 4096, 64, 1 << 18
 #: sums of pairs that a task holds before it passes them on
 CELLS = 1 << 20
-#: copies of a language's list of sources, so that chunks of one language meet it in several tasks
-SALTS = 64
+#: copies of a language's list of sources, so that its chunks meet it in several tasks; parts of a group's terms that are ranked first
+SALTS, RANK_SALTS = 64, 8
 #: counts below this have 64-bit shares
 EXACT = ((1 << 63) - 1) // SHARE - 1
 _OTHER = bytes(c for c in range(128) if not chr(c).isalpha())
@@ -62,7 +62,7 @@ class Tally:
         ids, n = np.unique(np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words)), return_counts=True)
         self.pending.append((ids + (group << 40), n, np.ones(len(ids), np.int64)))
         self.size += len(ids)
-        if self.size > 4 * HELD:
+        if self.size > 2 * HELD:
             self.compact()
 
     def compact(self) -> None:
@@ -98,7 +98,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             held.add(lang, source, text.as_py())
-            if held.size > 4 * HELD or len(held.terms) > HELD:
+            if held.size > 2 * HELD or len(held.terms) > HELD:
                 held.compact()
                 if held.full():
                     yield held.take()
@@ -160,7 +160,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each chunk, each pair's part of the divergence and each group's leading terms."""
     sums: dict[str, tuple[list[str], np.ndarray]] = {}  # of languages whose pairs of sources are few
     for b in batches:
-        for r in b.to_pylist():
+        for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
             names, kept, terms = r["names"], r["kept"], r["terms"]
             of = {s: i for i, s in enumerate(names)}
             group = np.fromiter((of[s] for s in r["sources"]), np.int64, len(r["sources"]))
@@ -248,6 +248,9 @@ def audit(docs: DataFrame) -> DataFrame:
     bare = langs.where("kept is null").select("lang", "names", F.explode("names").alias("source")).withColumn("other", F.explode("names")).where("source <> other")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
     pairs = pairs.union(bare.select("lang", "source", F.lit("pair"), F.col("other").cast("binary"), F.lit(0).cast("long")))
-    place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    ranked = pairs.withColumn("rank", place).union(found.where("part = 'term'").withColumn("rank", place).where(F.col("rank") <= RANKS))
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang", "source", "part", *by).orderBy(F.desc("value"), "item"))
+    terms = found.where("part = 'term'")
+    for by in (F.pmod(F.hash("item"), F.lit(RANK_SALTS)),), ():  # first within salts of a group, to which many chunks have added
+        terms = terms.withColumn("rank", place(*by)).where(F.col("rank") <= RANKS)
+    ranked = pairs.withColumn("rank", place()).union(terms)
     return ranked.select("lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank")
