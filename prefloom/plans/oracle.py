@@ -202,3 +202,68 @@ SQL |= {
     ) + "SELECT count(DISTINCT d) = 25 AS connected FROM re",
     "clustering_accuracy": _with(*_ASSIGN) + f"SELECT {_r('s10.n / (SELECT sum(n) FROM w)::DOUBLE')} AS accuracy FROM s10",
 }
+
+
+def _key(seed: int, *columns: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {" || ':' || ".join(columns)}), 1, 15))::BIGINT"
+
+
+def _bisect(score: str) -> list[str]:
+    """Roots of the expected total of each pattern (items, total), by halving; ``score`` is that total of betas ``bs`` at x."""
+    return [
+        "pt AS (SELECT DISTINCT items, bs, total FROM us)",
+        f"""bi(step, items, total, bs, low, high) AS (SELECT 0, items, total, bs, -6.0::DOUBLE, 6.0::DOUBLE FROM pt
+ UNION ALL SELECT step + 1, items, total, bs, CASE WHEN m < total THEN x ELSE low END, CASE WHEN m < total THEN high ELSE x END FROM (SELECT *, {score} AS m FROM (SELECT *, (low + high) / 2 AS x FROM bi WHERE step < 60)))""",
+        "th AS (SELECT u, (low + high) / 2 AS theta FROM us JOIN bi ON step = 60 AND us.items = bi.items AND us.total = bi.total)",
+    ]
+
+
+def _directions(k: int, size: int) -> list[str]:
+    """Leading eigenvectors e0, e1, .. (v, lam) of the matrix of ``cell`` (i, j, s): squared thirty times, then deflated."""
+    at = f"range(1, {size + 1})"
+    out = [
+        f"full_ AS (SELECT i, j, coalesce(s, 0) AS s FROM range(0, {size}) x(i) CROSS JOIN range(0, {size}) y(j) LEFT JOIN cell USING (i, j))",
+        "g0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM full_ GROUP BY i))",
+    ]
+    scaled = lambda source: f"list_transform(m, lambda r: list_transform(r, lambda y: y / tr)) FROM (SELECT *, list_sum(list_transform({at}, lambda i: m[i][i])) AS tr FROM ({source}))"
+    for j in range(k):
+        squared = f"SELECT t, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS m FROM p{j} WHERE t < 30"
+        out += [
+            f"p{j}(t, m) AS (SELECT 0, {scaled(f'SELECT m FROM g{j}')} UNION ALL SELECT t + 1, {scaled(squared)})",
+            f"d{j} AS (SELECT m, list_position(dg, list_max(dg)) AS a FROM (SELECT m, list_transform({at}, lambda i: m[i][i]) AS dg FROM p{j} WHERE t = 30))",
+            f"w{j} AS (SELECT list_transform(m, lambda r: r[a] / sqrt(m[a][a])) AS v FROM d{j})",
+            f"e{j} AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS lam FROM w{j}, g{j})",
+            f"g{j + 1} AS (SELECT list_transform({at}, lambda i: list_transform({at}, lambda l: m[i][l] - lam * v[i] * v[l])) AS m FROM g{j}, e{j})",
+        ]
+    return out
+
+
+_ITEMS_OF = "us AS (SELECT u, list(item ORDER BY item) AS items, list(b ORDER BY item) AS bs, sum(s)::DOUBLE AS total FROM g JOIN bt USING (item) GROUP BY u)"
+_SIGNED = f"v AS (SELECT rid, {_K} AS k, CASE WHEN f THEN 0.5 ELSE -0.5 END::DOUBLE AS v FROM x)"
+_CELLS = "cell AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM v a JOIN v b ON a.rid = b.rid GROUP BY 1, 2)"
+_LEVEL_SUM = "list_sum(list_transform(bs, lambda b: (exp(x - b[1]) + 2 * exp(2 * x - b[2]) + 3 * exp(3 * x - b[3])) / (1 + exp(x - b[1]) + exp(2 * x - b[2]) + exp(3 * x - b[3]))))"
+SQL |= {
+    "rasch_joint": _with(
+        _BINARY, _RASCH, _RATES, _STEPS, "z AS (SELECT item, ln(pi / d) AS u FROM it JOIN rs ON item = src WHERE step = 400)", "bt AS (SELECT item, u - avg(u) OVER () AS b FROM z)",
+        _ITEMS_OF, *_bisect("list_sum(list_transform(bs, lambda b: 1 / (1 + exp(b - x))))"), recursive=True,
+    ) + f"SELECT u AS user_id, {_r('theta', 3)} AS theta FROM th",
+    "pcm_abilities": _with(
+        _GRADED, _B, "rn AS (SELECT item, level, sum(beta) OVER (PARTITION BY item ORDER BY level) AS run FROM bb)", "bt AS (SELECT item, list(run ORDER BY level) AS b FROM rn GROUP BY 1)", _ITEMS_OF, *_bisect(_LEVEL_SUM), recursive=True
+    ) + f"SELECT u AS user_id, {_r('theta', 4)} AS theta FROM th",
+    "leading_directions": _with(_ORDERS, _PAIRS, _EMB, _SIGNED, _CELLS, *_directions(2, 10), "e AS (SELECT 0 AS direction, v, lam FROM e0 UNION ALL SELECT 1, v, lam FROM e1)", recursive=True)
+    + f"SELECT direction, unnest(range(0, 10))::INTEGER AS k, {_r('sqrt(lam)', 3)} AS s, {_r('unnest(v)', 4)} AS loading FROM e",
+    "projected_rankings": _with(_ORDERS, _PAIRS, _EMB, _SIGNED, _CELLS, *_directions(1, 10), recursive=True) + f"SELECT rid AS ranking_id, {_r('sum(b.v * e0.v[k + 1])', 4)} AS z FROM v b, e0 GROUP BY 1",
+    "heuristic_pair_weight": _with(
+        _EVENTS, _PAIRS, _EMB, _SIGNED, "n AS (SELECT count(DISTINCT rid)::DOUBLE AS n FROM r)", "mu AS (SELECT k, sum(v) / n AS mu FROM v, n GROUP BY k, n)",
+        "cell AS (SELECT i, j, s / n - a.mu * b.mu AS s FROM (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM v a JOIN v b ON a.rid = b.rid GROUP BY 1, 2), n, mu a, mu b WHERE a.k = i AND b.k = j)", *_directions(1, 10), recursive=True,
+    ) + f"SELECT unnest(range(0, 10))::INTEGER AS k, {_r('abs(unnest(v)) / list_max(list_transform(v, lambda y: abs(y)))', 4)} AS w FROM e0",
+    "split_members": _with(_BINARY, f"h AS (SELECT u, item, row_number() OVER (PARTITION BY item ORDER BY {_key(3, 'u', 'item')}, u) AS rk, count(*) OVER (PARTITION BY item) AS n FROM g)")
+    + "SELECT u AS user_id, item::INTEGER AS item_id, CASE WHEN rk <= floor(0.7::DOUBLE * n) THEN 'train' ELSE 'test' END AS split FROM h",
+    "split_user_members": _with(_BINARY, f"h AS (SELECT u, row_number() OVER (ORDER BY {_key(5, 'u')}, u) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT u FROM g))")
+    + "SELECT u AS user_id, 'train' AS split FROM h WHERE rk <= floor(n * 0.7::DOUBLE) UNION ALL SELECT u, 'test' FROM h WHERE rk > n - floor(n * 0.2::DOUBLE)",
+    "auc_prices": "WITH w AS (SELECT l_extendedprice::DOUBLE AS p, count(*) FILTER (l_returnflag = 'R') AS pos, count(*) FILTER (l_returnflag <> 'R') AS neg FROM lineitem GROUP BY 1), x AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w)\n"
+    + f"SELECT {_r('sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg))')} AS auc FROM x",
+    "brand_components": """WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+ ed AS (SELECT DISTINCT x.b AS s, y.b AS d FROM m x JOIN m y ON x.o = y.o AND x.b <> y.b), re(s, d) AS (SELECT s, s FROM ed UNION SELECT re.s, ed.d FROM re JOIN ed ON re.d = ed.s)
+SELECT s AS node, min(d) AS root FROM re GROUP BY 1""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import ExtremeValue, GeneralNormal, Logistic, Normal
-from ..operators import chains, clustering, embeddings, ep, estimators, glrm, graph, irt, metrics, mixtures, privacy, reshape
+from ..operators import chains, clustering, embeddings, ep, estimators, glrm, graph, irt, lowrank, metrics, mixtures, privacy, reshape
 from ..operators import rankings as R
 from ..sources import generators, tables
 from . import solvers
@@ -281,6 +281,19 @@ def auc(spark, d):
     return metrics.auc(r).select(r6(F.col("auc")).alias("auc"))
 
 
+@query
+def auc_prices(spark, d):
+    """Returned lines against all others, by price: scores of which few are equal."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").cast("double").alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("score"))
+    return metrics.auc(li).select(r6(F.col("auc")).alias("auc"))
+
+
+@query
+def pcm_abilities(spark, d):
+    theta = irt.abilities(tables.graded_responses(spark, d), irt.levels_frame(spark, np.array(BETAS)))
+    return theta.select("user_id", r6(F.col("theta"), 4).alias("theta"))
+
+
 @query
 def rasch_beta(spark, d):
     return irt.rasch(tables.binary_responses(spark, d), ITEMS).select("item_id", r6(F.col("beta"), 4).alias("beta"))
@@ -399,6 +412,14 @@ def menu_components(spark, d):
     return graph.components(graph.menu_stars(_menus(spark, d))).select(F.col("node").cast("int"), F.col("root").cast("int"))
 
 
+@query
+def brand_components(spark, d):
+    """Brands (by name) that orders tie together."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item_id"))
+    menus = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", F.col("l_orderkey").alias("menu_id")).join(part, "l_partkey").select("menu_id", "item_id")
+    return graph.components(graph.menu_stars(menus))
+
+
 @query
 def topological_order(spark, d):
     order = graph.topological_order(graph.preference_graph(R.pairwise_matrix(R.comparisons(_events(spark, d)), "all")), np.zeros(ITEMS))
@@ -477,6 +498,26 @@ def heuristic_pair_weight(spark, d):
     return spark.createDataFrame([(k, round(float(v), 4)) for k, v in enumerate(w)], "k int, w double")
 
 
+def _signed(v):
+    """Columns whose entry of largest magnitude is positive."""
+    return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+
+
+@query
+def leading_directions(spark, d):
+    s, v = lowrank.right_vectors(lowrank.Rows(embeddings.pairwise(_orders(spark, d), ITEMS), 10), 2)
+    rows = [(j, k, float(s[j]), float(x)) for j, column in enumerate(_signed(v).T) for k, x in enumerate(column)]
+    return spark.createDataFrame(rows, "direction int, k int, s double, loading double").withColumns({"s": r6(F.col("s"), 3), "loading": r6(F.col("loading"), 4)})
+
+
+@query
+def projected_rankings(spark, d):
+    """Each ranking on the leading direction of all of them."""
+    rows = lowrank.Rows(embeddings.pairwise(_orders(spark, d), ITEMS), 10)
+    _, v = lowrank.right_vectors(rows, 1)
+    return rows.project(_signed(v)).select("ranking_id", r6(F.col("z")[0], 4).alias("z"))
+
+
 @query
 def low_rank_model(spark, d):
     p = R.dense(R.pairwise_matrix(R.comparisons(tables.brand_rankings(spark, d)), "all"), BRANDS)
@@ -503,6 +544,17 @@ def split_responses(spark, d):
     return s.groupBy("item_id", "split").agg(F.count("*").alias("n"))
 
 
+@query
+def split_members(spark, d):
+    return reshape.split_responses(tables.binary_responses(spark, d), 0.7, 3).select("user_id", "item_id", "split")
+
+
+@query
+def split_user_members(spark, d):
+    train, test = reshape.split_users(tables.binary_responses(spark, d), 0.7, 0.2, 5)
+    return train.select("user_id", F.lit("train").alias("split")).union(test.select("user_id", F.lit("test"))).distinct()
+
+
 @query
 def one_hot(spark, d):
     return reshape.one_hot(tables.graded_responses(spark, d), LEVELS)
