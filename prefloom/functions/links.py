@@ -58,6 +58,12 @@ class Normal:
     def pdf(self, x):
         return np.exp(-0.5 * (np.asarray(x, float) / self.scale) ** 2) / (self.scale * math.sqrt(2 * math.pi))
 
+    def log_slopes(self, x):
+        """First and second derivative of log cdf."""
+        x = np.asarray(x, float)
+        r = self.pdf(x) / np.maximum(self.cdf(x), 1e-300)
+        return r, -r * (x / self.scale**2 + r)
+
     def quantile(self, p):
         return self.scale * _INV(np.asarray(p, float))
 
@@ -84,6 +90,11 @@ class Logistic:
         p = self.cdf(x)
         return p * (1 - p) / self.sigma
 
+    def log_slopes(self, x):
+        """First and second derivative of log cdf."""
+        p = self.cdf(x)
+        return (1 - p) / self.sigma, -p * (1 - p) / self.sigma**2
+
     def quantile(self, p):
         p = np.asarray(p, float)
         return self.sigma * np.log(p / (1 - p))
@@ -114,6 +125,12 @@ class GeneralNormal:
         z = np.abs(np.asarray(x, float) / self.sigma)
         return self.beta / (2 * self.sigma * math.gamma(1 / self.beta)) * np.exp(-(z**self.beta))
 
+    def log_slopes(self, x):
+        """First and second derivative of log cdf."""
+        x = np.asarray(x, float)
+        r, z = self.pdf(x) / np.maximum(self.cdf(x), 1e-300), np.maximum(np.abs(x / self.sigma), 1e-12)
+        return r, -r * (self.beta * np.sign(x) * z ** (self.beta - 1) / self.sigma + r)
+
     def quantile(self, p):
         p = np.asarray(p, float)
         low, high = np.full_like(p, -60.0 * self.sigma), np.full_like(p, 60.0 * self.sigma)
@@ -156,6 +173,13 @@ class ExtremeValue:
         b = np.maximum(self._base(x), 1e-300)
         return np.where(self._base(x) > 0, b ** (1 / self.c - 1) * np.exp(-(b ** (1 / self.c))) / self.sigma, 0.0)
 
+    def log_slopes(self, x):
+        """First and second derivative of log cdf."""
+        b = self._base(x)
+        inside, b = b > 0, np.maximum(b, 1e-300)
+        with np.errstate(over="ignore"):
+            return np.where(inside, b ** (1 / self.c - 1) / self.sigma, 0.0), np.where(inside, -(1 - self.c) * b ** (1 / self.c - 2) / self.sigma**2, 0.0)
+
     def quantile(self, p):
         return self.sigma * (1 - (-np.log(np.asarray(p, float))) ** self.c) / self.c
 

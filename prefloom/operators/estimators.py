@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.links import Logistic, Normal
 from ..plans import solvers
-from . import chains
+from ..plans.state import Loop
+from . import chains, passes
 from . import rankings as R
 
 
@@ -37,51 +38,50 @@ def rank_centrality_from_pairs(pairs: DataFrame, n: int, method: str = "solve",
 def ilsr_chain(arrays: DataFrame, pi: DataFrame) -> DataFrame:
     """(loser, winner, rate): sum over rankings of weight / (strength of the winner and of all it beats).
 
-    ``pi`` is (item_id, pi).  Suffix sums run inside the row of a ranking, so only ``pi`` is joined.
+    ``pi`` is (item_id, pi), a number an item; rankings are met in one pass, without a join.
     """
-    strengths = F.map_from_entries(F.collect_list(F.struct("item_id", "pi")))
-    m = pi.agg(strengths.alias("m"))
-    a = arrays.crossJoin(F.broadcast(m)).withColumn("w", F.transform("items", lambda x: F.element_at("m", x))).drop("m")  # one row of n strengths
-    back = F.aggregate(F.reverse("w"), F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
-    a = a.withColumn("suffix", F.reverse(back))
-    x = a.select("items", "weight", "suffix", F.posexplode("items").alias("pos", "winner"))
-    rest = F.slice("items", F.col("pos") + 2, F.greatest(F.size("items") - F.col("pos") - 1, F.lit(0)))
-    return x.select("winner", F.explode(rest).alias("loser"), (F.col("weight") / F.get("suffix", F.col("pos"))).alias("rate")).groupBy("loser", "winner").agg(F.sum("rate").alias("rate"))
-
-
-def ilsr(rankings: DataFrame, n: int, a0: float = 1.0, b0: float | None = None, mle: bool = False, nu: float = 0.01, iters: int = 100, tol: float = 1e-3, method: str = "solve", start: np.ndarray | None = None, arrays: DataFrame | None = None, log: bool = False) -> np.ndarray:
+    found = {r.item_id: r.pi for r in pi.collect()}  # item-sized
+    n = max(found) + 1
+    u = np.log(np.maximum([found.get(i, 0.0) for i in range(n)], 1e-300))
+    rate = passes.sums(arrays, n, passes.Model(u[None], np.ones(1)), "rates")["rates"][0]
+    return arrays.sparkSession.createDataFrame([(i, j, float(rate[i, j])) for i, j in np.argwhere(rate > 0).tolist()], "loser int, winner int, rate double")
+
+
+def luce_chain(rates: np.ndarray, mle: bool, nu: float, a0: float, b0: float, dummy: float, method: str = "solve") -> tuple[np.ndarray, float]:
+    """(choice probabilities, the prior's state) of rates [loser, winner]: the stationary mass of their chain."""
+    n = len(rates)
+    if mle:
+        m = rates + nu * ((rates == 0) & (rates.T > 0))
+    else:
+        # prior successes flow from the dummy to items, prior exposure back to it
+        m = np.zeros((n + 1, n + 1))
+        m[:n, :n] = rates
+        m[:n, n], m[n, :n] = b0 * dummy, a0
+    m = m * (1 - np.eye(len(m)))
+    m = m / max(m.sum(axis=1).max(), 1e-12)
+    np.fill_diagonal(m, 1 - m.sum(axis=1))
+    full = solvers.stationary(m) if method == "solve" else solvers.power(m)[0]
+    return full[:n] / full[:n].sum(), dummy if mle else float(full[n] / max(full[:n].sum(), 1e-300))
+
+
+def ilsr(rankings: DataFrame, n: int, a0: float = 1.0, b0: float | None = None, mle: bool = False, nu: float = 0.01, iters: int = 100, tol: float = 1e-3, method: str = "solve", start: np.ndarray | None = None, log: bool = False, at: str | None = None) -> np.ndarray:
     """Iterated Luce spectral ranking of weighted rankings: choice probabilities (or centred logs).
 
     Bayesian by default, with a dummy state that carries a Gamma prior (a0, b0 = n); ``mle`` has no prior and
-    adds nu to cells that are empty one way.  Equal rankings are collapsed once before the loop.
+    adds nu to cells that are empty one way.  Equal rankings are collapsed once before the loop, whose steps are kept
+    in the folder ``at``, if any.
     """
-    spark = rankings.sparkSession if rankings is not None else arrays.sparkSession
-    a = (R.collapse(R.to_arrays(rankings)) if arrays is None else arrays).cache()
+    rows = passes.table(rankings)
     b0 = float(n if b0 is None else b0)
-    pi = np.full(n, 1 / n) if start is None else start / start.sum()
-    dummy = 1.0 / n
-    for _ in range(iters):
-        rates = R.dense(ilsr_chain(a, to_frame(spark, pi, "pi")).withColumnRenamed("rate", "p"), n, diagonal=0.0)
-        if mle:
-            rates = rates + nu * ((rates == 0) & (rates.T > 0))
-            m = rates
-        else:
-            # prior successes flow from the dummy to items, prior exposure back to it
-            m = np.zeros((n + 1, n + 1))
-            m[:n, :n] = rates
-            m[:n, n], m[n, :n] = b0 * dummy, a0
-        d = max(m.sum(axis=1).max(), 1e-12)
-        m = m / d
-        np.fill_diagonal(m, 1 - m.sum(axis=1))
-        full = solvers.stationary(m) if method == "solve" else solvers.power(m)[0]
-        new = full[:n] / full[:n].sum()
-        if not mle:
-            dummy = float(full[n] / max(full[:n].sum(), 1e-300))
-        done = np.linalg.norm(new - pi) < tol
-        pi = new
-        if done:
-            break
-    a.unpersist()
+
+    def step(_: int, s: dict) -> tuple[dict, dict]:
+        u = np.log(np.maximum(s["pi"], 1e-300))[None]
+        rates = passes.sums(rows, n, passes.Model(u, np.ones(1)), "rates")["rates"][0]
+        new, dummy = luce_chain(rates, mle, nu, a0, b0, float(s["dummy"][0]), method)
+        return {"pi": new, "dummy": np.array([dummy])}, {"change": float(np.linalg.norm(new - s["pi"]))}
+
+    first = np.full(n, 1 / n) if start is None else start / start.sum()
+    pi = Loop(iters, tol, rankings.sparkSession, at).run({"pi": first, "dummy": np.array([1.0 / n])}, step)["pi"]
     return solvers.centred(np.log(np.maximum(pi, 1e-300))) if log else pi
 
 
@@ -89,42 +89,36 @@ def mm_statistics(arrays: DataFrame, u: DataFrame) -> DataFrame:
     """(component, item_id, wins, denom) for one MM step from utilities (component, item_id, u).
 
     denom adds, for each ranking that holds the item, weight times the sum of 1 / suffix strength over the
-    stages at which it is still there; ``arrays`` has (items, weight) or (items, weights by component).
+    stages at which it is still there.
     """
-    m = u.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("item_id", F.exp("u").alias("w")))).alias("m"))
-    a = arrays.join(F.broadcast(m)) if "component" not in arrays.columns else arrays.join(F.broadcast(m), "component")  # items x components numbers
-    a = a.where(F.size("items") > 1).withColumn("w", F.transform("items", lambda x: F.element_at("m", x))).drop("m")
-    back = F.aggregate(F.reverse("w"), F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
-    stages = F.slice(F.reverse(back), F.lit(1), F.size("w") - 1)
-    run = F.aggregate(stages, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(1 / x + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
-    a = a.withColumn("run", run)
-    x = a.select("component", "weight", "run", F.size("items").alias("n"), F.posexplode("items").alias("pos", "item_id"))
-    denom = F.get("run", F.least(F.col("pos"), F.col("n") - 2))
-    return x.groupBy("component", "item_id").agg(F.sum(F.when(F.col("pos") < F.col("n") - 1, F.col("weight")).otherwise(0.0)).alias("wins"), F.sum(F.col("weight") * denom).alias("denom"))
-
-
-def mm_step(arrays: DataFrame, u: np.ndarray, prior: float = 0.0) -> np.ndarray:
-    """Centred log((wins + prior) / (denom + prior)) for all components at once."""
-    u = np.atleast_2d(u)
-    wins, denom = np.zeros_like(u), np.zeros_like(u)
-    for r in mm_statistics(arrays, to_frame(arrays.sparkSession, u)).collect():  # items x components
-        wins[r.component, r.item_id], denom[r.component, r.item_id] = r.wins, r.denom
+    rows = u.collect()  # a number an item and component
+    k, n = max(r.component for r in rows) + 1, max(r.item_id for r in rows) + 1
+    dense = np.zeros((k, n))
+    for r in rows:
+        dense[r.component, r.item_id] = r.u
+    out = []
+    for c in range(k):
+        s = passes.sums(arrays, n, passes.Model(dense[c : c + 1], np.ones(1)), "mm")
+        out += [(c, i, float(s["wins"][0, i]), float(s["denom"][0, i])) for i in np.flatnonzero(s["denom"][0]).tolist()]
+    return arrays.sparkSession.createDataFrame(out, "component int, item_id int, wins double, denom double")
+
+
+def mm_update(wins: np.ndarray, denom: np.ndarray, prior: float = 0.0) -> np.ndarray:
+    """Centred log((wins + prior) / (denom + prior))."""
     return solvers.centred(np.log(np.maximum(wins + prior, 1e-12)) - np.log(np.maximum(denom + prior, 1e-12)))
 
 
-def mm(rankings: DataFrame, n: int, prior: float = 0.0, iters: int = 10_000, tol: float = 1e-5, start: np.ndarray | None = None) -> DataFrame:
-    """Hunter's minorise-maximise iteration; stops at an L1 change of ``tol`` times n."""
-    a = R.collapse(R.to_arrays(rankings)).cache()
+def mm(rankings: DataFrame, n: int, prior: float = 0.0, iters: int = 10_000, tol: float = 1e-5, start: np.ndarray | None = None, at: str | None = None) -> DataFrame:
+    """Hunter's minorise-maximise iteration; stops at an L1 change of ``tol`` times n.  Steps are kept in ``at``, if any."""
+    rows = passes.table(rankings)
+
+    def step(_: int, s: dict) -> tuple[dict, dict]:
+        got = passes.sums(rows, n, passes.Model(s["u"], np.ones(1)), "mm")
+        new = mm_update(got["wins"], got["denom"], prior)
+        return {"u": new}, {"change": float(np.abs(new - s["u"]).sum())}
+
     u = np.zeros((1, n)) if start is None else np.atleast_2d(start).astype(float)
-    for _ in range(iters):
-        # exponentials scaled to add to n, as the step is invariant to it but not to overflow
-        new = mm_step(a, u, prior)
-        done = np.abs(new - u).sum() <= tol * n
-        u = new
-        if done:
-            break
-    a.unpersist()
-    return to_frame(rankings.sparkSession, u[0])
+    return to_frame(rankings.sparkSession, Loop(iters, np.nextafter(tol * n, np.inf), rankings.sparkSession, at).run({"u": u}, step)["u"][0])
 
 
 def composite(rankings: DataFrame, n: int, link=None, scheme: str = "random", init: str = "rum_lrmc", reg: str = "l1", lam: float = 0.001, nu: float = 1.0, seed: int = 0) -> DataFrame:

@@ -1,8 +1,8 @@
 """Finite mixtures of ranking models by EM.
 
-Each iteration is one distributed pass: posteriors and the weighted statistics that the M-step needs are
-aggregated to components x items (or pairs); posteriors are never collected.  Equal rankings are collapsed
-once, with their counts as weights.
+Each iteration is one distributed pass without a shuffle (``passes``): posteriors and the weighted statistics that the
+M-step needs are aggregated to components x items (or pairs); posteriors are never collected.  Equal rankings are
+collapsed once, with their counts as weights.  Loops can keep their steps and go on from them (``plans.state``).
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.links import Logistic, Normal
 from ..plans import solvers
-from . import clustering, embeddings, estimators
+from ..plans.state import Loop
+from ..sources.shared import cut
+from . import clustering, draws, embeddings, estimators, passes
 from . import rankings as R
 
 
@@ -43,16 +45,6 @@ def e_step(rankings: DataFrame, u: np.ndarray, alpha: np.ndarray, trim: bool = F
     return R.posterior(ll, alpha_frame(spark, np.maximum(alpha, 1e-300)), 1 / u.shape[1] ** 2 if trim else None, hard)
 
 
-def _alpha(q: DataFrame, arrays: DataFrame, k: int) -> tuple[np.ndarray, float]:
-    """Mixture weights and mean log-likelihood, weighted by the rankings' counts."""
-    j = q.join(arrays.select("ranking_id", "weight"), "ranking_id")
-    alpha, ll, m = np.zeros(k), 0.0, 0.0
-    for r in j.groupBy("component").agg(F.sum(F.col("q") * F.col("weight")).alias("a"), F.sum(F.when(F.col("component") == 0, F.col("lse") * F.col("weight"))).alias("ll"), F.sum("weight").alias("m")).collect():
-        alpha[r.component] = r.a
-        ll, m = (r.ll, r.m) if r.component == 0 else (ll, m)
-    return alpha / alpha.sum(), ll / m
-
-
 def random_start(n: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return solvers.centred(np.random.default_rng(seed).normal(size=(k, n))), np.full(k, 1 / k)
 
@@ -64,7 +56,7 @@ def spectral_start(rankings: DataFrame, n: int, k: int, method: str = "gmm", see
     """
     size, link = n * (n - 1) // 2, link or Logistic()
     x = embeddings.pairwise(rankings, n)
-    labels = clustering.spectral_clustering(x, size, k, seed=seed).cache()
+    labels = cut(clustering.spectral_clustering(x, size, k, seed=seed))
     mu, count = clustering.centres(x, labels, size, k)
     alpha = np.maximum(count, 1) / np.maximum(count, 1).sum()
     iu = np.triu_indices(n, 1)
@@ -95,90 +87,85 @@ def spectral_start(rankings: DataFrame, n: int, k: int, method: str = "gmm", see
             out[c] = solvers.rank_two(link.quantile(inner))
         else:
             raise ValueError("unknown start")
-    labels.unpersist()
     return solvers.centred(out), alpha
 
 
-def _em(rankings: DataFrame, n: int, k: int, start, m_step, iters: int, eps: float, damp: float = 1.0, e=e_step, **options) -> Fit:
-    """The EM loop: ``m_step(arrays, q, u)`` gives new utilities; stops when the squared change is below ``eps``."""
-    arrays = R.collapse(R.to_arrays(rankings)).cache()
-    long = R.to_long(arrays).cache()
-    u, alpha = start
-    fit = Fit(u, alpha)
-    for _ in range(iters):
-        q = e(long, u, alpha, **options).cache()
-        new_alpha, ll = _alpha(q, arrays, k)
-        new = (1 - damp) * u + damp * m_step(arrays, q, u)
-        q.unpersist()
-        new_alpha = (1 - damp) * alpha + damp * new_alpha
-        change = float(((new - u) ** 2).sum())
-        fit.loglik.append(ll)
-        fit.change.append(change)
-        u, alpha = new, new_alpha
-        if change < eps:
-            break
-    fit.u, fit.alpha = u, alpha
-    arrays.unpersist()
-    long.unpersist()
-    return fit
+def _em(rankings: DataFrame, n: int, k: int, start, m_step, iters: int, eps: float, damp: float = 1.0, want: str = "pairs", at_of=None, model_of=None, at: str | None = None, **options) -> Fit:
+    """The EM loop, a pass over the rankings a step: ``m_step(sums, u, again)`` gives new utilities from the sums of
+    ``want``; ``again`` finds them at other strengths under the same posteriors.
 
+    Stops when the squared change is below ``eps``; steps are kept in the folder ``at``, if any, and a later run with
+    it goes on from the last one.
+    """
+    rows = passes.table(rankings)
+    model_of = model_of or (lambda u, alpha: passes.Model(u, alpha, **options))
+
+    def step(_: int, s: dict) -> tuple[dict, dict]:
+        u, alpha = s["u"], s["alpha"]
+        model = model_of(u, alpha)
+        got = passes.sums(rows, n, model, want, at_of(u) if at_of else None)
+        new = (1 - damp) * u + damp * m_step(got, u, lambda v: passes.sums(rows, n, model, want, v))
+        share = got["alpha"] / got["alpha"].sum()
+        return {"u": new, "alpha": (1 - damp) * alpha + damp * share}, {"loglik": float(got["loglik"] / got["m"]), "change": float(((new - u) ** 2).sum())}
 
-def _with_q(arrays: DataFrame, q: DataFrame) -> DataFrame:
-    return arrays.join(q.select("ranking_id", "component", "q"), "ranking_id").withColumn("weight", F.col("weight") * F.col("q")).drop("q")
+    return _fit(Loop(iters, eps, rankings.sparkSession, at), start, step)
 
 
-def _pair_weights(arrays: DataFrame, q: DataFrame, n: int, k: int) -> np.ndarray:
-    out = np.zeros((k, n, n))
-    b = R.break_full(arrays.select("ranking_id", "items", "weight")).join(q.select("ranking_id", "component", "q"), "ranking_id")
-    for r in b.groupBy("component", "loser", "winner").agg(F.sum(F.col("q") * F.col("weight")).alias("s")).collect():
-        out[r.component, r.loser, r.winner] = r.s
-    return out
+def _fit(loop: Loop, start: tuple[np.ndarray, np.ndarray], step) -> Fit:
+    s = loop.run({"u": np.asarray(start[0], float), "alpha": np.asarray(start[1], float)}, step)
+    return Fit(s["u"], s["alpha"], [h["loglik"] for h in loop.history], [h["change"] for h in loop.history])
 
 
-def emm(rankings: DataFrame, n: int, k: int, start=None, iters: int = 1000, eps: float = 1e-4, mm_iters: int = 20, mm_tol: float = 1e-5, seed: int = 0, init: str = "random") -> Fit:
+def emm(rankings: DataFrame, n: int, k: int, start=None, iters: int = 1000, eps: float = 1e-4, mm_iters: int = 20, mm_tol: float = 1e-5, seed: int = 0, init: str = "random", at: str | None = None) -> Fit:
     """EM with weighted minorise-maximise steps; all components step together."""
 
-    def m_step(arrays, q, u):
-        a = _with_q(arrays, q).cache()
-        for _ in range(mm_iters):
-            new = estimators.mm_step(a, u, 1e-8)
+    def m_step(got, u, again):
+        for i in range(mm_iters):
+            new = estimators.mm_update(got["wins"], got["denom"], 1e-8)
             done = np.abs(new - u).sum() <= mm_tol * n * k
             u = new
-            if done:
+            if done or i == mm_iters - 1:
                 break
-        a.unpersist()
+            got = again(u)
         return u
 
     start = start or (random_start(n, k, seed) if init == "random" else spectral_start(rankings, n, k, "gmm", seed))
-    return _em(rankings, n, k, start, m_step, iters, eps)
+    return _em(rankings, n, k, start, m_step, iters, eps, want="mm", at=at)
 
 
-def em_gmm(rankings: DataFrame, n: int, k: int, start=None, iters: int = 100, eps: float = 1e-4, lam: float = 0.0, step: float = 1.0, seed: int = 0) -> Fit:
+def em_gmm(rankings: DataFrame, n: int, k: int, start=None, iters: int = 100, eps: float = 1e-4, lam: float = 0.0, step: float = 1.0, seed: int = 0, at: str | None = None) -> Fit:
     """EM with the moment estimator on posterior-weighted win rates."""
 
-    def m_step(arrays, q, u):
-        p = estimators.rates(_pair_weights(arrays, q, n, k))
+    def m_step(got, u, again):
+        p = estimators.rates(got["pairs"])
         return np.stack([solvers.moment_match(p[c].T, Logistic(), u[c], max(lam, 1e-6)) for c in range(k)])
 
-    return _em(rankings, n, k, start or spectral_start(rankings, n, k, "gmm", seed), m_step, iters, eps, step)
+    return _em(rankings, n, k, start or spectral_start(rankings, n, k, "gmm", seed), m_step, iters, eps, step, at=at)
 
 
-def pl_spectral_em(rankings: DataFrame, n: int, k: int, start=None, iters: int = 100, eps: float = 1e-4, inner: int = 1, init: str = "lrmc", nu: float = 1.0, trim: bool = False, hard: bool = False, refine: bool = False, seed: int = 0) -> Fit:
+def pl_spectral_em(rankings: DataFrame, n: int, k: int, start=None, iters: int = 100, eps: float = 1e-4, inner: int = 1, init: str = "lrmc", nu: float = 1.0, trim: bool = False, hard: bool = False, refine: bool = False, seed: int = 0, at: str | None = None) -> Fit:
     """EM with weighted iterated Luce spectral steps from a spectral start; ``refine`` adds one run of 100 inner steps."""
+    shares = lambda u: u - (np.log(np.exp(u - u.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + u.max(axis=1, keepdims=True))
 
     def m_step_of(inner: int):
-        def m_step(arrays, q, u):
-            a = _with_q(arrays, q).cache()
-            out = np.stack([estimators.ilsr(None, n, mle=True, nu=nu, iters=inner, start=np.exp(u[c] - u[c].max()), arrays=a.where(F.col("component") == c).select("ranking_id", "items", "weight"), log=True) for c in range(k)])
-            a.unpersist()
-            return out
+        def m_step(got, u, again):
+            v = shares(u)
+            for i in range(inner):
+                new = np.stack([np.log(np.maximum(estimators.luce_chain(got["rates"][c], True, nu, 1.0, float(n), 0.0)[0], 1e-300)) for c in range(k)])
+                done = np.linalg.norm(np.exp(new) - np.exp(v), axis=1).max() < 1e-3
+                v = new
+                if done or i == inner - 1:
+                    break
+                got = again(v)
+            return solvers.centred(v)
 
         return m_step
 
+    options = {"want": "rates", "at_of": shares, "trim": 1 / n**2 if trim else None, "hard": hard}
     start = start or spectral_start(rankings, n, k, init, seed)
-    fit = _em(rankings, n, k, start, m_step_of(inner), iters, eps, trim=trim, hard=hard)
+    fit = _em(rankings, n, k, start, m_step_of(inner), iters, eps, at=at, **options)
     if refine:
-        more = _em(rankings, n, k, (fit.u, fit.alpha), m_step_of(100), 5, eps, trim=trim, hard=hard)
+        more = _em(rankings, n, k, (fit.u, fit.alpha), m_step_of(100), 5, eps, at=f"{at}/refined" if at else None, **options)
         fit = Fit(more.u, more.alpha, fit.loglik + more.loglik, fit.change + more.change)
     return fit
 
@@ -203,24 +190,35 @@ def pair_log_likelihood(rankings: DataFrame, u: DataFrame, link, pair_weights: D
     return j.groupBy("ranking_id", "component").agg(F.sum(w * F.log(link.cdf_col(F.col("uw") - F.col("ul")))).alias("loglik"))
 
 
-def composite_em(rankings: DataFrame, n: int, k: int, start=None, link=None, iters: int = 1000, eps: float = 1e-3, damp: float = 0.1, lam: float = 0.001, init: str = "svd", e: str = "pairs", pair_weights: DataFrame | None = None, pos_weights: DataFrame | None = None, seed: int = 0) -> Fit:
+def composite_em(rankings: DataFrame, n: int, k: int, start=None, link=None, iters: int = 1000, eps: float = 1e-3, damp: float = 0.1, lam: float = 0.001, init: str = "svd", e: str = "pairs", pair_weights: DataFrame | None = None, pos_weights: DataFrame | None = None, seed: int = 0, space: str = "centred", at: str | None = None) -> Fit:
     """EM on the composite likelihood of any random utility model (``e="pairs"``), or with the Plackett-Luce E-step.
 
-    The M-step solves a weighted composite likelihood whose statistic is one pair-weight matrix a component.
-    Steps are damped, and compared with the iterate before.
+    The M-step solves a weighted composite likelihood whose statistic is one pair-weight matrix a component, over
+    centred utilities or with item 0 pinned (``space="pinned"``).  Steps are damped, and compared with the iterate before.
     """
     link = link or Normal()
+    solve = {"centred": solvers.composite_mle, "pinned": solvers.pinned_mle}[space]
+    weight, places = np.ones((n, n)), None
+    if pair_weights is not None:
+        for r in pair_weights.collect():  # a number a pair of items
+            weight[r.i, r.j] = weight[r.j, r.i] = r.w
+    if pos_weights is not None:
+        places = np.ones((n, n))
+        for r in pos_weights.collect():
+            places[r.pos_a, r.pos_b] = r.w
 
-    def e_pairs(long, u, alpha):
-        spark = long.sparkSession
-        return R.posterior(pair_log_likelihood(long, estimators.to_frame(spark, u), link, pair_weights, pos_weights), alpha_frame(spark, np.maximum(alpha, 1e-300)))
+    def model_of(u: np.ndarray, alpha: np.ndarray) -> passes.Model:
+        if e != "pairs":
+            return passes.Model(u, alpha)
+        f = np.stack([link.cdf(v[:, None] - v[None, :]) for v in u])
+        return passes.Model(u, alpha, weight * np.log(np.maximum(f, 1e-300)), places)
 
-    def m_step(arrays, q, u):
-        s = _pair_weights(arrays, q, n, k)
-        return np.stack([solvers.composite_mle(s[c] / max(s[c].sum(), 1e-12), link, u[c], "l2", max(lam, 1e-6)) for c in range(k)])
+    def m_step(got, u, again):
+        s = got["pairs"]
+        return np.stack([solve(s[c] / max(s[c].sum(), 1e-12), link, u[c], "l2", max(lam, 1e-6)) for c in range(k)])
 
     start = start or (random_start(n, k, seed) if init == "random" else spectral_start(rankings, n, k, init, seed, link=link))
-    return _em(rankings, n, k, start, m_step, iters, eps, damp, e_pairs if e == "pairs" else e_step)
+    return _em(rankings, n, k, start, m_step, iters, eps, damp, model_of=model_of, at=at)
 
 
 def em_cml(rankings: DataFrame, n: int, k: int, iters: int = 500, eps: float = 1e-5, seed: int = 0, **options) -> Fit:
@@ -254,83 +252,39 @@ def gmm_mixture(rankings: DataFrame, n: int, k: int, start=None, lam: float = 0.
 # -- Bayesian mixture: EM mode and Gibbs samples ------------------------------------------------------------------------
 
 
-def bayes_map(rankings: DataFrame, n: int, k: int, start, c: float = 1.0, d: float = 0.0, alpha: float = 1.0, iters: int = 100, eps: float = 1e-6) -> Fit:
+def bayes_map(rankings: DataFrame, n: int, k: int, start, c: float = 1.0, d: float = 0.0, alpha: float = 1.0, iters: int = 100, eps: float = 1e-6, at: str | None = None) -> Fit:
     """MAP under Gamma(c, d) strengths and a Dirichlet(alpha) weight prior; utilities are centred per component."""
-    arrays = R.collapse(R.to_arrays(rankings)).cache()
-    long = R.to_long(arrays).cache()
-    u, w = start
-    m = float(arrays.agg(F.sum("weight")).first()[0])
-    fit = Fit(u, w)
-    for _ in range(iters):
-        q = e_step(long, u, w).cache()
-        share, ll = _alpha(q, arrays, k)
-        stats = estimators.mm_statistics(_with_q(arrays, q), estimators.to_frame(rankings.sparkSession, u)).collect()
-        wins, denom = np.zeros((k, n)), np.zeros((k, n))
-        for r in stats:
-            wins[r.component, r.item_id], denom[r.component, r.item_id] = r.wins, r.denom
-        q.unpersist()
-        new = solvers.centred(np.log(np.maximum(c - 1 + wins, 1e-12)) - np.log(np.maximum(d + denom, 1e-12)))
-        w = (alpha - 1 + share * m) / (k * alpha - k + m)
-        change = float(((new - u) ** 2).sum())
-        u = new
-        fit.loglik.append(ll)
-        fit.change.append(change)
-        if change < eps:
-            break
-    fit.u, fit.alpha = u, w
-    arrays.unpersist()
-    long.unpersist()
-    return fit
-
+    rows = passes.table(rankings)
 
-def draw_z(q: DataFrame, seed: int) -> DataFrame:
-    """(ranking_id, component): one categorical draw a ranking, by a hash of seed and ranking."""
-    by = Window.partitionBy("ranking_id").orderBy("component")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "ranking_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    c = q.withColumn("run", F.sum("q").over(by)).withColumn("u", u)
-    return c.groupBy("ranking_id").agg(F.coalesce(F.min(F.when(F.col("u") <= F.col("run"), F.col("component"))), F.max("component")).alias("component"))
+    def step(_: int, s: dict) -> tuple[dict, dict]:
+        got = passes.sums(rows, n, passes.Model(s["u"], s["alpha"]), "mm")
+        new = solvers.centred(np.log(np.maximum(c - 1 + got["wins"], 1e-12)) - np.log(np.maximum(d + got["denom"], 1e-12)))
+        w = (alpha - 1 + got["alpha"]) / (k * alpha - k + got["m"])
+        return {"u": new, "alpha": w}, {"loglik": float(got["loglik"] / got["m"]), "change": float(((new - s["u"]) ** 2).sum())}
 
+    return _fit(Loop(iters, eps, rankings.sparkSession, at), start, step)
 
-def draw_y(arrays: DataFrame, z: DataFrame, u: DataFrame, seed: int) -> DataFrame:
-    """(component, item_id, wins, y): exponential waits at each stage of each ranking, summed over the items still there."""
-    m = u.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("item_id", F.exp("u").alias("w")))).alias("m"))
-    a = arrays.join(z, "ranking_id").join(F.broadcast(m), "component").where(F.size("items") > 1)  # items x components numbers
-    a = a.withColumn("w", F.transform("items", lambda x: F.element_at("m", x))).drop("m")
-    back = F.aggregate(F.reverse("w"), F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
-    uni = lambda t: (F.pmod(F.xxhash64(F.lit(seed), "ranking_id", t), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    waits = F.transform(F.slice(F.reverse(back), F.lit(1), F.size("w") - 1), lambda s, t: -F.log(uni(t)) / s)
-    run = F.aggregate(waits, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
-    x = a.withColumn("run", run).select("component", "run", "weight", F.size("items").alias("n"), F.posexplode("items").alias("pos", "item_id"))
-    return x.groupBy("component", "item_id").agg(
-        F.sum(F.when(F.col("pos") < F.col("n") - 1, F.col("weight")).otherwise(0.0)).alias("wins"), F.sum(F.col("weight") * F.get("run", F.least(F.col("pos"), F.col("n") - 2))).alias("y")
-    )
 
+def gibbs(rankings: DataFrame, n: int, k: int, start, samples: int = 1000, c: float = 1.0, d: float = 0.0, alpha: float = 1.0, seed: int = 0, burn: int = 0, chains: int = 1, store: draws.Store | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior means (centred log strengths, weights) over Gibbs chains: assignments, waits, strengths, weights.
 
-def gibbs(rankings: DataFrame, n: int, k: int, start, samples: int = 1000, c: float = 1.0, d: float = 0.0, alpha: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior means (centred log strengths, weights) over a Gibbs chain: assignments, waits, strengths, weights.
-
-    Per-ranking draws are distributed and hashed by ranking; item-sized Gamma and Dirichlet draws are local.
+    Draws of assignments and waits are one pass over the rankings; item-sized Gamma and Dirichlet draws are local.
+    Every draw is kept in ``store`` as the chain runs; a run with a store that holds draws of a chain goes on from the
+    last of them, to the same draws.  Means leave out the first ``burn`` draws; with several chains, components are
+    matched to those of the first chain's last draw.
     """
-    spark = rankings.sparkSession
-    arrays = R.to_arrays(rankings).cache()
-    long = R.to_long(arrays).cache()
-    u, w = start
-    rng = np.random.default_rng(seed)
-    mean_u, mean_w = np.zeros((k, n)), np.zeros(k)
-    for s in range(samples):
-        z = draw_z(e_step(long, u, w), seed * 1_000_003 + 2 * s).cache()
-        stats = draw_y(arrays, z, estimators.to_frame(spark, u), seed * 1_000_003 + 2 * s + 1).collect()
-        wins, y, count = np.zeros((k, n)), np.zeros((k, n)), np.zeros(k)
-        for r in stats:
-            wins[r.component, r.item_id], y[r.component, r.item_id] = r.wins, r.y
-        for r in z.groupBy("component").count().collect():
-            count[r.component] = r["count"]
-        z.unpersist()
-        p = rng.gamma(c + wins, 1 / np.maximum(d + y, 1e-9))
-        u = solvers.centred(np.log(np.maximum(p, 1e-300)))
-        w = rng.dirichlet(alpha + count)
-        mean_u += u / samples
-        mean_w += w / samples
-    arrays.unpersist()
-    long.unpersist()
-    return mean_u, mean_w
+    rows = passes.table(rankings)
+    store = store or draws.Store(rankings.sparkSession)
+    for chain in range(chains):
+        u, w = start if chain == 0 else random_start(n, k, seed + chain)
+        done, last = store.last(chain)
+        if last is not None:
+            u, w = last
+        for t in range(done, samples):
+            got = passes.draw(rows, n, passes.Model(u, w), (seed, chain, t))
+            rng = np.random.default_rng([seed, chain, t])
+            u = solvers.centred(np.log(np.maximum(rng.gamma(c + got["wins"], 1 / np.maximum(d + got["waits"], 1e-9)), 1e-300)))
+            w = rng.dirichlet(alpha + got["count"])
+            store.add(chain, t, u, w)
+        store.flush()
+    return store.means(burn, samples)
