@@ -138,7 +138,7 @@ def em_gmm(rankings: DataFrame, n: int, k: int, start=None, iters: int = 100, ep
 
     def m_step(got, u, again):
         p = estimators.rates(got["pairs"])
-        return np.stack([solvers.moment_match(p[c].T, Logistic(), u[c], max(lam, 1e-6)) for c in range(k)])
+        return np.stack([solvers.moment_match(p[c], Logistic(), u[c], max(lam, 1e-6)) for c in range(k)])
 
     return _em(rankings, n, k, start or spectral_start(rankings, n, k, "gmm", seed), m_step, iters, eps, step, at=at)
 
