@@ -267,3 +267,77 @@ SQL |= {
  ed AS (SELECT DISTINCT x.b AS s, y.b AS d FROM m x JOIN m y ON x.o = y.o AND x.b <> y.b), re(s, d) AS (SELECT s, s FROM ed UNION SELECT re.s, ed.d FROM re JOIN ed ON re.d = ed.s)
 SELECT s AS node, min(d) AS root FROM re GROUP BY 1""",
 }
+
+#: strengths, tails and stages of each ranking and component, for one step from the fixed mixture
+_TAILS = """t AS (SELECT r.rid, r.pos, r.item, uu.component, max(pos) OVER (PARTITION BY rid, component) AS last, sum(exp(u)) OVER (PARTITION BY rid, component ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM r JOIN uu ON r.item = uu.item),
+ st AS (SELECT *, sum(CASE WHEN pos < last THEN 1 / tail ELSE 0 END) OVER (PARTITION BY rid, component ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stay FROM t)"""
+_MM = "mm AS (SELECT st.component, st.item, sum(CASE WHEN pos < last THEN q ELSE 0 END) AS wins, sum(CASE WHEN last > 0 THEN q * stay ELSE 0 END) AS denom FROM st JOIN q ON st.rid = q.rid AND st.component = q.component GROUP BY 1, 2)"
+_SHARE = "sh AS (SELECT component, avg(q) AS a, sum(q) AS total, count(*) AS m FROM q GROUP BY 1), lk AS (SELECT avg(lse) AS loglik FROM q WHERE component = 0)"
+_HARD = "qs AS (SELECT rid, component, CASE WHEN row_number() OVER (PARTITION BY rid ORDER BY q DESC, component) = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS q, lse FROM q)"
+#: the composite likelihood of a ranking's pairs in place of the Plackett-Luce one
+_COMPOSITE = """ll AS (SELECT r.rid, k.component, coalesce(x.ll, 0) AS loglik FROM (SELECT DISTINCT rid FROM r) r CROSS JOIN (SELECT DISTINCT component FROM uu) k
+ LEFT JOIN (SELECT rid, a.component, sum(-ln(1 + exp(b.u - a.u))) AS ll FROM c JOIN uu a ON a.item = c.winner JOIN uu b ON b.item = c.loser AND a.component = b.component GROUP BY 1, 2) x ON x.rid = r.rid AND x.component = k.component),
+ z AS (SELECT ll.*, a, exp(loglik) * a AS e FROM ll JOIN aa ON ll.component = aa.component),
+ q AS (SELECT rid, component, e / sum(e) OVER (PARTITION BY rid) AS q, ln(sum(e) OVER (PARTITION BY rid)) AS lse FROM z)"""
+_WEIGHTS = "pw AS (SELECT component, loser, winner, sum(q) AS weight FROM c JOIN q ON c.rid = q.rid GROUP BY 1, 2, 3)"
+#: a matrix [winner][loser] of each component's pair weights, as shares of their sum
+_MATRIX = """wm AS (SELECT component, list(row ORDER BY i) AS m FROM (SELECT component, i, list(w ORDER BY j) AS row FROM (
+   SELECT k.component, x.i, y.j, coalesce(weight, 0) / tot AS w FROM (SELECT component, sum(weight) AS tot FROM pw GROUP BY 1) k CROSS JOIN range(0, 5) x(i) CROSS JOIN range(0, 5) y(j) LEFT JOIN pw ON pw.component = k.component AND winner = i AND loser = j)
+  GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _step_of(x: str, a: str = "a") -> str:
+    return f"SELECT n.component, n.item AS item_id, {_r(f'{x} - avg({x}) OVER (PARTITION BY n.component)', 5)} AS u, {_r(a)} AS a, {_r('loglik')} AS loglik FROM "
+
+
+def _descent(slope: str, rate: float, steps: int, pinned: bool = False) -> list[str]:
+    """Gradient steps from zero for each component: ``slope`` of item i at utilities u under the matrix m."""
+    moved = f"list_transform(range(1, 6), lambda i: {'CASE WHEN i = 1 THEN 0.0 ELSE ' if pinned else ''}u[i] - {rate} * ({slope}){' END' if pinned else ''})"
+    kept = "y" if pinned else "list_transform(y, lambda v: v - list_avg(y))"
+    return [
+        f"gd(step, component, m, u) AS (SELECT 0, component, m, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] FROM wm UNION ALL SELECT step + 1, component, m, {kept} FROM (SELECT *, {moved} AS y FROM gd WHERE step < {steps}))",
+        f"fit AS (SELECT component, unnest(range(0, 5))::INTEGER AS item, unnest(u) - list_avg(u) AS x FROM gd WHERE step = {steps})",
+    ]
+
+
+def _likelihood_slope(lam: float) -> str:
+    return f"{2 * lam} * u[i] - list_sum(list_transform(range(1, 6), lambda j: m[i][j] / (1 + exp(u[i] - u[j])) - m[j][i] / (1 + exp(u[j] - u[i]))))"
+
+
+_MOMENT_SLOPE = """0.01 * u[i] + 2 * list_sum(list_transform(range(1, 6), lambda j: CASE WHEN m[i][j] + m[j][i] = 0 THEN 0.0 ELSE
+ (m[j][i] / (1 + exp(u[j] - u[i])) - m[i][j] / (1 + exp(u[i] - u[j]))) / (m[i][j] + m[j][i]) / (1 + exp(u[i] - u[j])) / (1 + exp(u[j] - u[i])) END))"""
+
+
+def _damped(damp: float) -> str:
+    u = f"{1 - damp} * uu.u + {damp} * x" if damp < 1 else "x"
+    a = f"{1 - damp} * aa.a + {damp} * sh.a" if damp < 1 else "sh.a"
+    return f"SELECT fit.component, fit.item AS item_id, {_r(u, 3)} AS u, {_r(a)} AS a, {_r('loglik')} AS loglik FROM fit JOIN uu ON uu.component = fit.component AND uu.item = fit.item JOIN aa ON aa.component = fit.component JOIN sh ON sh.component = fit.component, lk"
+
+
+_LUCE = """pi0 AS (SELECT component, sum(exp(u)) AS scale FROM uu GROUP BY 1),
+ rt AS (SELECT b.component, b.item AS src, a.item AS dst, sum(q.q * scale / a.tail) AS p FROM t a JOIN t b ON a.rid = b.rid AND a.component = b.component AND a.pos < b.pos JOIN qq q ON q.rid = a.rid AND q.component = a.component JOIN pi0 ON pi0.component = a.component GROUP BY 1, 2, 3),
+ rp AS (SELECT component, src, dst, sum(p) + CASE WHEN sum(p) = 0 THEN 1.0 ELSE 0.0 END AS p FROM (SELECT * FROM rt WHERE p > 0 UNION ALL SELECT component, dst, src, 0.0 FROM rt WHERE p > 0) GROUP BY 1, 2, 3),
+ rs AS (SELECT component, src, sum(p) AS row FROM rp GROUP BY 1, 2), dd AS (SELECT component, max(row) AS d FROM rs GROUP BY 1),
+ ch AS (SELECT rp.component, src, dst, p / d AS p FROM rp JOIN dd USING (component) UNION ALL SELECT rs.component, src, src, 1 - row / d FROM rs JOIN dd USING (component)),
+ it(step, component, item, pi) AS (SELECT 0, component, src, 1.0::DOUBLE / 5 FROM rs UNION ALL SELECT step + 1, ch.component, dst, sum(pi * p) FROM it JOIN ch ON it.item = ch.src AND it.component = ch.component WHERE step < 400 GROUP BY step, ch.component, dst),
+ n AS (SELECT component, item, ln(pi) AS x FROM it WHERE step = 400)"""
+_FIXED = (_ORDERS, _U, _A, _LL)
+SQL |= {
+    "emm_step": _with(*_FIXED, _TAILS, _MM, _SHARE) + _step_of("(ln(wins + 1e-8) - ln(denom + 1e-8))") + "mm n JOIN sh ON sh.component = n.component, lk",
+    "bayes_map_step": _with(*_FIXED, _TAILS, _MM, _SHARE) + _step_of("(ln(1 + wins) - ln(1 + denom))", "(2 + total) / (4 + m)") + "mm n JOIN sh ON sh.component = n.component, lk",
+    "pl_spectral_em_step": _with(*_FIXED, _TAILS, "qq AS (SELECT * FROM q)", _SHARE, _LUCE, recursive=True) + _step_of("x") + "n JOIN sh ON sh.component = n.component, lk",
+    "pl_spectral_em_hard_step": _with(*_FIXED, _TAILS, _HARD, "qq AS (SELECT * FROM qs)", _SHARE.replace("FROM q ", "FROM qs "), _LUCE, recursive=True) + _step_of("x") + "n JOIN sh ON sh.component = n.component, lk",
+    "em_gmm_step": _with(*_FIXED, _PAIRS, _WEIGHTS, _MATRIX, _SHARE, *_descent(_MOMENT_SLOPE, 1.0, 3000), recursive=True) + _damped(1.0),
+    "em_cml_step": _with(*_FIXED, _PAIRS, _WEIGHTS, _MATRIX, _SHARE, *_descent(_likelihood_slope(0.01), 2.0, 2000), recursive=True) + _damped(1.0),
+    "composite_em_step": _with(_ORDERS, _U, _A, _PAIRS, _COMPOSITE, _WEIGHTS, _MATRIX, _SHARE, *_descent(_likelihood_slope(0.01), 2.0, 2000), recursive=True) + _damped(0.1),
+    "composite_em_pinned_step": _with(*_FIXED, _PAIRS, _WEIGHTS, _MATRIX, _SHARE, *_descent(_likelihood_slope(0.01), 2.0, 4000, True), recursive=True) + _damped(1.0),
+    "composite_posterior": _with(_ORDERS, _U, _A, _PAIRS, _COMPOSITE) + f"SELECT rid AS ranking_id, component, {_r('q')} AS q, {_r('lse')} AS lse FROM q",
+    "posterior_pair_weights": _with(*_FIXED, _PAIRS, _WEIGHTS) + f"SELECT component, loser, winner, {_r('weight', 5)} AS weight FROM pw",
+    "pinned_slopes": _with(
+        _ORDERS, _PAIRS, _COUNTS, _U, "v AS (SELECT item, u - first_value(u) OVER (ORDER BY item) AS v FROM uu WHERE component = 0)",
+        "s AS (SELECT winner, loser, cnt / (1 + exp(a.v - b.v)) AS g, cnt / (1 + exp(a.v - b.v)) / (1 + exp(b.v - a.v)) AS h FROM n JOIN v a ON a.item = winner JOIN v b ON b.item = loser)",
+        "e AS (SELECT winner AS i, NULL::BIGINT AS j, -g AS x FROM s UNION ALL SELECT loser, NULL, g FROM s UNION ALL SELECT item, NULL, v FROM v UNION ALL SELECT winner, winner, h FROM s UNION ALL SELECT loser, loser, h FROM s UNION ALL SELECT winner, loser, -h FROM s UNION ALL SELECT loser, winner, -h FROM s UNION ALL SELECT item, item, 1.0 FROM v)",
+    ) + f"SELECT i, j, {_r('sum(x)', 4)} AS value FROM e WHERE i > 0 AND (j IS NULL OR j > 0) GROUP BY 1, 2",
+    "pinned_estimate": _with(_ORDERS, _PAIRS, "pw AS (SELECT 0 AS component, loser, winner, count(*)::DOUBLE AS weight FROM c GROUP BY 2, 3)", _MATRIX, *_descent(_likelihood_slope(0.0), 2.0, 3000, True), recursive=True)
+    + f"SELECT item AS item_id, {_r('x', 4)} AS u FROM fit",
+}

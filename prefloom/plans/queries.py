@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import ExtremeValue, GeneralNormal, Logistic, Normal
-from ..operators import chains, clustering, embeddings, ep, estimators, glrm, graph, irt, lowrank, metrics, mixtures, privacy, reshape
+from ..operators import chains, clustering, draws, embeddings, ep, estimators, glrm, graph, irt, lowrank, metrics, mixtures, passes, privacy, reshape
 from ..operators import rankings as R
 from ..sources import generators, tables
 from . import solvers
@@ -313,7 +313,7 @@ def pcm_beta(spark, d):
 
 @query
 def pcm_mixture(spark, d):
-    fit, _, q = irt.pcm_mixture(tables.graded_responses(spark, d), ITEMS, LEVELS, 2, iters=2)
+    fit, _, q = irt.pcm_mixture(tables.graded_responses(spark, d), ITEMS, LEVELS, 2, iters=20)
     return q.groupBy("component").agg(r6(F.avg("q"), 3).alias("share"))
 
 
@@ -446,7 +446,7 @@ FOUND["rum_lrmc"] = _estimate(lambda r: estimators.matrix_completion(r, ITEMS, "
 
 @query
 def ilsr(spark, d):
-    return _vector(spark, estimators.ilsr(_orders(spark, d), ITEMS, iters=10))
+    return _vector(spark, estimators.ilsr(_orders(spark, d), ITEMS))
 
 
 @query
@@ -467,21 +467,85 @@ def _mixture(f):
     return g
 
 
-FOUND["emm"] = _mixture(lambda r: mixtures.emm(r, ITEMS, 2, iters=2, mm_iters=2))
-FOUND["em_gmm"] = _mixture(lambda r: mixtures.em_gmm(r, ITEMS, 2, iters=2))
-FOUND["pl_spectral_em"] = _mixture(lambda r: mixtures.pl_spectral_em(r, ITEMS, 2, iters=2))
-FOUND["composite_em"] = _mixture(lambda r: mixtures.composite_em(r, ITEMS, 2, link=Logistic(), iters=2))
-FOUND["em_cml"] = _mixture(lambda r: mixtures.em_cml(r, ITEMS, 2, iters=2))
+FOUND["emm"] = _mixture(lambda r: mixtures.emm(r, ITEMS, 2))
+FOUND["em_gmm"] = _mixture(lambda r: mixtures.em_gmm(r, ITEMS, 2))
+FOUND["pl_spectral_em"] = _mixture(lambda r: mixtures.pl_spectral_em(r, ITEMS, 2))
+FOUND["composite_em"] = _mixture(lambda r: mixtures.composite_em(r, ITEMS, 2, link=Logistic(), eps=1e-6))
+FOUND["em_cml"] = _mixture(lambda r: mixtures.em_cml(r, ITEMS, 2))
 FOUND["gmm_mixture"] = _mixture(lambda r: mixtures.gmm_mixture(r, ITEMS, 2))
-FOUND["bayes_map"] = _mixture(lambda r: mixtures.bayes_map(r, ITEMS, 2, mixtures.random_start(ITEMS, 2), iters=2))
+FOUND["bayes_map"] = _mixture(lambda r: mixtures.bayes_map(r, ITEMS, 2, mixtures.random_start(ITEMS, 2)))
+
+
+def _fixed(spark, fit, digits):
+    """Utilities and weights after one step from the fixed mixture, and the log-likelihood before it."""
+    u, a = fit.frames(spark)
+    return u.join(a, "component").select("component", "item_id", r6(F.col("u"), digits).alias("u"), r6(F.col("a")).alias("a"), F.lit(round(fit.loglik[0], 6)).alias("loglik"))
+
+
+def _one_step(f, digits=3):
+    return lambda spark, d: _fixed(spark, f(_orders(spark, d), (np.array(U), np.array(ALPHA))), digits)
+
+
+FOUND["emm_step"] = _one_step(lambda r, start: mixtures.emm(r, ITEMS, 2, start, iters=1, mm_iters=1), 5)
+FOUND["bayes_map_step"] = _one_step(lambda r, start: mixtures.bayes_map(r, ITEMS, 2, start, c=2.0, d=1.0, alpha=3.0, iters=1), 5)
+FOUND["pl_spectral_em_step"] = _one_step(lambda r, start: mixtures.pl_spectral_em(r, ITEMS, 2, start, iters=1), 5)
+FOUND["pl_spectral_em_hard_step"] = _one_step(lambda r, start: mixtures.pl_spectral_em(r, ITEMS, 2, start, iters=1, hard=True), 5)
+FOUND["em_gmm_step"] = _one_step(lambda r, start: mixtures.em_gmm(r, ITEMS, 2, start, iters=1, lam=0.01))
+FOUND["em_cml_step"] = _one_step(lambda r, start: mixtures.composite_em(r, ITEMS, 2, start, Logistic(), iters=1, damp=1.0, lam=0.01, e="pl"))
+FOUND["composite_em_step"] = _one_step(lambda r, start: mixtures.composite_em(r, ITEMS, 2, start, Logistic(), iters=1, damp=0.1, lam=0.01))
+FOUND["composite_em_pinned_step"] = _one_step(lambda r, start: mixtures.composite_em(r, ITEMS, 2, start, Logistic(), iters=1, damp=1.0, lam=0.01, e="pl", space="pinned"))
+
+
+@query
+def composite_posterior(spark, d):
+    """Posteriors of each ranking under the composite likelihood of pairs."""
+    u = np.array(U)
+    f = np.log(Logistic().cdf(u[:, :, None] - u[:, None, :]))
+    q = passes.assign(R.to_arrays(_orders(spark, d)), passes.Model(u, np.array(ALPHA), f))
+    return q.select("ranking_id", "component", r6(F.col("q")).alias("q"), r6(F.col("lse")).alias("lse"))
+
+
+@query
+def posterior_pair_weights(spark, d):
+    s = passes.sums(passes.table(_orders(spark, d)), ITEMS, passes.Model(np.array(U), np.array(ALPHA)), "pairs")["pairs"]
+    rows = [(int(c), int(l), int(w), float(s[c, l, w])) for c, l, w in np.argwhere(s > 0)]
+    return spark.createDataFrame(rows, "component int, loser int, winner int, weight double").withColumn("weight", r6(F.col("weight"), 5))
+
+
+@query
+def pinned_slopes(spark, d):
+    """Gradient (j null) and curvature of the composite likelihood of all pairs with item 0 pinned, at fixed utilities."""
+    w = R.dense(R.pairwise_counts(R.comparisons(_orders(spark, d))).withColumnRenamed("cnt", "p"), ITEMS, diagonal=0.0)
+    v = np.array(U[0]) - U[0][0]
+    slope, bend = solvers.pinned_slopes(w, Logistic(), v, 0.5)
+    rows = [(i + 1, None, float(x)) for i, x in enumerate(slope)] + [(i + 1, j + 1, float(x)) for i, row in enumerate(bend) for j, x in enumerate(row)]
+    return spark.createDataFrame(rows, "i int, j int, value double").withColumn("value", r6(F.col("value"), 4))
+
+
+@query
+def pinned_estimate(spark, d):
+    """The composite likelihood's maximum over all pairs, found with item 0 pinned."""
+    w = R.dense(R.pairwise_counts(R.comparisons(_orders(spark, d))).withColumnRenamed("cnt", "p"), ITEMS, diagonal=0.0)
+    return _vector(spark, solvers.pinned_mle(w, Logistic()))
 
 
 @query
 def gibbs(spark, d):
-    u, a = mixtures.gibbs(_events(spark, d).select("ranking_id", "pos", "item_id"), ITEMS, 2, mixtures.random_start(ITEMS, 2), samples=2)
+    """Posterior means after 30 of 100 draws."""
+    u, a = mixtures.gibbs(_events(spark, d).select("ranking_id", "pos", "item_id"), ITEMS, 2, mixtures.random_start(ITEMS, 2), samples=100, burn=30)
     return estimators.to_frame(spark, u)
 
 
+@query
+def posterior_draws(spark, d):
+    """Two chains of 40 draws a mixture of users' rankings: mean, spread and R-hat of utilities and weights."""
+    store = draws.Store(spark)
+    mixtures.gibbs(_events(spark, d).select("ranking_id", "pos", "item_id"), ITEMS, 2, mixtures.random_start(ITEMS, 2), samples=40, burn=10, chains=2, store=store, alpha=5.0, c=5.0, d=1.0)
+    kept = draws.relabel(store.read().where("draw >= 10"))
+    both = draws.summary(kept).join(draws.r_hat(kept).withColumnRenamed("component", "c").withColumnRenamed("item", "i"), F.expr("component = c and item <=> i"))
+    return both.select("component", "item", "mean", "sd", "draws", "r_hat")
+
+
 # -- clustering and low rank ---------------------------------------------------------------------------------------------------------
 
 
