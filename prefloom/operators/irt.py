@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import solvers
-from . import chains, metrics
+from ..plans.state import Loop
+from . import chains, metrics, response_passes
 from .estimators import to_frame
 
 
@@ -184,56 +185,60 @@ def user_embedding(responses: DataFrame, most_items: int = 100) -> tuple[DataFra
     return x.select(F.col("user_id").alias("ranking_id"), k.alias("k"), (F.col("u.score") - F.col("v.score")).cast("double").alias("x")), max(1, n * (n - 1) // 2)
 
 
-def pcm_mixture(responses: DataFrame, n: int, levels: int, classes: int, iters: int = 100, eps: float = 1e-4, sigma: float | None = 1.0, lam: float = 0.1, start: np.ndarray | None = None, validation: DataFrame | None = None, seed: int = 0) -> tuple[PcmMixture, DataFrame, DataFrame]:
+def _classes(y: np.ndarray, counts: np.ndarray, lam: float, sigma: float) -> np.ndarray:
+    """Difficulties of each class from weighted co-occurrences, shifted to abilities of mean zero."""
+    classes, n, levels = counts.shape[0], counts.shape[1], counts.shape[2] - 1
+    fits = [pcm_from_counts({(k, l): y[c, k, l] for k in range(levels + 1) for l in range(levels + 1)}, n, levels, lam) for c in range(classes)]
+    return np.stack([b - shift_mmle(counts[c], b, sigma) for c, b in enumerate(fits)])
+
+
+def pcm_mixture(responses: DataFrame, n: int, levels: int, classes: int, iters: int = 100, eps: float = 1e-4, sigma: float | None = 1.0, lam: float = 0.1, start: np.ndarray | None = None, validation: DataFrame | None = None, seed: int = 0, at: str | None = None) -> tuple[PcmMixture, DataFrame, DataFrame]:
     """EM for a mixture of partial-credit models: (fit, abilities, memberships).
 
-    Starts from clusters of users unless ``start`` (classes x items x levels) is given; ``sigma=None`` estimates
-    the abilities' spread; a validation set stops the loop when its likelihood falls.
+    A step is one pass over collapsed users, without a shuffle.  Starts from clusters of users unless ``start``
+    (classes x items x levels) is given; ``sigma=None`` estimates the abilities' spread; a validation set stops the
+    loop when its likelihood falls; steps are kept in the folder ``at``, if any.
     """
     from . import clustering
 
     spark = responses.sparkSession
-    responses = responses.cache()
-    users = responses.select("user_id").distinct()
-    fit = PcmMixture(np.zeros((classes, n, levels)), sigma=sigma or 1.0)
-
-    def m_step(q: DataFrame) -> np.ndarray:
-        g = responses.join(q.select("user_id", "component", "q"), "user_id").groupBy("component", "user_id").agg(F.collect_list(F.struct(F.col("item_id").alias("i"), F.col("score").alias("s"))).alias("a"), F.first("q").alias("q"))
-        x = g.select("component", "q", F.explode("a").alias("u"), "a").select("component", "q", "u", F.explode("a").alias("v"))
-        x = x.where((F.col("u.s") == F.col("v.s") + 1) | (F.col("u.s") <= 1))
-        y = _matrices(x.groupBy("component", F.col("u.s").alias("k"), F.col("v.s").alias("l"), F.col("u.i").alias("i"), F.col("v.i").alias("j")).agg(F.sum(F.col("q") * F.col("q")).alias("y")), n, ("component", "k", "l"))
-        counts = np.zeros((classes, n, levels + 1))
-        for r in responses.join(q, "user_id").groupBy("component", "item_id", "score").agg(F.sum("q").alias("c")).collect():
-            counts[r.component, r.item_id, r.score] = r.c
-        out = np.stack([pcm_from_counts({k[1:]: v for k, v in y.items() if k[0] == c}, n, levels, lam) for c in range(classes)])
-        return np.stack([b - shift_mmle(counts[c], b, fit.sigma) for c, b in enumerate(out)])
+    rows = response_passes.table(responses)
 
-    if start is None:
+    def clusters() -> np.ndarray:
         x, size = user_embedding(responses)
-        labels = clustering.spectral_clustering(x, size, classes, seed=seed)
-        q = users.join(labels.withColumnRenamed("ranking_id", "user_id"), "user_id", "left").select("user_id", F.coalesce("label", F.lit(0)).alias("component"), F.lit(1.0).alias("q"))
-        betas = m_step(q)
-    else:
-        betas = start
-    last = -math.inf
-    for _ in range(iters):
-        theta = abilities(responses, levels_frame(spark, betas)).cache()
+        labels = clustering.spectral_clustering(x, size, classes, seed=seed).withColumnRenamed("ranking_id", "user_id")
+        own = responses.join(labels, "user_id", "left").select("user_id", "item_id", "score", F.coalesce("label", F.lit(0)).alias("component"))
+        y, counts = np.zeros((classes, levels + 1, levels + 1, n, n)), np.zeros((classes, n, levels + 1))
+        for c in range(classes):
+            for key, m in _matrices(level_counts(own.where(F.col("component") == c), levels), n).items():
+                y[(c, *key)] = m
+        for r in own.groupBy("component", "item_id", "score").agg(F.count("*").alias("c")).collect():
+            counts[r.component, r.item_id, r.score] = r.c
+        return _classes(y, counts, lam, sigma or 1.0)
+
+    def judged(betas: np.ndarray, spread: float) -> float | None:
+        theta = abilities(responses, levels_frame(spark, betas))
+        q = responsibilities(responses, theta, levels_frame(spark, betas), spread)
+        return metrics.evaluate_mixture(theta, levels_frame(spark, betas), q, validation).first()["loglik"]
+
+    def step(_: int, s: dict) -> tuple[dict, dict]:
+        betas, spread = s["betas"], float(s["sigma"][0])
         if sigma is None:
-            fit.sigma = max(0.1, float(theta.agg(F.stddev("theta")).first()[0] or 1.0))
-        q = responsibilities(responses, theta, levels_frame(spark, betas), fit.sigma).cache()
-        fit.loglik.append(float(q.where("component = 0").agg(F.avg("lse")).first()[0]))
+            got = response_passes.sums(rows, betas, spread)
+            m = got["m"] * classes
+            spread = max(0.1, math.sqrt(max(0.0, (got["theta"][1] - got["theta"][0] ** 2 / m) / max(m - 1, 1))))
         if validation is not None:
-            now = metrics.evaluate_mixture(theta, levels_frame(spark, betas), q, validation).first()["loglik"]
-            if now is not None and now < last:
-                break
-            last = now if now is not None else last
-        new = m_step(q)
-        change = float(((new - betas) ** 2).sum())
-        betas = new
-        theta.unpersist()
-        q.unpersist()
-        if change < eps:
-            break
-    fit.betas = betas
-    theta = abilities(responses, levels_frame(spark, betas))
-    return fit, theta, responsibilities(responses, theta, levels_frame(spark, betas), fit.sigma)
+            now = judged(betas, spread)
+            if now is not None and now < s["last"][0]:
+                return s, {"loglik": float("nan"), "change": 0.0}
+            s = s | {"last": np.array([s["last"][0] if now is None else now])}
+        got = response_passes.sums(rows, betas, spread)
+        new = _classes(got["y"], got["counts"], lam, spread)
+        return s | {"betas": new, "sigma": np.array([spread])}, {"loglik": float(got["loglik"] / got["m"]), "change": float(((new - betas) ** 2).sum())}
+
+    loop = Loop(iters, eps, spark, at)
+    found = loop.run({"betas": clusters() if start is None else np.asarray(start, float), "sigma": np.array([sigma or 1.0]), "last": np.array([-np.inf])}, step)
+    fit = PcmMixture(found["betas"], [h["loglik"] for h in loop.history if not math.isnan(h["loglik"])], float(found["sigma"][0]))
+    frame = levels_frame(spark, fit.betas)
+    theta = abilities(responses, frame)
+    return fit, theta, responsibilities(responses, theta, frame, fit.sigma)

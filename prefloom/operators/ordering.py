@@ -44,23 +44,24 @@ def least(df: DataFrame, by: list[str], key: str, ties: list[str], want: DataFra
     large.  Rows that agree in key and ties are told apart arbitrarily.
     """
     shift = lambda bits: F.shiftright(key, KEY_BITS - bits)
-    at = cut(want.select(*by, F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before")))
+    zero = F.lit(0).cast("long")
+    at = cut(want.select(*by, F.col("k").cast("long").alias("_k"), zero.alias("_at"), zero.alias("_before")))
     bits, n = 0, None
     while bits < KEY_BITS and (n is None or n > ranked):
-        inside = df.join(at, by).where(shift(bits) == F.col("bucket"))
+        inside = df.select(*by, key).join(at, by).where(shift(bits) == F.col("_at"))
         bits += STEP_BITS
-        counts = inside.groupBy(*by, shift(bits).alias("bucket"), "k", F.col("before").alias("base")).agg(F.count("*").alias("n"))
-        ordered = Window.partitionBy(*by).orderBy("bucket")  # 4,096 rows a group at most
-        upto = counts.withColumn("upto", F.col("base") + F.sum("n").over(ordered)).withColumn("last", F.row_number().over(ordered.orderBy(F.desc("bucket"))))
-        holds = upto.where((F.col("upto") >= F.col("k")) | (F.col("last") == 1)).withColumn("first", F.row_number().over(ordered)).where("first = 1")
-        at = cut(holds.select(*by, "k", "bucket", (F.col("upto") - F.col("n")).alias("before"), "n"))
-        n = at.agg(F.max("n")).first()[0] or 0
-    placed = df.join(at.select(*by, "k", "bucket", "before"), by, "left").withColumn("_bucket", shift(bits))
-    near = placed.where("_bucket = bucket")
+        counts = inside.groupBy(*by, shift(bits).alias("_at"), "_k", F.col("_before").alias("_base")).agg(F.count("*").alias("_n"))
+        ordered = Window.partitionBy(*by).orderBy("_at")  # 4,096 rows a group at most
+        upto = counts.withColumn("_upto", F.col("_base") + F.sum("_n").over(ordered)).withColumn("_last", F.row_number().over(ordered.orderBy(F.desc("_at"))))
+        holds = upto.where((F.col("_upto") >= F.col("_k")) | (F.col("_last") == 1)).withColumn("_first", F.row_number().over(ordered)).where("_first = 1")
+        at = cut(holds.select(*by, "_k", "_at", (F.col("_upto") - F.col("_n")).alias("_before"), "_n"))
+        n = at.agg(F.max("_n")).first()[0] or 0
+    placed = df.join(at.drop("_n"), by, "left").withColumn("_bucket", shift(bits))
+    near = placed.where("_bucket = _at")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(key, *ties))
-    near = near.withColumn("taken", F.col("before") + rank <= F.col("k"))
-    rest = placed.where("bucket is null or _bucket <> bucket").withColumn("taken", F.coalesce(F.col("_bucket") < F.col("bucket"), F.lit(False)))
-    return near.unionByName(rest).drop("_bucket", "bucket", "before", "k")
+    near = near.withColumn("taken", F.col("_before") + rank <= F.col("_k"))
+    rest = placed.where("_at is null or _bucket <> _at").withColumn("taken", F.coalesce(F.col("_bucket") < F.col("_at"), F.lit(False)))
+    return near.unionByName(rest).drop("_bucket", "_at", "_before", "_k")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[tuple]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import ALPHA, BETAS, U
+from .queries import ALPHA, BETAS, TWO, U
 
 _EVENTS = """ev AS (SELECT user_id AS rid, event_type AS lab, min(ts) AS k FROM events GROUP BY 1, 2),
  r AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY k, lab) - 1 AS pos, dense_rank() OVER (ORDER BY lab) - 1 AS item FROM ev)"""
@@ -341,3 +341,31 @@ SQL |= {
     "pinned_estimate": _with(_ORDERS, _PAIRS, "pw AS (SELECT 0 AS component, loser, winner, count(*)::DOUBLE AS weight FROM c GROUP BY 2, 3)", _MATRIX, *_descent(_likelihood_slope(0.0), 2.0, 3000, True), recursive=True)
     + f"SELECT item AS item_id, {_r('x', 4)} AS u FROM fit",
 }
+
+_TWO = "b2(component, item, b) AS (VALUES " + ", ".join(f"({c}, {i}, {[float(x) for x in row.cumsum()]}::DOUBLE[])" for c, m in enumerate(TWO) for i, row in enumerate(m)) + ")"
+_CLASSES = [
+    _GRADED, _TWO, "us AS (SELECT component * 100000000 + u AS u, list(item * 10 + component ORDER BY item) AS items, list(b ORDER BY item) AS bs, sum(s)::DOUBLE AS total FROM g JOIN b2 USING (item) GROUP BY u, component)", *_bisect(_LEVEL_SUM),
+    "ab AS (SELECT u % 100000000 AS u, u // 100000000 AS component, theta FROM th)",
+    "lc AS (SELECT g.u, b2.component, theta, sum(CASE s WHEN 0 THEN 0 ELSE s * theta - b[s] END - ln(1 + exp(theta - b[1]) + exp(2 * theta - b[2]) + exp(3 * theta - b[3]))) - theta * theta / 2 - ln(sqrt(2 * pi())) AS z FROM g JOIN b2 USING (item) JOIN ab ON ab.u = g.u AND ab.component = b2.component GROUP BY 1, 2, 3)",
+    "qc AS (SELECT u, component, theta, exp(z) / sum(exp(z)) OVER (PARTITION BY u) AS q, ln(sum(exp(z)) OVER (PARTITION BY u)) AS lse FROM lc)",
+]
+#: spectral partial-credit difficulties: a chain a level, then the shift of each level against the first
+_LEVELS = [
+    _GRADED, "y AS (SELECT a.s AS k, b.s AS l, a.item AS i, b.item AS j, count(*)::DOUBLE AS n FROM g a JOIN g b ON a.u = b.u AND a.item <> b.item WHERE a.s = b.s + 1 OR a.s <= 1 GROUP BY 1, 2, 3, 4)",
+    "mk AS (SELECT k, i AS src, j AS dst, sum(n) + 0.1 AS p FROM (SELECT k, i, j, n FROM y WHERE l = k - 1 UNION ALL SELECT k, j, i, 0 FROM y WHERE l = k - 1) GROUP BY 1, 2, 3)",
+    "rs AS (SELECT k, src, sum(p) AS row, greatest(sum(p), 1.0) AS d FROM mk GROUP BY 1, 2)",
+    "ch AS (SELECT mk.k, mk.src, dst, p / d AS p FROM mk JOIN rs ON rs.k = mk.k AND rs.src = mk.src UNION ALL SELECT k, src, src, 1 - row / d FROM rs)",
+    "it(step, k, item, pi) AS (SELECT 0, k, src, 1.0::DOUBLE / 5 FROM rs UNION ALL SELECT step + 1, ch.k, dst, sum(pi * p) FROM it JOIN ch ON it.item = ch.src AND it.k = ch.k WHERE step < 600 GROUP BY step, ch.k, dst)",
+    "b0 AS (SELECT it.k, item, ln(pi / d) - avg(ln(pi / d)) OVER (PARTITION BY it.k) AS b FROM it JOIN rs ON rs.k = it.k AND rs.src = item WHERE step = 600)",
+    "up AS (SELECT l + 1 AS k, sum(exp(b) * n) AS x FROM y JOIN b0 ON b0.k = 1 AND b0.item = i WHERE y.k = 1 GROUP BY 1)",
+    "dn AS (SELECT l AS k, sum(exp(b) * n) AS x FROM y JOIN b0 ON b0.k = l AND b0.item = j WHERE y.k = 0 GROUP BY 1)",
+]
+SQL |= {
+    "pcm_memberships": _with(*_CLASSES, recursive=True) + f"SELECT u AS user_id, component::INTEGER AS component, {_r('theta', 4)} AS theta, {_r('q', 4)} AS q, {_r('lse', 4)} AS lse FROM qc",
+    "pcm_mixture_sums": _with(
+        *_CLASSES, "ct AS (SELECT component, item, s, sum(q) AS weight FROM qc JOIN g USING (u) GROUP BY 1, 2, 3)",
+        "nx AS (SELECT component, a.item, b.s, sum(q * q) AS next FROM qc JOIN g a ON a.u = qc.u AND a.s = 1 JOIN g b ON b.u = qc.u AND b.item = (a.item + 1) % 5 GROUP BY 1, 2, 3)",
+        "al AS (SELECT c.c AS component, i.i AS item, k.k AS s FROM range(0, 2) c(c) CROSS JOIN range(0, 5) i(i) CROSS JOIN range(0, 4) k(k))", recursive=True,
+    ) + f"SELECT component::INTEGER AS component, item::INTEGER AS item_id, s::INTEGER AS level, {_r('coalesce(weight, 0)', 3)} AS weight, {_r('coalesce(next, 0)', 3)} AS next FROM al LEFT JOIN ct USING (component, item, s) LEFT JOIN nx USING (component, item, s)",
+    "pcm_beta": _with(*_LEVELS, recursive=True) + f"SELECT item::INTEGER AS item_id, b0.k::INTEGER AS level, {_r('b + CASE WHEN b0.k > 1 THEN ln(up.x / dn.x) ELSE 0 END', 4)} AS beta FROM b0 LEFT JOIN up ON up.k = b0.k LEFT JOIN dn ON dn.k = b0.k",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import ExtremeValue, GeneralNormal, Logistic, Normal
-from ..operators import chains, clustering, draws, embeddings, ep, estimators, glrm, graph, irt, lowrank, metrics, mixtures, passes, privacy, reshape
+from ..operators import chains, clustering, draws, embeddings, ep, estimators, glrm, graph, irt, lowrank, metrics, mixtures, passes, privacy, reshape, response_passes
 from ..operators import rankings as R
 from ..sources import generators, tables
 from . import solvers
@@ -313,10 +313,30 @@ def pcm_beta(spark, d):
 
 @query
 def pcm_mixture(spark, d):
-    fit, _, q = irt.pcm_mixture(tables.graded_responses(spark, d), ITEMS, LEVELS, 2, iters=20)
+    fit, _, q = irt.pcm_mixture(tables.graded_responses(spark, d), ITEMS, LEVELS, 2)
     return q.groupBy("component").agg(r6(F.avg("q"), 3).alias("share"))
 
 
+TWO = np.array([BETAS, BETAS]) + np.array([0.0, 0.5])[:, None, None] * np.arange(ITEMS)[None, :, None] / 2
+
+
+@query
+def pcm_memberships(spark, d):
+    """Abilities and memberships of each user in two fixed classes."""
+    r, betas = tables.graded_responses(spark, d), irt.levels_frame(spark, TWO)
+    theta = irt.abilities(r, betas)
+    q = irt.responsibilities(r, theta, betas).join(theta, ["user_id", "component"])
+    return q.select("user_id", "component", r6(F.col("theta"), 4).alias("theta"), r6(F.col("q"), 4).alias("q"), r6(F.col("lse"), 4).alias("lse"))
+
+
+@query
+def pcm_mixture_sums(spark, d):
+    """Scores by item of each class, weighted by memberships, from the pass that a mixture's step makes."""
+    got = response_passes.sums(response_passes.table(tables.graded_responses(spark, d)), TWO, 1.0)
+    rows = [(c, i, k, float(got["counts"][c, i, k]), float(got["y"][c, 1, k, i, (i + 1) % ITEMS])) for c in range(2) for i in range(ITEMS) for k in range(LEVELS + 1)]
+    return spark.createDataFrame(rows, "component int, item_id int, level int, weight double, next double").withColumns({"weight": r6(F.col("weight"), 3), "next": r6(F.col("next"), 3)})
+
+
 # -- metrics ---------------------------------------------------------------------------------------------------------------
 
 

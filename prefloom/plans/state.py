@@ -40,17 +40,15 @@ class Loop:
         """(steps made, state after them) of what the folder holds; the history is read too."""
         if not self.at or not (steps := self._steps()):
             return None
-        facts = self.spark.read.schema(f"{SCHEMA}, step long").parquet(*[f"{self.at}/step={k}" for k in steps], basePath=self.at)
+        facts = self.spark.read.schema(f"{SCHEMA}, step long").option("basePath", self.at).parquet(*[f"{self.at}/step={k}" for k in steps])
         by_step: dict[int, dict[str, float]] = {k: {} for k in steps}
         for r in facts.where("shape is null").collect():  # a few numbers a step
             by_step[r.step][r.name] = r.value
         self.history = [by_step[k] for k in steps]
         state: dict[str, np.ndarray] = {}
         for r in self.spark.read.schema(SCHEMA).parquet(f"{self.at}/step={steps[-1]}").where("shape is not null").collect():
-            state.setdefault(r.name, np.zeros(int(np.prod(r.shape, dtype=np.int64)))).reshape(-1)[r.place] = r.value
-            shapes = self.__dict__.setdefault("_shapes", {})
-            shapes[r.name] = tuple(r.shape)
-        return steps[-1], {name: x.reshape(self._shapes[name]) for name, x in state.items()}
+            state.setdefault(r.name, np.zeros(tuple(r.shape))).reshape(-1)[r.place] = r.value
+        return steps[-1], state
 
     def clear(self) -> None:
         """Forgets all steps."""
