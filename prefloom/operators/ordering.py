@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..sources.shared import cut
 
 #: bits of a key, bits that one refinement looks at, rows of a bucket that are ranked at once, entries of a block
@@ -31,9 +32,8 @@ def sums_before(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame
 
 
 def key_of(seed: int, *columns: str) -> Column:
-    """60 bits of the MD5 of a seed and columns: an order by hash that any engine can repeat."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
+    """60 bits of a hash of a seed and columns."""
+    return hashing.bits(KEY_BITS // 4, seed, *columns)
 
 
 def least(df: DataFrame, by: list[str], key: str, ties: list[str], want: DataFrame, ranked: int = RANKED) -> DataFrame:

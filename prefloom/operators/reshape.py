@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..sources.shared import cut
 from . import ordering
 
@@ -83,5 +84,5 @@ def random_pairs(spark, n: int, p: float, seed: int = 0, symmetric: bool = False
     """(i, j), i < j, each with probability p; with ``symmetric`` both ways."""
     i = spark.range(n).select(F.col("id").cast("int").alias("i"))
     e = i.select("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).where("i < j")
-    e = e.where(F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(1 << 40)) < int(p * (1 << 40)))
+    e = e.where(uniform(seed, "i", "j") < p)
     return e.union(e.select("j", "i")) if symmetric else e

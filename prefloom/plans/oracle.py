@@ -42,7 +42,6 @@ _LL = f"""s AS (SELECT rid, pos, component, u, ln(sum(exp(u)) OVER (PARTITION BY
 _CHAIN = """p AS (SELECT loser AS src, winner AS dst, (w + 1.0) / (w + l + 2.0) AS p FROM b),
  rs AS (SELECT src, sum(p) AS row FROM p GROUP BY 1), dd AS (SELECT max(row) AS d FROM rs),
  ch AS (SELECT src, dst, p / d AS p FROM p, dd UNION ALL SELECT src, src, 1 - row / d FROM rs, dd)"""
-_LINKS = "g AS (SELECT i / 10.0::DOUBLE AS x FROM range(-20, 21) t(i)), h AS (SELECT x, (x + 2.1) / 4.2 AS q FROM g)"
 _RASCH = """n AS (SELECT a.item AS i, b.item AS j, count(*) AS y FROM g a JOIN g b ON a.u = b.u WHERE a.s = 1 AND b.s = 0 GROUP BY 1, 2),
  k AS (SELECT i, j, sum(y) + 1.0 AS p FROM (SELECT i, j, y FROM n UNION ALL SELECT j, i, 0 FROM n) WHERE i <> j GROUP BY 1, 2)"""
 _PCM = """cs AS (SELECT item, level, beta, sum(beta) OVER (PARTITION BY item ORDER BY level) AS run FROM bb),
@@ -94,26 +93,17 @@ SQL: dict[str, str] = {
     "alpha_update": _with(_ORDERS, _U, _A, _LL) + f"SELECT component, {_r('avg(q)')} AS a FROM q GROUP BY 1",
     "pair_composite_loglik": _with(_ORDERS, _PAIRS, _U)
     + f"SELECT rid AS ranking_id, a.component, {_r('sum(-ln(1 + exp(b.u - a.u)))')} AS loglik FROM c JOIN uu a ON a.item = c.winner JOIN uu b ON b.item = c.loser AND a.component = b.component GROUP BY 1, 2",
-    "link_logistic": _with(_LINKS)
-    + f"SELECT {_r('x', 3)} AS x, {_r('1 / (1 + exp(-x / 1.5))')} AS cdf, {_r('1 / (1 + exp(-x / 1.5)) * (1 - 1 / (1 + exp(-x / 1.5))) / 1.5')} AS pdf, {_r('1.5 * ln(q / (1 - q))')} AS quantile FROM h",
-    "link_laplace": _with(_LINKS)
-    + f"SELECT {_r('x', 3)} AS x, {_r('CASE WHEN x < 0 THEN 0.5 * exp(-abs(x) / 1.5) ELSE 1 - 0.5 * exp(-abs(x) / 1.5) END')} AS cdf, {_r('exp(-abs(x) / 1.5) / 3')} AS pdf, {_r('CASE WHEN q < 0.5 THEN 1.5 * ln(2 * q) ELSE -1.5 * ln(2 * (1 - q)) END')} AS quantile FROM h",
-    "link_extreme_value": _with(_LINKS)
-    + f"SELECT {_r('x', 3)} AS x, {_r('exp(-pow(1 - 0.5 * x / 1.5, 2))')} AS cdf, {_r('(1 - 0.5 * x / 1.5) * exp(-pow(1 - 0.5 * x / 1.5, 2)) / 1.5')} AS pdf, {_r('1.5 * (1 - pow(-ln(q), 0.5)) / 0.5')} AS quantile FROM h",
     "pcm_probabilities": _with(_GRADED, _B, _PCM) + f"SELECT u AS user_id, item AS item_id, level, {_r('p')} AS p FROM pr",
     "pcm_heldout": _with(_GRADED, _B, _PCM, "rk AS (SELECT *, row_number() OVER (PARTITION BY u, item ORDER BY round(p, 12) DESC, level) AS rn FROM pr)")
     + f"SELECT u AS user_id, item AS item_id, s AS score, max(CASE WHEN rn = 1 THEN level END) AS predicted, {_r('max(CASE WHEN level = s THEN p END)')} AS p FROM rk GROUP BY 1, 2, 3",
     "cramer_rao_bound": _with(_BINARY, _B, "us AS (SELECT DISTINCT u FROM g)", "v AS (SELECT item, 1 / (1 + exp(beta - (u % 7 - 3) / 2.0::DOUBLE)) AS s FROM us, bb WHERE level = 1)")
     + f"SELECT item AS item_id, {_r('1 / sum(0.8 * s * (1 - s))', 8)} AS bound FROM v GROUP BY 1",
-    "marginal_response": _with(_B, "k AS (SELECT i, -10 + i * 0.05::DOUBLE AS x, CASE WHEN i IN (0, 400) THEN 0.5 ELSE 1.0 END AS w FROM range(0, 401) t(i))")
-    + f"SELECT item AS item_id, {_r('least(1.0, 0.05 * sum(w * exp(-0.5 * x * x) / sqrt(2 * pi()) / (1 + exp(beta - x))))')} AS p FROM bb, k WHERE level = 1 GROUP BY 1",
     "heldout_loglik": _with(_BINARY) + f"SELECT {_r('avg(CASE WHEN s = 1 THEN ln(0.2 + 0.1 * item) ELSE ln(1 - (0.2 + 0.1 * item)) END)')} AS loglik FROM g",
     "auc": _with(_BINARY, "v AS (SELECT (u * 7 + item * 3) % 11 AS p, s FROM g)", "w AS (SELECT p, sum(s) AS pos, sum(1 - s) AS neg FROM v GROUP BY 1)", "x AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w)")
     + f"SELECT {_r('sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg))')} AS auc FROM x",
     "top_k_accuracy": _with(_EVENTS, _MEAN) + f"SELECT a.rid AS ranking_id, {_r('count(b.item) / 3.0::DOUBLE')} AS accuracy FROM r a LEFT JOIN es b ON a.item = b.item AND b.pos < 3 WHERE a.pos < 3 GROUP BY 1",
     "kendall_distance": _with(_EVENTS, _MEAN, "j AS (SELECT a.rid, a.pos AS t, b.pos AS e FROM r a JOIN es b ON a.item = b.item)")
     + f"SELECT a.rid AS ranking_id, {_r('sum(CASE WHEN a.e > b.e THEN 1 ELSE 0 END) / count(*)::DOUBLE')} AS distance FROM j a JOIN j b ON a.rid = b.rid AND a.t < b.t GROUP BY 1",
-    "ell2": _with(_U, "j AS (SELECT a.u - b.u AS d FROM uu a JOIN uu b ON a.item = b.item WHERE a.component = 0 AND b.component = 1)") + f"SELECT {_r('sqrt(sum(d * d) - sum(d) * sum(d) / count(*))')} AS ell2 FROM j",
     "pairwise_loglik": _with(_EVENTS, _PAIRS, _COUNTS, _BOTH, _U)
     + f"SELECT {_r('sum((w + 1.0) / (w + l + 2.0) * -ln(1 + exp(y.u - x.u)))')} AS loglik FROM b JOIN uu x ON x.item = b.winner AND x.component = 0 JOIN uu y ON y.item = b.loser AND y.component = 0",
     "confusion_counts": "SELECT label::INTEGER AS truth, ((label * 3 + vec_id % 4) % 10)::INTEGER AS predicted, count(*) AS n FROM embeddings GROUP BY 1, 2",
@@ -148,22 +138,10 @@ SQL: dict[str, str] = {
     ) + "SELECT s::INTEGER AS node, min(d)::INTEGER AS root FROM re GROUP BY 1",
 }
 
-_SHIFT = "v AS (SELECT component, item, u + component + item / 10.0::DOUBLE AS u FROM uu)"
 SQL |= {
-    "centred_utilities": _with(_U, _SHIFT) + f"SELECT component, item AS item_id, {_r('u - avg(u) OVER (PARTITION BY component)')} AS u FROM v",
-    "normalised_alpha": f"SELECT component, {_r('a / sum(a) OVER ()')} AS a FROM (VALUES (0, 3.0::DOUBLE), (1, 1.0), (2, 4.0)) t(component, a)",
     "pl_posterior_hard": _with(_ORDERS, _U, _A, _LL, "h AS (SELECT component, row_number() OVER (PARTITION BY rid ORDER BY q DESC, component) AS rn FROM q)") + "SELECT component, count(*) AS n FROM h WHERE rn = 1 GROUP BY 1",
     "pl_posterior_trimmed": _with(_ORDERS, _U, _A, _LL, "h AS (SELECT rid, component, CASE WHEN q < 0.25 THEN 0 ELSE q END AS q FROM q)")
     + f"SELECT rid AS ranking_id, component, {_r('q / sum(q) OVER (PARTITION BY rid)')} AS q FROM h",
-    "ell2_mixture": _with(
-        _U, "a AS (SELECT component, item, u - avg(u) OVER (PARTITION BY component) AS u FROM uu)",
-        "b AS (SELECT 1 - component AS component, item, u + item / 10.0::DOUBLE AS u FROM uu)", "c AS (SELECT component, item, u - avg(u) OVER (PARTITION BY component) AS u FROM b)",
-        "d AS (SELECT a.component AS i, c.component AS j, sum((a.u - c.u) * (a.u - c.u)) AS s FROM a JOIN c ON a.item = c.item GROUP BY 1, 2)",
-    ) + f"SELECT {_r('sqrt(least(sum(CASE WHEN i = j THEN s ELSE 0 END), sum(CASE WHEN i <> j THEN s ELSE 0 END)))')} AS ell2 FROM d",
-    "frobenius_difference": _with(
-        _B, "cc(c) AS (VALUES (0), (1))", "a AS (SELECT c, item, level, beta + c AS v FROM bb, cc)", "b AS (SELECT 1 - c AS c, item, level, beta + c + 0.1 AS v FROM bb, cc)",
-        "d AS (SELECT a.c AS i, b.c AS j, sum((a.v - b.v) * (a.v - b.v)) AS s FROM a JOIN b ON a.item = b.item AND a.level = b.level GROUP BY 1, 2)",
-    ) + f"SELECT {_r('least(sum(CASE WHEN i = j THEN s ELSE 0 END), sum(CASE WHEN i <> j THEN s ELSE 0 END))')} AS difference FROM d",
     "mixture_evaluation": _with(
         _GRADED, _B, "cc(c) AS (VALUES (0), (1))", "cs AS (SELECT c, item, level, sum(beta + c * 0.5) OVER (PARTITION BY c, item ORDER BY level) AS run FROM bb, cc)",
         "lv AS (SELECT c, item, level, run FROM cs UNION ALL SELECT DISTINCT c, item, 0, 0.0 FROM bb, cc)",
@@ -171,8 +149,6 @@ SQL |= {
         "p AS (SELECT u, item, s, c, level, e / sum(e) OVER (PARTITION BY u, item, c) AS p FROM e)", "k AS (SELECT *, row_number() OVER (PARTITION BY u, item, c ORDER BY round(p, 12) DESC, level) AS rn FROM p)",
         "m AS (SELECT u, item, max(CASE WHEN c = 0 AND rn = 1 AND level <> s THEN 1.0 ELSE 0.0 END) AS miss, sum(CASE WHEN level = s THEN p * CASE WHEN c = 0 THEN 0.7 ELSE 0.3 END END) AS p FROM k GROUP BY 1, 2)",
     ) + f"SELECT {_r('avg(miss)')} AS error, {_r('sum(ln(p))', 3)} AS loglik FROM m",
-    "mean_pairwise_link": _with(_U, "x AS (SELECT a.item AS i, b.item AS j, a.u - b.u AS d FROM uu a JOIN uu b ON a.item < b.item WHERE a.component = 0 AND b.component = 0)")
-    + f"SELECT {_K} AS k, {_r('1 / (1 + exp(-d)) / 2 - 1 / (1 + exp(d)) / 2')} AS x FROM x",
     "composite_loglik_weighted": _with(
         _ORDERS, "c AS (SELECT a.rid, a.item AS winner, b.item AS loser, a.pos AS pa, b.pos AS pb FROM r a JOIN r b ON a.rid = b.rid AND a.pos < b.pos)", _U,
         "w AS (SELECT *, CASE WHEN (winner + loser) % 2 = 1 THEN 0.5 + 0.1 * (winner + loser) ELSE 1 END * CASE WHEN pa = 0 AND pb = 1 THEN 2 WHEN pa = 0 AND pb = 2 THEN 0.5 WHEN pa = 1 AND pb = 2 THEN 1.5 ELSE 1 END AS w FROM c)",
@@ -369,3 +345,99 @@ SQL |= {
     ) + f"SELECT component::INTEGER AS component, item::INTEGER AS item_id, s::INTEGER AS level, {_r('coalesce(weight, 0)', 3)} AS weight, {_r('coalesce(next, 0)', 3)} AS next FROM al LEFT JOIN ct USING (component, item, s) LEFT JOIN nx USING (component, item, s)",
     "pcm_beta": _with(*_LEVELS, recursive=True) + f"SELECT item::INTEGER AS item_id, b0.k::INTEGER AS level, {_r('b + CASE WHEN b0.k > 1 THEN ln(up.x / dn.x) ELSE 0 END', 4)} AS beta FROM b0 LEFT JOIN up ON up.k = b0.k LEFT JOIN dn ON dn.k = b0.k",
 }
+
+
+def _uni(seed: int, *columns: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {" || ':' || ".join(columns)}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def _gumbel(seed: int, *columns: str) -> str:
+    return f"(-ln(-ln({_uni(seed, *columns)})))"
+
+
+def _gauss(seed: int, *columns: str) -> str:
+    one, two = _uni(seed, *columns, "'1'"), _uni(seed, *columns, "'2'")
+    return f"(sqrt(-2 * ln({one})) * cos(2 * pi() * {two}))"
+
+
+def _placed(key: str = "rid") -> str:
+    return f"row_number() OVER (PARTITION BY {key} ORDER BY x DESC, item) - 1"
+
+
+#: utilities as mean places, of event types and of order priorities
+_MEASURED = (_EVENTS, _ORDERS.replace(" r AS", " r2 AS"), "mu AS (SELECT 0 AS component, item, -avg(pos) AS u FROM r GROUP BY item UNION ALL SELECT 1, item, -avg(pos) FROM r2 GROUP BY item)")
+_WEEKS = "wk AS (SELECT (day(ts) - 1) // 7 AS t, dense_rank() OVER (ORDER BY event_type) - 1 AS item FROM events), tu AS (SELECT t, item, ln(count(*)::DOUBLE) AS u FROM wk GROUP BY 1, 2)"
+_ABLE = "th AS (SELECT c_custkey AS u, (c_custkey % 7 - 3) / 2.0::DOUBLE AS theta FROM customer)"
+_PRICED = "h AS (SELECT o_orderkey, x, 0.5 + atan(x) / 4 AS q FROM (SELECT o_orderkey, least(o_totalprice::DOUBLE / 100000 - 2, 2.9::DOUBLE) AS x FROM orders))"
+
+
+def _link(cdf: str, pdf: str, quantile: str) -> str:
+    return _with(_PRICED) + f"SELECT o_orderkey, x, {_r(cdf)} AS cdf, {_r(pdf)} AS pdf, {_r(quantile)} AS quantile FROM h"
+
+
+_OUT = "SELECT rid AS ranking_id, pos::INTEGER AS pos, item::INTEGER AS item_id"
+SQL |= {
+    "link_logistic": _link("1 / (1 + exp(-x / 1.5))", "1 / (1 + exp(-x / 1.5)) * (1 - 1 / (1 + exp(-x / 1.5))) / 1.5", "1.5 * ln(q / (1 - q))"),
+    "link_laplace": _link("CASE WHEN x < 0 THEN 0.5 * exp(-abs(x) / 1.5) ELSE 1 - 0.5 * exp(-abs(x) / 1.5) END", "exp(-abs(x) / 1.5) / 3", "CASE WHEN q < 0.5 THEN 1.5 * ln(2 * q) ELSE -1.5 * ln(2 * (1 - q)) END"),
+    "link_extreme_value": _link("exp(-pow(1 - 0.5 * x / 1.5, 2))", "(1 - 0.5 * x / 1.5) * exp(-pow(1 - 0.5 * x / 1.5, 2)) / 1.5", "1.5 * (1 - pow(-ln(q), 0.5)) / 0.5"),
+    "ell2": _with(*_MEASURED, "j AS (SELECT a.u - b.u AS d FROM mu a JOIN mu b ON a.item = b.item WHERE a.component = 0 AND b.component = 1)") + f"SELECT {_r('sqrt(sum(d * d) - sum(d) * sum(d) / count(*))')} AS ell2 FROM j",
+    "ell2_mixture": _with(
+        *_MEASURED, "a AS (SELECT component, item, u - avg(u) OVER (PARTITION BY component) AS u FROM mu)",
+        "b AS (SELECT 1 - component AS component, item, u + item / 10.0::DOUBLE AS u FROM mu)", "c AS (SELECT component, item, u - avg(u) OVER (PARTITION BY component) AS u FROM b)",
+        "d AS (SELECT a.component AS i, c.component AS j, sum((a.u - c.u) * (a.u - c.u)) AS s FROM a JOIN c ON a.item = c.item GROUP BY 1, 2)",
+    ) + f"SELECT {_r('sqrt(least(sum(CASE WHEN i = j THEN s ELSE 0 END), sum(CASE WHEN i <> j THEN s ELSE 0 END)))')} AS ell2 FROM d",
+    "centred_utilities": _with(*_MEASURED, "v AS (SELECT component, item, u + component + item / 10.0::DOUBLE AS u FROM mu)") + f"SELECT component, item AS item_id, {_r('u - avg(u) OVER (PARTITION BY component)')} AS u FROM v",
+    "normalised_alpha": f"SELECT ascii(o_orderstatus)::INTEGER AS component, {_r('count(*) / sum(count(*)) OVER ()')} AS a FROM orders GROUP BY 1",
+    "frobenius_difference": _with(
+        _GRADED, "n AS (SELECT u % 2 AS c, item, k.k AS level, count(*) FILTER (s = k.k - 1) AS a, count(*) FILTER (s = k.k) AS b FROM g CROSS JOIN range(1, 4) k(k) GROUP BY 1, 2, 3)", "v AS (SELECT c, item, level, ln((a + 1) / (b + 1)::DOUBLE) AS v FROM n)",
+        "d AS (SELECT x.c AS i, 1 - y.c AS j, sum((x.v - y.v - 0.1) * (x.v - y.v - 0.1)) AS s FROM v x JOIN v y ON x.item = y.item AND x.level = y.level GROUP BY 1, 2)",
+    ) + f"SELECT {_r('least(sum(CASE WHEN i = j THEN s ELSE 0 END), sum(CASE WHEN i <> j THEN s ELSE 0 END))')} AS difference FROM d",
+    "mean_pairwise_link": _with(*_MEASURED, "x AS (SELECT a.item AS i, b.item AS j, a.u - b.u AS d FROM mu a JOIN mu b ON a.item < b.item WHERE a.component = 0 AND b.component = 0)")
+    + f"SELECT {_K} AS k, {_r('1 / (1 + exp(-d)) / 2 - 1 / (1 + exp(d)) / 2')} AS x FROM x",
+    "marginal_response": _with(
+        _BINARY, "be AS (SELECT item, ln((count(*) - sum(s) + 1) / (sum(s) + 1)::DOUBLE) AS beta FROM g GROUP BY 1)", "k AS (SELECT i, -10 + i * 0.05::DOUBLE AS x, CASE WHEN i IN (0, 400) THEN 0.5 ELSE 1.0 END AS w FROM range(0, 401) t(i))"
+    ) + f"SELECT item AS item_id, {_r('least(1.0, 0.05 * sum(w * exp(-0.5 * x * x) / sqrt(2 * pi()) / (1 + exp(beta - x))))')} AS p FROM be, k GROUP BY 1",
+    "privacy_budgets": _with(
+        "n AS (SELECT count(*)::DOUBLE AS m FROM customer)",
+        """bi(step, m, low, high) AS (SELECT 0, m, 0.0::DOUBLE, greatest(ln(1000 * m / (16 * ln(2e6))), 0) FROM n UNION ALL SELECT step + 1, m, CASE WHEN f <= 1 THEN x ELSE low END, CASE WHEN f <= 1 THEN high ELSE x END
+ FROM (SELECT *, ln(1 + (exp(x) - 1) / (exp(x) + 1) * (8 * sqrt(exp(x) * ln(4e6) / (1000 * m)) + 8 * exp(x) / (1000 * m))) AS f FROM (SELECT *, (low + high) / 2 AS x FROM bi WHERE step < 60)))""", recursive=True,
+    ) + f"SELECT 'gauss' AS mechanism, {_r('1 / sqrt(2 * ln(m * m))')} AS epsilon FROM n UNION ALL SELECT 'shuffle', {_r('(low + high) / 2')} FROM bi WHERE step = 60",
+    "random_pairs": _with("n AS (SELECT count(DISTINCT p_brand) AS n FROM part)", f"e AS (SELECT i, j FROM (SELECT x.i, y.j FROM n, range(0, 100) x(i), range(0, 100) y(j) WHERE i < j AND j < n) WHERE {_uni(1, 'i', 'j')} < 0.3::DOUBLE)")
+    + "SELECT i, j FROM e UNION ALL SELECT j, i FROM e",
+    "generated_rankings": _with(
+        *_MEASURED, f"x AS (SELECT c_custkey AS rid, item, u + {_gumbel(0, 'c_custkey', 'item')} AS x FROM customer, mu WHERE component = 0)", f"y AS (SELECT rid, item, {_placed()} AS pos FROM x)",
+        f"z AS (SELECT rid, item, pos, count(*) OVER (PARTITION BY rid) AS n FROM y WHERE {_uni(1, 'rid', 'pos')} < 0.7::DOUBLE)", "w AS (SELECT rid, item, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS pos FROM z WHERE n > 1)",
+    ) + f"{_OUT} FROM w",
+    "generated_exponential_rankings": _with(
+        *_MEASURED, f"x AS (SELECT c_custkey AS rid, item, u + CASE item WHEN 1 THEN 0.7 * {_gauss(4, 'c_custkey', 'item')} ELSE -ln(1 - {_uni(4, 'c_custkey', 'item')}) END AS x FROM customer, mu WHERE component = 1)", f"w AS (SELECT rid, item, {_placed()} AS pos FROM x)",
+    ) + f"{_OUT} FROM w",
+    "generated_mixture": _with(
+        _U, f"k AS (SELECT c_custkey AS rid, CASE WHEN {_uni(7, 'c_custkey')} < 0.6::DOUBLE THEN 0 ELSE 1 END AS component FROM customer)",
+        f"x AS (SELECT rid, k.component, item, u + {_gumbel(0, 'rid', 'item')} AS x FROM k JOIN uu ON uu.component = k.component)", f"w AS (SELECT rid, component, item, {_placed()} AS pos FROM x)",
+    ) + f"{_OUT}, component::INTEGER AS component FROM w",
+    "generated_responses": _with(
+        _B, _ABLE, "cs AS (SELECT item, level, sum(beta) OVER (PARTITION BY item ORDER BY level) AS run FROM bb UNION ALL SELECT DISTINCT item, 0, 0.0 FROM bb)",
+        "e AS (SELECT u, item, level, exp(level * theta - run) AS e FROM th, cs)", "p AS (SELECT u, item, level, sum(e) OVER (PARTITION BY u, item ORDER BY level) / sum(e) OVER (PARTITION BY u, item) AS run FROM e)",
+    ) + f"SELECT u AS user_id, item::INTEGER AS item_id, least(3, count(*) FILTER (run <= {_uni(0, 'u', 'item')}))::INTEGER AS score FROM p GROUP BY 1, 2",
+    "generated_binary": _with(_B, _ABLE) + f"SELECT u AS user_id, item::INTEGER AS item_id, CASE WHEN {_uni(1, 'u', 'item')} < 1 / (1 + exp(beta - theta)) THEN 1 ELSE 0 END::INTEGER AS score FROM th, bb WHERE level = 1 AND {_uni(0, 'u', 'item')} < 0.8::DOUBLE",
+    "generated_comparisons": _with(
+        _EVENTS, _PAIRS, _COUNTS, _BOTH, f"x AS (SELECT winner AS i, loser AS j, CASE WHEN {_uni(0, 'winner', 'loser', 'k.k')} < (w + 1) / (w + l + 2)::DOUBLE THEN 1 ELSE 0 END AS won FROM b CROSS JOIN range(0, 100) k(k) WHERE winner < loser)"
+    ) + "SELECT CASE won WHEN 1 THEN i ELSE j END::INTEGER AS winner, CASE won WHEN 1 THEN j ELSE i END::INTEGER AS loser, count(*)::DOUBLE AS weight FROM x GROUP BY 1, 2",
+    "timed_utilities": _with(
+        "wk AS (SELECT count(DISTINCT (day(ts) - 1) // 7) AS steps, count(DISTINCT event_type) AS n FROM events)",
+        f"i AS (SELECT i.i AS item, {_gauss(2, chr(39) + 'f' + chr(39), 'i.i')} AS f, {_gauss(2, chr(39) + 'b' + chr(39), 'i.i')} AS b, steps FROM wk, range(0, 100) i(i) WHERE i.i < n)",
+    ) + f"SELECT t.t::INTEGER AS t, item::INTEGER AS item_id, {_r('sin(t.t * f) + b')} AS u FROM i, range(0, 100) t(t) WHERE t.t < steps",
+    "timed_rankings": _with(_WEEKS, f"x AS (SELECT t, t * 20 + k.k AS rid, item, u + {_gumbel(0, '(t * 20 + k.k)', 'item')} AS x FROM tu, range(0, 20) k(k))", f"w AS (SELECT t, rid, item, {_placed()} AS pos FROM x)") + f"{_OUT}, t::INTEGER AS t FROM w",
+    "timed_partial_rankings": _with(
+        _WEEKS, "d AS (SELECT t, item, u, ('0x' || substr(md5('0:' || t || ':0:' || k.k), 1, 15))::BIGINT AS rid FROM tu, range(0, 20) k(k) WHERE item < 3)", f"x AS (SELECT t, rid, item, u + {_gumbel(0, 'rid', 'item')} AS x FROM d)", f"w AS (SELECT t, rid, item, {_placed()} AS pos FROM x)",
+    ) + f"{_OUT}, t::INTEGER AS t, 0 AS menu_id FROM w",
+    "timed_comparisons": _with(
+        _WEEKS, f"e AS (SELECT a.t, a.item AS i, b.item AS j, a.u AS ui, b.u AS uj, k.k AS k FROM tu a JOIN tu b ON a.t = b.t AND a.item < b.item, range(0, 10) k(k) WHERE {_uni(0, 'a.t', 'a.item', 'b.item')} < 0.5::DOUBLE)",
+        f"x AS (SELECT t, i, j, ui + {_gumbel(1, 't', 'i', 'j', 'k', chr(39) + '1' + chr(39))} > uj + {_gumbel(1, 't', 'i', 'j', 'k', chr(39) + '2' + chr(39))} AS won FROM e)",
+    ) + "SELECT t::INTEGER AS t, CASE WHEN won THEN i ELSE j END::INTEGER AS winner, CASE WHEN won THEN j ELSE i END::INTEGER AS loser FROM x",
+    "menu_rankings": _with(
+        *_MEASURED, "sz AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS menu FROM (SELECT DISTINCT count(*) AS n FROM r2 GROUP BY rid) WHERE n > 1)",
+        f"mi AS (SELECT menu, i.i AS item FROM sz, range(0, 5) i(i) QUALIFY row_number() OVER (PARTITION BY menu ORDER BY {_uni(1, 'menu', 'i.i')}) <= n)", "me AS (SELECT min(menu) AS menu, a FROM (SELECT menu, list(item ORDER BY item) AS a FROM mi GROUP BY menu) GROUP BY a)",
+        f"x AS (SELECT menu, menu * 50 + k.k AS rid, mu.item, u + {_gauss(0, '(menu * 50 + k.k)', 'mu.item')} AS x FROM (SELECT menu, unnest(a) AS item FROM me) m JOIN mu ON mu.item = m.item AND component = 1, range(0, 50) k(k))", f"w AS (SELECT menu, rid, item, {_placed()} AS pos FROM x)",
+    ) + f"{_OUT}, menu AS menu_id FROM w",
+}

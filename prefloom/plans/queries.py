@@ -218,13 +218,16 @@ def pair_composite_loglik(spark, d):
 # -- links -----------------------------------------------------------------------------------------------------------
 
 
-def _grid(spark):
-    return spark.range(-20, 21).select((F.col("id") / 10).alias("x")).withColumn("q", (F.col("x") + 2.1) / 4.2)
+def _priced(spark, d):
+    """A point and a probability of each order, from its price."""
+    price = F.col("o_totalprice").cast("double")
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.least(price / 100000 - 2, F.lit(2.9)).alias("x"))
+    return o.withColumn("q", 0.5 + F.atan("x") / 4)
 
 
 def _link(link):
     def f(spark, d):
-        return _grid(spark).select(r6(F.col("x"), 3).alias("x"), r6(link.cdf_col(F.col("x"))).alias("cdf"), r6(link.pdf_col(F.col("x"))).alias("pdf"), r6(link.quantile_col(F.col("q"))).alias("quantile"))
+        return _priced(spark, d).select("o_orderkey", "x", r6(link.cdf_col(F.col("x"))).alias("cdf"), r6(link.pdf_col(F.col("x"))).alias("pdf"), r6(link.quantile_col(F.col("q"))).alias("quantile"))
 
     return f
 
@@ -266,7 +269,9 @@ def cramer_rao_bound(spark, d):
 
 @query
 def marginal_response(spark, d):
-    return metrics.marginal_response(_beta(spark), 1.0, 0.0, 10.0, 400).select("item_id", r6(F.col("p")).alias("p"))
+    right = F.sum((F.col("score") == 1).cast("int"))
+    beta = tables.binary_responses(spark, d).groupBy("item_id").agg(F.log((F.count("*") - right + 1) / (right + 1)).alias("beta"))
+    return metrics.marginal_response(beta, 1.0, 0.0, 10.0, 400).select("item_id", r6(F.col("p")).alias("p"))
 
 
 @query
@@ -357,9 +362,15 @@ def kendall_distance(spark, d):
     return metrics.kendall_distance(*_against_mean(spark, d), "ranking_id").select("ranking_id", r6(F.col("distance")).alias("distance"))
 
 
+def _measured(spark, d):
+    """Utilities as mean places: component 0 of event types, component 1 of order priorities."""
+    u = lambda r, c: r.groupBy("item_id").agg((-F.avg("pos")).alias("u")).select(F.lit(c).alias("component"), "item_id", "u")
+    return u(_events(spark, d), 0).union(u(_orders(spark, d), 1))
+
+
 @query
 def ell2(spark, d):
-    u = _u(spark)
+    u = _measured(spark, d)
     return metrics.ell2(u.where("component = 0"), u.where("component = 1")).select(r6(F.col("ell2")).alias("ell2"))
 
 
@@ -654,20 +665,33 @@ def graded_to_binary(spark, d):
     return reshape.graded_to_binary(tables.graded_responses(spark, d), lambda s: s >= 2)
 
 
+def _customers(spark, d, name="ranking_id"):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias(name))
+
+
+def _able(spark, d):
+    return _customers(spark, d, "user_id").withColumn("theta", (F.col("user_id") % 7 - 3) / 2)
+
+
 @query
 def generated_rankings(spark, d):
-    return generators.rankings(_u(spark).where("component = 0").select("item_id", "u"), "gumbel", 500, 0.7)
+    return generators.rankings_of(_customers(spark, d), _measured(spark, d).where("component = 0"), "gumbel", 0.7)
+
+
+@query
+def generated_exponential_rankings(spark, d):
+    """Rankings of customers under exponential noise; item 1's is normal."""
+    return generators.rankings_of(_customers(spark, d), _measured(spark, d).where("component = 1"), "exponential", seed=4, noises={1: generators.normal_noise(0.7)})
 
 
 @query
 def generated_mixture(spark, d):
-    return generators.mixture_rankings(np.array(U), np.array(ALPHA), spark, m=500)
+    return generators.mixture_rankings_of(_customers(spark, d), np.array(U), np.array(ALPHA))
 
 
 @query
 def generated_responses(spark, d):
-    theta = spark.range(300).select(F.col("id").alias("user_id"), ((F.col("id") % 7 - 3) / 2).alias("theta"))
-    return generators.graded(theta, irt.levels_frame(spark, np.array(BETAS)))
+    return generators.graded(_able(spark, d), irt.levels_frame(spark, np.array(BETAS)))
 
 
 @query
@@ -682,12 +706,13 @@ def svt_reconstruction(spark, d):
 
 @query
 def centred_utilities(spark, d):
-    return R.centre(_u(spark).withColumn("u", F.col("u") + F.col("component") + F.col("item_id") / 10)).select("component", "item_id", r6(F.col("u")).alias("u"))
+    return R.centre(_measured(spark, d).withColumn("u", F.col("u") + F.col("component") + F.col("item_id") / 10)).select("component", "item_id", r6(F.col("u")).alias("u"))
 
 
 @query
 def normalised_alpha(spark, d):
-    return R.normalise_alpha(mixtures.alpha_frame(spark, np.array([3.0, 1.0, 4.0]))).select("component", r6(F.col("a")).alias("a"))
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.ascii("o_orderstatus").alias("component")).agg(F.count("*").cast("double").alias("a"))
+    return R.normalise_alpha(o).select("component", r6(F.col("a")).alias("a"))
 
 
 @query
@@ -704,15 +729,17 @@ def pl_posterior_trimmed(spark, d):
 
 @query
 def ell2_mixture(spark, d):
-    u = _u(spark)
+    u = _measured(spark, d)
     swapped = u.select((1 - F.col("component")).alias("component"), "item_id", (F.col("u") + F.col("item_id") / 10).alias("u"))
     return spark.createDataFrame([(round(float(metrics.ell2_mixture(u, swapped)), 6),)], "ell2 double")
 
 
 @query
 def frobenius_difference(spark, d):
-    a = np.array([BETAS, BETAS]) + np.array([0.0, 1.0])[:, None, None]
-    x, y = irt.levels_frame(spark, a), irt.levels_frame(spark, a[::-1] + 0.1)
+    """Log ratios of successive levels among odd and even users, against themselves with classes swapped and shifted."""
+    n = tables.graded_responses(spark, d).groupBy((F.col("user_id") % 2).cast("int").alias("component"), "item_id").agg(*[F.sum((F.col("score") == k).cast("int")).alias(f"n{k}") for k in range(LEVELS + 1)])
+    x = n.select("component", "item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.log((F.col(f"n{k - 1}") + 1) / (F.col(f"n{k}") + 1)).alias("beta")) for k in range(1, LEVELS + 1)])).alias("b")).select("component", "item_id", "b.*")
+    y = x.withColumn("component", 1 - F.col("component")).withColumn("beta", F.col("beta") + 0.1)
     return spark.createDataFrame([(round(float(metrics.frobenius_difference(x, y)), 6),)], "difference double")
 
 
@@ -728,7 +755,7 @@ def mixture_evaluation(spark, d):
 
 @query
 def mean_pairwise_link(spark, d):
-    x = generators.mean_pairwise(_u(spark).where("component = 0").select("item_id", "u"), Logistic(), ITEMS)
+    x = generators.mean_pairwise(_measured(spark, d).where("component = 0").select("item_id", "u"), Logistic(), ITEMS)
     return x.select("k", r6(F.col("x")).alias("x"))
 
 
@@ -765,41 +792,57 @@ def masked_cells(spark, d):
 
 @query
 def random_pairs(spark, d):
-    return reshape.random_pairs(spark, 30, 0.3, 1, symmetric=True)
+    """A random graph of the brands there are."""
+    n = spark.read.parquet(f"{d}/part.parquet").select("p_brand").distinct().count()
+    return reshape.random_pairs(spark, n, 0.3, 1, symmetric=True)
+
+
+def _weekly(spark, d):
+    """(t, item_id, u): how often each event type came in a week, as a logarithm."""
+    e = estimators.dense_ids(spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "label"), "label")
+    return e.groupBy(F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("t"), "item_id").agg(F.log(F.count("*").cast("double")).alias("u"))
+
+
+@query
+def timed_utilities(spark, d):
+    """Utilities that vary with time, for as many items and steps as the events have types and weeks."""
+    seen = _weekly(spark, d).agg(F.countDistinct("item_id"), F.countDistinct("t")).first()
+    return generators.time_varying_utilities(spark, seen[0], seen[1], seed=2).select("t", "item_id", r6(F.col("u")).alias("u"))
 
 
 @query
 def timed_rankings(spark, d):
-    return generators.timed_rankings(generators.time_varying_utilities(spark, ITEMS, 4), m=20)
+    return generators.timed_rankings(_weekly(spark, d), m=20)
 
 
 @query
 def timed_partial_rankings(spark, d):
-    timed = generators.time_varying_utilities(spark, ITEMS, 4)
+    timed = _weekly(spark, d)
     return generators.timed_partial_rankings(timed, timed.where("item_id < 3").select("t", F.lit(0).alias("menu_id"), "item_id"), m=20)
 
 
 @query
 def timed_comparisons(spark, d):
-    return generators.time_varying_comparisons(generators.time_varying_utilities(spark, ITEMS, 4), ITEMS, draws=10, p0=0.5)
+    return generators.time_varying_comparisons(_weekly(spark, d), ITEMS, draws=10, p0=0.5)
 
 
 @query
 def menu_rankings(spark, d):
-    menus = generators.menus(spark, ITEMS, [2, 3, 3, 4], 1)
-    return generators.partial_rankings(_u(spark).where("component = 0").select("item_id", "u"), menus, "normal", 50)
+    """Random menus of the sizes that customers' rankings have, ranked fifty times each."""
+    sizes = _orders(spark, d).groupBy("ranking_id").count().where("count > 1").select("count").distinct().orderBy("count").collect()
+    menus = generators.menus(spark, ITEMS, [r["count"] for r in sizes], 1)
+    return generators.partial_rankings(_measured(spark, d).where("component = 1").select("item_id", "u"), menus, "normal", 50)
 
 
 @query
 def generated_comparisons(spark, d):
-    p = 0.5 + 0.1 * np.subtract.outer(np.arange(ITEMS), np.arange(ITEMS))
-    return generators.comparisons_from_p(np.clip(p, 0, 1), reshape.random_pairs(spark, ITEMS, 1.0), 100)
+    p = R.dense(R.pairwise_matrix(R.comparisons(_events(spark, d)), "all"), ITEMS)
+    return generators.comparisons_from_p(p, reshape.random_pairs(spark, ITEMS, 1.0), 100)
 
 
 @query
 def generated_binary(spark, d):
-    theta = spark.range(300).select(F.col("id").alias("user_id"), ((F.col("id") % 7 - 3) / 2).alias("theta"))
-    return generators.rasch(theta, _beta(spark), 0.8)
+    return generators.rasch(_able(spark, d), _beta(spark), 0.8)
 
 
 @query
@@ -833,4 +876,6 @@ def weekly_pairwise_counts(spark, d):
 
 @query
 def privacy_budgets(spark, d):
-    return spark.createDataFrame([("gauss", round(privacy.epsilon_gauss(1.0, 1e-5), 6)), ("shuffle", round(privacy.epsilon_shuffle(1.0, 1e-6, 100_000), 6))], "mechanism string, epsilon double")
+    """Budgets of one response of each customer: by noise, and by shuffling as many as there are."""
+    users = spark.read.parquet(f"{d}/customer.parquet").count()
+    return spark.createDataFrame([("gauss", round(privacy.epsilon_gauss(1.0, 1 / users**2), 6)), ("shuffle", round(privacy.epsilon_shuffle(1.0, 1e-6, 1000 * users), 6))], "mechanism string, epsilon double")

@@ -11,14 +11,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing
+from ..functions.hashing import uniform
 from ..operators.metrics import level_arrays, pcm_probabilities
 
 
-def uniform(seed: int, *keys) -> Column:
-    """A draw in (0, 1) for each combination of keys."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-
 def normal_noise(scale: float = 1.0):
     """Box-Muller on two hashed uniforms."""
     return lambda seed, *keys: scale * F.sqrt(-2 * F.log(uniform(seed, *keys, F.lit(1)))) * F.cos(2 * math.pi * uniform(seed, *keys, F.lit(2)))
@@ -68,16 +65,27 @@ def _noise(noise):
     return NOISES[noise] if isinstance(noise, str) else noise
 
 
-def rankings(utilities: DataFrame, noise="gumbel", m: int = 1000, p0: float = 1.0, seed: int = 0, noises: dict | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def _beside(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Each row with each of the items, which are few: no join."""
+    cells = [F.struct(*[F.lit(r[c]).cast(items.schema[c].dataType).alias(c) for c in items.columns]) for r in items.orderBy("item_id").collect()]
+    return rows.withColumn("_i", F.explode(F.array(*cells))).select(*rows.columns, "_i.*")
+
+
+def rankings(utilities: DataFrame, noise="gumbel", m: int = 1000, p0: float = 1.0, seed: int = 0, noises: dict | None = None) -> DataFrame:
     """m full rankings; with p0 < 1 each place is kept with that probability, and rankings of one item or none go.
 
     ``noises`` gives items noises of their own.
     """
-    x = utilities.withColumn("ranking_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    return rankings_of(utilities.sparkSession.range(m).select(F.col("id").alias("ranking_id")), utilities, noise, p0, seed, noises)
+
+
+def rankings_of(rows: DataFrame, utilities: DataFrame, noise="gumbel", p0: float = 1.0, seed: int = 0, noises: dict | None = None) -> DataFrame:
+    """The same, a ranking for each ``ranking_id`` of a table."""
+    x = _beside(rows.select("ranking_id"), utilities.select("item_id", "u"))
     e = _noise(noise)(seed, "ranking_id", "item_id")
     for item, own in (noises or {}).items():
         e = F.when(F.col("item_id") == item, _noise(own)(seed, "ranking_id", "item_id")).otherwise(e)
-    return thin(_ranked(x.withColumn("x", F.col("u") + e), *carry), p0, seed + 1)
+    return thin(_ranked(x.withColumn("x", F.col("u") + e)), p0, seed + 1)
 
 
 def thin(ranked: DataFrame, p0: float, seed: int) -> DataFrame:
@@ -88,20 +96,24 @@ def thin(ranked: DataFrame, p0: float, seed: int) -> DataFrame:
 
 
 def mixture_rankings(u: np.ndarray, alpha: np.ndarray, spark: SparkSession, noise="gumbel", m: int = 200, p0: float = 1.0, seed: int = 0) -> DataFrame:
-    """(ranking_id, pos, item_id, component): the component is drawn first and stays on the row."""
+    """m rankings (ranking_id, pos, item_id, component) of a mixture."""
+    return mixture_rankings_of(spark.range(m).select(F.col("id").alias("ranking_id")), u, alpha, noise, p0, seed)
+
+
+def mixture_rankings_of(rows: DataFrame, u: np.ndarray, alpha: np.ndarray, noise="gumbel", p0: float = 1.0, seed: int = 0) -> DataFrame:
+    """The same, a ranking for each ``ranking_id`` of a table; the component is drawn first and stays on the row."""
     cum = [float(c) for c in np.cumsum(alpha) / np.sum(alpha)]
     pick = F.least(F.size(F.filter(F.array(*[F.lit(c) for c in cum]), lambda c: c <= uniform(seed + 7, "ranking_id"))), F.lit(len(cum) - 1))
-    r = spark.range(m).select(F.col("id").alias("ranking_id")).withColumn("component", pick)
-    names = spark.createDataFrame([(k, i, float(v)) for k, row in enumerate(np.atleast_2d(u)) for i, v in enumerate(row)], "component int, item_id int, u double")
+    r = rows.select("ranking_id").withColumn("component", pick)
+    names = rows.sparkSession.createDataFrame([(k, i, float(v)) for k, row in enumerate(np.atleast_2d(u)) for i, v in enumerate(row)], "component int, item_id int, u double")
     x = r.join(names, "component")
     return thin(_ranked(x.withColumn("x", F.col("u") + _noise(noise)(seed, "ranking_id", "item_id")), "component"), p0, seed + 1)
 
 
 def time_varying_utilities(spark: SparkSession, n: int, steps: int, frequency: float = 1.0, bias: float = 1.0, seed: int = 0) -> DataFrame:
-    """(t, item_id, u): sin(t x frequency of the item) + bias of the item."""
-    rng = np.random.default_rng(seed)
-    f, b = rng.normal(0, frequency, n), rng.normal(0, bias, n)
-    items = spark.createDataFrame([(i, float(f[i]), float(b[i])) for i in range(n)], "item_id int, f double, b double")
+    """(t, item_id, u): sin(t x frequency of the item) + bias of the item; both are normal draws."""
+    items = spark.range(n).select(F.col("id").cast("int").alias("item_id"))
+    items = items.withColumn("f", normal_noise(frequency)(seed, F.lit("f"), "item_id")).withColumn("b", normal_noise(bias)(seed, F.lit("b"), "item_id"))
     return items.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).select("t", "item_id", (F.sin(F.col("t") * F.col("f")) + F.col("b")).alias("u"))
 
 
@@ -124,7 +136,7 @@ def timed_rankings(timed: DataFrame, noise="gumbel", m: int = 100, seed: int = 0
 def timed_partial_rankings(timed: DataFrame, timed_menus: DataFrame, noise="gumbel", m: int = 100, seed: int = 0) -> DataFrame:
     """The same over menus (t, menu_id, item_id)."""
     x = timed.join(timed_menus, ["t", "item_id"]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    x = x.withColumn("ranking_id", F.xxhash64("t", "menu_id", "draw"))
+    x = x.withColumn("ranking_id", hashing.bits(15, seed, "t", "menu_id", "draw"))
     return _ranked(x.withColumn("x", F.col("u") + _noise(noise)(seed, "ranking_id", "item_id")), "t", "menu_id")
 
 
@@ -139,13 +151,13 @@ def comparisons_from_p(p: np.ndarray, pairs: DataFrame, draws: int = 100, seed:
 
 def rasch(thetas: DataFrame, betas: DataFrame, p: float = 1.0, seed: int = 0) -> DataFrame:
     """(user_id, item_id, score): observed with probability p, right with probability sigmoid(theta - beta)."""
-    x = thetas.join(betas).where(uniform(seed, "user_id", "item_id") < p)
+    x = _beside(thetas, betas.select("item_id", "beta")).where(uniform(seed, "user_id", "item_id") < p)
     right = uniform(seed + 1, "user_id", "item_id") < 1 / (1 + F.exp(F.col("beta") - F.col("theta")))
     return x.select("user_id", "item_id", right.cast("int").alias("score"))
 
 
 def graded(thetas: DataFrame, difficulties: DataFrame, seed: int = 0) -> DataFrame:
     """Partial-credit scores from (item_id, level, beta), by inverting the cumulative distribution."""
-    x = thetas.join(level_arrays(difficulties)).withColumn("probs", pcm_probabilities(F.col("theta"), F.col("betas"))).withColumn("draw", uniform(seed, "user_id", "item_id"))
+    x = _beside(thetas, level_arrays(difficulties)).withColumn("probs", pcm_probabilities(F.col("theta"), F.col("betas"))).withColumn("draw", uniform(seed, "user_id", "item_id"))
     run = F.aggregate("probs", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), lambda a, q: F.struct((a["s"] + q).alias("s"), (a["k"] + (a["s"] + q <= F.col("draw")).cast("int")).alias("k")))
     return x.select("user_id", "item_id", F.least(run["k"], F.size("probs") - 1).alias("score"))
