@@ -7,7 +7,7 @@ searched exactly by a forest of vantage-point trees:
 *Trees.*  The 64 bits are cut into ``BLOCKS`` runs; a tree measures the Hamming distance on its own run.  Two
 fingerprints within R bits differ by at most b = R // BLOCKS bits on one of the runs, and there the triangle
 bound |d(x, v) - d(y, v)| <= d(x, y) <= b holds for every vantage point v.  A node has a vantage point and a
-radius, both chosen on a bounded sample of fingerprints (``SAMPLE``): what lies within the radius goes to one
+radius, both chosen on a sample of fingerprints (``forest``): what lies within the radius goes to one
 side, the rest to the other, and what lies within b of the radius goes to a boundary shard as well, which is
 asked for the pairs that the split parts.  No other branch can hold a partner.
 
@@ -43,8 +43,10 @@ RADIUS = 4
 SEED = 42
 BITS = 64
 BLOCKS = 3
-#: fingerprints that choose vantage points and radii; fingerprints a shard should hold; least sampled ones of a leaf
-SAMPLE, SHARD, LEAST = 16384, 8192, 16
+#: fingerprints that choose vantage points and radii, at least; fingerprints that stand behind a sampled one, at most (so
+#: that leaves, and with them shards, stay as large however many there are); fingerprints a shard should hold; least
+#: sampled ones of a leaf
+SAMPLE, BEHIND, SHARD, LEAST = 16384, 1 << 16, 8192, 16
 #: points of a bucket that are compared pair by pair, vantage points tried for a split, and points dealt at a time
 BUCKET, TRIES, CHUNK = 128, 6, 1 << 16
 
@@ -244,8 +246,11 @@ def dense(x: np.ndarray, at: np.ndarray, radius: int, find, join, count) -> None
 
 
 def forest(points: DataFrame, count: int, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> list[Tree]:
-    """The trees, from a sample of the distinct ``fp``; about ``SAMPLE`` of them reach the driver, however many there are."""
-    share = min(1.0, SAMPLE / max(1, count))
+    """The trees, from a sample of the distinct ``fp``: some ``SAMPLE`` of them, or one of ``BEHIND`` where that is more.
+
+    The sample is 8 bytes a fingerprint on the driver: 12 MB of 10^11.
+    """
+    share = min(1.0, max(SAMPLE / max(1, count), 1 / BEHIND))
     some = points.select("fp").where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 30)) <= int(share * (1 << 30)))
     sample = np.sort(np.array([r.fp for r in some.collect()], np.int64).view(np.uint64))
     return [Tree(sample, m, radius // blocks, count / max(1, len(sample)), shard) for m in runs(blocks)]
