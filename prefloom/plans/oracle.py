@@ -441,3 +441,19 @@ SQL |= {
         f"x AS (SELECT menu, menu * 50 + k.k AS rid, mu.item, u + {_gauss(0, '(menu * 50 + k.k)', 'mu.item')} AS x FROM (SELECT menu, unnest(a) AS item FROM me) m JOIN mu ON mu.item = m.item AND component = 1, range(0, 50) k(k))", f"w AS (SELECT menu, rid, item, {_placed()} AS pos FROM x)",
     ) + f"{_OUT}, menu AS menu_id FROM w",
 }
+
+_E10 = (_ORDERS, _PAIRS, _EMB, _SIGNED, _CELLS)
+SQL |= {
+    "rank_centrality_pairs": _with(_ORDERS, _PAIRS, _COUNTS, _BOTH, _CHAIN, _STEPS, recursive=True) + f"SELECT item AS item_id, {_r('ln(pi) - avg(ln(pi)) OVER ()', 4)} AS u FROM it WHERE step = 400",
+    "pcm_chain": _with(*_LEVELS[:5]) + f"SELECT src, dst, {_r('p')} AS p FROM ch WHERE k = 1",
+    "brand_type_grid": "SELECT * FROM (SELECT DISTINCT p_brand FROM part) CROSS JOIN (SELECT DISTINCT event_type FROM events)",
+    "low_rank_reconstruction": _with(*_E10, *_directions(2, 10), "z AS (SELECT rid, sum(b.v * e0.v[k + 1]) AS a, sum(b.v * e1.v[k + 1]) AS b FROM v b, e0, e1 GROUP BY 1)", recursive=True)
+    + f"SELECT rid AS ranking_id, k.k::INTEGER AS k, {_r('a * e0.v[k.k + 1] + b * e1.v[k.k + 1]', 4)} AS x FROM z, e0, e1, range(0, 10) k(k)",
+    "soft_threshold_reconstruction": _with(
+        *_E10, *_directions(10, 10), "n AS (SELECT sqrt(count(DISTINCT rid)::DOUBLE) / 2 AS lam FROM r)",
+        "e AS (" + " UNION ALL ".join(f"SELECT v, sqrt(greatest(e{j}.lam, 0)) AS s FROM e{j}" for j in range(10)) + ")", "f AS (SELECT v, greatest(s - n.lam, 0) / s AS w FROM e, n WHERE s > n.lam)",
+        "z AS (SELECT rid, f.v AS d, w * sum(b.v * f.v[k + 1]) AS a FROM v b, f GROUP BY rid, f.v, w)", recursive=True,
+    ) + f"SELECT rid AS ranking_id, k.k::INTEGER AS k, {_r('sum(a * d[k.k + 1])', 4)} AS x FROM z, range(0, 10) k(k) GROUP BY 1, 2",
+    "pl_mixture_loglik_normalised": _with(_ORDERS, _U, _A, _LL) + f"SELECT {_r('avg(lse)')} AS loglik FROM q WHERE component = 0",
+    "running_pairwise_counts": _with(_EVENTS, _PAIRS, _COUNTS) + "SELECT winner, loser, cnt FROM n",
+}

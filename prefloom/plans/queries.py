@@ -12,6 +12,7 @@ from ..functions.links import ExtremeValue, GeneralNormal, Logistic, Normal
 from ..operators import chains, clustering, draws, embeddings, ep, estimators, glrm, graph, irt, lowrank, metrics, mixtures, passes, privacy, reshape, response_passes
 from ..operators import rankings as R
 from ..sources import generators, tables
+from ..streaming import pairwise
 from . import solvers
 
 ITEMS = 5
@@ -879,3 +880,65 @@ def privacy_budgets(spark, d):
     """Budgets of one response of each customer: by noise, and by shuffling as many as there are."""
     users = spark.read.parquet(f"{d}/customer.parquet").count()
     return spark.createDataFrame([("gauss", round(privacy.epsilon_gauss(1.0, 1 / users**2), 6)), ("shuffle", round(privacy.epsilon_shuffle(1.0, 1e-6, 1000 * users), 6))], "mechanism string, epsilon double")
+
+
+# -- what the queries above do not reach ------------------------------------------------------------------------------------------------
+
+
+@query
+def rank_centrality_pairs(spark, d):
+    """Scores from pairwise shares, without the rankings."""
+    pairs = R.pairwise_matrix(R.comparisons(_orders(spark, d)), "all", 1.0)
+    return estimators.rank_centrality_from_pairs(pairs, ITEMS).select("item_id", r6(F.col("u"), 4).alias("u"))
+
+
+@query
+def pcm_chain(spark, d):
+    """The chain between scores 1 and 0, whose stationary mass gives the first level's difficulties."""
+    y = irt.level_counts(tables.graded_responses(spark, d), LEVELS).where("k = 1 and l = 0")
+    chain, _ = chains.graded(y)
+    return chain.select("src", "dst", r6(F.col("p")).alias("p"))
+
+
+@query
+def brand_type_grid(spark, d):
+    """All combinations of brands and event types."""
+    brands = spark.read.parquet(f"{d}/part.parquet").select("p_brand").distinct()
+    return reshape.cartesian(brands, spark.read.parquet(f"{d}/events.parquet").select("event_type").distinct())
+
+
+@query
+def low_rank_reconstruction(spark, d):
+    """Signed pair embeddings of order rankings, as far as their two leading directions tell."""
+    z = clustering.low_rank(embeddings.pairwise(_orders(spark, d), ITEMS), 10, 2, "alternating")
+    return z.select("ranking_id", F.posexplode("z").alias("k", "x")).withColumn("x", r6(F.col("x"), 4))
+
+
+@query
+def soft_threshold_reconstruction(spark, d):
+    """The same with singular values less the square root of the number of rankings, and no others."""
+    r = _orders(spark, d)
+    lam = float(r.select("ranking_id").distinct().count()) ** 0.5 / 2
+    z = clustering.low_rank(embeddings.pairwise(r, ITEMS), 10, 2, "nuclear", lam=lam)
+    return z.select("ranking_id", F.posexplode("z").alias("k", "x")).withColumn("x", r6(F.col("x"), 4))
+
+
+@query
+def pl_mixture_loglik_normalised(spark, d):
+    """The mixture's likelihood, from utilities that are not centred and weights that do not add to 1."""
+    u = _u(spark).withColumn("u", F.col("u") + 3 + F.col("component"))
+    return metrics.mixture_log_likelihood(_orders(spark, d), u, mixtures.alpha_frame(spark, 5 * np.array(ALPHA))).select(r6(F.col("loglik")).alias("loglik"))
+
+
+@query
+def running_pairwise_counts(spark, d):
+    """What the streaming counts come to once all of a table has arrived."""
+    return pairwise.running_counts(R.comparisons(_events(spark, d))).select("winner", "loser", F.col("cnt").cast("long").alias("cnt"))
+
+
+@query
+def noisy_event_counts(spark, d):
+    """Counts of event pairs under two-sided geometric noise."""
+    w = R.dense(R.pairwise_counts(R.comparisons(_events(spark, d))).withColumnRenamed("cnt", "p"), ITEMS, diagonal=0.0)
+    n = privacy.noisy_counts(w, "geometric", 1.0, 3)
+    return spark.createDataFrame([(i, j, float(n[i, j])) for i in range(ITEMS) for j in range(ITEMS) if i != j], "loser int, winner int, cnt double")

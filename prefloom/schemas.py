@@ -1,15 +1,9 @@
-"""Long-form schemas and their checks.  Missing responses and unranked items are absent rows."""
+"""Checks of long-form tables.  Missing responses and unranked items are absent rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-RANKINGS = {"ranking_id": "long", "pos": "int", "item_id": "int"}
-COMPARISONS = {"winner": "int", "loser": "int"}
-RESPONSES = {"user_id": "long", "item_id": "int", "score": "int"}
-UTILITIES = {"component": "int", "item_id": "int", "u": "double"}
-
-
 def require(df: DataFrame, columns) -> DataFrame:
     """``df``, or an error that names the columns it lacks."""
     if lack := [c for c in columns if c not in df.columns]:

@@ -59,7 +59,3 @@ def graded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer x priority, the number of orders beyond the first, at most 3."""
     o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("label")).agg(F.least(F.count("*") - 1, F.lit(3)).cast("int").alias("score"))
     return dense_ids(o, "label").select(F.col("user_id").cast("long"), "item_id", "score")
-
-
-def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings")
