@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..plans import solvers
 from . import chains
 from .estimators import to_frame
@@ -92,8 +93,7 @@ def randomized_response(responses: DataFrame, epsilon: float, seed: int = 0) ->
     Draws are hashes of user and item, so they are the same however the table is partitioned.
     """
     n = responses.groupBy("user_id").agg(F.count("*").alias("__n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "user_id", "item_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    flip = u < 1 / (1 + F.exp(F.lit(float(epsilon)) / F.col("__n")))
+    flip = uniform(seed, "user_id", "item_id") < 1 / (1 + F.exp(F.lit(float(epsilon)) / F.col("__n")))
     return responses.join(n, "user_id").withColumn("score", F.when(flip, 1 - F.col("score")).otherwise(F.col("score"))).drop("__n")
 
 

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..schemas import require
 
 
@@ -40,7 +41,7 @@ def break_full(arrays: DataFrame) -> DataFrame:
 
 def break_random(arrays: DataFrame, seed: int = 0) -> DataFrame:
     """Disjoint random pairs of each ranking; with an odd number of items one sits out."""
-    keyed = F.transform("items", lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col("ranking_id"), x).alias("h"), i.alias("pos"), x.alias("item")))
+    keyed = F.transform("items", lambda x, i: F.struct(hashing.bits(15, seed, "ranking_id", x).alias("h"), i.alias("pos"), x.alias("item")))
     s = F.sort_array(keyed)
     pair = lambda k: F.struct(F.get(s, k * 2).alias("a"), F.get(s, k * 2 + 1).alias("b"))
     n = F.floor(F.size("items") / 2).cast("int")

@@ -457,3 +457,20 @@ SQL |= {
     "pl_mixture_loglik_normalised": _with(_ORDERS, _U, _A, _LL) + f"SELECT {_r('avg(lse)')} AS loglik FROM q WHERE component = 0",
     "running_pairwise_counts": _with(_EVENTS, _PAIRS, _COUNTS) + "SELECT winner, loser, cnt FROM n",
 }
+
+#: rankings cut into pairs at random: by hash within each, neighbours of that order meet
+_RANDOM = f"""h AS (SELECT rid, pos, item, row_number() OVER (PARTITION BY rid ORDER BY {_key(0, 'rid', 'item')}, pos, item) - 1 AS place, count(*) OVER (PARTITION BY rid) AS n FROM r),
+ c AS (SELECT rid, arg_min(item, pos) AS winner, arg_max(item, pos) AS loser FROM h WHERE place // 2 < n // 2 GROUP BY rid, place // 2)"""
+SQL |= {
+    "rank_break_random": _with(_ORDERS, _RANDOM) + "SELECT rid AS ranking_id, winner, loser FROM c",
+    "randomized_response": _with(_BINARY, "n AS (SELECT u, count(*) AS n FROM g GROUP BY 1)")
+    + f"SELECT u AS user_id, item::INTEGER AS item_id, CASE WHEN {_uni(0, 'u', 'item')} < 1 / (1 + exp(1.0::DOUBLE / n)) THEN 1 - s ELSE s END::INTEGER AS score FROM g JOIN n USING (u)",
+    # minorise-maximise steps over rankings that are collapsed to lists
+    "mm": _with(
+        _ORDERS, "pt AS (SELECT items, count(*)::DOUBLE AS w FROM (SELECT list(item + 1 ORDER BY pos) AS items FROM r GROUP BY rid HAVING count(*) > 1) GROUP BY 1)",
+        """it(step, u) AS (SELECT 0, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] UNION ALL
+ SELECT step + 1, list_transform(y, lambda v: v - list_avg(y)) FROM (SELECT step, list(x ORDER BY item) AS y FROM (SELECT step, item, ln(sum(CASE WHEN place < n THEN w ELSE 0 END)) - ln(sum(w * list_sum(stay[1:least(place, n - 1)]))) AS x
+  FROM (SELECT step, w, len(items) AS n, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS place, list_transform(range(1, len(items)), lambda i: 1 / list_sum(list_transform(items[i:], lambda j: exp(u[j])))) AS stay FROM it, pt WHERE step < 60)
+  GROUP BY step, item) GROUP BY step))""", recursive=True,
+    ) + f"SELECT unnest(range(0, 5))::INTEGER AS item_id, {_r('unnest(u)', 3)} AS u FROM it WHERE step = 60",
+}
