@@ -474,3 +474,16 @@ SQL |= {
   GROUP BY step, item) GROUP BY step))""", recursive=True,
     ) + f"SELECT unnest(range(0, 5))::INTEGER AS item_id, {_r('unnest(u)', 3)} AS u FROM it WHERE step = 60",
 }
+
+_ALL = "pw AS (SELECT 0 AS component, loser, winner, count(*)::DOUBLE AS weight FROM c GROUP BY 2, 3)"
+_ONE_SIDED = "pw AS (SELECT 0 AS component, loser, winner, CASE WHEN w = 0 OR l = 0 THEN (w + 1) / (w + l + 2)::DOUBLE ELSE w / (w + l)::DOUBLE END AS weight FROM b)"
+#: m[i][j] is the share of meetings of i and j that i wins, with one more win each; a cell of exactly one half drops out
+_RIDGE = "0.1 * u[i] + 4 * list_sum(list_transform(range(1, 6), lambda j: CASE WHEN i = j OR m[i][j] = 0 OR m[i][j] = m[j][i] THEN 0.0 ELSE (u[i] - u[j]) - ln(m[i][j] / m[j][i]) END))"
+_FITTED = f"SELECT item AS item_id, {_r('x', 3)} AS u FROM fit"
+SQL |= {
+    "gmm_logistic": _with(_ORDERS, _PAIRS, _ALL, _MATRIX, *_descent(_MOMENT_SLOPE.replace("0.01 *", "0.001 *", 1), 1.0, 4000), recursive=True) + _FITTED,
+    "composite_logistic": _with(_ORDERS, _PAIRS, _COUNTS, _BOTH, _ONE_SIDED, _MATRIX, *_descent(_likelihood_slope(0.0001), 2.0, 4000), recursive=True) + _FITTED,
+    "rum_lrmc_all_pairs": _with(
+        _ORDERS, _PAIRS, _COUNTS, _BOTH, "pw AS (SELECT 0 AS component, loser, winner, (w + 1) / (w + l + 2)::DOUBLE AS weight FROM b)", _MATRIX, *_descent(_RIDGE, 0.02, 2000), recursive=True
+    ) + _FITTED,
+}

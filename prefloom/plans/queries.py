@@ -476,6 +476,11 @@ FOUND["lrmc"] = _estimate(lambda r: estimators.matrix_completion(r, ITEMS, "lrmc
 FOUND["rum_lrmc"] = _estimate(lambda r: estimators.matrix_completion(r, ITEMS, "rum_lrmc"))
 
 
+FOUND["gmm_logistic"] = _estimate(lambda r: estimators.gmm(r, ITEMS, Logistic()))
+FOUND["composite_logistic"] = _estimate(lambda r: estimators.composite(r, ITEMS, Logistic(), "full", reg="l2"))
+FOUND["rum_lrmc_all_pairs"] = _estimate(lambda r: estimators.matrix_completion(r, ITEMS, "rum_lrmc", scheme="full", lam=0.1))
+
+
 @query
 def ilsr(spark, d):
     return _vector(spark, estimators.ilsr(_orders(spark, d), ITEMS))
