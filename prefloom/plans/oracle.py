@@ -312,8 +312,8 @@ SQL |= {
     "pinned_slopes": _with(
         _ORDERS, _PAIRS, _COUNTS, _U, "v AS (SELECT item, u - first_value(u) OVER (ORDER BY item) AS v FROM uu WHERE component = 0)",
         "s AS (SELECT winner, loser, cnt / (1 + exp(a.v - b.v)) AS g, cnt / (1 + exp(a.v - b.v)) / (1 + exp(b.v - a.v)) AS h FROM n JOIN v a ON a.item = winner JOIN v b ON b.item = loser)",
-        "e AS (SELECT winner AS i, NULL::BIGINT AS j, -g AS x FROM s UNION ALL SELECT loser, NULL, g FROM s UNION ALL SELECT item, NULL, v FROM v UNION ALL SELECT winner, winner, h FROM s UNION ALL SELECT loser, loser, h FROM s UNION ALL SELECT winner, loser, -h FROM s UNION ALL SELECT loser, winner, -h FROM s UNION ALL SELECT item, item, 1.0 FROM v)",
-    ) + f"SELECT i, j, {_r('sum(x)', 4)} AS value FROM e WHERE i > 0 AND (j IS NULL OR j > 0) GROUP BY 1, 2",
+        "e AS (SELECT winner AS i, 0 AS j, -g AS x FROM s UNION ALL SELECT loser, 0, g FROM s UNION ALL SELECT item, 0, v FROM v UNION ALL SELECT winner, winner, h FROM s UNION ALL SELECT loser, loser, h FROM s UNION ALL SELECT winner, loser, -h FROM s WHERE winner > 0 AND loser > 0 UNION ALL SELECT loser, winner, -h FROM s WHERE winner > 0 AND loser > 0 UNION ALL SELECT item, item, 1.0 FROM v)",
+    ) + f"SELECT i, j, {_r('sum(x)', 4)} AS value FROM e WHERE i > 0 GROUP BY 1, 2",
     "pinned_estimate": _with(_ORDERS, _PAIRS, "pw AS (SELECT 0 AS component, loser, winner, count(*)::DOUBLE AS weight FROM c GROUP BY 2, 3)", _MATRIX, *_descent(_likelihood_slope(0.0), 2.0, 3000, True), recursive=True)
     + f"SELECT item AS item_id, {_r('x', 4)} AS u FROM fit",
 }

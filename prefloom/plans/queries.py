@@ -551,11 +551,11 @@ def posterior_pair_weights(spark, d):
 
 @query
 def pinned_slopes(spark, d):
-    """Gradient (j null) and curvature of the composite likelihood of all pairs with item 0 pinned, at fixed utilities."""
+    """Gradient (j = 0) and curvature of the composite likelihood of all pairs with item 0 pinned, at fixed utilities."""
     w = R.dense(R.pairwise_counts(R.comparisons(_orders(spark, d))).withColumnRenamed("cnt", "p"), ITEMS, diagonal=0.0)
     v = np.array(U[0]) - U[0][0]
     slope, bend = solvers.pinned_slopes(w, Logistic(), v, 0.5)
-    rows = [(i + 1, None, float(x)) for i, x in enumerate(slope)] + [(i + 1, j + 1, float(x)) for i, row in enumerate(bend) for j, x in enumerate(row)]
+    rows = [(i + 1, 0, float(x)) for i, x in enumerate(slope)] + [(i + 1, j + 1, float(x)) for i, row in enumerate(bend) for j, x in enumerate(row)]
     return spark.createDataFrame(rows, "i int, j int, value double").withColumn("value", r6(F.col("value"), 4))
 
 
