@@ -721,11 +721,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, n: int = STAGE_SHI
     """The one row of ``docs`` of each group that has the least doc_id (then text hash); null ids come last, equal rows leave one."""
     rows = _grouped(docs, similarity, n)
     at = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_hash")
-    best = rows.groupBy("root").agg(F.min(at).alias("at")).select("at.doc_id", "at.text_hash")
+    best = rows.groupBy("root").agg(F.min(at).alias("at")).select("at.doc_id", "at.text_hash", F.lit(True).alias("best"))
     times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
-    keep = cut(best.join(times, best["doc_id"].eqNullSafe(times["doc_id"]) & (best["text_hash"] == times["text_hash"])).select(best["doc_id"].alias("__id"), best["text_hash"].alias("__hash"), "times"))
+    same = times["doc_id"].eqNullSafe(best["doc_id"]) & (times["text_hash"] == best["text_hash"])
+    kept = F.coalesce("best", F.lit(False))
+    all_ids = cut(times.join(best, same, "left").select(times["doc_id"].alias("__id"), times["text_hash"].alias("__hash"), (kept & (F.col("times") == 1)).alias("once"), (kept & (F.col("times") > 1)).alias("more")))
+    once, more, total = (x or 0 for x in all_ids.agg(F.count_if("once"), F.count_if("more"), F.count("*")).first())
     release(docs.sparkSession)
-    hand = F.broadcast if keep.count() <= SMALL else lambda x: x  # so that texts need not be shuffled
-    pick = lambda k: docs.join(hand(k), docs["doc_id"].eqNullSafe(k["__id"]) & (F.xxhash64(docs["text"]) == k["__hash"]), "left_semi")
-    once, more = keep.where("times = 1"), keep.where("times > 1")
-    return pick(once).unionByName(pick(more).dropDuplicates(["doc_id", "text"]))
+
+    def pick(which: str, count: int, how: str) -> DataFrame:
+        k = all_ids.where(which).select("__id", "__hash")
+        k = F.broadcast(k) if count <= SMALL else k  # so that texts need not be shuffled
+        return docs.join(k, docs["doc_id"].eqNullSafe(k["__id"]) & (F.xxhash64(docs["text"]) == k["__hash"]), how)
+
+    # the fewer ids are handed out: most rows stay, so that those that go still fit where those that stay do not
+    out = pick("once", once, "left_semi") if 2 * once <= total else pick("not once", total - once, "left_anti")
+    return out.unionByName(pick("more", more, "left_semi").dropDuplicates(["doc_id", "text"])) if more else out

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate groups against all pairs."""
 
 import numpy as np
+import pytest
 from prefloom.llm import simhash
 
 
@@ -102,3 +103,17 @@ def test_pairs_meet_in_cells_of_few_sets(spark, monkeypatch):
     words = [f"w{x}" for x in rng.integers(1 << 30, size=80)]
     texts = [variant(rng, words, int(k)) for k in rng.integers(1, 4, size=40)] + [" ".join(words)] * 3
     assert found(spark, texts) == brute(texts)
+
+
+@pytest.mark.parametrize("small, joins", [(1 << 20, 0), (8, 0), (0, 1)])
+def test_texts_are_shuffled_once_at_most(spark, monkeypatch, small, joins):
+    """Few ids go and many stay: those that go are handed out; where even these are too many, texts move once, not twice."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = np.random.default_rng(31)
+    words = [[f"w{x}" for x in rng.integers(1 << 30, size=60)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, variant(rng, words[i], 1)) for i in range(5)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == joins
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    again = simhash.keep_one(spark.createDataFrame(rows + rows[:9], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in again.collect()) == list(range(40))
