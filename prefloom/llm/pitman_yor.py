@@ -3,8 +3,8 @@
 Tokens are words and one end.  Common words have at least 1 / ``COMMON`` of the training tokens, so there are
 at most ``COMMON`` of them; all others are rare.  Two hierarchies of restaurants share the work:
 
-* tier: a restaurant for each of ``CLASSES`` classes of the word before (by hash), all with one restaurant of
-  all tokens as their parent, over a uniform base.  Its dishes are the common words and "a rare word".
+* tier: a restaurant for each word before, all with one restaurant of all tokens as their parent, over a uniform
+  base.  Its dishes are the common words and "a rare word".
 * rare words: a restaurant for each of 65,536 contexts (the word before, hashed), all with one restaurant of
   rare words as their parent, over a uniform base on the known rare words and one unknown.
 
@@ -16,8 +16,10 @@ within which the probability of a new table is held.  Draws are hashes of dish,
 depend neither on partitioning nor on lost executors.  Predictive probabilities are averaged over the sweeps
 after ``BURN_IN``.
 
-Scale.  The tier's counts are bounded (``CLASSES`` x ``COMMON``), and so are the contexts' totals, so these
-may meet on the driver.  Rare tokens are pre-aggregated and dealt by word as packed arrays, once; they are
+Scale.  The tier's counts are dealt by the word before, so that a restaurant is whole in a task; what tasks must know of
+all others is the parent's probability of each dish, at most ``COMMON`` of them.  Restaurants of words with 1 /
+``FREQUENT`` of the tokens or so are handed to all tasks, as is the parent; tokens after other words are dealt to their
+restaurants.  The rare words' contexts are hashed, so that their totals may meet on the driver.  Rare tokens are pre-aggregated and dealt by word as packed arrays, once; they are
 both counted and scored where they meet.  Documents' sums are then added up.  No text is shuffled.  A word
 is told by 48 bits of its hash.
 
@@ -37,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, mix64, uniform
+from .common import WordHash, cut, mix64, release, uniform
 
 MOD = 5
 COMMON = 8192
-CLASSES = 128
+#: a word before with about this share of the tokens has its restaurant handed to all tasks
+FREQUENT = 1024
 SWEEPS = 3
 BURN_IN = 1
 STRENGTH = 1.0
@@ -102,11 +105,61 @@ def discount_of(ones: float, twos: float) -> float:
     return float(min(0.95, max(0.05, ones / (ones + 2 * twos)))) if ones + twos else 0.5
 
 
-# -- the tier: bounded, so it is sampled in one place ---------------------------------------------------------------
+def place(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where ``among`` (sorted) has the values; its length for those that it lacks."""
+    if not len(among):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return np.where(among[at] == x, at, len(among))
+
+
+# -- the tier ----------------------------------------------------------------------------------------------------------
+
+
+def parent_of(c1: np.ndarray, t1: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parent's tables and predictive probabilities of dishes with these customers, from its tables before."""
+    dishes = len(c1)
+    d1 = discount_of((c1 == 1).sum(), (c1 == 2).sum())
+    t1 = seat(c1, np.full(dishes, (STRENGTH + d1 * t1.sum()) / dishes), d1, np.arange(dishes).astype(np.uint64), 22, s)
+    return t1, (c1 - d1 * t1 + (STRENGTH + d1 * t1.sum()) / dishes) / (STRENGTH + c1.sum())
+
+
+class Restaurants:
+    """The tier's restaurants of some words before: counts by (word before, dish), and a state of seating."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, dish_of: np.ndarray):
+        """``dish_of``: the dish of each candidate."""
+        self.key, at = np.unique((key & HIGH) | dish_of[(key & LOW).astype(np.int64)], return_inverse=True)
+        self.c = np.bincount(at, weights=n, minlength=len(self.key)).astype(np.int64)
+        self.dish = (self.key & LOW).astype(np.int64)
+        self.word, self.at = np.unique(self.key & HIGH, return_inverse=True)
+        self.total = np.bincount(self.at, weights=self.c, minlength=len(self.word))
+        self.t = np.minimum(self.c, 1).astype(np.float64)
+
+    def tables(self) -> np.ndarray:
+        return np.bincount(self.at, weights=self.t, minlength=len(self.word))
+
+    def sweep(self, parent: np.ndarray, d: float, s: int) -> None:
+        self.t = seat(self.c, (STRENGTH + d * self.tables()[self.at]) * parent[self.dish], d, self.key, 21, s)
+
+    def score(self, parent: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
+        """Predictive probabilities of any (word before, dish)."""
+        share = np.append((STRENGTH + d * self.tables()) / (STRENGTH + self.total), 1.0)
+        own = np.append((self.c - d * self.t) / (STRENGTH + self.total)[self.at], 0.0)
+        return own[place(key, self.key)] + share[place(key & HIGH, self.word)] * parent[(key & LOW).astype(np.int64)]
+
+    def mean(self, m: dict, key: np.ndarray) -> np.ndarray:
+        """Runs all sweeps; the mean of the probabilities after each but the first ones."""
+        p, sweeps = np.zeros(len(key)), len(m["parents"]) - 1
+        for s in range(1, sweeps + 1):
+            self.sweep(m["parents"][s - 1], m["d"], s)
+            if s > m["burn_in"]:
+                p += self.score(m["parents"][s], m["d"], key) / (sweeps - m["burn_in"])
+        return p
 
 
 def tier_model(counts: np.ndarray, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> np.ndarray:
-    """log10 of predictive probabilities, class x dish, from the counts of the same shape."""
+    """log10 of predictive probabilities, context x dish, from the counts of the same shape: all of the tier in one place."""
     classes, dishes = counts.shape
     row, dish = np.nonzero(counts)
     c = counts[row, dish].astype(np.int64)
@@ -119,9 +172,7 @@ def tier_model(counts: np.ndarray, sweeps: int = SWEEPS, burn_in: int = BURN_IN)
         tables = np.bincount(row, weights=t, minlength=classes)
         t = seat(c, (STRENGTH + d * tables[row]) * parent[dish], d, key, 21, s)
         c1 = np.bincount(dish, weights=t, minlength=dishes).astype(np.int64)
-        d1 = discount_of((c1 == 1).sum(), (c1 == 2).sum())
-        t1 = seat(c1, np.full(dishes, (STRENGTH + d1 * t1.sum()) / dishes), d1, np.arange(dishes).astype(np.uint64), 22, s)
-        parent = (c1 - d1 * t1 + (STRENGTH + d1 * t1.sum()) / dishes) / (STRENGTH + c1.sum())
+        t1, parent = parent_of(c1, t1, s)
         if s > burn_in:
             tables = np.bincount(row, weights=t, minlength=classes)
             p = ((STRENGTH + d * tables) / (STRENGTH + total))[:, None] * parent
@@ -216,24 +267,20 @@ def add_up(row: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Reader:
-    """Texts to hashes, tiers and contexts."""
+    """Texts to hashes, dishes and contexts."""
 
-    def __init__(self, common: np.ndarray | None, classes: int = CLASSES):
-        self.memo, self.common, self.classes = WordHash(), common, classes
+    def __init__(self, common: np.ndarray):
+        self.memo, self.common = WordHash(), common
         self.start = np.uint64(self.memo[START])
 
     def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts' tokens: hash, the text's number, class of the word before, and tier dish (the last one: rare)."""
+        """Of all texts' tokens: hash, the text's number, the mixed hash of the word before, and tier dish (the last one: rare)."""
         parts = [self.memo.array(tokens(t)) for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         h = np.concatenate(parts)
         before = np.roll(h, 1)
         before[np.cumsum(n) - n] = self.start
-        self.before = mix64(before)
-        dish = np.minimum(np.searchsorted(self.common, h), max(0, len(self.common) - 1)) if len(self.common) else np.zeros(len(h), np.int64)
-        rare = self.common[dish] != h if len(self.common) else np.ones(len(h), bool)
-        dish[rare] = len(self.common)
-        return h, np.repeat(np.arange(len(n)), n), (self.before >> np.uint64(40)).astype(np.int64) % self.classes, dish
+        return h, np.repeat(np.arange(len(n)), n), mix64(before), place(h, self.common)
 
 
 def chunks(texts: list, most: int = 4_000_000) -> Iterator[slice]:
@@ -246,8 +293,8 @@ def chunks(texts: list, most: int = 4_000_000) -> Iterator[slice]:
             start, size = i + 1, 0
 
 
-def common_words(docs: DataFrame, most: int) -> tuple[np.ndarray, int]:
-    """Hashes (sorted) of all words that may have 1 / most of all tokens, and the number of tokens.
+def common_words(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes (sorted) of all words that may have 1 / most of all tokens, those of about 1 / ``FREQUENT``, and the number of tokens.
 
     Each task sends only words that may have half that share of its own tokens.  A word of the full share has half of it
     in tasks that send it, so the words that are sent for half the share (2 ``most`` at most, but for upper bounds) hold
@@ -271,39 +318,106 @@ def common_words(docs: DataFrame, most: int) -> tuple[np.ndarray, int]:
 
     g = docs.select("text").mapInPandas(work, "h long, c long, all boolean").groupBy("h", "all").agg(F.sum("c").alias("c"))
     total = int(g.where("all").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    rows = g.where(~F.col("all") & (F.col("c") * most * 2 >= total)).select("h").toPandas() if total else pd.DataFrame({"h": []})
-    return np.unique(rows["h"].to_numpy(np.int64).view(np.uint64)), total
+    rows = g.where(~F.col("all") & (F.col("c") * most * 2 >= total)).select("h", "c").toPandas() if total else pd.DataFrame({"h": [], "c": []})
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    return np.unique(h), np.unique(h[rows["c"].to_numpy(np.int64) * FREQUENT >= total]), total
+
 
+CELLS = "part int, base long, blob binary, train boolean"
 
-def tier_counts(docs: DataFrame, candidates: np.ndarray, classes: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The common words among the candidates, by exact counts, and the tier's counts, class x (common words, a rare one)."""
+
+def packed(key: np.ndarray, local: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of sorted keys."""
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.empty(0, np.int64)
+    for i, j in zip(edges, np.append(edges[1:], len(key)), strict=True):
+        yield int(part[i]), pack(key[i:j], local[i:j], n[i:j])
+
+
+def tier_counts(docs: DataFrame, candidates: np.ndarray, parts: int, n: int) -> DataFrame:
+    """Packed counts of (word before, candidate or another word), dealt by the word before."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, width = Reader(candidates, classes), len(candidates) + 1
-        sums = np.zeros(classes * width, np.int64)
+        r = Reader(candidates)
         for b in batches:
             texts = b.column(0).to_pylist()
             for some in chunks(texts):
-                _, _, cls, dish = r.read(texts[some])
-                sums += np.bincount(cls * width + dish, minlength=len(sums))
+                _, _, before, dish = r.read(texts[some])
+                key, c = np.unique((before & HIGH) | dish.astype(np.uint64), return_counts=True)
+                part, blob = zip(*packed(key, np.zeros(len(key), np.int64), c, parts), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([0] * len(part), pa.int64()), pa.array(blob, pa.binary()), pa.array([True] * len(part))], ["part", "base", "blob", "train"])
+
+    return cut(docs.select("text").mapInArrow(work, CELLS).repartition(n, "part").sortWithinPartitions("part"))
+
+
+def by_dish(cells: DataFrame, width: int, weigh) -> np.ndarray:
+    """Sums over all parts of what ``weigh`` makes of a part's (key, n): ``width`` numbers."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(width)
+        for key, _, n, _ in by_part(batches):
+            sums += weigh(key, n)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["k", "a"])
+
+    rows = cells.mapInArrow(work, "k long, a double").groupBy("k").agg(F.sum("a").alias("a")).toPandas()
+    out = np.zeros(width)
+    out[rows["k"].to_numpy(np.int64)] = rows["a"].to_numpy()
+    return out
+
+
+def tier_states(cells: DataFrame, dish_of: np.ndarray, dishes: int, sweeps: int, burn_in: int) -> dict:
+    """The discount, and the parent's probabilities before all sweeps and after each."""
+    spark = cells.sparkSession
+
+    def customers(m: dict) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((dish_of, m))
 
-    rows = docs.select("text").mapInArrow(work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(classes * (len(candidates) + 1), np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    out = out.reshape(classes, -1)
-    often = np.flatnonzero(out[:, :-1].sum(axis=0) * most >= max(1, out.sum()))
-    rare = out.sum(axis=1) - out[:, often].sum(axis=1)
-    return candidates[often], np.column_stack([out[:, often], rare])
+        def weigh(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+            dish_of, m = shared.value
+            r = Restaurants(key, n, dish_of)
+            for s, parent in enumerate(m["parents"], 1):
+                r.sweep(parent, m["d"], s)
+            return np.append(np.bincount(r.dish, weights=r.t, minlength=dishes), [(r.c == 1).sum(), (r.c == 2).sum()])
+
+        return by_dish(cells, dishes + 2, weigh)
+
+    m = {"d": discount_of(*customers({"parents": []})[dishes:]), "parents": [np.full(dishes, 1 / dishes)], "burn_in": burn_in}
+    t1 = np.zeros(dishes)
+    for s in range(1, sweeps + 1):
+        t1, parent = parent_of(customers(m)[:dishes].astype(np.int64), t1, s)
+        m["parents"].append(parent)
+    return m
+
+
+def frequent_rows(cells: DataFrame, dish_of: np.ndarray, dishes: int, m: dict, contexts: np.ndarray) -> np.ndarray:
+    """log10 of predictive probabilities, frequent context x dish."""
+    shared = cells.sparkSession.sparkContext.broadcast((dish_of, m, contexts))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dish_of, m, contexts = shared.value
+        for key, _, n, _ in by_part(batches):
+            r = Restaurants(key, n, dish_of)
+            at = np.flatnonzero(place(contexts, r.word) < len(r.word))
+            if len(at):
+                p = np.log10(r.mean(m, (contexts[at][:, None] | np.arange(dishes, dtype=np.uint64)).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in p.reshape(len(at), -1)], pa.binary())], ["k", "p"])
+
+    out = np.tile(np.log10(np.mean(m["parents"][m["burn_in"] + 1 :], axis=0)), (len(contexts), 1))
+    for r in cells.mapInArrow(work, "k long, p binary").toLocalIterator():
+        out[r.k] = np.frombuffer(r.p)
+    return out
 
 
 DEALT = "part int, base long, blob binary, train boolean, doc_id long, held_out boolean, n_tokens long, n_known long, sum_base double, sum_lp double"
 
 
-def deal(docs: DataFrame, common: np.ndarray, tier: np.ndarray, counts: np.ndarray, parts: int, mod: int) -> DataFrame:
-    """Packed rare tokens by word, and one row a document with the sums over its common words and tiers."""
-    shared = docs.sparkSession.sparkContext.broadcast((common, tier, np.append(np.log10(counts.sum(axis=0)[:-1] + 0.5), 0.0)))
+def deal(docs: DataFrame, common: np.ndarray, contexts: np.ndarray, tier: np.ndarray, counts: np.ndarray, parts: int, mod: int) -> DataFrame:
+    """Packed rare tokens by word, packed dishes by the word before (in parts from ``parts`` on), and one row a document.
+
+    That row has the sums over the document's common words, and over its dishes after the frequent ``contexts``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((common, contexts, tier, np.append(np.log10(counts + 0.5), 0.0)))
 
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = [c.split()[0] for c in DEALT.split(", ")]
@@ -313,12 +427,14 @@ def deal(docs: DataFrame, common: np.ndarray, tier: np.ndarray, counts: np.ndarr
         return pa.RecordBatch.from_arrays(every, names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, tier, base = shared.value
-        r = Reader(common, tier.shape[0])
+        common, contexts, tier, base = shared.value
+        r = Reader(common)
         for b in batches:
             texts = b.column(3).to_pylist()
             for some in chunks(texts):
-                h, doc, cls, dish = r.read(texts[some])
+                h, doc, before, dish = r.read(texts[some])
+                cls = place(before & HIGH, contexts)
+                often = cls < len(contexts)
                 n = some.stop - some.start
                 rows = b.column(0).slice(some.start, n).to_numpy(zero_copy_only=False)
                 held = b.column(2).slice(some.start, n).to_numpy(zero_copy_only=False).astype(bool)
@@ -333,26 +449,23 @@ def deal(docs: DataFrame, common: np.ndarray, tier: np.ndarray, counts: np.ndarr
                     n_tokens=np.bincount(doc, minlength=n),
                     n_known=np.bincount(doc[~rare], minlength=n),
                     sum_base=sums(base[dish]),
-                    sum_lp=sums(tier[cls, dish]),
+                    sum_lp=np.bincount(doc[often], weights=tier[cls[often], dish[often]], minlength=n),
                 )
                 out = []
-                for flag in (True, False):
-                    at = np.flatnonzero(rare & (held[doc] != flag))
-                    key = (h[at] & HIGH) | (r.before[at] & LOW)
+                for flag, first_part, at, key in (
+                    *((flag, 0, x := np.flatnonzero(rare & (held[doc] != flag)), (h[x] & HIGH) | (before[x] & LOW)) for flag in (True, False)),
+                    (False, parts, x := np.flatnonzero(~often), (before[x] & HIGH) | dish[x].astype(np.uint64)),
+                ):
                     order = np.argsort(key, kind="stable")
                     key, local = key[order], rows[doc[at[order]]]
                     first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (local[1:] != local[:-1]))) if len(key) else np.empty(0, np.int64)
                     count = np.diff(np.append(first, len(key)))
                     key, local = key[first], local[first]
                     # rows of a piece lie near each other, unless a filter or shuffle came before; then there are more blobs
-                    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                     zone = local >> 31
                     for z in np.unique(zone):
                         k = np.flatnonzero(zone == z)
-                        edges = np.flatnonzero(np.append(True, part[k][1:] != part[k][:-1])) if len(k) else []
-                        for i, j in zip(edges, np.append(edges[1:], len(k)), strict=True):
-                            x = k[i:j]
-                            out.append((int(part[x[0]]), int(z) << 31, pack(key[x], local[x] - (int(z) << 31), count[x]), flag))
+                        out += [(first_part + p, int(z) << 31, x, flag) for p, x in packed(key[k], local[k] - (int(z) << 31), count[k], parts)]
                 if out:
                     yield record(len(out), **dict(zip(("part", "base", "blob", "train"), zip(*out), strict=True)))
 
@@ -411,26 +524,36 @@ def _totals(blobs: DataFrame, before: list[Totals], m: dict | None) -> tuple[Tot
     return Totals(a[:65536], b[:65536], r[0], r[1]), {"types": r[2], "n": r[3], "ones": r[4:6], "ones1": r[6:8]}
 
 
-def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, classes: int = CLASSES, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
+def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """One row a document; ``score`` and ``base_score`` are log10 probabilities of its tokens."""
     spark = docs.sparkSession
     train = docs.where(~held_out(mod))
-    candidates, total = common_words(train, common)
-    often, counts = tier_counts(train, candidates, classes, common)
-    tier = tier_model(counts, sweeps, burn_in)
+    candidates, frequent, total = common_words(train, common)
     n = int(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * PART_TOKENS)))
     parts = int(max(2 * n, total // PART_TOKENS + 1))
-    dealt = cut(deal(docs, often, tier, counts, parts, mod).repartition(n, "part").sortWithinPartitions("part"))
-    blobs = dealt.where("blob is not null").select("part", "base", "blob", "train")
+    cells = tier_counts(train, candidates, parts, n)
+    release(spark)
+    counts = by_dish(cells, len(candidates) + 1, lambda key, n: np.bincount((key & LOW).astype(np.int64), weights=n, minlength=len(candidates) + 1))[:-1]
+    is_common = counts * common >= max(1, total)
+    often, dishes = candidates[is_common], int(is_common.sum()) + 1
+    dish_of = np.full(len(candidates) + 1, dishes - 1, np.uint64)
+    dish_of[:-1][is_common] = np.arange(dishes - 1)
+    seats = tier_states(cells, dish_of, dishes, sweeps, burn_in)
+    contexts = np.unique(mix64(np.append(frequent, np.uint64(WordHash()[START]))) & HIGH)
+    tier = frequent_rows(cells, dish_of, dishes, seats, contexts)
+    tokens_dealt = deal(docs, often, contexts, tier, counts[is_common], parts, mod)
+    dealt = cut(tokens_dealt.unionByName(cells.withColumn("part", F.col("part") + parts), allowMissingColumns=True).repartition(n, "part").sortWithinPartitions("part"))
+    release(spark)
+    blobs = dealt.where(f"blob is not null and part < {parts}").select("part", "base", "blob", "train")
+    after = dealt.where(f"blob is not null and part >= {parts}").select("part", "base", "blob", "train")
     g, stats = _totals(blobs, [], None)
     m = {"d": discount_of(*stats["ones"]), "d1": discount_of(*stats["ones1"]), "uniform": 1.0 / (stats["types"] + 1)}
     states = [g]
     for _ in range(sweeps):
         states.append(_totals(blobs, states, m)[0])
-    shared, n_tasks = spark.sparkContext.broadcast((states, m)), n
+    shared, n_tasks = spark.sparkContext.broadcast((states, m, dish_of, seats)), n
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, m = shared.value
+    def spread(sums_of: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out():
@@ -442,6 +565,17 @@ def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, classes: int =
             blobs = [squeeze([x[order[at[b] : at[b + 1]]] for x in (row, *sums)]) for b in some]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
+        for sums in sums_of:
+            held.append(sums)
+            size += len(sums[0])
+            if size > 4_000_000:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def rare_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        states, m, *_ = shared.value
         for key, row, n, train in by_part(batches):
             c = cells_of(key, n, train)
             p = np.zeros(len(key))
@@ -449,17 +583,15 @@ def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, classes: int =
                 c.sweep(states[s - 1], m, s)
                 if s > burn_in:
                     p += c.score(states[s], m, key) / (len(states) - 1 - burn_in)
-            count = np.zeros(len(key))
-            if len(c.word):
-                at = np.minimum(np.searchsorted(c.word, key & HIGH), len(c.word) - 1)
-                count = np.where(c.word[at] == (key & HIGH), np.bincount(c.at, weights=c.c, minlength=len(c.word))[at], 0.0)
-            held.append((row, n * (count > 0), n * np.log10(count + 0.5), n * np.log10(p)))
-            size += len(key)
-            if size > 4_000_000:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+            count = np.append(np.bincount(c.at, weights=c.c, minlength=len(c.word)), 0.0)[place(key & HIGH, c.word)]
+            yield row, n * (count > 0), n * np.log10(count + 0.5), n * np.log10(p)
+
+    def tier_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        *_, dish_of, seats = shared.value
+        for key, row, n, train in by_part(batches):
+            asked, at = np.unique(key[~train], return_inverse=True)
+            p = np.log10(Restaurants(key[train], n[train], dish_of).mean(seats, asked))[at]
+            yield row[~train], np.zeros(len(at)), np.zeros(len(at)), n[~train] * p
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -478,9 +610,9 @@ def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, classes: int =
         if held:
             yield out()
 
-    # a document's rare words lie with many tasks: their sums travel packed by bucket, not as rows
-    packed = blobs.mapInArrow(rate, "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    rare = packed.mapInArrow(gather, "base long, n_known long, sum_base double, sum_lp double")
+    # a document's dealt tokens lie with many tasks: their sums travel packed by bucket, not as rows
+    sums = [x.mapInArrow(lambda b, f=f: spread(f(b)), "bucket int, blob binary") for x, f in ((blobs, rare_sums), (after, tier_sums))]
+    rare = sums[0].union(sums[1]).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "base long, n_known long, sum_base double, sum_lp double")
     own = dealt.where("blob is null").select("base", "n_known", "sum_base", "sum_lp", "doc_id", "held_out", "n_tokens")
     both = own.unionByName(rare, allowMissingColumns=True)
     z = float(np.log10(total + 0.5 * (len(often) + stats["types"] + 1)))
