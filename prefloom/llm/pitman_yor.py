@@ -19,9 +19,13 @@ after ``BURN_IN``.
 Scale.  The tier's counts are dealt by the word before, so that a restaurant is whole in a task; what tasks must know of
 all others is the parent's probability of each dish, at most ``COMMON`` of them.  Restaurants of words with 1 /
 ``FREQUENT`` of the tokens or so are handed to all tasks, as is the parent; tokens after other words are dealt to their
-restaurants.  The rare words' contexts are hashed, so that their totals may meet on the driver.  Rare tokens are pre-aggregated and dealt by word as packed arrays, once; they are
-both counted and scored where they meet.  Documents' sums are then added up.  No text is shuffled.  A word
-is told by 48 bits of its hash.
+restaurants.  The rare words' contexts are hashed, so that their totals may meet on the driver.  Rare tokens are
+pre-aggregated and dealt by word as packed arrays; they are both counted and scored where they meet.  Documents' sums are
+then added up, as whole numbers of ``UNIT``.  No text is shuffled.  A word is told by 48 bits of its hash.
+
+Dealt tokens lie on disk once: all passes read the files of one shuffle, and nothing is written beside them.  Files of
+an executor that is lost are made again from the documents, which must then come in the same order, as those of stored
+tables do; documents that come from a join or a grouping should be written first.
 
 Defined results: a null or empty text is one end token; with no training document all words are unknown;
 repeated rows are scored, and learned from, each; an empty table gives none; a null doc_id counts as an
@@ -31,11 +35,12 @@ empty text in the hold-out rule; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +58,8 @@ PART_TOKENS = 1_000_000
 END, START = b"", b" "
 HIGH = np.uint64(0xFFFFFFFFFFFF0000)
 LOW = np.uint64(0xFFFF)
+#: a token's logarithms are added up as whole numbers of this unit, so that sums depend on no order
+UNIT = 2.0**-30
 
 
 def held_out(mod: int = MOD):
@@ -226,71 +233,118 @@ class Cells:
         return (own + (STRENGTH + m["d"] * g.tables[ctx]) * p1) / (STRENGTH + g.customers[ctx])
 
 
-def pack(key: np.ndarray, local: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted keys as differences, split into planes of bytes, with the places and counts."""
+def squeeze(columns: list[np.ndarray], widths: list[int]) -> bytes:
+    """Columns of whole numbers of so many bytes, split into planes of bytes."""
     import zstandard
 
-    step = np.diff(key, prepend=np.uint64(0))
-    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes + local.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    planes = (np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for x, w in zip(columns, widths, strict=True))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unsqueeze(blob: bytes, widths: list[int]) -> list[np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    m = len(raw) // 16
-    plane = lambda a, w: np.ascontiguousarray(a.reshape(w, m).T)
-    key = np.cumsum(plane(raw[: 8 * m], 8).view("<u8").ravel(), dtype=np.uint64)
-    return key, plane(raw[8 * m : 12 * m], 4).view("<u4").ravel().astype(np.int64), plane(raw[12 * m :], 4).view("<u4").ravel().astype(np.int64)
+    m, at, out = len(raw) // sum(widths), 0, []
+    for w in widths:
+        x = np.zeros((m, 8), np.uint8)
+        x[:, :w] = raw[at : at + w * m].reshape(w, m).T
+        out.append(x.view("<u8").ravel())
+        at += w * m
+    return out
 
 
-def squeeze(arrays: list[np.ndarray]) -> bytes:
-    """Sorted rows as differences, then columns of numbers."""
-    import zstandard
+#: bytes of a word's difference and number of cells; of a cell's lower key, place and count; of a row's difference and sums
+WORD, CELL, SUMS = [6, 4], [2, 2, 4], [8, 8, 8, 8]
 
-    row = np.diff(arrays[0], prepend=np.int64(0)).astype("<i8")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([row.tobytes(), *(x.astype("<f8").tobytes() for x in arrays[1:])]))
 
+def pack(key: np.ndarray, local: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys, each word (the upper 48 bits) once, with the places and counts."""
+    word = key >> np.uint64(16)
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    words = squeeze([np.diff(word[first], prepend=np.uint64(0)), np.diff(np.append(first, len(key)))], WORD)
+    return words, squeeze([key & LOW, local, n], CELL)
 
-def unsqueeze(blob: bytes) -> list[np.ndarray]:
-    import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    m = len(raw) // 32
-    return [np.cumsum(np.frombuffer(raw, "<i8", m)), *(np.frombuffer(raw, "<f8", m, 8 * m * i) for i in (1, 2, 3))]
+def unpack(words: bytes, cells: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    step, times = unsqueeze(words, WORD)
+    low, local, n = unsqueeze(cells, CELL)
+    return np.repeat(np.cumsum(step, dtype=np.uint64) << np.uint64(16), times.astype(np.int64)) | low, local.astype(np.int64), n.astype(np.int64)
+
+
+def pack_sums(row: np.ndarray, *sums: np.ndarray) -> bytes:
+    """Sorted rows as differences, then signed sums, small ones in few bytes."""
+    return squeeze([np.diff(row, prepend=np.int64(0)), *((x << 1) ^ (x >> 63) for x in sums)], SUMS)
+
+
+def unpack_sums(blob: bytes) -> list[np.ndarray]:
+    row, *sums = (x.astype(np.int64) for x in unsqueeze(blob, SUMS))
+    return [np.cumsum(row), *(((x >> 1) & np.int64((1 << 63) - 1)) ^ -(x & 1) for x in sums)]
 
 
 def add_up(row: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    u, at = np.unique(row, return_inverse=True)
-    return u, *(np.bincount(at, weights=x, minlength=len(u)) for x in sums)
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+    return row[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)
 
 
-class Reader:
-    """Texts to hashes, dishes and contexts."""
+class Words(dict):
+    """Word (bytes) to its number; hashes of new ones are kept in ``new``."""
 
-    def __init__(self, common: np.ndarray):
-        self.memo, self.common = WordHash(), common
-        self.start = np.uint64(self.memo[START])
+    def __init__(self):
+        super().__init__()
+        self.new: list[int] = []
 
-    def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts' tokens: hash, the text's number, the mixed hash of the word before, and tier dish (the last one: rare)."""
-        parts = [self.memo.array(tokens(t)) for t in texts]
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        h = np.concatenate(parts)
-        before = np.roll(h, 1)
-        before[np.cumsum(n) - n] = self.start
-        return h, np.repeat(np.arange(len(n)), n), mix64(before), place(h, self.common)
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
+        i = self[word] = len(self)
+        self.new.append(xxhash.xxh64_intdigest(word))
+        return i
 
-def chunks(texts: list, most: int = 4_000_000) -> Iterator[slice]:
-    """Slices of a list of texts with ``most`` characters or so each."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i == len(texts) - 1:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
+
+class Reader:
+    """Texts to words' numbers; by number, words' hashes (``h``), these mixed (as words before), dishes and places among ``contexts``."""
+
+    def __init__(self, common: np.ndarray, contexts: np.ndarray | None = None, most: int = 400_000):
+        self.common, self.contexts, self.most = common, np.empty(0, np.uint64) if contexts is None else contexts, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = Words()
+        self.h, self.mixed, self.dish, self.cls = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.start = self.words[START]
+
+    def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts' tokens: the word's number, the text's, and that of the word before."""
+        if len(self.words) > self.most:
+            self.clear()
+        parts = [np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)) for w in map(tokens, texts)]
+        if self.words.new:
+            h = np.array(self.words.new, np.uint64)
+            self.words.new.clear()
+            mixed = mix64(h)
+            self.h, self.mixed = np.append(self.h, h), np.append(self.mixed, mixed)
+            self.dish, self.cls = np.append(self.dish, place(h, self.common)), np.append(self.cls, place(mixed & HIGH, self.contexts))
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        word = np.concatenate(parts)
+        before = np.roll(word, 1)
+        before[np.cumsum(n) - n] = self.start
+        return word, np.repeat(np.arange(len(n)), n), before
+
+
+def chunks(rows: Iterable[tuple], most: int = 4_000_000) -> Iterator[list[tuple]]:
+    """Lists of rows whose last fields, texts, have ``most`` characters or so, and not over 2^15 rows."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or "")
+        if size >= most or len(held) == 1 << 15:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def common_words(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -316,62 +370,66 @@ def common_words(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, in
         top = [(np.uint64(memo[w]).astype(np.int64), c + lost) for w, c in found.items() if (c + lost) * most * 2 >= n]
         yield pd.DataFrame({"h": [x for x, _ in top] + [0], "c": [c for _, c in top] + [n], "all": [False] * len(top) + [True]})
 
-    g = docs.select("text").mapInPandas(work, "h long, c long, all boolean").groupBy("h", "all").agg(F.sum("c").alias("c"))
+    g = cut(docs.select("text").mapInPandas(work, "h long, c long, all boolean").groupBy("h", "all").agg(F.sum("c").alias("c")))
     total = int(g.where("all").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     rows = g.where(~F.col("all") & (F.col("c") * most * 2 >= total)).select("h", "c").toPandas() if total else pd.DataFrame({"h": [], "c": []})
     h = rows["h"].to_numpy(np.int64).view(np.uint64)
     return np.unique(h), np.unique(h[rows["c"].to_numpy(np.int64) * FREQUENT >= total]), total
 
 
-CELLS = "part int, base long, blob binary, train boolean"
-
-
-def packed(key: np.ndarray, local: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, blob) of sorted keys."""
+def packed(key: np.ndarray, local: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, tuple[bytes, bytes]]]:
+    """(part, blobs) of sorted keys."""
+    if not len(key):
+        return
     part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.empty(0, np.int64)
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for i, j in zip(edges, np.append(edges[1:], len(key)), strict=True):
         yield int(part[i]), pack(key[i:j], local[i:j], n[i:j])
 
 
-def tier_counts(docs: DataFrame, candidates: np.ndarray, parts: int, n: int) -> DataFrame:
+def tier_counts(docs: DataFrame, candidates: np.ndarray, parts: int, n: int) -> RDD:
     """Packed counts of (word before, candidate or another word), dealt by the word before."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(rows: Iterator) -> Iterator[tuple[int, tuple]]:
         r = Reader(candidates)
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for some in chunks(texts):
-                _, _, before, dish = r.read(texts[some])
-                key, c = np.unique((before & HIGH) | dish.astype(np.uint64), return_counts=True)
-                part, blob = zip(*packed(key, np.zeros(len(key), np.int64), c, parts), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([0] * len(part), pa.int64()), pa.array(blob, pa.binary()), pa.array([True] * len(part))], ["part", "base", "blob", "train"])
+        for some in chunks(rows):
+            word, _, before = r.read([x[0] for x in some])
+            key, c = np.unique((r.mixed[before] & HIGH) | r.dish[word].astype(np.uint64), return_counts=True)
+            yield from ((part, (0, *blobs)) for part, blobs in packed(key, np.zeros(len(key), np.int64), c, parts))
 
-    return cut(docs.select("text").mapInArrow(work, CELLS).repartition(n, "part").sortWithinPartitions("part"))
+    # an RDD, as its jobs all read the files of one shuffle; a frame would shuffle anew, or be written a second time
+    return docs.select("text").rdd.mapPartitions(work).partitionBy(n)
 
 
-def by_dish(cells: DataFrame, width: int, weigh) -> np.ndarray:
+def sum_of(rdd: RDD) -> np.ndarray | None:
+    """Arrays of whole numbers, added up by a tree of tasks."""
+
+    def add(a: bytes | None, b: bytes | None) -> bytes | None:
+        return a or b if a is None or b is None else squeeze([unsqueeze(a, [8])[0] + unsqueeze(b, [8])[0]], [8])
+
+    blob = rdd.map(lambda x: squeeze([x], [8])).treeAggregate(None, add, add)
+    return None if blob is None else unsqueeze(blob, [8])[0].astype(np.float64)
+
+
+def by_dish(cells: RDD, width: int, weigh) -> np.ndarray:
     """Sums over all parts of what ``weigh`` makes of a part's (key, n): ``width`` numbers."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(width)
-        for key, _, n, _ in by_part(batches):
-            sums += weigh(key, n)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["k", "a"])
+    def work(items: Iterator) -> Iterator[np.ndarray]:
+        sums = None
+        for _, key, _, n, _ in by_part(items):
+            sums = weigh(key, n) + (0 if sums is None else sums)
+        if sums is not None:
+            yield sums
 
-    rows = cells.mapInArrow(work, "k long, a double").groupBy("k").agg(F.sum("a").alias("a")).toPandas()
-    out = np.zeros(width)
-    out[rows["k"].to_numpy(np.int64)] = rows["a"].to_numpy()
-    return out
+    found = sum_of(cells.mapPartitions(work))
+    return np.zeros(width) if found is None else found
 
 
-def tier_states(cells: DataFrame, dish_of: np.ndarray, dishes: int, sweeps: int, burn_in: int) -> dict:
+def tier_states(cells: RDD, dish_of: np.ndarray, dishes: int, sweeps: int, burn_in: int) -> dict:
     """The discount, and the parent's probabilities before all sweeps and after each."""
-    spark = cells.sparkSession
 
     def customers(m: dict) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((dish_of, m))
+        shared = cells.ctx.broadcast((dish_of, m))
 
         def weigh(key: np.ndarray, n: np.ndarray) -> np.ndarray:
             dish_of, m = shared.value
@@ -390,106 +448,98 @@ def tier_states(cells: DataFrame, dish_of: np.ndarray, dishes: int, sweeps: int,
     return m
 
 
-def frequent_rows(cells: DataFrame, dish_of: np.ndarray, dishes: int, m: dict, contexts: np.ndarray) -> np.ndarray:
+def frequent_rows(cells: RDD, dish_of: np.ndarray, dishes: int, m: dict, contexts: np.ndarray) -> np.ndarray:
     """log10 of predictive probabilities, frequent context x dish."""
-    shared = cells.sparkSession.sparkContext.broadcast((dish_of, m, contexts))
+    shared = cells.ctx.broadcast((dish_of, m, contexts))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(items: Iterator) -> Iterator[tuple[int, np.ndarray]]:
         dish_of, m, contexts = shared.value
-        for key, _, n, _ in by_part(batches):
+        for _, key, _, n, _ in by_part(items):
             r = Restaurants(key, n, dish_of)
-            at = np.flatnonzero(place(contexts, r.word) < len(r.word))
-            if len(at):
-                p = np.log10(r.mean(m, (contexts[at][:, None] | np.arange(dishes, dtype=np.uint64)).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in p.reshape(len(at), -1)], pa.binary())], ["k", "p"])
+            for k in np.flatnonzero(place(contexts, r.word) < len(r.word)):
+                mine = r.at == place(contexts[k : k + 1], r.word)[0]
+                one = Restaurants(r.key[mine], r.c[mine], np.arange(dishes, dtype=np.uint64))
+                yield int(k), np.log10(one.mean(m, contexts[k] | np.arange(dishes, dtype=np.uint64)))
 
     out = np.tile(np.log10(np.mean(m["parents"][m["burn_in"] + 1 :], axis=0)), (len(contexts), 1))
-    for r in cells.mapInArrow(work, "k long, p binary").toLocalIterator():
-        out[r.k] = np.frombuffer(r.p)
+    for k, p in cells.mapPartitions(work).collect():  # some ``FREQUENT`` rows at most
+        out[k] = p
     return out
 
 
-DEALT = "part int, base long, blob binary, train boolean, doc_id long, held_out boolean, n_tokens long, n_known long, sum_base double, sum_lp double"
+def deal(docs: DataFrame, common: np.ndarray, contexts: np.ndarray, tier: np.ndarray, counts: np.ndarray, parts: int, n_tasks: int, mod: int) -> RDD:
+    """Packed rare tokens by word, packed dishes by the word before (in parts from ``parts`` on), and what is known of documents.
 
-
-def deal(docs: DataFrame, common: np.ndarray, contexts: np.ndarray, tier: np.ndarray, counts: np.ndarray, parts: int, mod: int) -> DataFrame:
-    """Packed rare tokens by word, packed dishes by the word before (in parts from ``parts`` on), and one row a document.
-
-    That row has the sums over the document's common words, and over its dishes after the frequent ``contexts``.
+    That is in parts from twice ``parts`` on, by bucket: rows, ids, where these are null, hold-out, numbers of tokens and
+    of known ones, and sums over the common words and over the dishes after the frequent ``contexts``.  The shuffle's files
+    are the only copy of all this, and every later pass reads them; lost ones are made again from the documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast((common, contexts, tier, np.append(np.log10(counts + 0.5), 0.0)))
 
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    names = [c.split()[0] for c in DEALT.split(", ")]
-
-    def record(n: int, **cols) -> pa.RecordBatch:
-        every = [pa.nulls(n, t) if (c := cols.get(name)) is None else c if isinstance(c, pa.Array) else pa.array(c, t) for name, t in zip(names, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(every, names)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(piece: int, rows: Iterator) -> Iterator[tuple[int, tuple]]:
         common, contexts, tier, base = shared.value
-        r = Reader(common)
-        for b in batches:
-            texts = b.column(3).to_pylist()
-            for some in chunks(texts):
-                h, doc, before, dish = r.read(texts[some])
-                cls = place(before & HIGH, contexts)
-                often = cls < len(contexts)
-                n = some.stop - some.start
-                rows = b.column(0).slice(some.start, n).to_numpy(zero_copy_only=False)
-                held = b.column(2).slice(some.start, n).to_numpy(zero_copy_only=False).astype(bool)
-                rare = dish == len(common)
-                sums = lambda w: np.bincount(doc, weights=w, minlength=n)  # noqa: E731, B023
-                yield record(
-                    n,
-                    part=(rows % parts).astype(np.int32),
-                    base=rows,
-                    doc_id=b.column(1).slice(some.start, n),
-                    held_out=held,
-                    n_tokens=np.bincount(doc, minlength=n),
-                    n_known=np.bincount(doc[~rare], minlength=n),
-                    sum_base=sums(base[dish]),
-                    sum_lp=np.bincount(doc[often], weights=tier[cls[often], dish[often]], minlength=n),
+        r = Reader(common, contexts)
+        own, size, row = [], 0, piece << 36
+
+        def known() -> Iterator[tuple[int, tuple]]:
+            every = [np.concatenate(x) for x in zip(*own, strict=True)]
+            bucket = bucket_of(every[0], n_tasks)
+            yield from ((2 * parts + int(b), tuple(x[bucket == b] for x in every)) for b in np.unique(bucket))
+
+        def sorted_cells(rank: np.ndarray, low: np.ndarray, doc: np.ndarray, held: np.ndarray, words: np.ndarray):
+            # numbers of words, lower keys and documents fit one integer, which sorts faster than keys are looked up
+            cell, count = np.unique((rank.astype(np.uint64) << np.uint64(32)) | (low << np.uint64(16)) | doc.astype(np.uint64), return_counts=True)
+            at = (cell & LOW).astype(np.int64)
+            return packed(words[(cell >> np.uint64(32)).astype(np.int64)] | (cell >> np.uint64(16) & LOW), at << 1 | held[at], count, parts)
+
+        for some in chunks(rows):
+            word, doc, before = r.read([x[2] for x in some])
+            n = len(some)
+            held = np.fromiter((x[1] for x in some), bool, n)
+            dish, cls = r.dish[word], r.cls[before]
+            often, rare = cls < len(contexts), dish == len(common)
+            sums = lambda w: np.bincount(doc, weights=w, minlength=n)  # noqa: E731, B023
+            own.append(
+                (
+                    row + np.arange(n),
+                    np.fromiter((x[0] or 0 for x in some), np.int64, n),
+                    np.fromiter((x[0] is None for x in some), bool, n),
+                    held,
+                    np.bincount(doc, minlength=n),
+                    np.bincount(doc[~rare], minlength=n),
+                    sums(base[dish]),
+                    np.bincount(doc[often], weights=tier[cls[often], dish[often]], minlength=n),
                 )
-                out = []
-                for flag, first_part, at, key in (
-                    *((flag, 0, x := np.flatnonzero(rare & (held[doc] != flag)), (h[x] & HIGH) | (before[x] & LOW)) for flag in (True, False)),
-                    (False, parts, x := np.flatnonzero(~often), (before[x] & HIGH) | dish[x].astype(np.uint64)),
-                ):
-                    order = np.argsort(key, kind="stable")
-                    key, local = key[order], rows[doc[at[order]]]
-                    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (local[1:] != local[:-1]))) if len(key) else np.empty(0, np.int64)
-                    count = np.diff(np.append(first, len(key)))
-                    key, local = key[first], local[first]
-                    # rows of a piece lie near each other, unless a filter or shuffle came before; then there are more blobs
-                    zone = local >> 31
-                    for z in np.unique(zone):
-                        k = np.flatnonzero(zone == z)
-                        out += [(first_part + p, int(z) << 31, x, flag) for p, x in packed(key[k], local[k] - (int(z) << 31), count[k], parts)]
-                if out:
-                    yield record(len(out), **dict(zip(("part", "base", "blob", "train"), zip(*out), strict=True)))
-
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), held_out(mod).alias("held_out"), "text")
-    return d.mapInArrow(work, DEALT)
-
-
-def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, row, n, train) of all blobs of one part after another; the input is sorted by part."""
-    held, now = [], None
-
-    def joined():
-        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-    for b in batches:
-        for part, base, blob, train in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if part != now and held:
-                yield joined()
-                held = []
-            now = part
-            key, local, n = unpack(blob)
-            held.append((key, local + base, n, np.full(len(key), train)))
-    if held:
-        yield joined()
+            )
+            for first, x, number, low, hashes in (
+                (0, np.flatnonzero(rare), word, lambda x: r.mixed[before[x]] & LOW, r.h),  # noqa: B023
+                (parts, np.flatnonzero(~often), before, lambda x: dish[x].astype(np.uint64), r.mixed),  # noqa: B023
+            ):
+                words, rank = np.unique(hashes & HIGH, return_inverse=True)
+                yield from ((first + part, (row, *blobs)) for part, blobs in sorted_cells(rank[number[x]], low(x), doc[x], held, words))
+            row, size = row + n, size + n
+            if size >= 1 << 17:
+                yield from known()
+                own, size = [], 0
+        if own:
+            yield from known()
+
+    d = docs.select(F.col("doc_id").cast("long"), held_out(mod), "text")
+    return d.rdd.mapPartitionsWithIndex(work).partitionBy(n_tasks)
+
+
+def bucket_of(row: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(row.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def by_part(items: Iterable[tuple[int, tuple]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, key, row, n, train) of all blobs of one part after another."""
+    for part, some in groupby(sorted(items, key=lambda x: x[0]), key=lambda x: x[0]):
+        held = []
+        for _, (base, *blobs) in some:
+            key, local, n = unpack(*blobs)
+            held.append((key, (local >> 1) + base, n, (local & 1) == 0))
+        yield part, *(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def cells_of(key: np.ndarray, n: np.ndarray, train: np.ndarray) -> Cells:
@@ -497,31 +547,28 @@ def cells_of(key: np.ndarray, n: np.ndarray, train: np.ndarray) -> Cells:
     return Cells(u, np.bincount(at, weights=n[train], minlength=len(u)).astype(np.int64))
 
 
-def _totals(blobs: DataFrame, before: list[Totals], m: dict | None) -> tuple[Totals, dict]:
+def _totals(dealt: RDD, parts: int, before: list[Totals], m: dict | None) -> tuple[Totals, dict]:
     """Runs all sweeps so far and one more, and adds up what tasks have: (totals, counts of counts)."""
-    shared = blobs.sparkSession.sparkContext.broadcast((before, m))
+    shared = dealt.ctx.broadcast((before, m))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(items: Iterator) -> Iterator[np.ndarray]:
         before, m = shared.value
-        customers, tables, rest = np.zeros(65536), np.zeros(65536), np.zeros(8)
-        for key, _, n, train in by_part(batches):
-            c = cells_of(key, n, train)
+        customers, tables, rest, some = np.zeros(65536), np.zeros(65536), np.zeros(8), False
+        for _, key, _, n, train in by_part(x for x in items if x[0] < parts):
+            c, some = cells_of(key, n, train), True
             for s, g in enumerate(before, 1):
                 c.sweep(g, m, s)
             customers += np.bincount(c.ctx, weights=c.c, minlength=65536)
             tables += np.bincount(c.ctx, weights=c.t, minlength=65536)
             words = np.bincount(c.at, weights=c.c, minlength=len(c.word))
             rest += [c.c1.sum(), c.t1.sum(), len(c.word), words.sum(), (c.c == 1).sum(), (c.c == 2).sum(), (c.c1 == 1).sum(), (c.c1 == 2).sum()]
-        at = np.flatnonzero(customers)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, 65536 + np.arange(8))), pa.array(np.append(customers[at], rest)), pa.array(np.append(tables[at], np.zeros(8)))], ["k", "a", "b"]
-        )
+        if some:
+            yield np.concatenate([customers, tables, rest])
 
-    rows = blobs.mapInArrow(work, "k long, a double, b double").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
-    a, b = np.zeros(65544), np.zeros(65544)
-    a[rows["k"]], b[rows["k"]] = rows["a"], rows["b"]
-    r = a[65536:]
-    return Totals(a[:65536], b[:65536], r[0], r[1]), {"types": r[2], "n": r[3], "ones": r[4:6], "ones1": r[6:8]}
+    found = sum_of(dealt.mapPartitions(work))
+    a = np.zeros(2 * 65536 + 8) if found is None else found
+    r = a[2 * 65536 :]
+    return Totals(a[:65536], a[65536 : 2 * 65536], r[0], r[1]), {"types": r[2], "n": r[3], "ones": r[4:6], "ones1": r[6:8]}
 
 
 def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
@@ -532,8 +579,8 @@ def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, sweeps: int = S
     n = int(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * PART_TOKENS)))
     parts = int(max(2 * n, total // PART_TOKENS + 1))
     cells = tier_counts(train, candidates, parts, n)
-    release(spark)
-    counts = by_dish(cells, len(candidates) + 1, lambda key, n: np.bincount((key & LOW).astype(np.int64), weights=n, minlength=len(candidates) + 1))[:-1]
+    width = len(candidates) + 1
+    counts = by_dish(cells, width, lambda key, n: np.bincount((key & LOW).astype(np.int64), weights=n, minlength=width))[:-1]
     is_common = counts * common >= max(1, total)
     often, dishes = candidates[is_common], int(is_common.sum()) + 1
     dish_of = np.full(len(candidates) + 1, dishes - 1, np.uint64)
@@ -541,83 +588,77 @@ def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, sweeps: int = S
     seats = tier_states(cells, dish_of, dishes, sweeps, burn_in)
     contexts = np.unique(mix64(np.append(frequent, np.uint64(WordHash()[START]))) & HIGH)
     tier = frequent_rows(cells, dish_of, dishes, seats, contexts)
-    tokens_dealt = deal(docs, often, contexts, tier, counts[is_common], parts, mod)
-    dealt = cut(tokens_dealt.unionByName(cells.withColumn("part", F.col("part") + parts), allowMissingColumns=True).repartition(n, "part").sortWithinPartitions("part"))
+    del cells
     release(spark)
-    blobs = dealt.where(f"blob is not null and part < {parts}").select("part", "base", "blob", "train")
-    after = dealt.where(f"blob is not null and part >= {parts}").select("part", "base", "blob", "train")
-    g, stats = _totals(blobs, [], None)
+    dealt = deal(docs, often, contexts, tier, counts[is_common], parts, n, mod)
+    g, stats = _totals(dealt, parts, [], None)
     m = {"d": discount_of(*stats["ones"]), "d1": discount_of(*stats["ones1"]), "uniform": 1.0 / (stats["types"] + 1)}
     states = [g]
     for _ in range(sweeps):
-        states.append(_totals(blobs, states, m)[0])
-    shared, n_tasks = spark.sparkContext.broadcast((states, m, dish_of, seats)), n
+        states.append(_totals(dealt, parts, states, m)[0])
+    shared = spark.sparkContext.broadcast((states, m, np.arange(dishes, dtype=np.uint64), seats))
+    z = float(np.log10(total + 0.5 * (len(often) + stats["types"] + 1)))
 
-    def spread(sums_of: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def units(x: np.ndarray) -> np.ndarray:
+        return np.rint(np.log10(x) / UNIT).astype(np.int64)
 
-        def out():
-            row, *sums = add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            bucket = (mix64(row.astype(np.uint64)) % np.uint64(n_tasks)).astype(np.int64)
+    def rare_sums(key, row, n, train) -> tuple[np.ndarray, ...]:
+        states, m, *_ = shared.value
+        c = cells_of(key, n, train)
+        p = np.zeros(len(key))
+        for s in range(1, len(states)):
+            c.sweep(states[s - 1], m, s)
+            if s > burn_in:
+                p += c.score(states[s], m, key) / (len(states) - 1 - burn_in)
+        count = np.append(np.bincount(c.at, weights=c.c, minlength=len(c.word)), 0.0)[place(key & HIGH, c.word)]
+        return row, n * (count > 0), n * units(count + 0.5), n * units(p)
+
+    def tier_sums(key, row, n, train) -> tuple[np.ndarray, ...]:
+        *_, dishes, seats = shared.value
+        asked, at = np.unique(key, return_inverse=True)
+        p = units(Restaurants(key[train], n[train], dishes).mean(seats, asked))[at]
+        return row, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), n * p
+
+    def answer(items: Iterator) -> Iterator[tuple[int, tuple]]:
+        """(bucket, what is known of its documents, or sums of them): packed, as a document's dealt tokens lie with many tasks."""
+        mine, held, size = [], [], 0
+
+        def out() -> Iterator[tuple[int, tuple]]:
+            every = add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bucket = bucket_of(every[0], n)
             order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(n_tasks + 1))
-            some = [b for b in range(n_tasks) if at[b] < at[b + 1]]
-            blobs = [squeeze([x[order[at[b] : at[b + 1]]] for x in (row, *sums)]) for b in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-        for sums in sums_of:
-            held.append(sums)
-            size += len(sums[0])
+            at = np.searchsorted(bucket[order], np.arange(n + 1))
+            yield from ((b, (pack_sums(*(x[order[at[b] : at[b + 1]]] for x in every)),)) for b in range(n) if at[b] < at[b + 1])
+
+        for part, x in items:
+            if part >= 2 * parts:
+                yield part - 2 * parts, x
+            else:
+                mine.append((part, x))
+        for part, *cells in by_part(mine):
+            held.append((rare_sums if part < parts else tier_sums)(*cells))
+            size += len(held[-1][0])
             if size > 4_000_000:
-                yield out()
+                yield from out()
                 held, size = [], 0
         if held:
-            yield out()
-
-    def rare_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        states, m, *_ = shared.value
-        for key, row, n, train in by_part(batches):
-            c = cells_of(key, n, train)
-            p = np.zeros(len(key))
-            for s in range(1, len(states)):
-                c.sweep(states[s - 1], m, s)
-                if s > burn_in:
-                    p += c.score(states[s], m, key) / (len(states) - 1 - burn_in)
-            count = np.append(np.bincount(c.at, weights=c.c, minlength=len(c.word)), 0.0)[place(key & HIGH, c.word)]
-            yield row, n * (count > 0), n * np.log10(count + 0.5), n * np.log10(p)
-
-    def tier_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        *_, dish_of, seats = shared.value
-        for key, row, n, train in by_part(batches):
-            asked, at = np.unique(key[~train], return_inverse=True)
-            p = np.log10(Restaurants(key[train], n[train], dish_of).mean(seats, asked))[at]
-            yield row[~train], np.zeros(len(at)), np.zeros(len(at)), n[~train] * p
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-
-        def out():
-            row, known, base, lp = add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lp)], ["base", "n_known", "sum_base", "sum_lp"])
-
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield out()
-                    held = []
-                now = bucket
-                held.append(unsqueeze(blob))
-        if held:
-            yield out()
-
-    # a document's dealt tokens lie with many tasks: their sums travel packed by bucket, not as rows
-    sums = [x.mapInArrow(lambda b, f=f: spread(f(b)), "bucket int, blob binary") for x, f in ((blobs, rare_sums), (after, tier_sums))]
-    rare = sums[0].union(sums[1]).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "base long, n_known long, sum_base double, sum_lp double")
-    own = dealt.where("blob is null").select("base", "n_known", "sum_base", "sum_lp", "doc_id", "held_out", "n_tokens")
-    both = own.unionByName(rare, allowMissingColumns=True)
-    z = float(np.log10(total + 0.5 * (len(often) + stats["types"] + 1)))
-    return (
-        both.groupBy("base")
-        .agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], F.sum("n_known").alias("n_known"), F.sum("sum_base").alias("b"), F.sum("sum_lp").alias("score"))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("b") - F.col("n_tokens") * F.lit(z)).alias("base_score"), "score")
-    )
+            yield from out()
+
+    def gather(items: Iterator) -> Iterator[tuple]:
+        for _, some in groupby(sorted(items, key=lambda x: x[0]), key=lambda x: x[0]):
+            own, sums = [], []
+            for _, x in some:
+                (own if len(x) > 1 else sums).append(x)
+            row, doc_id, null, held, n_tokens, n_known, base, lp = (np.concatenate(x) for x in zip(*own, strict=True))
+            if sums:
+                rows, known, bases, lps = add_up(*(np.concatenate(x) for x in zip(*(unpack_sums(x) for (x,) in sums), strict=True)))
+                order = np.argsort(row)
+                at = order[np.searchsorted(row[order], rows)]
+                n_known[at] += known
+                base[at] += bases * UNIT
+                lp[at] += lps * UNIT
+            ids = (None if no else x for x, no in zip(doc_id.tolist(), null.tolist(), strict=True))
+            yield from zip(ids, held.tolist(), n_tokens.tolist(), n_known.tolist(), [total] * len(row), (base - n_tokens * z).tolist(), lp.tolist(), strict=True)
+
+    rows = dealt.mapPartitions(answer).partitionBy(n).mapPartitions(gather)
+    return spark.createDataFrame(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", verifySchema=False)
