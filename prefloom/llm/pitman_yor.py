@@ -34,9 +34,9 @@ empty text in the hold-out rule; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import count, groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -237,7 +237,7 @@ def squeeze(columns: list[np.ndarray], widths: list[int]) -> bytes:
     """Columns of whole numbers of so many bytes, split into planes of bytes."""
     import zstandard
 
-    planes = (np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for x, w in zip(columns, widths, strict=True))
+    planes = (x.astype(f"<u{w if w in (2, 4) else 8}").view(np.uint8).reshape(len(x), -1)[:, :w].T.tobytes() if len(x) else b"" for x, w in zip(columns, widths, strict=True))
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -283,27 +283,12 @@ def unpack_sums(blob: bytes) -> list[np.ndarray]:
 
 
 def add_up(row: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(row, kind="stable")
+    order = np.argsort(row)
     row = row[order]
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
     return row[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)
 
 
-class Words(dict):
-    """Word (bytes) to its number; hashes of new ones are kept in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        i = self[word] = len(self)
-        self.new.append(xxhash.xxh64_intdigest(word))
-        return i
-
-
 class Reader:
     """Texts to words' numbers; by number, words' hashes (``h``), these mixed (as words before), dishes and places among ``contexts``."""
 
@@ -312,18 +297,19 @@ class Reader:
         self.clear()
 
     def clear(self) -> None:
-        self.words = Words()
+        self.words: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.h, self.mixed, self.dish, self.cls = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.start = self.words[START]
 
     def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts' tokens: the word's number, the text's, and that of the word before."""
+        import xxhash
+
         if len(self.words) > self.most:
             self.clear()
         parts = [np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)) for w in map(tokens, texts)]
-        if self.words.new:
-            h = np.array(self.words.new, np.uint64)
-            self.words.new.clear()
+        if new := len(self.words) - len(self.h):
+            h = np.fromiter(map(xxhash.xxh64_intdigest, islice(reversed(self.words), new)), np.uint64, new)[::-1]
             mixed = mix64(h)
             self.h, self.mixed = np.append(self.h, h), np.append(self.mixed, mixed)
             self.dish, self.cls = np.append(self.dish, place(h, self.common)), np.append(self.cls, place(mixed & HIGH, self.contexts))
@@ -488,9 +474,9 @@ def deal(docs: DataFrame, common: np.ndarray, contexts: np.ndarray, tier: np.nda
 
         def sorted_cells(rank: np.ndarray, low: np.ndarray, doc: np.ndarray, held: np.ndarray, words: np.ndarray):
             # numbers of words, lower keys and documents fit one integer, which sorts faster than keys are looked up
-            cell, count = np.unique((rank.astype(np.uint64) << np.uint64(32)) | (low << np.uint64(16)) | doc.astype(np.uint64), return_counts=True)
+            cell, times = np.unique((rank.astype(np.uint64) << np.uint64(32)) | (low << np.uint64(16)) | doc.astype(np.uint64), return_counts=True)
             at = (cell & LOW).astype(np.int64)
-            return packed(words[(cell >> np.uint64(32)).astype(np.int64)] | (cell >> np.uint64(16) & LOW), at << 1 | held[at], count, parts)
+            return packed(words[(cell >> np.uint64(32)).astype(np.int64)] | (cell >> np.uint64(16) & LOW), at << 1 | held[at], times, parts)
 
         for some in chunks(rows):
             word, doc, before = r.read([x[2] for x in some])
@@ -602,22 +588,21 @@ def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, sweeps: int = S
     def units(x: np.ndarray) -> np.ndarray:
         return np.rint(np.log10(x) / UNIT).astype(np.int64)
 
-    def rare_sums(key, row, n, train) -> tuple[np.ndarray, ...]:
+    def rare_sums(asked: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
         states, m, *_ = shared.value
-        c = cells_of(key, n, train)
-        p = np.zeros(len(key))
+        cells = Cells(asked[c > 0], c[c > 0])
+        p = np.zeros(len(asked))
         for s in range(1, len(states)):
-            c.sweep(states[s - 1], m, s)
+            cells.sweep(states[s - 1], m, s)
             if s > burn_in:
-                p += c.score(states[s], m, key) / (len(states) - 1 - burn_in)
-        count = np.append(np.bincount(c.at, weights=c.c, minlength=len(c.word)), 0.0)[place(key & HIGH, c.word)]
-        return row, n * (count > 0), n * units(count + 0.5), n * units(p)
+                p += cells.score(states[s], m, asked) / (len(states) - 1 - burn_in)
+        of_word = np.append(np.bincount(cells.at, weights=cells.c, minlength=len(cells.word)), 0.0)[place(asked & HIGH, cells.word)]
+        return (of_word > 0).astype(np.int64), units(of_word + 0.5), units(p)
 
-    def tier_sums(key, row, n, train) -> tuple[np.ndarray, ...]:
+    def tier_sums(asked: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
         *_, dishes, seats = shared.value
-        asked, at = np.unique(key, return_inverse=True)
-        p = units(Restaurants(key[train], n[train], dishes).mean(seats, asked))[at]
-        return row, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), n * p
+        none = np.zeros(len(asked), np.int64)
+        return none, none, units(Restaurants(asked[c > 0], c[c > 0], dishes).mean(seats, asked))
 
     def answer(items: Iterator) -> Iterator[tuple[int, tuple]]:
         """(bucket, what is known of its documents, or sums of them): packed, as a document's dealt tokens lie with many tasks."""
@@ -635,9 +620,11 @@ def score(docs: DataFrame, mod: int = MOD, common: int = COMMON, sweeps: int = S
                 yield part - 2 * parts, x
             else:
                 mine.append((part, x))
-        for part, *cells in by_part(mine):
-            held.append((rare_sums if part < parts else tier_sums)(*cells))
-            size += len(held[-1][0])
+        for part, key, row, times, train in by_part(mine):
+            asked, at = np.unique(key, return_inverse=True)
+            c = np.bincount(at, weights=times * train, minlength=len(asked)).astype(np.int64)
+            held.append((row, *(times * x[at] for x in (rare_sums if part < parts else tier_sums)(asked, c))))
+            size += len(row)
             if size > 4_000_000:
                 yield from out()
                 held, size = [], 0
